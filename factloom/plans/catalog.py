@@ -1,11 +1,284 @@
-"""The named queries of the library and the SQL that gives the same rows."""
+"""The named queries of the library over the sample tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..operators import candidates as C
+from ..operators import correlate as R
+from ..operators import matrix as M
+from ..operators.components import bounded_components
+from ..operators.entities import normalize_entities
+from ..sources import corpora
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return corpora.facts(spark, sf_dir), corpora.unsupported(spark, sf_dir)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _id(name: str = "provider"):
+    return F.col(f"{name}.id").alias(name)
+
+
+def _orders(f: DataFrame) -> DataFrame:
+    """Registry of a corpus whose providers are known."""
+    names = ["ledger", "rollup", "master", "history", "stream"]
+    listed = F.explode(F.array(*[F.struct(corpora.provider(n).alias("provider"), F.lit(i + 1).alias("ord")) for i, n in enumerate(names)]))
+    return f.sparkSession.range(1).select(listed.alias("x")).select("x.*")
+
+
+def fact_rows_state(spark, sf_dir):
+    return M.fact_rows(*_both(spark, sf_dir)).groupBy("fact_class", "state").agg(F.count("*").alias("n"))
+
+
+def fact_rows(spark, sf_dir):
+    return M.fact_rows(*_both(spark, sf_dir)).select("key", "fact_class", "state", "comparison_possible", "correlation_status", "n_variants", F.size("providers").cast("long").alias("n_providers"))
+
+
+def fact_variants(spark, sf_dir):
+    v = M.fact_variants(corpora.facts(spark, sf_dir))
+    return v.select("logical_key", "exact_key", F.array_join(F.transform("providers", lambda p: p.id), ",").alias("providers"), F.array_join("fact_ids", ",").alias("fact_ids"))
+
+
+def provider_states_dense(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    return M.provider_states(M.fact_rows(f, u), _orders(f)).groupBy(_id(), "fact_class", "state").agg(F.count("*").alias("n"))
+
+
+def coverage(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    return M.coverage(f, u, _orders(f)).select(_id(), "fact_class", "raw", "normalized", "unsupported", "matched", "comparable", "unique", "normalization_coverage", "unique_coverage")
+
+
+def unique_logical(spark, sf_dir):
+    return M.unique_logical(corpora.facts(spark, sf_dir)).select("logical_key", "fact_class", _id())
+
+
+def pairwise_overlap(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    return M.pairwise_overlap(f, _orders(f), f.select("fact_class").distinct()).select(_id("left"), _id("right"), "fact_class", "left_count", "right_count", "compared", "overlap", "left_only", "right_only", "conflicts", "overlap_coverage")
+
+
+def left_only(spark, sf_dir):
+    return M.only_keys(corpora.facts(spark, sf_dir), "ledger", "rollup")
+
+
+def right_only(spark, sf_dir):
+    return M.only_keys(corpora.facts(spark, sf_dir), "stream", "history")
+
+
+def conflicts(spark, sf_dir):
+    return M.fact_rows(*_both(spark, sf_dir)).where("state = 'conflict'").select("key", "fact_class", "n_variants")
+
+
+def unresolved_rows(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    late = f.withColumn("logical_key", F.when(~F.col("exact_key").endswith("P"), F.col("logical_key"))).withColumn("status", F.when(F.col("logical_key").isNull(), "ambiguous").otherwise(F.col("status")))
+    return M.fact_rows(late, u).where("state = 'ambiguous'").groupBy("fact_class", "state").agg(F.count("*").alias("n"))
+
+
+def unsupported_rows(spark, sf_dir):
+    return M.fact_rows(*_both(spark, sf_dir)).where("state = 'unsupported'").select("key", "fact_class", "n_variants", "correlation_status")
+
+
+def all_provider_overlap(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    people = _orders(f).where("ord > 2")
+    return M.all_provider_overlap(f.where("fact_class = 'references'"), people, f.select("fact_class").distinct()).select("fact_class", "providers", "union_count", "overlap", "overlap_coverage")
+
+
+def information_gain(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    return M.information_gain(f, u, _orders(f)).select(_id(), "ord", "new_facts", "own_facts", "unsupported", "ambiguous", "unmatched", F.col("unique").alias("unique_facts"), "gain_coverage")
+
+
+def gain_by_class(spark, sf_dir):
+    f = corpora.facts(spark, sf_dir)
+    return M.gain_by_class(f, M.addition_order(_orders(f), ["stream", "nobody", "stream"])).select(_id(), "fact_class", "new_facts")
+
+
+def compare_fact_sets(spark, sf_dir):
+    f, u = _both(spark, sf_dir)
+    return M.compare_fact_sets(f, u).groupBy("fact_class", "state").agg(F.count("*").alias("n"))
+
+
+def path_normalize(spark, sf_dir):
+    raw = F.concat(F.lit("./"), F.replace("p_type", F.lit(" "), F.lit("\\")), F.lit("/../"), F.replace("p_name", F.lit(" "), F.lit("//")), F.lit("/./x"))
+    return _table(spark, sf_dir, "part").select("p_partkey", S.normalize_path(raw).alias("path"))
+
+
+def range_parse(spark, sf_dir):
+    n = F.col("l_linenumber")
+    span = F.when(n % 2 == 0, F.concat(F.lit("L"), n, F.lit("C1-L"), n + 1, F.lit("C"), n + 3)).otherwise(F.concat(n, F.lit(":2-"), n - F.when(n == 3, 1).otherwise(0), F.lit(":5")))
+    r = S.parse_span(span, F.when(n > 4, "scip").otherwise("other"))
+    return _table(spark, sf_dir, "lineitem").select(n.alias("n"), r.alias("r")).groupBy("n", F.col("r.startLine").alias("sl"), F.col("r.startColumn").alias("sc"), F.col("r.endLine").alias("el"), F.col("r.endColumn").alias("ec")).agg(F.count("*").alias("rows"))
+
+
+def kind_family(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(S.kind_family(F.concat("p_type", F.when(F.col("p_size") % 3 == 0, " Function").when(F.col("p_size") % 3 == 1, "_type-alias").otherwise(""))).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
+
+
+def symbol_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.symbol_keys(F.concat(F.lit("\""), F.replace("p_name", F.lit(" "), F.lit("#")), F.lit("\""))), "|").alias("keys"))
+
+
+def signature_normalize(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", S.normalize_signature(F.concat(F.lit(" f ( "), "c_name", F.lit("  : "), "c_mktsegment", F.lit(" ) :  string "))).alias("signature"))
+
+
+def entity_dedup(spark, sf_dir):
+    e = corpora.document_entities(spark, sf_dir)
+    return normalize_entities(e.union(e)).select("id", F.col("provider.id").alias("provider"), "family", "path", F.col("s_key").alias("signature"))
+
+
+def candidate_buckets(spark, sf_dir):
+    keys = C.candidate_keys(normalize_entities(corpora.document_entities(spark, sf_dir)))
+    return keys.where("class = 'signature'").groupBy("key").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
+
+
+def _links(spark, sf_dir) -> R.Correlation:
+    return R.correlate(corpora.document_entities(spark, sf_dir))
+
+
+def candidate_scores(spark, sf_dir):
+    # which end is left follows the order of digests, so the two one-sided kinds are one here
+    kind = F.when(F.col("cardinality").isin("one-to-many", "many-to-one"), "one-sided").otherwise(F.col("cardinality"))
+    return _links(spark, sf_dir).links.groupBy("score", "strength", kind.alias("cardinality"), F.array_join("rules", ",").alias("rules")).agg(F.count("*").alias("n"))
+
+
+def components_tier(spark, sf_dir):
+    d = corpora.document_entities(spark, sf_dir)
+    e = d.select("id", "signature", F.col("provider.id").alias("p"))
+    edges = e.select(F.col("id").alias("left"), "signature", F.col("p").alias("lp")).join(e.select(F.col("id").alias("right"), "signature", F.col("p").alias("rp")), "signature").where("lp = 'even' and rp = 'odd'")
+    return bounded_components(edges, 2).select(F.col("node").alias("id"), F.array_join("members", ",").alias("members"))
+
+
+def canonical_entities(spark, sf_dir):
+    return _links(spark, sf_dir).canonical.groupBy("kind", "status", "n_members", "reason").agg(F.count("*").alias("n"))
+
+
+def correlation_metrics(spark, sf_dir):
+    return _links(spark, sf_dir).metrics.select(_id(), "total", "canonical", "candidates", "matched", "probable", "ambiguous", "unmatched")
+
+
+def edge_node_join(spark, sf_dir):
+    nodes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), "n_name")
+    edges = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("source"), (F.col("c_custkey") % 30).cast("string").alias("target"))
+    s, t = nodes.toDF("source", "source_name"), nodes.toDF("target", "target_name")
+    return edges.join(s, "source").join(t, "target").groupBy("source_name", "target_name").agg(F.count("*").alias("n"))
+
+
+def ref_resolution(spark, sf_dir):
+    from ..operators.facts import resolve_references
+
+    rows = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 20000).cast("string").alias("evidence_id"))
+    payload = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("evidence_id"), F.col("props").alias("providerNative")).where("event_id % 2 = 0")
+    return resolve_references(rows, payload).select("event_id", "providerNative")
+
+
+def json_native_extract(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return _table(spark, sf_dir, "events").select("event_type", F.try_variant_get(v, "$.k", "long").alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+_QUERIES = (
+    fact_rows_state, fact_rows, fact_variants, provider_states_dense, coverage, unique_logical, pairwise_overlap, left_only, right_only, conflicts, unresolved_rows, unsupported_rows, all_provider_overlap, information_gain, gain_by_class,
+    compare_fact_sets, path_normalize, range_parse, kind_family, symbol_tokens, signature_normalize, entity_dedup, candidate_buckets, candidate_scores, components_tier, canonical_entities, correlation_metrics, edge_node_join, ref_resolution, json_native_extract)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_FACTS = """
+f AS (SELECT 'ledger' AS provider, 1 AS ord, 'reads' AS fact_class, 'order:' || o_orderkey AS logical_key, o_orderstatus AS value FROM orders
+  UNION ALL SELECT 'rollup', 2, 'reads', 'order:' || l_orderkey, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END FROM lineitem GROUP BY l_orderkey
+  UNION ALL SELECT 'master', 3, 'references', 'customer:' || c_custkey, c_custkey::VARCHAR FROM customer
+  UNION ALL SELECT DISTINCT 'history', 4, 'references', 'customer:' || o_custkey, o_custkey::VARCHAR FROM orders
+  UNION ALL SELECT DISTINCT 'stream', 5, 'references', 'customer:' || user_id, user_id::VARCHAR FROM events),
+u AS (SELECT 'stream' AS provider, event_type AS fact_class, 'unsupported:customer:' || user_id || ':' || event_type AS key, event_id FROM events),
+c AS (SELECT logical_key AS key, any_value(fact_class) AS fact_class, count(DISTINCT value) AS nv, count(DISTINCT provider) AS np FROM f GROUP BY logical_key),
+r AS (SELECT key, fact_class, CASE WHEN nv > 1 THEN 'conflict' WHEN np > 1 THEN 'overlap' ELSE 'provider-only' END AS state, true AS comparison_possible, 'matched' AS correlation_status, nv AS n_variants, np AS n_providers FROM c
+  UNION ALL SELECT key, min(fact_class), 'unsupported', false, 'not-applicable', count(*), count(DISTINCT provider) FROM u GROUP BY key),
+p AS (SELECT * FROM (VALUES ('ledger', 1), ('rollup', 2), ('master', 3), ('history', 4), ('stream', 5)) AS x(provider, ord)),
+s AS (SELECT DISTINCT provider, ord, fact_class, logical_key, logical_key || '=' || value AS exact_key FROM f)
+"""
+_DOCS = """
+d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS provider, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END || '_d' || doc_id AS id,
+  'docs/' || coalesce(source, '-') || '/' || doc_id AS path, sha256(coalesce(text, '')) AS signature FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT a.id AS ia, b.id AS ib, a.signature FROM d a JOIN d b ON a.signature = b.signature AND a.provider = 'even' AND b.provider = 'odd'),
+n AS (SELECT signature, count(*) FILTER (provider = 'even') AS ne, count(*) FILTER (provider = 'odd') AS no FROM d GROUP BY signature),
+k AS (SELECT *, CASE WHEN ne = 1 AND no = 1 THEN 'probable' WHEN ne > 0 AND no > 0 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM n)
+"""
+
+
+def _f(sql: str) -> str:
+    return f"WITH {_FACTS} {sql}"
+
+
+def _d(sql: str) -> str:
+    return f"WITH {_DOCS} {sql}"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "fact_rows_state": _f("SELECT fact_class, state, count(*) AS n FROM r GROUP BY ALL"),
+        "fact_rows": _f("SELECT * FROM r"),
+        "fact_variants": _f("SELECT logical_key, exact_key, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, string_agg(DISTINCT provider || '/' || exact_key, ',' ORDER BY provider || '/' || exact_key) AS fact_ids FROM s GROUP BY ALL"),
+        "provider_states_dense": _f("""SELECT p.provider, r.fact_class, CASE WHEN coalesce(h.x, 0) = 0 THEN 'missing' WHEN r.comparison_possible THEN 'present' ELSE r.state END AS state, count(*) AS n FROM r CROSS JOIN p
+            LEFT JOIN (SELECT DISTINCT logical_key AS key, provider, 1 AS x FROM f UNION SELECT DISTINCT key, provider, 1 FROM u) h ON h.key = r.key AND h.provider = p.provider GROUP BY ALL"""),
+        "coverage": _f("""SELECT p.provider, g.fact_class, coalesce(a.n, 0) + coalesce(b.n, 0) AS raw, coalesce(a.n, 0) AS normalized, coalesce(b.n, 0) AS unsupported, coalesce(a.n, 0) AS matched, coalesce(a.k, 0) AS comparable, coalesce(a.q, 0) AS "unique",
+            coalesce(a.n, 0)::DOUBLE / nullif(coalesce(a.n, 0) + coalesce(b.n, 0), 0) AS normalization_coverage, coalesce(a.q, 0)::DOUBLE / nullif(coalesce(a.k, 0), 0) AS unique_coverage
+            FROM p CROSS JOIN (SELECT DISTINCT fact_class FROM f UNION SELECT DISTINCT fact_class FROM u UNION SELECT '__all__') g
+            LEFT JOIN (SELECT f.provider, coalesce(f.fact_class, '__all__') AS fact_class, count(*) AS n, count(DISTINCT logical_key) AS k, count(DISTINCT logical_key) FILTER (c.np = 1) AS q FROM f JOIN c ON c.key = f.logical_key GROUP BY GROUPING SETS ((f.provider, f.fact_class), (f.provider))) a ON a.provider = p.provider AND a.fact_class = g.fact_class
+            LEFT JOIN (SELECT provider, coalesce(fact_class, '__all__') AS fact_class, count(*) AS n FROM u GROUP BY GROUPING SETS ((provider, fact_class), (provider))) b ON b.provider = p.provider AND b.fact_class = g.fact_class"""),
+        "unique_logical": _f("SELECT DISTINCT f.logical_key, f.fact_class, f.provider FROM f JOIN c ON c.key = f.logical_key WHERE c.np = 1"),
+        "pairwise_overlap": _f("""SELECT a.provider AS "left", b.provider AS "right", g.fact_class, coalesce(x.n, 0) AS left_count, coalesce(y.n, 0) AS right_count, coalesce(z.compared, 0) AS compared, coalesce(z.same, 0) AS overlap,
+            coalesce(x.n, 0) - coalesce(z.compared, 0) AS left_only, coalesce(y.n, 0) - coalesce(z.compared, 0) AS right_only, coalesce(z.compared - z.same, 0) AS conflicts, coalesce(z.same, 0)::DOUBLE / nullif(least(coalesce(x.n, 0), coalesce(y.n, 0)), 0) AS overlap_coverage
+            FROM p a JOIN p b ON a.ord < b.ord CROSS JOIN (SELECT DISTINCT fact_class FROM f) g
+            LEFT JOIN (SELECT provider, fact_class, count(*) AS n FROM s GROUP BY ALL) x ON x.provider = a.provider AND x.fact_class = g.fact_class LEFT JOIN (SELECT provider, fact_class, count(*) AS n FROM s GROUP BY ALL) y ON y.provider = b.provider AND y.fact_class = g.fact_class
+            LEFT JOIN (SELECT m.provider AS lp, o.provider AS rp, m.fact_class, count(*) AS compared, count(*) FILTER (m.exact_key = o.exact_key) AS same FROM s m JOIN s o ON m.logical_key = o.logical_key AND m.fact_class = o.fact_class AND m.ord < o.ord GROUP BY ALL) z ON z.lp = a.provider AND z.rp = b.provider AND z.fact_class = g.fact_class"""),
+        "left_only": _f("SELECT fact_class, logical_key FROM s WHERE provider = 'ledger' AND logical_key NOT IN (SELECT logical_key FROM s WHERE provider = 'rollup')"),
+        "right_only": _f("SELECT fact_class, logical_key FROM s WHERE provider = 'stream' AND logical_key NOT IN (SELECT logical_key FROM s WHERE provider = 'history')"),
+        "conflicts": _f("SELECT key, fact_class, n_variants FROM r WHERE state = 'conflict'"),
+        "unresolved_rows": _f("SELECT fact_class, 'ambiguous' AS state, count(*) AS n FROM f WHERE value LIKE '%P' GROUP BY ALL"),
+        "unsupported_rows": _f("SELECT key, fact_class, n_variants, correlation_status FROM r WHERE state = 'unsupported'"),
+        "all_provider_overlap": _f("""SELECT g.fact_class, 3 AS providers, coalesce(x.n, 0) AS union_count, coalesce(x.k, 0) AS overlap, x.k::DOUBLE / x.n AS overlap_coverage FROM (SELECT DISTINCT fact_class FROM f) g
+            LEFT JOIN (SELECT fact_class, count(*) AS n, count(*) FILTER (np = 3) AS k FROM (SELECT fact_class, exact_key, count(DISTINCT provider) AS np FROM s WHERE fact_class = 'references' GROUP BY ALL) GROUP BY ALL) x USING (fact_class)"""),
+        "information_gain": _f("""SELECT p.provider, p.ord, coalesce(x.n, 0) AS new_facts, coalesce(y.n, 0) AS own_facts, coalesce(b.n, 0) AS unsupported, 0 AS ambiguous, 0 AS unmatched, coalesce(q.n, 0) AS unique_facts, coalesce(x.n, 0)::DOUBLE / y.n AS gain_coverage FROM p
+            LEFT JOIN (SELECT ord, count(*) AS n FROM (SELECT exact_key, min(ord) AS ord FROM s GROUP BY ALL) GROUP BY ALL) x USING (ord) LEFT JOIN (SELECT ord, count(*) AS n FROM s GROUP BY ALL) y USING (ord)
+            LEFT JOIN (SELECT provider, count(*) AS n FROM u GROUP BY ALL) b USING (provider) LEFT JOIN (SELECT provider, count(DISTINCT logical_key) AS n FROM f JOIN c ON c.key = f.logical_key WHERE np = 1 GROUP BY ALL) q USING (provider)"""),
+        "gain_by_class": _f("SELECT provider, fact_class, count(*) AS new_facts FROM (SELECT exact_key, fact_class, arg_min(provider, CASE WHEN provider = 'stream' THEN 0 ELSE ord END) AS provider FROM s GROUP BY ALL) GROUP BY ALL"),
+        "compare_fact_sets": _f("""SELECT fact_class, CASE WHEN nv > 1 THEN 'conflict' WHEN np > 1 THEN 'equivalent' ELSE 'provider-only' END AS state, count(*) AS n FROM c GROUP BY ALL
+            UNION ALL SELECT fact_class, 'unsupported', count(DISTINCT key) FROM u GROUP BY ALL"""),
+        "path_normalize": r"""SELECT p_partkey, coalesce(nullif(array_to_string(list_slice(t, 1, len(t) - 1), '/') || CASE WHEN len(t) > 1 THEN '/' ELSE '' END || array_to_string(list_filter(string_split(replace(p_name, ' ', '/'), '/'), lambda x: x <> ''), '/') || '/x', ''), '.') AS path
+            FROM (SELECT *, list_filter(string_split(p_type, ' '), lambda x: x <> '') AS t FROM part)""",
+        "range_parse": """SELECT n, CASE WHEN n % 2 = 0 THEN n WHEN n <> 3 THEN n + z END AS sl, CASE WHEN n % 2 = 0 THEN 1 WHEN n <> 3 THEN 2 + z END AS sc, CASE WHEN n % 2 = 0 THEN n + 1 WHEN n <> 3 THEN n + z END AS el, CASE WHEN n % 2 = 0 THEN n + 3 WHEN n <> 3 THEN 5 + z END AS ec, count(*) AS rows
+            FROM (SELECT l_linenumber AS n, CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END AS z FROM lineitem) GROUP BY ALL""",
+        "kind_family": """SELECT CASE WHEN p_size % 3 = 0 THEN 'callable' WHEN p_size % 3 = 1 THEN 'type' ELSE replace(lower(p_type), ' ', '') END AS family, count(*) AS n FROM part GROUP BY ALL""",
+        "symbol_tokens": """SELECT p_partkey, array_to_string(list_prepend(replace(p_name, ' ', '#'), list_filter(k, lambda x, i: x <> replace(p_name, ' ', '#') AND list_position(k, x) = i)), '|') AS keys
+            FROM (SELECT *, list_filter(regexp_split_to_array(replace(p_name, ' ', '#'), '[^A-Za-z0-9_$]+'), lambda x: x <> '') AS k FROM part)""",
+        "signature_normalize": r"SELECT c_custkey, 'f(' || regexp_replace(c_name, '\s*([#:])\s*', '\1', 'g') || ':' || c_mktsegment || '):string' AS signature FROM customer",
+        "entity_dedup": _d("SELECT id, provider, 'symbol' AS family, path, signature FROM d"),
+        "candidate_buckets": _d("SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM d GROUP BY signature) GROUP BY ALL"),
+        "candidate_scores": _d("""SELECT 58 AS score, 'probable' AS strength, CASE WHEN a > 1 AND b > 1 THEN 'many-to-many' WHEN a > 1 OR b > 1 THEN 'one-sided' ELSE 'one-to-one' END AS cardinality, 'same-repository-revision,same-kind,same-signature' AS rules, count(*) AS n
+            FROM (SELECT no AS a, ne AS b FROM l JOIN n USING (signature)) GROUP BY ALL"""),
+        "components_tier": _d("SELECT d.id, CASE WHEN ne = 1 AND no = 1 THEN (SELECT string_agg(x.id, ',' ORDER BY x.id) FROM d x WHERE x.signature = d.signature) END AS members FROM d JOIN n USING (signature) WHERE ne > 0 AND no > 0"),
+        "canonical_entities": _d("""SELECT 'symbol' AS kind, status, CASE WHEN status = 'probable' THEN 2 ELSE 1 END AS n_members, CASE status WHEN 'probable' THEN 'probable-evidence' WHEN 'unmatched' THEN 'no-cross-provider-evidence' ELSE 'provider-cardinality-conflict' END AS reason,
+            sum(CASE WHEN status = 'probable' THEN 1 ELSE ne + no END)::BIGINT AS n FROM k GROUP BY ALL"""),
+        "correlation_metrics": _d("""SELECT provider, count(*) AS total, count(*) AS canonical, sum(CASE WHEN provider = 'even' THEN no ELSE ne END)::BIGINT AS candidates, 0 AS matched, count(*) FILTER (status = 'probable') AS probable, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unmatched') AS unmatched
+            FROM d JOIN k USING (signature) GROUP BY ALL"""),
+        "edge_node_join": "SELECT s.n_name AS source_name, t.n_name AS target_name, count(*) AS n FROM customer JOIN nation s ON s.n_nationkey = c_nationkey JOIN nation t ON t.n_nationkey = c_custkey % 30 GROUP BY ALL",
+        "ref_resolution": "SELECT a.event_id, b.props AS \"providerNative\" FROM events a LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) b ON b.event_id = a.event_id % 20000",
+        "json_native_extract": "SELECT event_type, (props->>'$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL",
+    }
