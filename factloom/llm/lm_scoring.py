@@ -213,7 +213,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             for at in range(0, len(where), 16384):
                 w = where[at : at + 16384]
                 logp[at : at + 16384] = net.log_probability(_context(ids, w), ids[w])
-            total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=logp, minlength=len(lengths))
+            total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=logp, minlength=len(lengths)).astype(np.float64)
             mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(total), mean], ["id", "n_words", "log_likelihood", "mean"])
 
