@@ -27,7 +27,8 @@ from .wordstore import chunks, hashed_words, normal, sum_blocks
 TERM_BITS, PASSAGE, BLOCK, SPANS = 17, 32, 8, (2, 4, 8)
 #: Items are looked for in sets of so many, as many as there are latent dimensions, so that each set fits in memory and space.
 ITEMS = 256
-#: Words in more than this share of the passages have no weight.
+#: Words in more than this share of the passages are left out where the corpus is summed up for the latent space; the
+#: items' own rows, and the search, have them at their (low) weight.
 COMMON = 0.1
 SHARE, COSINE = 0.35, 0.6
 #: An item of fewer words is too short to tell.
@@ -91,14 +92,14 @@ def document_frequencies(store: DataFrame) -> tuple[np.ndarray, int]:
 class Items:
     """A set of benchmark items with their terms and latent vectors."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, common: np.ndarray):
         self.ids, self.idf = [r[0] for r in rows], idf.astype(np.float32)
         self.words = [w.tolist() for w in word_hashes([normal(t) for _, t in rows])]
         self.answers = [w.tolist() for w in word_hashes([normal(answer_of(t or "")) for _, t in rows])]
         self.terms = np.unique(np.array([w for ws in self.words for w in ws], np.uint32))
         self.slot = np.full(1 << 22, -1, np.int32)
         self.slot[(self.terms >> 10)[::-1]] = np.arange(len(self.terms), dtype=np.int32)[::-1]
-        self.weight = self.idf[self.terms >> (32 - TERM_BITS)]
+        self.weight, self.rare = self.idf[self.terms >> (32 - TERM_BITS)], ~common[self.terms >> (32 - TERM_BITS)]
         self.rank, self.basis, self.latent = min(ITEMS, len(rows), len(self.terms)), None, None
 
     def index(self, words: np.ndarray) -> np.ndarray:
@@ -159,15 +160,15 @@ def _sketch(store: DataFrame, items: Items) -> np.ndarray:
             at = it.index(np.concatenate(words))
             first = np.cumsum([0, *[-(-len(w) // PASSAGE) for w in words[:-1]]])
             tile = np.concatenate([f + np.arange(len(w)) // PASSAGE for f, w in zip(first, words)])
-            ok = at >= 0
+            ok = (at >= 0) & it.rare[at]
             at, tile = at[ok], tile[ok]
             if not len(at):
                 continue
             starts = np.flatnonzero(np.diff(tile, prepend=-1))
-            y = np.add.reduceat(probes[at], starts, axis=0)[np.cumsum(np.diff(tile, prepend=tile[0]) > 0)]
+            y, place = np.add.reduceat(probes[at], starts, axis=0), np.cumsum(np.diff(tile, prepend=tile[0]) > 0)
             order = np.argsort(at, kind="stable")
             by = np.flatnonzero(np.diff(at[order], prepend=-1))
-            total[at[order][by]] += np.add.reduceat(y[order], by, axis=0) * it.weight[at[order][by]][:, None]
+            total[at[order][by]] += np.add.reduceat(y[place[order]], by, axis=0) * it.weight[at[order][by]][:, None]
         part, blocks = TaskContext.get().partitionId(), range(0, len(total), rows)
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([total[k : k + rows].tobytes() for k in blocks], pa.binary())], ["part", "block", "data"])
 
@@ -248,13 +249,12 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     spark, schema = df.sparkSession, "id long, item_id long, lcs_share double, answer_share double, cosine double"
     store = hashed_words(df, id_col, text_col)
     n, total = document_frequencies(store)
-    idf = np.log((1.0 + total) / (1.0 + n))
-    idf[n > COMMON * max(total, 100)] = 0.0
+    idf, common = np.log((1.0 + total) / (1.0 + n)), n > COMMON * max(total, 100)
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null").orderBy("i", "t")
     out, group = spark.createDataFrame([], schema), []
 
     def flush(out: DataFrame) -> DataFrame:
-        items = Items(group, idf)
+        items = Items(group, idf, common)
         if not len(items.terms):
             return out
         items.settle(_sketch(store, items), _probes(items))
