@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,41 +83,64 @@ def unpack(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
     return (diff + base[:, None]).reshape(-1)[:n]
 
 
-#: Encodings of frequent pieces that a worker keeps; when full it starts anew.
-KEPT = 300_000
+#: Encodings of pieces that a worker keeps, the first that it meets; frequent ones come early. Others are encoded each time.
+KEPT = 700_000
 _encoders: dict[str, Encoder] = {}
-_odd, _cut = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=\S) (?=\S)")
+#: Where a text may not be cut by plain replacement: white space beside white space or at an end, punctuation before , or .
+_odd = re.compile(r"\s\s|^\s|\s$|(?:^|[\W_])[,.]|\x00")
+_cut, _letters = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" ?[^\W\d_]+")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_alphabet = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _own)}
+
+
+class _Pieces(dict):
+    """Piece to its ids, encoded on demand and kept while there is room."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if _letters.fullmatch(piece):  # one pre-token: no need to look for more
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_alphabet))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        out = array("I", ids).tobytes()
+        if len(self) < KEPT:
+            self[piece] = out
+        return out
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file; pieces that start at a single space between other characters are kept.
+    """Encodes texts with a tokenizers file, by pieces whose encodings are kept.
 
-    Byte-level pre-tokens take a space with what follows and never one with what is before, so a text may be cut before
-    such a space without a change of its ids.
+    Pre-tokens of this byte-level pattern are runs of letters, of digits, of white space or of other characters, the
+    space before a run belonging to it. So a text may be cut, without a change of its ids, before a single space between
+    other characters, before a comma or full stop behind a letter or digit, and on either side of a single line end
+    between other characters. A text in which one of these characters stands otherwise is cut at single spaces alone.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.kept = _Pieces(Tokenizer.from_file(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for t in texts:
-            parts = _cut.split(t) if _odd.search(t) else t.split(" ")
-            split.append([parts[0], *[" " + p for p in parts[1:]]] if t else [])
-        new = list(set().union(*split).difference(self.kept))
-        if len(self.kept) + len(new) > KEPT:
-            self.kept = {}
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.kept[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.kept.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        """Ids of each text as unsigned 32-bit integers."""
+        return [b"".join(map(self.kept.__getitem__, self.pieces(t))) for t in texts]
+
+    @staticmethod
+    def pieces(t: str) -> list[str]:
+        if not t:
+            return []
+        if _odd.search(t):
+            first, *rest = _cut.split(t)
+            return [first, *[" " + p for p in rest]]
+        for c, to in ((" ", "\x00 "), (",", "\x00,"), (".", "\x00."), ("\n", "\x00\n\x00")):
+            t = t.replace(c, to)
+        return t.split("\x00")
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[list[tuple[int | None, str]]]:
