@@ -433,7 +433,7 @@ def test_tokens_match_the_library(spark, texts):
 
 
 def test_tokens_of_odd_texts(spark):
-    given = ["a  b", " lead", "trail ", "a \n b", "x\n\ny z", "don't 12 3", " nbsp x", "<|endoftext|> a <|endoftext|>b", "é ü\tß", "\U0001f600 \U0001f600", "", None, " ", "   ", "a　 b"]
+    given = ["a  b", " lead", "trail ", "a \n b", "x\n\ny z", "don't 12 3", " nbsp x", "<|endoftext|> a <|endoftext|>b", "é ü\tß", "\U0001f600 \U0001f600", "", None, " ", "   ", "a　 b", "Wait... no.\nYes, 3.14,15.", "x_,y", ".a", "a\n,b", "über,straße.Ja", "don't.He's", "a\x00b"]
     enc = token_output.Encoder(queries.tokenizer_path())
     for limit in (token_output.KEPT, 3):
         old, token_output.KEPT = token_output.KEPT, limit
