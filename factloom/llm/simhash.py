@@ -114,6 +114,8 @@ def links(nodes: DataFrame) -> DataFrame:
     Every two linked fingerprints meet in some bucket and end in one component of that bucket's links. Buckets of two are
     verified by an aggregate of fixed size; larger ones as spanning forests of tile pairs, a hot bucket in many tasks.
     """
+    # few bytes a row here, many rows after the balls are enumerated: deal them out first
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))
     keys = nodes.select("fp", F.explode(F.concat(
