@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -83,31 +84,45 @@ def unpack(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
     return (diff + base[:, None]).reshape(-1)[:n]
 
 
-#: Encodings of pieces that a worker keeps, the first that it meets; frequent ones come early. Others are encoded each time.
-KEPT = 700_000
+#: Encodings of words that a worker keeps, the first that it meets; frequent ones come early. Others, and longer words, are
+#: encoded each time.
+KEPT, LONG = 1_000_000, 64
 _encoders: dict[str, Encoder] = {}
-#: Where a text may not be cut by plain replacement: white space beside white space or at an end, punctuation before , or .
-_odd = re.compile(r"\s\s|^\s|\s$|(?:^|[\W_])[,.]|\x00")
-_cut, _letters = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" ?[^\W\d_]+")
+_cut = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters, as long as they have been in Unicode, and ASCII marks but ' behind them: one pre-token, or two.
+_plain = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _own = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _alphabet = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _own)}
+_space = chr(_alphabet[32])
 
 
 class _Pieces(dict):
-    """Piece to its ids, encoded on demand and kept while there is room."""
+    """Piece of a text to its ids, encoded on demand and kept while there is room."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.model._resize_cache(0)  # this one takes its place
+        self.line, self.marks = self.whole("\n"), {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if _letters.fullmatch(piece):  # one pre-token: no need to look for more
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_alphabet))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(self) < KEPT:
+        m = _plain.fullmatch(piece)
+        if not m:
+            out = self.line + self.whole(piece[1:]) if piece[0] == "\n" else self.whole(piece)
+        elif m[3]:
+            marks = self.marks.get(m[3]) or self.whole(m[3])
+            if len(self.marks) < 1000:
+                self.marks[m[3]] = marks
+            return self[m[1] + m[2]] + marks
+        else:  # one pre-token: no need to look for more
+            said = m[2] if piece.isascii() else m[2].encode().decode("latin-1").translate(_alphabet)
+            out = array("I", [t.id for t in self.model.tokenize(_space + said if m[1] == " " else said)]).tobytes()
+            out = self.line + out if m[1] == "\n" else out
+        if len(self) < KEPT and len(piece) <= LONG:
             self[piece] = out
         return out
 
@@ -117,8 +132,8 @@ class Encoder:
 
     Pre-tokens of this byte-level pattern are runs of letters, of digits, of white space or of other characters, the
     space before a run belonging to it. So a text may be cut, without a change of its ids, before a single space between
-    other characters, before a comma or full stop behind a letter or digit, and on either side of a single line end
-    between other characters. A text in which one of these characters stands otherwise is cut at single spaces alone.
+    other characters, on either side of a single line end between other characters, and before a comma or full stop
+    behind a letter or digit. A text in which one of these stands elsewhere is cut at single spaces alone.
     """
 
     def __init__(self, path: str):
@@ -128,22 +143,58 @@ class Encoder:
         self.kept = _Pieces(Tokenizer.from_file(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers."""
-        return [b"".join(map(self.kept.__getitem__, self.pieces(t))) for t in texts]
+        """Ids of each text as unsigned 32-bit integers. Each distinct piece of all these texts is looked up once."""
+        plain = [i for i, t in enumerate(texts) if not t or self.regular(t)]
+        good = self.marks_follow_letters(["\n" + texts[i] for i in plain]).tolist() if plain else []
+        plain = [i for i, g in zip(plain, good) if g]
+        out = dict(zip(plain, self.by_pieces([texts[i] for i in plain]))) if plain else {}
+        return [out[i] if i in out else self.one(t) for i, t in enumerate(texts)]
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Of texts that may be cut everywhere; a line end is put before each and left out of the result."""
+        cut = []
+        for t in texts:
+            for c in " \n,.":
+                t = t.replace(c, "\x00" + c)
+            cut.append("\n" + t)
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
+        pieces = lists.values.dictionary_encode()
+        ids = list(map(self.kept.__getitem__, pieces.dictionary.to_pylist()))
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at, flat = np.cumsum(n) - n, np.frombuffer(b"".join(ids), "<u4")
+        which = np.asarray(pieces.indices)
+        size = n[which]
+        end = np.cumsum(size)
+        raw = memoryview(flat[np.repeat(at[which] - (end - size), size) + np.arange(end[-1])].tobytes())
+        cuts = np.append(0, end[np.asarray(lists.offsets)[1:] - 1]).tolist()
+        return [bytes(raw[4 * s + len(self.kept.line) : 4 * e]) for s, e in zip(cuts, cuts[1:])]
+
+    def one(self, t: str) -> bytes:
+        first, *rest = _cut.split(t)
+        return self.kept.whole(first) + b"".join([self.kept[" " + p] for p in rest])
+
+    @staticmethod
+    def regular(t: str) -> bool:
+        """Whether all white space is single spaces and line ends between other characters."""
+        ends = t[0] in " \n" or t[-1] in " \n"
+        return not ends and not any(x in t for x in ("  ", " \n", "\n ", "\n\n")) and t.replace("\n", "").isprintable()
 
     @staticmethod
-    def pieces(t: str) -> list[str]:
-        if not t:
-            return []
-        if _odd.search(t):
-            first, *rest = _cut.split(t)
-            return [first, *[" " + p for p in rest]]
-        for c, to in ((" ", "\x00 "), (",", "\x00,"), (".", "\x00."), ("\n", "\x00\n\x00")):
-            t = t.replace(c, to)
-        return t.split("\x00")
-
-
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[list[tuple[int | None, str]]]:
+    def marks_follow_letters(texts: list[str]) -> np.ndarray:
+        """For each text whether all its commas and full stops stand behind an ASCII digit or a Latin letter."""
+        column = pa.array(texts, pa.large_string())
+        offsets, data = np.frombuffer(column.buffers()[1], np.int64), np.frombuffer(column.buffers()[2], np.uint8)
+        at = np.flatnonzero((data == ord(",")) | (data == ord(".")))
+        last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+        ascii_ = (last >= 48) & (last <= 57) | (last | 32 >= 97) & (last | 32 <= 122) & (last < 128)
+        code = (lead.astype(np.int32) & 31) << 6 | last & 63
+        wide = (last >> 6 == 2) & (lead >> 5 == 6) & (code >= 0xC0) & (code < 0x250) & (code != 0xD7) & (code != 0xF7)
+        good = np.ones(len(texts), bool)
+        good[np.searchsorted(offsets, at[~(ascii_ | wide)], side="right") - 1] = False
+        return good
+
+
+def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[list[tuple[int | None, str]]]:
     group, held = [], 0
     for b in batches:
         for i, t in zip(b.column(0), b.column(1)):
