@@ -84,10 +84,12 @@ def unpack(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
     return (diff + base[:, None]).reshape(-1)[:n]
 
 
-#: Encodings of words that a worker keeps, the first that it meets; frequent ones come early. Others, and longer words, are
+#: Encodings of pieces that a worker keeps, the first that it meets; frequent ones come early. Others, and longer pieces, are
 #: encoded each time.
 KEPT, LONG = 1_000_000, 64
-_encoders: dict[str, Encoder] = {}
+#: Characters of texts that are encoded together (one text at least).
+GROUP = 1 << 23
+_encoders: dict[tuple[str, int], Encoder] = {}
 _cut = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, as long as they have been in Unicode, and ASCII marks but ' behind them: one pre-token, or two.
 _plain = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -100,8 +102,9 @@ _space = chr(_alphabet[32])
 class _Pieces(dict):
     """Piece of a text to its ids, encoded on demand and kept while there is room."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, room: int):
         super().__init__()
+        self.room = room
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.model._resize_cache(0)  # this one takes its place
         self.line, self.marks = self.whole("\n"), {"": b""}
@@ -122,7 +125,7 @@ class _Pieces(dict):
             said = m[2] if piece.isascii() else m[2].encode().decode("latin-1").translate(_alphabet)
             out = array("I", [t.id for t in self.model.tokenize(_space + said if m[1] == " " else said)]).tobytes()
             out = self.line + out if m[1] == "\n" else out
-        if len(self) < KEPT and len(piece) <= LONG:
+        if len(self) < self.room and len(piece) <= LONG:
             self[piece] = out
         return out
 
@@ -136,11 +139,11 @@ class Encoder:
     behind a letter or digit. A text in which one of these stands elsewhere is cut at single spaces alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kept = _Pieces(Tokenizer.from_file(path))
+        self.kept = _Pieces(Tokenizer.from_file(path), kept)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers. Each distinct piece of all these texts is looked up once."""
@@ -194,7 +197,7 @@ class Encoder:
         return good
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[list[tuple[int | None, str]]]:
+def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str]]]:
     group, held = [], 0
     for b in batches:
         for i, t in zip(b.column(0), b.column(1)):
@@ -208,15 +211,16 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[l
         yield group
 
 
-def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> None:
+def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None, kept: int = KEPT, group: int = GROUP) -> None:
     """Encode every text (null: empty), append ``end_id`` to each, and write segments in ascending order of id.
 
     Null ids come first, ties are ordered by a digest of the text, so rows that repeat an id are dealt over many tasks. A
-    text is one unit of work; a segment closes at the first document that fills it.
+    text is one unit of work; a segment closes at the first document that fills it. ``kept`` and ``group`` trade a
+    worker's memory for time; results are the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        enc = _encoders.get((tokenizer, kept)) or _encoders.setdefault((tokenizer, kept), Encoder(tokenizer, kept))
         shard, seq, start = TaskContext.get().partitionId(), 0, 0
         tail = np.array([end_id], "<u4").tobytes()
         docs: list[int | None] = []
@@ -230,8 +234,8 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in re.split(r", (?=\w+ )", SCHEMA)])
 
-        for group in _texts(batches):
-            for (i, _), ids in zip(group, enc.encode([t for _, t in group])):
+        for rows in _texts(batches, group):
+            for (i, _), ids in zip(rows, enc.encode([t for _, t in rows])):
                 docs.append(i)
                 parts.append(ids + tail)
                 held += len(ids) // 4 + 1
@@ -240,6 +244,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
                     seq, start, docs, parts, held = seq + 1, start + held, [], [], 0
         if docs:
             yield segment()
+        pa.default_memory_pool().release_unused()  # the worker may be idle for long
 
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tie", F.xxhash64("text"))
