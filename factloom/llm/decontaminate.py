@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
 from .textnp import word_hashes
 from .wordstore import chunks, hashed_words, normal, sum_blocks
 
@@ -264,7 +265,9 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
         group.append((r.i, r.t))
         if len(group) == ITEMS:
             out, group = flush(out), []
-    return flush(out) if group else out
+    found = materialize(flush(out) if group else out, "contaminated")
+    discard(store)  # as large as the words of the corpus; what was found is written
+    return found
 
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
