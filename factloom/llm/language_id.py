@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .textnp import ngram_ids
@@ -22,6 +22,8 @@ from .textnp import ngram_ids
 SIZES, BITS, DIM = (2, 3, 4), 15, 12
 #: Bound of the training sample: so many labelled rows of each language, those with the smallest digests of their ids.
 PER_LANGUAGE = 500
+#: Rows asked for beyond the sample, in standard deviations, so that a bound on the digests hardly ever keeps too few.
+SPARE = 6
 #: A share of the calibration rows this large may be rejected.
 MAY_REJECT = 0.001
 #: No threshold is above this score: a text whose language is the likelier one of two is kept.
@@ -65,10 +67,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to the distinct n-gram ids and counts of the text, and of one short passage of it."""
+    """(lang, h, text) to the distinct n-gram ids and counts of the text, and of one short passage of it."""
     for b in batches:
         out: list[tuple] = []
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for lang, h, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
             at = len(text) // 3
             for part in (text, text[at : at + 160]):
                 if any(c.isalpha() for c in part):
@@ -76,8 +78,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for ids in ngram_ids(_clean(part), SIZES, BITS):
                         n += np.bincount(ids, minlength=1 << BITS)
                     k = np.flatnonzero(n)
-                    out.append((lang, k.astype("<u4").tobytes(), n[k].astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["lang", "ids", "counts"])
+                    out.append((lang, h, k.astype("<u4").tobytes(), n[k].astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "ids", "counts"])
 
 
 def train(rows: list[tuple[str, bytes, bytes]], updates: int = 12_000, rate: float = 0.5, seed: int = 1) -> Model:
@@ -123,14 +125,24 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` labelled rows of each language that aren't held out; rows without an id are not used."""
+    """Fit on at most ``per_language`` labelled rows of each language that aren't held out.
+
+    Rows without an id are not used; of rows that repeat an id and a language the one with the smallest text is.
+    """
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))).withColumn("h", F.xxhash64("id"))
-    order = W.partitionBy("lang").orderBy("h")
-    limit = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("h").alias("upto"))
-    chosen = rows.join(F.broadcast(limit), "lang").where("h <= upto")  # one row per language
-    got = chosen.select("lang", "text").mapInArrow(_features, "lang string, ids binary, counts binary").collect()
-    return train(sorted((r.lang, bytes(r.ids), bytes(r.counts)) for r in got))
+    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 1))
+    # digests are uniform, so a bound on them keeps a little more than the sample; languages are counted before the shuffle
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    part = F.least(F.lit(1.0), (per_language + SPARE * per_language**0.5) / F.col("n"))
+    limit = counts.select("lang", (part * float(1 << 63)).alias("upto"))
+    chosen = rows.join(F.broadcast(limit), "lang").where(F.col("h") <= F.col("upto"))  # one row per language
+    chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat an id are one row of the sample
+    got = chosen.select("lang", "h", "text").mapInArrow(_features, "lang string, h long, ids binary, counts binary").collect()
+    sample = []
+    for _, rows_of in groupby(sorted((r.lang, r.h, bytes(r.ids), bytes(r.counts)) for r in got), key=lambda r: r[0]):
+        for _, (_, of_text) in zip(range(per_language), groupby(rows_of, key=lambda r: r[1])):
+            sample.extend((lang, ids, counts) for lang, _, ids, counts in of_text)
+    return train(sorted(sample))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
