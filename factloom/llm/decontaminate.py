@@ -65,6 +65,28 @@ def answer_of(text: str) -> str:
     return sentences[-1] if sentences else text
 
 
+def segment_sums(table: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``table[at]`` over segments of ``at``, none of them empty; a few hundred rows are held at a time.
+
+    Segments are cut in pieces of 32, and pieces of like length are added up together, one place after the other.
+    """
+    lengths = np.diff(np.append(starts, len(at)))
+    pieces = -(-lengths // 32)
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]])
+    begin = np.repeat(starts - 32 * first, pieces) + 32 * np.arange(int(pieces.sum()))
+    size = np.minimum(32, np.repeat(starts + lengths, pieces) - begin)
+    out, order, row = np.empty((len(begin), table.shape[1]), table.dtype), np.argsort(-size, kind="stable"), np.empty((256, table.shape[1]), table.dtype)
+    for k in range(0, len(order), 256):
+        some = order[k : k + 256]
+        total = np.take(table, at[begin[some]], axis=0)
+        for place in range(1, int(size[some[0]])):
+            n = int((size[some] > place).sum())
+            np.take(table, at[begin[some[:n]] + place], axis=0, out=row[:n], mode="clip")
+            total[:n] += row[:n]
+        out[some] = total
+    return out if len(out) == len(starts) else segment_sums(out, np.arange(len(out)), first)
+
+
 def document_frequencies(store: DataFrame) -> tuple[np.ndarray, int]:
     """(number of passages each hashed term is in, number of passages), over the whole corpus."""
 
@@ -75,8 +97,10 @@ def document_frequencies(store: DataFrame) -> tuple[np.ndarray, int]:
             for w in words:
                 passage.append(seen + np.arange(len(w)) // PASSAGE)
                 seen += -(-len(w) // PASSAGE)
-            key = np.unique(np.concatenate(passage).astype(np.int64) << TERM_BITS | (np.concatenate(words) >> (32 - TERM_BITS)))
-            n += np.bincount(key & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
+            kind = np.uint32 if seen < 1 << (32 - TERM_BITS) else np.int64
+            key = np.concatenate(passage).astype(kind) << TERM_BITS | (np.concatenate(words) >> (32 - TERM_BITS)).astype(kind)
+            key.sort()
+            n += np.bincount(key[np.flatnonzero(np.diff(key, prepend=~key[:1]))] & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
             total += seen
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], ["term", "n"])
@@ -166,10 +190,10 @@ def _sketch(store: DataFrame, items: Items) -> np.ndarray:
             if not len(at):
                 continue
             starts = np.flatnonzero(np.diff(tile, prepend=-1))
-            y, place = np.add.reduceat(probes[at], starts, axis=0), np.cumsum(np.diff(tile, prepend=tile[0]) > 0)
+            y, place = segment_sums(probes, at, starts), np.cumsum(np.diff(tile, prepend=tile[0]) > 0)
             order = np.argsort(at, kind="stable")
             by = np.flatnonzero(np.diff(at[order], prepend=-1))
-            total[at[order][by]] += np.add.reduceat(y[place[order]], by, axis=0) * it.weight[at[order][by]][:, None]
+            total[at[order][by]] += segment_sums(y, place[order], by) * it.weight[at[order][by]][:, None]
         part, blocks = TaskContext.get().partitionId(), range(0, len(total), rows)
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([total[k : k + rows].tobytes() for k in blocks], pa.binary())], ["part", "block", "data"])
 
@@ -200,10 +224,10 @@ def _windows(words: list[np.ndarray], items: Items) -> Iterator[tuple[int, int,
         good = np.flatnonzero((share > 0) & (share >= SHARE * (total[end] - total[begin])))
         for k in range(0, len(good), 4096):
             b = good[k : k + 4096]
-            vec = np.empty((len(b), items.basis.shape[1]), np.float32)
-            for n, (s, e) in enumerate(zip((b * BLOCK).tolist(), (end[b] * BLOCK).tolist())):
-                a = at[s:e]
-                vec[n] = items.basis[a[a >= 0]].sum(axis=0)
+            held = (b * BLOCK)[:, None] + np.arange(span * BLOCK)
+            held = np.where(held < (end[b] * BLOCK)[:, None], at[np.minimum(held, len(at) - 1)], -1)
+            # a good window has a benchmark term
+            vec = segment_sums(items.basis, held[held >= 0], np.concatenate([[0], np.cumsum((held >= 0).sum(axis=1))[:-1]]))
             vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
             cosine = vec @ items.latent.T
             for n, i in zip(*np.nonzero(cosine >= COSINE)):
