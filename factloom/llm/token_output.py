@@ -29,6 +29,28 @@ SCHEMA = "shard int, seq int, start long, n_ids long, doc_ids array<long>, doc_l
 HEAD = 6  # minimum: 4 bytes, width: 1, number of exceptions: 1
 
 
+def _pack_narrow(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below 2**w, w at most 16, packed from the highest bit on: eight of them are w bytes of two 64-bit words."""
+    v = values.reshape(-1, 2, 4).astype(np.uint64)
+    four = v[:, :, 0] << 3 * w | v[:, :, 1] << 2 * w | v[:, :, 2] << w | v[:, :, 3]
+    two = np.empty((len(v), 2), ">u8")
+    two[:, 0] = four[:, 0] << 64 - 4 * w | (four[:, 1] >> 8 * w - 64 if w > 8 else four[:, 1] << 64 - 8 * w)
+    two[:, 1] = four[:, 1] << 128 - 8 * w
+    return two.view(np.uint8)[:, :w].reshape(len(values), -1)
+
+
+def _unpack_narrow(packed: np.ndarray, w: int) -> np.ndarray:
+    """The inverse of :func:`_pack_narrow`."""
+    raw = np.zeros((len(packed) * BLOCK // 8, 16), np.uint8)
+    raw[:, :w] = packed.reshape(-1, w)
+    two = raw.view(">u8").astype(np.uint64)
+    four = np.empty_like(two)
+    four[:, 0] = two[:, 0] >> 64 - 4 * w
+    four[:, 1] = two[:, 1] >> 128 - 8 * w | two[:, 0] << 8 * w - 64 if w > 8 else two[:, 0] >> 64 - 8 * w
+    mask = np.uint64((1 << w) - 1)
+    return np.stack([four >> k * w & mask for k in (3, 2, 1, 0)], axis=2).reshape(len(packed), BLOCK).astype(np.uint32)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Ids (unsigned 32-bit) to (where each block starts, bytes)."""
     if not len(ids):
@@ -42,7 +64,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
     most = np.partition(diff, rank, axis=1)[:, rank]
     width = np.frexp(most.astype(np.float64))[1].astype(np.int64)
-    over = (diff.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
+    over = (diff >> width[:, None].astype(np.uint32)) > 0
     n_over = over.sum(axis=1)
     sizes = HEAD + width * (BLOCK // 8) + 5 * n_over
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -52,9 +74,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     out[starts + 4], out[starts + 5] = width, n_over
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        be = diff[rows].astype(">u4").view(np.uint8).reshape(len(rows), BLOCK, 4)[:, :, 4 - (w + 7) // 8 :]
-        bits = np.unpackbits(be, axis=2)[:, :, -w:]
-        out[starts[rows][:, None] + HEAD + np.arange(w * BLOCK // 8)] = np.packbits(bits.reshape(len(rows), -1), axis=1)
+        if w <= 16:
+            packed = _pack_narrow(diff[rows] & np.uint32((1 << w) - 1), w)
+        else:
+            be = diff[rows].astype(">u4").view(np.uint8).reshape(len(rows), BLOCK, 4)[:, :, 4 - (w + 7) // 8 :]
+            packed = np.packbits(np.unpackbits(be, axis=2)[:, :, -w:].reshape(len(rows), -1), axis=1)
+        out[starts[rows][:, None] + HEAD + np.arange(w * BLOCK // 8)] = packed
     r, pos = np.nonzero(over)
     nth = np.arange(len(r)) - np.concatenate([[0], np.cumsum(n_over)])[r]
     where = starts[r] + HEAD + width[r] * (BLOCK // 8) + 5 * nth
@@ -73,10 +98,13 @@ def unpack(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
     diff = np.zeros((len(starts), BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(data[starts[rows][:, None] + HEAD + np.arange(w * BLOCK // 8)], axis=1).reshape(len(rows), BLOCK, w)
-        wide = np.zeros((len(rows), BLOCK, 16 if w <= 16 else 32), np.uint8)
-        wide[:, :, -w:] = bits
-        diff[rows] = np.packbits(wide, axis=2).view(">u2" if w <= 16 else ">u4")[:, :, 0]
+        packed = data[starts[rows][:, None] + HEAD + np.arange(w * BLOCK // 8)]
+        if w <= 16:
+            diff[rows] = _unpack_narrow(packed, w)
+            continue
+        wide = np.zeros((len(rows), BLOCK, 32), np.uint8)
+        wide[:, :, -w:] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
+        diff[rows] = np.packbits(wide, axis=2).view(">u4")[:, :, 0]
     r = np.repeat(np.arange(len(starts)), n_over)
     nth = np.arange(len(r)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
     where = starts[r] + HEAD + width[r] * (BLOCK // 8) + 5 * nth
