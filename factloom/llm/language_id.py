@@ -22,8 +22,8 @@ from .textnp import ngram_ids
 SIZES, BITS, DIM = (2, 3, 4), 15, 12
 #: Bound of the training sample: so many labelled rows of each language, those with the smallest digests of their ids.
 PER_LANGUAGE = 500
-#: Rows asked for beyond the sample, in standard deviations, so that a bound on the digests hardly ever keeps too few.
-SPARE = 6
+#: Rows asked for beyond the sample, in standard deviations, so that a bound on the digests seldom keeps fewer.
+SPARE = 2
 #: A share of the calibration rows this large may be rejected.
 MAY_REJECT = 0.001
 #: No threshold is above this score: a text whose language is the likelier one of two is kept.
@@ -78,7 +78,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for ids in ngram_ids(_clean(part), SIZES, BITS):
                         n += np.bincount(ids, minlength=1 << BITS)
                     k = np.flatnonzero(n)
-                    out.append((lang, h, k.astype("<u4").tobytes(), n[k].astype("<u4").tobytes()))
+                    out.append((lang, h, k.astype("<u2").tobytes(), n[k].astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "ids", "counts"])
 
 
@@ -90,8 +90,7 @@ def train(rows: list[tuple[str, bytes, bytes]], updates: int = 12_000, rate: flo
     rng = np.random.default_rng(seed)
     data = []
     for lang, ids, counts in rows:
-        n = np.frombuffer(counts, "<u4").astype(np.float64)
-        data.append((labels.index(lang), np.frombuffer(ids, "<u4").astype(np.int64), n / n.sum()))
+        data.append((labels.index(lang), np.frombuffer(ids, "<u2"), np.frombuffer(counts, "<u4")))  # the sample is held once
     held = [d for i, d in enumerate(data) if i // 2 % 5 == 4] or data
     used = [d for i, d in enumerate(data) if i // 2 % 5 != 4] or data
     emb = rng.normal(0, 0.1, (1 << BITS, DIM))
@@ -100,7 +99,8 @@ def train(rows: list[tuple[str, bytes, bytes]], updates: int = 12_000, rate: flo
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(used)):
-            y, ids, share = used[i]
+            y, ids, counts = used[i]
+            share = counts / counts.sum()
             h = share @ emb[ids]
             g = _softmax((h @ w + bias)[None])[0]
             g[y] -= 1
@@ -110,7 +110,7 @@ def train(rows: list[tuple[str, bytes, bytes]], updates: int = 12_000, rate: flo
             # the step is scaled so that the mean embedding itself moves by the rate, however long the text
             emb[ids] -= (lr / (share @ share)) * share[:, None] * back[None]
     table = emb @ w
-    logits = np.array([share @ table[ids] + bias for _, ids, share in held])
+    logits = np.array([counts / counts.sum() @ table[ids] + bias for _, ids, counts in held])
     gold = np.array([y for y, _, _ in held])
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(gold)), gold], 1e-12)).mean() for t in grid]
@@ -138,10 +138,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     chosen = rows.join(F.broadcast(limit), "lang").where(F.col("h") <= F.col("upto"))  # one row per language
     chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat an id are one row of the sample
     got = chosen.select("lang", "h", "text").mapInArrow(_features, "lang string, h long, ids binary, counts binary").collect()
+    got.sort()
     sample = []
-    for _, rows_of in groupby(sorted((r.lang, r.h, bytes(r.ids), bytes(r.counts)) for r in got), key=lambda r: r[0]):
+    for _, rows_of in groupby(got, key=lambda r: r[0]):
         for _, (_, of_text) in zip(range(per_language), groupby(rows_of, key=lambda r: r[1])):
-            sample.extend((lang, ids, counts) for lang, _, ids, counts in of_text)
+            sample.extend((r.lang, r.ids, r.counts) for r in of_text)
+    del got
     return train(sorted(sample))
 
 
