@@ -1,9 +1,9 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A window network predicts a word from the two words on either side: a hidden layer sums one learned row per position and
-word, and the output is factored into a class and a place in the class. Training masks a share of the positions of every
-document: each partition trains from the common parameters, and the results are averaged by number of targets, for some
-rounds. Scoring then predicts every word of every text from both sides and sums the log-probabilities.
+word, and the output is factored into a class and a place in the class. Each round of training masks its own part of the
+positions of every document, and the rounds together predict every position once: each partition trains from the common
+parameters, and the results are averaged by number of targets. Scoring then predicts every word of every text from both sides and sums the log-probabilities.
 
 Frequent words of the whole corpus have ids of their own, others share hashed buckets; the score is that of the ids.
 """
@@ -22,7 +22,7 @@ from .wordstore import chunks, hashed_words, sum_blocks
 
 FREQUENT, BUCKETS, CLASS = 512, 512, 32
 V, HIDDEN, SIDE = FREQUENT + BUCKETS, 32, 2
-MASKED, BATCH, RATE = 0.15, 2048, 0.1
+BATCH, RATE = 2048, 0.1
 OFFSETS = (-2, -1, 1, 2)
 EDGE = V  # beyond an end of the text
 SHAPES = {"rows": (len(OFFSETS) * (V + 1), HIDDEN), "bias": (1, HIDDEN), "wc": (HIDDEN, V // CLASS), "bc": (1, V // CLASS), "ws": (HIDDEN, CLASS), "bs": (V // CLASS, CLASS)}
@@ -156,7 +156,7 @@ def train(store: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Net:
             n = 0
             for _, words in chunks(batches):
                 ids, where, _ = _padded(words, vocab)
-                at = where[_masked(ids, where, r)]
+                at = where[_masked(ids, where, r, rounds)]
                 held.append((_context(ids, at), ids[at]))
                 n += len(at)
                 if n >= BATCH:
@@ -175,10 +175,10 @@ def train(store: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Net:
     return net
 
 
-def _masked(ids: np.ndarray, where: np.ndarray, r: int) -> np.ndarray:
-    """The positions to predict in a round, from a digest of place and neighbourhood: the same on every rerun."""
-    h = (where * 0x9E3779B1 + ids[where] * 0x85EBCA6B + ids[where - 1] * 0xC2B2AE35 + r * 0x27D4EB2F) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) % 1000 < 1000 * MASKED
+def _masked(ids: np.ndarray, where: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """The positions to predict in a round, from a digest of place and neighbourhood: each position is in one round."""
+    h = (where * 0x9E3779B1 + ids[where] * 0x85EBCA6B + ids[where - 1] * 0xC2B2AE35) & 0xFFFFFFFF
+    return (h ^ (h >> 15)) % rounds == r
 
 
 def _steps(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]], last: bool) -> int:

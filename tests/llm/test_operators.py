@@ -394,6 +394,14 @@ def test_lm_odd_rows(spark):
     assert lm_scoring.score(none(spark)).count() == 0
 
 
+def test_lm_rounds_train_on_every_position_once():
+    rng = np.random.default_rng(12)
+    ids, where = rng.integers(0, 1000, 5000), np.arange(2, 4998)
+    for rounds in (1, 2, 3):
+        times = sum(lm_scoring._masked(ids, where, r, rounds).astype(int) for r in range(rounds))
+        assert (times == 1).all()
+
+
 # -- 10 -------------------------------------------------------------------------------------------------------------------
 
 
