@@ -1,15 +1,19 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A window network predicts a word from the two words on either side: a hidden layer sums one learned row per position and
-word, and the output is factored into a class and a place in the class. Each round of training masks its own part of the
+word, and the output is factored into three steps of ``side`` choices each, which start at the corpus' own frequencies. Each round of training masks its own part of the
 positions of every document, and the rounds together predict every position once: each partition trains from the common
 parameters, and the results are averaged by number of targets. Scoring then predicts every word of every text from both sides and sums the log-probabilities.
 
-Frequent words of the whole corpus have ids of their own, others share hashed buckets; the score is that of the ids.
+Every word that the corpus has LEAST times has an id of its own, so the number of ids grows with the corpus. Rarer words
+share hashed buckets, and have a probability of their own in the bucket: their share of its words in the whole corpus. This
+table has all rare words and is never gathered; it is joined to the rare words of the texts. As context, words are told
+apart by coarser ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,35 +22,63 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .wordstore import chunks, hashed_words, sum_blocks
 
-FREQUENT, BUCKETS, CLASS = 512, 512, 32
-V, HIDDEN, SIDE = FREQUENT + BUCKETS, 32, 2
+#: A word that occurs so often has an id of its own.
+LEAST = 500
+#: Buckets of rare words; words told apart, and buckets, where a word is context.
+BUCKETS, FREQUENT, INPUTS = 512, 512, 1024
+#: Choices in a step, and ids, of a net that isn't made for a corpus.
+CHOICES = 32
+V, HIDDEN, SIDE = CHOICES**3, 32, 2
 BATCH, RATE = 2048, 0.1
 OFFSETS = (-2, -1, 1, 2)
-EDGE = V  # beyond an end of the text
-SHAPES = {"rows": (len(OFFSETS) * (V + 1), HIDDEN), "bias": (1, HIDDEN), "wc": (HIDDEN, V // CLASS), "bc": (1, V // CLASS), "ws": (HIDDEN, CLASS), "bs": (V // CLASS, CLASS)}
+EDGE = INPUTS  # beyond an end of the text
+
+
+def shapes(side: int) -> dict[str, tuple[int, int]]:
+    return {"rows": (len(OFFSETS) * (INPUTS + 1), HIDDEN), "bias": (1, HIDDEN), "w1": (HIDDEN, side), "b1": (1, side), "w2": (HIDDEN, side), "b2": (side, side), "w3": (HIDDEN, side), "b3": (side * side, side)}
 
 
 class Net:
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 5, side: int = CHOICES):
+        self.side, sizes = side, shapes(side)
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([(rng.normal(0, 0.1, s) if k in ("rows", "wc", "ws") else np.zeros(s)).ravel() for k, s in SHAPES.items()])
+            flat = np.concatenate([(rng.normal(0, 0.1, s) if k in ("rows", "w1", "w2", "w3") else np.zeros(s)).ravel() for k, s in sizes.items()])
         self.flat, at = flat.astype(np.float32), 0
-        for k, s in SHAPES.items():
+        for k, s in sizes.items():
             setattr(self, k, self.flat[at : at + s[0] * s[1]].reshape(s))
             at += s[0] * s[1]
 
+    def start(self, counts: np.ndarray) -> None:
+        """Biases at the frequencies of the ids."""
+        n = self.side
+        mass = np.full(n**3, 1e-3)
+        mass[: len(counts)] += counts
+        for k, m in (("b3", mass.reshape(-1, n)), ("b2", mass.reshape(n, n, n).sum(axis=2)), ("b1", mass.reshape(n, -1).sum(axis=1)[None])):
+            getattr(self, k)[:] = np.log(m / m.sum(axis=1, keepdims=True))
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        a = self.rows[context[0]] + self.bias
-        for c in context[1:]:
-            a += self.rows[c]
+        a = self.bias + self.rows[_row(context[0], 0)]
+        for k in range(1, len(context)):
+            a += self.rows[_row(context[k], k)]
         return np.tanh(a, out=a)
 
+    def steps(self, target: np.ndarray) -> list[tuple[str, str, np.ndarray | slice, np.ndarray]]:
+        """(weights, biases, row of the biases, choice) of each step to the targets."""
+        two, n = target // self.side, self.side
+        return [("w1", "b1", slice(None), two // n), ("w2", "b2", two // n, two % n), ("w3", "b3", two, target % n)]
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, c, s, n = self.hidden(context), target // CLASS, target % CLASS, np.arange(len(target))
-        return _log_softmax(h @ self.wc + self.bc)[n, c] + _log_softmax(h @ self.ws + self.bs[c])[n, s]
+        h, n = self.hidden(context), np.arange(len(target))
+        return sum(_log_softmax(h @ getattr(self, w) + getattr(self, b)[row])[n, choice] for w, b, row, choice in self.steps(target))
+
+
+def _row(context: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the net for the words at one place of the window."""
+    return context - k * (V - INPUTS)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -58,7 +90,7 @@ class Trainer:
     """Adagrad steps on a copy of a net."""
 
     def __init__(self, net: Net):
-        self.net, self.past, self.seen = Net(net.flat.copy()), Net(np.full(len(net.flat), 1e-3)), 0
+        self.net, self.past, self.seen = Net(net.flat.copy(), side=net.side), Net(np.full(len(net.flat), 1e-3), side=net.side), 0
 
     def _step(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
         past = getattr(self.past, name)
@@ -67,20 +99,23 @@ class Trainer:
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, m = self.net, len(target)
-        h, c, s, n = net.hidden(context), target // CLASS, target % CLASS, np.arange(m)
-        gc, gs = np.exp(_log_softmax(h @ net.wc + net.bc)), np.exp(_log_softmax(h @ net.ws + net.bs[c]))
-        gc[n, c] -= 1
-        gs[n, s] -= 1
-        back = (gc @ net.wc.T + gs @ net.ws.T) * (1 - h * h) / m
-        gc /= m
-        gs /= m
-        self._step("wc", h.T @ gc)
-        self._step("bc", gc.sum(axis=0, keepdims=True))
-        self._step("ws", h.T @ gs)
-        self._step("bs", *_by_row(c, gs)[::-1])
+        h, n, back, grads = net.hidden(context), np.arange(m), 0, []
+        for w, b, row, choice in net.steps(target):
+            g = np.exp(_log_softmax(h @ getattr(net, w) + getattr(net, b)[row]))
+            g[n, choice] -= 1
+            g /= m
+            back = back + g @ getattr(net, w).T
+            grads.append((w, b, row, g))
+        for w, b, row, g in grads:
+            self._step(w, h.T @ g)
+            if isinstance(row, slice):
+                self._step(b, g.sum(axis=0, keepdims=True))
+            else:
+                self._step(b, *_by_row(row, g)[::-1])
+        back *= 1 - h * h
         self._step("bias", back.sum(axis=0, keepdims=True))
-        for k in context:
-            at, g = _by_row(k, back)
+        for k, c in enumerate(context):
+            at, g = _by_row(_row(c, k), back)
             self._step("rows", g, at)
         self.seen += m
 
@@ -93,36 +128,51 @@ def _by_row(keys: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Vocabulary:
-    """Ids of word hashes: the rank of a frequent word, or a bucket."""
+    """Ids of word hashes: the rank of a frequent word, or a bucket behind the ranks."""
 
     def __init__(self, frequent: np.ndarray):
         self.frequent = frequent.astype(np.uint32)
-        self.slot = np.full(1 << 20, -1, np.int16)
-        self.slot[(self.frequent >> 12)[::-1]] = np.arange(len(frequent), dtype=np.int16)[::-1]
+        self.order = np.argsort(self.frequent).astype(np.int32)
+        self.sorted = self.frequent[self.order]
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[(self.frequent >> 12)[::-1]] = np.arange(len(frequent), dtype=np.int32)[::-1]
+        self.side = max(2, math.ceil(round((len(frequent) + BUCKETS) ** (1 / 3), 6)))
 
     def ids(self, words: np.ndarray) -> np.ndarray:
-        at = self.slot[words >> 12]
-        known = at >= 0
-        known[known] = self.frequent[at[known]] == words[known]
-        return np.where(known, at, FREQUENT + (words % BUCKETS).astype(np.int64)).astype(np.int64)
-
-
-def _padded(words: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of some texts with edges before, between and after them; where the words are; the length of each text."""
+        at = self.slot[words >> 12].astype(np.int64)
+        met = np.flatnonzero(at >= 0)
+        miss = met[self.frequent[at[met]] != words[met]]
+        if len(miss):  # two words in one slot: the later one is looked up
+            p = np.minimum(np.searchsorted(self.sorted, words[miss]), len(self.sorted) - 1)
+            at[miss] = np.where(self.sorted[p] == words[miss], self.order[p], -1)
+        rare = at < 0
+        at[rare] = len(self.frequent) + words[rare] % BUCKETS
+        return at
+
+    def inputs(self, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Coarser ids of words as context."""
+        few = min(FREQUENT, len(self.frequent))
+        return np.where(ids < few, ids, FREQUENT + (words % (INPUTS - FREQUENT)).astype(np.int64))
+
+
+def _padded(words: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids as context of some texts with edges before, between and after them; where the words are; their ids; the length of each text."""
     lengths = np.array([len(w) for w in words], np.int64)
-    ids = np.full(int(lengths.sum()) + SIDE * (len(words) + 1), EDGE, np.int64)
+    padded = np.full(int(lengths.sum()) + SIDE * (len(words) + 1), EDGE, np.int64)
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]]) + SIDE * np.arange(1, len(words) + 1)
     where = np.repeat(start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-    ids[where] = vocabulary.ids(np.concatenate(words)) if len(where) else 0
-    return ids, where, lengths
+    flat = np.concatenate(words)
+    ids = vocabulary.ids(flat)
+    padded[where] = vocabulary.inputs(ids, flat)
+    return padded, where, ids, lengths
 
 
 def _context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + o] + k * (V + 1) for k, o in enumerate(OFFSETS)])
 
 
-def frequent_words(store: DataFrame) -> np.ndarray:
-    """The most frequent word hashes of the whole corpus, counted in every partition and then by word; at most FREQUENT."""
+def word_counts(store: DataFrame) -> DataFrame:
+    """(word, n) for every word hash of the whole corpus, counted in every partition and then by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -135,29 +185,52 @@ def frequent_words(store: DataFrame) -> np.ndarray:
                 words, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int32)), pa.array(n)], ["word", "n"])
 
-    counts = store.mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
-    return np.array([r.word for r in top], np.int32).view(np.uint32)
+    return materialize(store.mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+
+
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, counts) of the words with an id of their own, by count, and behind the counts those of the buckets."""
+    often = counts.where(F.col("n") >= LEAST).toArrow()
+    words, n = np.asarray(often["word"]).astype(np.int32).view(np.uint32), np.asarray(often["n"]).astype(np.int64)
+    order = np.lexsort((words, -n))
+    total = np.zeros(BUCKETS, np.int64)
+    for r in rare_words(counts).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a fixed number of buckets
+        total[r.bucket] = r.n
+    return words[order], np.concatenate([n[order], total])
+
+
+def rare_words(counts: DataFrame) -> DataFrame:
+    """(word, n, bucket) of the words without an id of their own."""
+    return counts.where(F.col("n") < LEAST).withColumn("bucket", F.col("word").bitwiseAND(BUCKETS - 1))
+
+
+def shares(counts: DataFrame) -> DataFrame:
+    """(word, own): the log-probability of each rare word in its bucket."""
+    rare = rare_words(counts)
+    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rare.join(F.broadcast(total), "bucket").select("word", (F.log(F.col("n").cast("double")) - F.log(F.col("total").cast("double"))).alias("own"))
 
 
 BLOCK = 1 << 14
 
 
-def train(store: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Net:
+def train(store: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, rounds: int = 2) -> Net:
     """Parameters after ``rounds`` of training in every partition, over all documents, and averaging."""
-    spark, net = store.sparkSession, Net()
+    spark, net = store.sparkSession, Net(side=vocabulary.side)
+    net.start(counts)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((net.flat, vocabulary))  # of fixed size
+        shared = spark.sparkContext.broadcast((net.flat, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             flat, vocab = shared.value
-            part, trainer = TaskContext.get().partitionId(), Trainer(Net(flat.copy()))
+            part, trainer = TaskContext.get().partitionId(), Trainer(Net(flat.copy(), side=vocab.side))
             held: list[tuple[np.ndarray, np.ndarray]] = []
             n = 0
             for _, words in chunks(batches):
-                ids, where, _ = _padded(words, vocab)
-                at = where[_masked(ids, where, r, rounds)]
-                held.append((_context(ids, at), ids[at]))
+                padded, where, ids, _ = _padded(words, vocab)
+                some = _masked(padded, where, r, rounds)
+                at = where[some]
+                held.append((_context(padded, at), ids[some]))
                 n += len(at)
                 if n >= BATCH:
                     n = _steps(trainer, held, False)
@@ -171,7 +244,7 @@ def train(store: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Net:
         if not got:
             break
         data = np.concatenate([np.frombuffer(b, "<f8") for _, b in got])
-        net = Net(data[:-1] / data[-1])
+        net = Net(data[:-1] / data[-1], side=vocabulary.side)
     return net
 
 
@@ -200,21 +273,32 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     scores. Only the two columns are read; an empty table gives no rows. The whole corpus is counted and trained on.
     """
     store = hashed_words(df, id_col, text_col)
-    vocabulary = Vocabulary(frequent_words(store))
-    net = train(store, vocabulary, rounds)
+    counts = word_counts(store)
+    frequent, n = frequent_words(counts)
+    vocabulary = Vocabulary(frequent)
+    net = train(store, vocabulary, n, rounds)
     shared = df.sparkSession.sparkContext.broadcast((net.flat, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, vocab = shared.value
-        net = Net(flat)
+        net = Net(flat, side=vocab.side)
         for doc_ids, words in chunks(batches):
-            ids, where, lengths = _padded(words, vocab)
+            padded, where, ids, lengths = _padded(words, vocab)
             logp = np.zeros(len(where))
             for at in range(0, len(where), 16384):
-                w = where[at : at + 16384]
-                logp[at : at + 16384] = net.log_probability(_context(ids, w), ids[w])
-            total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=logp, minlength=len(lengths)).astype(np.float64)
-            mean = pa.array(total / np.maximum(lengths, 1), mask=lengths == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(total), mean], ["id", "n_words", "log_likelihood", "mean"])
-
-    return store.mapInArrow(run, "id long, n_words long, log_likelihood double, mean double")
+                some = slice(at, at + 16384)
+                logp[some] = net.log_probability(_context(padded, where[some]), ids[some])
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            total = np.bincount(text, weights=logp, minlength=len(lengths)).astype(np.float64)
+            rare = ids >= len(vocab.frequent)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(lengths)))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)[rare].view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(total), rest], ["id", "n_words", "total", "rare"])
+
+    scored = store.mapInArrow(run, "id long, n_words long, total double, rare array<int>")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # no rare word is a hot key: it occurs less than LEAST times
+    own = scored.select("row", F.explode("rare").alias("word")).join(shares(counts), "word").groupBy("row").agg(F.sum("own").alias("own"))
+    total = F.col("total") + F.coalesce("own", F.lit(0.0))
+    out = scored.select("row", "id", "n_words", "total").join(own, "row", "left")
+    return out.select("id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean"))

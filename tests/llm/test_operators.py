@@ -394,6 +394,24 @@ def test_lm_odd_rows(spark):
     assert lm_scoring.score(none(spark)).count() == 0
 
 
+def test_lm_tells_rare_words_of_a_bucket_apart(spark):
+    by = {}
+    for k, h in enumerate(textnp.word_hashes([b"%s" % f"w{k}".encode() for k in range(3000)])):
+        by.setdefault(int(h[0]) % lm_scoring.BUCKETS, []).append(f"w{k}")
+    often, once = next(b for b in by.values() if len(b) > 1)[:2]
+    rows = [(1, f"the {often} sat"), (2, f"the {once} sat")] + [(10 + k, f"the {often} sat") for k in range(30)]
+    got = {r.id: r.log_likelihood for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
+    assert math.isclose(got[1] - got[2], math.log(31), rel_tol=1e-6) and got[10] == got[1]
+
+
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    texts = [(k, " ".join(f"v{w}" for w in range(700))) for k in range(lm_scoring.LEAST)]
+    counts = lm_scoring.word_counts(lm_scoring.hashed_words(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text"))
+    words, n = lm_scoring.frequent_words(counts)
+    vocabulary = lm_scoring.Vocabulary(words)
+    assert len(set(vocabulary.ids(words).tolist())) == 700 and vocabulary.side**3 >= 700 + lm_scoring.BUCKETS and n.sum() == 700 * lm_scoring.LEAST
+
+
 def test_lm_rounds_train_on_every_position_once():
     rng = np.random.default_rng(12)
     ids, where = rng.integers(0, 1000, 5000), np.arange(2, 4998)
