@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -43,15 +42,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp) for every row; fp holds the 64 bits as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, digest: bool = False) -> DataFrame:
+    """(id, fp), or (id, fp, digest of the text), for every row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    also = [F.xxhash64(F.col(f"`{text_col}`")).alias("digest")] if digest else []
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *also)
+    return rows.mapInArrow(run, "id long, fp long, digest long" if digest else "id long, fp long")
 
 
 def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +133,13 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(rows.mapInArrow(_bucket_forests, "u long, v long").distinct())
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes``, one row per fingerprint fp, with the smallest fingerprint of their component as root."""
+    nodes = materialize(nodes, "nodes")
+    found = connected_components(links(nodes))
+    return nodes.join(found, nodes.fp == found.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row (id, fp, component) per input row; component is the smallest id reachable over links.
 
@@ -140,23 +148,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns are not read, so their names can't clash. An empty table gives no rows.
     """
     docs = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    found = connected_components(links(nodes))
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(docs.groupBy("fp").agg(F.min("id").alias("least")))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("fp", "component")
     return docs.join(named, "fp").select("id", "fp", "component")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``df`` with one row of each component: the one that has the smallest id.
+    """``df`` with one row of each component: the one that has the smallest id, or no id where none has one.
 
-    Of rows that repeat this id the one with the smallest text digest stays; a null id stays only where its component has
-    no other. The texts are shuffled once, for the semi-join and the window alike.
+    Components are told by their root, so rows without an id, and different texts under one id, are judged by their own
+    components. Of a component's rows with the smallest id, the one with the smallest text digest stays, once if it is
+    repeated. Repeats are dropped before and after the one shuffle of the texts, so that none of them is a hot key.
     """
-    none = F.lit(-(1 << 63)).cast("long")
-    found = near_duplicates(df, id_col, text_col, shingle).where("id <=> component")
-    found = found.select(F.coalesce("id", none).alias("__k")).distinct()
-    order = W.partitionBy("__k").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    kept = df.withColumn("__k", F.coalesce(F.col(f"`{id_col}`").cast("long"), none)).join(found, "__k", "left_semi")
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    docs = materialize(fingerprints(df, id_col, text_col, shingle, True), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), F.coalesce("id", F.lit(0).cast("long")).alias("k"), F.col("digest").alias("d")))
+    named = _rooted(docs.groupBy("fp").agg(first.alias("first")))
+    found = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.z").alias("__z"), F.col("first.k").alias("__k"), F.col("first.d").alias("__d"))
+    key = F.col(f"`{id_col}`").cast("long")
+    keyed = df.withColumns({"__z": key.isNull(), "__k": F.coalesce(key, F.lit(0).cast("long")), "__d": F.xxhash64(F.col(f"`{text_col}`"))})
+    kept = keyed.dropDuplicates(["__z", "__k", "__d"]).join(found, ["__z", "__k", "__d"], "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -316,6 +316,13 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(none(spark)).count() == 0 and simhash.keep_one(none(spark)).count() == 0
 
 
+def test_rows_without_ids_and_repeated_ids_are_kept_by_component(spark):
+    texts = [f"{w} " * 9 + f"is text number {k} of those that {w} tells apart" for k, w in enumerate(["alpha", "beta", "gamma", "delta", "epsilon"])]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 2), (None, texts[2], 3), (7, texts[2], 4), (8, texts[3], 5), (8, texts[4], 6), (8, texts[4], 6), (9, texts[4], 7)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(5))
+    assert kept.columns == ["doc_id", "text", "fp"] and sorted(r.fp for r in kept.collect()) == [1, 2, 4, 5, 6]
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 5), (None, 3), (1000, 999)], "u long, v long")
