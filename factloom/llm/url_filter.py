@@ -44,7 +44,7 @@ def tokens_of(host: Column, path: Column, url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(mark("h:", F.split(host, r"\.")), mark("p:", F.split(path, "[/.]")), mark("q:", query))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.7, max_tokens: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.7) -> DataFrame:
     """``labelled`` (tokens, verdict) to rules: antecedent array<string>, verdict, confidence, support, first (rarest token).
 
     Mining is distributed; the support, a share of the labelled urls, bounds how many items and item sets are frequent
@@ -54,7 +54,7 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     if not baskets.head(1):
         return baskets.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double, first string")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("="))))
+    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("="))))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "support")
     rare = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = materialize(rules, "rules")

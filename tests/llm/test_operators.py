@@ -252,6 +252,14 @@ def test_url_rules_are_mined(spark):
     assert all(r.confidence >= 0.7 and r.first in r.antecedent for r in rules)
 
 
+def test_url_rules_on_many_tokens(spark):
+    # all four tokens are needed: any three of them are also in urls of the other verdict
+    four = ["p:a", "p:b", "p:c", "p:d"]
+    rows = [(four, "block")] * 20 + [([x for x in four if x != t], "allow") for t in four for _ in range(40)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    assert [(r.verdict, r.confidence) for r in rules if r.antecedent == four] == [("block", 1.0)]
+
+
 # -- 7 --------------------------------------------------------------------------------------------------------------------
 
 
