@@ -38,8 +38,8 @@ def list_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens_of(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens: host labels (h:), path parts (p:, numbers as p:#), query keys (q:)."""
-    mark = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind), F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(F.substring(x, 1, 64))))
+    """Distinct tokens: host labels (h:), path parts (p:, numbers as p:#), query keys (q:); a digest of what is over 64 characters."""
+    mark = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind), F.when(x.rlike("^[0-9]+$"), F.lit("#")).when(F.length(x) > 64, F.concat(F.lit("~"), F.sha2(x, 256))).otherwise(x)))
     query = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"([^&=]+)(=[^&]*)?"), F.lit(1))
     return F.coalesce(F.array_distinct(F.concat(mark("h:", F.split(host, r"\.")), mark("p:", F.split(path, "[/.]")), mark("q:", query))), F.array().cast("array<string>"))
 

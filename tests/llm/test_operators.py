@@ -260,6 +260,12 @@ def test_url_rules_on_many_tokens(spark):
     assert [(r.verdict, r.confidence) for r in rules if r.antecedent == four] == [("block", 1.0)]
 
 
+def test_url_tokens_that_differ_late(spark):
+    urls = [("http://a.org/" + "s" * 64 + x,) for x in ("", "one", "two")]
+    tokens = url_filter.tokens_of(F.lit(""), url_filter.path_of(F.col("url")), F.col("url"))
+    assert len({tuple(r[0]) for r in spark.createDataFrame(urls, "url string").select(tokens).collect()}) == 3
+
+
 # -- 7 --------------------------------------------------------------------------------------------------------------------
 
 
