@@ -5,7 +5,8 @@
    benchmark) and of the benchmark's items, every partition adds its rows' share of A'(A R) for a random R; the driver
    gets this sum, of fixed size, and takes the singular vectors from it (a Nystrom factorisation of A'A).
 3. Windows of 16, 32 and 64 words, every 8 words, whose TF-IDF weight lies in benchmark terms for a sufficient share are
-   projected, and their cosines with all items in the latent space give the candidates.
+   projected, and their cosines with all items in the latent space give the candidates. So does, whatever it weighs, every
+   place in a text where SEED words of an item stand in the item's order, so that a verbatim item is always checked.
 4. Each candidate is checked on the words themselves: the longest common subsequence of item and passage, and for
    paraphrases also that of the item's answer (what follows "Answer:", or its last sentence).
 """
@@ -31,7 +32,7 @@ ITEMS = 256
 #: Words in more than this share of the passages are left out where the corpus is summed up for the latent space; the
 #: items' own rows, and the search, have them at their (low) weight.
 COMMON = 0.1
-SHARE, COSINE = 0.35, 0.6
+SHARE, COSINE, SEED = 0.35, 0.6, 3
 #: An item of fewer words is too short to tell.
 LEAST_WORDS = 5
 #: Common subsequence over item length: enough alone, or together with the answer's.
@@ -114,6 +115,16 @@ def document_frequencies(store: DataFrame) -> tuple[np.ndarray, int]:
     return out, total
 
 
+def runs(words: np.ndarray) -> np.ndarray:
+    """Digests of the runs of SEED words."""
+    n, out = max(0, len(words) - SEED + 1), np.zeros(max(0, len(words) - SEED + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SEED):
+            out = (out ^ words[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
 class Items:
     """A set of benchmark items with their terms and latent vectors."""
 
@@ -122,6 +133,11 @@ class Items:
         self.words = [w.tolist() for w in word_hashes([normal(t) for _, t in rows])]
         self.answers = [w.tolist() for w in word_hashes([normal(answer_of(t or "")) for _, t in rows])]
         self.terms = np.unique(np.array([w for ws in self.words for w in ws], np.uint32))
+        seeds = [(int(h), i, k) for i, ws in enumerate(self.words) if len(ws) >= LEAST_WORDS for k, h in enumerate(runs(np.array(ws, np.uint32)))]
+        seeds.sort()
+        self.seeds, self.seed_item, self.seed_at = np.array([s[0] for s in seeds], np.uint64), np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
+        self.seeded = np.zeros(1 << 20, bool)
+        self.seeded[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
         self.slot = np.full(1 << 22, -1, np.int32)
         self.slot[(self.terms >> 10)[::-1]] = np.arange(len(self.terms), dtype=np.int32)[::-1]
         self.weight, self.rare = self.idf[self.terms >> (32 - TERM_BITS)], ~common[self.terms >> (32 - TERM_BITS)]
@@ -143,6 +159,11 @@ class Items:
         at[known] = k
         return at
 
+    def cosine(self, words: np.ndarray, item: int) -> float:
+        at = self.index(words)
+        vec = self.basis[at[at >= 0]].sum(axis=0)
+        return float(vec @ self.latent[item] / max(np.linalg.norm(vec), 1e-9))
+
     def own_rows(self) -> np.ndarray:
         out = np.zeros((len(self.words), len(self.terms)))
         for i, ws in enumerate(self.words):
@@ -235,6 +256,23 @@ def _windows(words: list[np.ndarray], items: Items) -> Iterator[tuple[int, int,
                 yield t, s, s + int(end[b[n]] - b[n]) * BLOCK, int(i), float(cosine[n, i])
 
 
+def _seeds(words: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """Candidates (text, first word, last word + 1, item) where runs of an item's words are, each place once."""
+    flat = np.concatenate(words)
+    ends = np.cumsum([len(w) for w in words])
+    h = runs(flat)
+    at = np.flatnonzero(items.seeded[(h >> np.uint64(44)).astype(np.int64)])
+    low, high = np.searchsorted(items.seeds, h[at]), np.searchsorted(items.seeds, h[at], "right")
+    text = np.searchsorted(ends, at, "right")
+    ok = (high > low) & (at + SEED <= ends[np.minimum(text, len(ends) - 1)])
+    at, low, n, text = at[ok], low[ok], (high - low)[ok], text[ok]
+    k = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
+    text, item = np.repeat(text, n), items.seed_item[k]
+    begin = np.maximum(np.repeat(at, n) - items.seed_at[k] - np.concatenate([[0], ends[:-1]])[text], 0)
+    for t, i, s in np.unique(np.stack([text, item, begin], axis=1), axis=0).tolist():
+        yield t, s, min(s + len(items.words[i]), len(words[t])), i
+
+
 def check(words: np.ndarray, start: int, end: int, item: int, items: Items) -> tuple[float, float]:
     """Shares of the item and of its answer that the window, widened by the item's length, has in order."""
     n, a = len(items.words[item]), len(items.answers[item])
@@ -249,6 +287,12 @@ def _search(store: DataFrame, items: Items) -> DataFrame:
         it = shared.value
         for ids, words in chunks(batches):
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for t, s, e, i in _seeds(words, it):
+                if best.get((t, i), (0,))[0] == 1.0:
+                    continue
+                share, answer = check(words[t], s, e, i, it)
+                if share >= SURE or share >= PARAPHRASE and answer >= ANSWER:
+                    best[t, i] = max(best.get((t, i), (0.0, 0.0, 0.0)), (share, answer, it.cosine(words[t][s:e], i)))
             for t, s, e, i, cosine in _windows(words, it):
                 if len(it.words[i]) < LEAST_WORDS or best.get((t, i), (0,))[0] == 1.0:
                     continue

@@ -115,6 +115,16 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, texts):
     assert exact <= found and len(found - exact) <= 1
 
 
+def test_decontamination_finds_short_and_often_copied_items(spark):
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (5, 6, 8, 15)]
+    # texts of rare words, and items that are in a third of them
+    rows = [(k, " ".join([*[word() for _ in range(37 + k)], *([items[k % 4][1]] if k % 3 == 0 else []), *[word() for _ in range(41)]])) for k in range(120)]
+    got = {(r.id, r.item_id, r.lcs_share) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, items[k % 4][0], 1.0) for k in range(0, 120, 3)}
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, None, 1), (2, "too short", 1), (3, "the quick brown fox jumps over it", 1), (3, "the cat sat on the mat", 1)], "item_id long, text string, id int")
     got = {(r.id, r.item_id) for r in decontaminate.find(odd(spark), bench).collect()}
