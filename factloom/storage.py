@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder of our own, but only if driver and executors are one process (tests): on a
+    cluster executors would write to disks that nobody else sees, so there it is an error.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = spark.conf.get("spark.factloom.scratch", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="factloom-")
@@ -20,8 +27,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/factloom/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
