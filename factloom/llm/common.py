@@ -1,47 +1,63 @@
-"""Scratch tables, safe column access and small column helpers shared by the operators of this subpackage."""
+"""Scratch tables, memory of Python workers and small column helpers shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, scratch_path
+
+__all__ = ["WORD", "discard", "free_name", "lean", "materialize", "n_words", "row_key", "scratch_path", "settle", "table"]
+
 #: The white space that separates words wherever a contract speaks of words: space and TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    own = spark.conf.get("spark.factloom.scratch", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.factloom.scratch", own)
-    return own
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/factloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote, once nothing that is still to run reads them."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/factloom/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_settled = False
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def lean() -> None:
+    """Called at the start of a task in a Python worker: arrays of 1 MB and more go back to the system when they are freed.
+
+    Without it the allocator raises this limit to 32 MB by itself, and a worker keeps the peak of each stage it served.
+    """
+    global _settled
+    if not _settled:
+        _settled = True
+        try:
+            c = ctypes.CDLL(None)
+            c.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            c.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        except (AttributeError, OSError):  # another C library: it has ways of its own
+            pass
+
+
+def settle() -> None:
+    """Called at the end of a task in a Python worker: what it no longer uses goes back to the system."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def n_words(text: Column) -> Column:

@@ -1,14 +1,19 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A window network predicts a word from the two words on either side: a hidden layer sums one learned row per position and
-word, and the output is factored into three steps of ``side`` choices each, which start at the corpus' own frequencies. Each round of training masks its own part of the
-positions of every document, and the rounds together predict every position once: each partition trains from the common
-parameters, and the results are averaged by number of targets. Scoring then predicts every word of every text from both sides and sums the log-probabilities.
-
-Every word that the corpus has LEAST times has an id of its own, so the number of ids grows with the corpus. Rarer words
-share hashed buckets, and have a probability of their own in the bucket: their share of its words in the whole corpus. This
-table has all rare words and is never gathered; it is joined to the rare words of the texts. As context, words are told
-apart by coarser ids.
+A window network predicts a masked word from the two words on either side: one learned row per word, turned by a matrix per
+position, sums to a hidden layer; the output is a softmax over classes of words and one over the words of the class, with a
+learned row for each class and each word, which starts at the corpus' own frequencies. The corpus is dealt into shards by
+digests of its documents. Each round masks its own part of the positions, and the rounds together predict every position of
+every document: each shard trains from the common parameters, and the results are averaged by number of targets. Scoring then
+predicts every word of every text from both sides and sums the log-probabilities.
+
+The MOST frequent of the words that the corpus has LEAST times have ids of their own, so the number of ids grows with the
+corpus up to a bound that a broadcast can hold. Other words share hashed buckets, and have a probability of their own in the
+bucket: their share of its words in the whole corpus. This table has all such words, is never gathered, and is joined to
+the words of the texts, so every word is scored with its own probability.
+
+Shards, their order and what is masked come from digests of the documents alone, so neither partitions nor the order of rows
+change the parameters.
 """
 
 from __future__ import annotations
@@ -18,115 +23,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .wordstore import chunks, hashed_words, sum_blocks
-
-#: A word that occurs so often has an id of its own.
-LEAST = 500
-#: Buckets of rare words; words told apart, and buckets, where a word is context.
-BUCKETS, FREQUENT, INPUTS = 512, 512, 1024
-#: Choices in a step, and ids, of a net that isn't made for a corpus.
-CHOICES = 32
-V, HIDDEN, SIDE = CHOICES**3, 32, 2
-BATCH, RATE = 2048, 0.1
-OFFSETS = (-2, -1, 1, 2)
-EDGE = INPUTS  # beyond an end of the text
-
+from .common import discard, lean, materialize, settle
+from .textnp import word_hashes
+from .wordstore import chunks, normal, sum_blocks
 
-def shapes(side: int) -> dict[str, tuple[int, int]]:
-    return {"rows": (len(OFFSETS) * (INPUTS + 1), HIDDEN), "bias": (1, HIDDEN), "w1": (HIDDEN, side), "b1": (1, side), "w2": (HIDDEN, side), "b2": (side, side), "w3": (HIDDEN, side), "b3": (side * side, side)}
+#: A word that occurs so often has an id of its own, if it is one of the MOST frequent.
+LEAST, MOST = 500, 1 << 15
+#: Buckets of the other words.
+BUCKETS = 512
+HIDDEN, SIDE = 32, 2
+RATE, FLOOR = 0.1, 1e-9
+OFFSETS = (-2, -1, 1, 2)
+#: The largest and the smallest batch; a shard that is small has smaller batches, for as many steps.
+BATCH, LEAST_BATCH = 8192, 256
+#: A corpus of fewer words is gone through several times, at most EPOCHS times.
+ENOUGH_WORDS, EPOCHS = 2_000_000, 8
+#: Bytes of text of a shard: its share of the root of the corpus, but no more than the second.
+SHARD_BYTES, MOST_SHARD_BYTES = 100_000, 50_000_000
 
 
 class Net:
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 5, side: int = CHOICES):
-        self.side, sizes = side, shapes(side)
+    """Parameters in one flat array; ``n``: number of ids, buckets included."""
+
+    def __init__(self, n: int, flat: np.ndarray | None = None, seed: int = 5):
+        self.n, self.side = n, max(2, math.ceil(n**0.5))
+        self.classes, self.edge = -(-n // self.side), n
+        sizes = {"rows": (n + 1, HIDDEN), "turn": (len(OFFSETS), HIDDEN, HIDDEN), "bias": (HIDDEN,), "of_class": (self.classes, HIDDEN), "class_bias": (self.classes,), "of_word": (self.classes, self.side, HIDDEN), "word_bias": (self.classes, self.side)}
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([(rng.normal(0, 0.1, s) if k in ("rows", "w1", "w2", "w3") else np.zeros(s)).ravel() for k, s in sizes.items()])
+            scale = {"rows": 0.3, "turn": HIDDEN**-0.5}
+            flat = np.concatenate([(rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).ravel() for k, s in sizes.items()])
         self.flat, at = flat.astype(np.float32), 0
         for k, s in sizes.items():
-            setattr(self, k, self.flat[at : at + s[0] * s[1]].reshape(s))
-            at += s[0] * s[1]
+            size = math.prod(s)
+            setattr(self, k, self.flat[at : at + size].reshape(s))
+            at += size
 
     def start(self, counts: np.ndarray) -> None:
         """Biases at the frequencies of the ids."""
-        n = self.side
-        mass = np.full(n**3, 1e-3)
+        mass = np.full(self.classes * self.side, 1e-3)
         mass[: len(counts)] += counts
-        for k, m in (("b3", mass.reshape(-1, n)), ("b2", mass.reshape(n, n, n).sum(axis=2)), ("b1", mass.reshape(n, -1).sum(axis=1)[None])):
-            getattr(self, k)[:] = np.log(m / m.sum(axis=1, keepdims=True))
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        a = self.bias + self.rows[_row(context[0], 0)]
-        for k in range(1, len(context)):
-            a += self.rows[_row(context[k], k)]
-        return np.tanh(a, out=a)
+        mass = mass.reshape(self.classes, self.side)
+        self.class_bias[:] = np.log(mass.sum(axis=1) / mass.sum())
+        self.word_bias[:] = np.log(mass / mass.sum(axis=1, keepdims=True))
 
-    def steps(self, target: np.ndarray) -> list[tuple[str, str, np.ndarray | slice, np.ndarray]]:
-        """(weights, biases, row of the biases, choice) of each step to the targets."""
-        two, n = target // self.side, self.side
-        return [("w1", "b1", slice(None), two // n), ("w2", "b2", two // n, two % n), ("w3", "b3", two, target % n)]
+    def hidden(self, seen: np.ndarray) -> np.ndarray:
+        return np.tanh(np.matmul(seen, self.turn).sum(axis=0) + self.bias)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, n = self.hidden(context), np.arange(len(target))
-        return sum(_log_softmax(h @ getattr(self, w) + getattr(self, b)[row])[n, choice] for w, b, row, choice in self.steps(target))
-
+        """Of each target, from its context (positions of the window x targets, as ids)."""
+        h, cls = self.hidden(self.rows[context]), target // self.side
+        z, e, total = _softmax(h @ self.of_class.T + self.class_bias)
+        out = z[np.arange(len(target)), cls] - np.log(total)
+        order, cuts, which = _by_class(cls)
+        h, pick, inner = h[order], (target % self.side)[order], np.empty(len(target), np.float32)
+        for s, t, c in zip(cuts, cuts[1:], which):
+            z, e, total = _softmax(h[s:t] @ self.of_word[c].T + self.word_bias[c])
+            inner[s:t] = z[np.arange(t - s), pick[s:t]] - np.log(total)
+        out[order] += inner
+        return out
+
+
+def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits less their largest, their exponentials, the sums of these)."""
+    z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
 
-def _row(context: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the net for the words at one place of the window."""
-    return context - k * (V - INPUTS)
 
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    k = cls[order]
+    cuts = np.flatnonzero(np.diff(k, prepend=-1))
+    return order, [*cuts.tolist(), len(k)], k[cuts].tolist()
 
 
 class Trainer:
     """Adagrad steps on a copy of a net."""
 
-    def __init__(self, net: Net):
-        self.net, self.past, self.seen = Net(net.flat.copy(), side=net.side), Net(np.full(len(net.flat), 1e-3), side=net.side), 0
+    def __init__(self, net: Net, rate: float = RATE):
+        self.net, self.past, self.rate, self.seen, self.loss = Net(net.n, net.flat.copy()), Net(net.n, np.full(len(net.flat), FLOOR)), rate, 0, 0.0
 
     def _step(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
         past = getattr(self.past, name)
-        past[at] += grad * grad
-        getattr(self.net, name)[at] -= RATE * grad / np.sqrt(past[at])
+        some = past[at] + grad * grad
+        past[at] = some
+        getattr(self.net, name)[at] -= self.rate * grad / np.sqrt(some)
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, m = self.net, len(target)
-        h, n, back, grads = net.hidden(context), np.arange(m), 0, []
-        for w, b, row, choice in net.steps(target):
-            g = np.exp(_log_softmax(h @ getattr(net, w) + getattr(net, b)[row]))
-            g[n, choice] -= 1
+        seen, cls, n = net.rows[context], target // net.side, np.arange(m)
+        h = net.hidden(seen)
+        z, g, total = _softmax(h @ net.of_class.T + net.class_bias)
+        self.loss -= float((z[n, cls] - np.log(total)).sum())
+        g /= total[:, None]
+        g[n, cls] -= 1
+        g /= m
+        back = g @ net.of_class
+        self._step("of_class", g.T @ h)
+        self._step("class_bias", g.sum(axis=0))
+        order, cuts, which = _by_class(cls)
+        hs, pick, inner = h[order], (target % net.side)[order], np.empty_like(h)
+        for s, t, c in zip(cuts, cuts[1:], which):
+            z, g, total = _softmax(hs[s:t] @ net.of_word[c].T + net.word_bias[c])
+            k = np.arange(t - s)
+            self.loss -= float((z[k, pick[s:t]] - np.log(total)).sum())
+            g /= total[:, None]
+            g[k, pick[s:t]] -= 1
             g /= m
-            back = back + g @ getattr(net, w).T
-            grads.append((w, b, row, g))
-        for w, b, row, g in grads:
-            self._step(w, h.T @ g)
-            if isinstance(row, slice):
-                self._step(b, g.sum(axis=0, keepdims=True))
-            else:
-                self._step(b, *_by_row(row, g)[::-1])
+            inner[s:t] = g @ net.of_word[c]
+            self._step("of_word", g.T @ hs[s:t], c)
+            self._step("word_bias", g.sum(axis=0), c)
+        back[order] += inner
         back *= 1 - h * h
-        self._step("bias", back.sum(axis=0, keepdims=True))
-        for k, c in enumerate(context):
-            at, g = _by_row(_row(c, k), back)
-            self._step("rows", g, at)
+        turn = np.matmul(seen.transpose(0, 2, 1), back)
+        rows = np.matmul(back, net.turn.transpose(0, 2, 1)).reshape(-1, HIDDEN)
+        self._step("bias", back.sum(axis=0))
+        self._step("turn", turn)
+        keys = context.ravel()
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        self._step("rows", np.add.reduceat(rows[order], first, axis=0), k[first])
         self.seen += m
 
 
-def _by_row(keys: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.diff(k, prepend=-1))
-    return k[first], np.add.reduceat(grad[order], first, axis=0)
-
-
 class Vocabulary:
     """Ids of word hashes: the rank of a frequent word, or a bucket behind the ranks."""
 
@@ -136,45 +160,95 @@ class Vocabulary:
         self.sorted = self.frequent[self.order]
         self.slot = np.full(1 << 20, -1, np.int32)
         self.slot[(self.frequent >> 12)[::-1]] = np.arange(len(frequent), dtype=np.int32)[::-1]
-        self.side = max(2, math.ceil(round((len(frequent) + BUCKETS) ** (1 / 3), 6)))
+        self.n = len(frequent) + BUCKETS
 
     def ids(self, words: np.ndarray) -> np.ndarray:
-        at = self.slot[words >> 12].astype(np.int64)
+        at = self.slot[words >> 12]
         met = np.flatnonzero(at >= 0)
         miss = met[self.frequent[at[met]] != words[met]]
         if len(miss):  # two words in one slot: the later one is looked up
             p = np.minimum(np.searchsorted(self.sorted, words[miss]), len(self.sorted) - 1)
             at[miss] = np.where(self.sorted[p] == words[miss], self.order[p], -1)
         rare = at < 0
-        at[rare] = len(self.frequent) + words[rare] % BUCKETS
+        at[rare] = len(self.frequent) + (words[rare] % BUCKETS).astype(np.int32)
         return at
 
-    def inputs(self, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Coarser ids of words as context."""
-        few = min(FREQUENT, len(self.frequent))
-        return np.where(ids < few, ids, FREQUENT + (words % (INPUTS - FREQUENT)).astype(np.int64))
-
 
-def _padded(words: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids as context of some texts with edges before, between and after them; where the words are; their ids; the length of each text."""
+def _padded(words: list[np.ndarray], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of some texts with edges before, between and after them; where the words are; the length of each text."""
     lengths = np.array([len(w) for w in words], np.int64)
-    padded = np.full(int(lengths.sum()) + SIDE * (len(words) + 1), EDGE, np.int64)
-    start = np.concatenate([[0], np.cumsum(lengths)[:-1]]) + SIDE * np.arange(1, len(words) + 1)
-    where = np.repeat(start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-    flat = np.concatenate(words)
-    ids = vocabulary.ids(flat)
-    padded[where] = vocabulary.inputs(ids, flat)
-    return padded, where, ids, lengths
+    padded = np.full(int(lengths.sum()) + SIDE * (len(words) + 1), vocabulary.n, np.int32)
+    where = np.repeat(SIDE * np.arange(1, len(words) + 1), lengths) + np.arange(int(lengths.sum()))
+    padded[where] = vocabulary.ids(np.concatenate(words))
+    return padded, where, lengths
 
 
 def _context(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([ids[at + o] + k * (V + 1) for k, o in enumerate(OFFSETS)])
+    return np.stack([ids[at + o] for o in OFFSETS])
+
+
+def _masked(digest: int, length: int, r: int, rounds: int) -> np.ndarray:
+    """The positions of a document to predict in a round, from its digest: each position is in one round."""
+    h = (np.arange(length, dtype=np.uint64) + np.uint64(digest & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(40)) % np.uint64(rounds) == r
+
+
+# -- over the corpus ----------------------------------------------------------------------------------------------------
+
+
+def shards_of(text_bytes: int) -> int:
+    """Shards grow with the root of a corpus; from 25 GB on with the corpus."""
+    return max(1, math.ceil((text_bytes / SHARD_BYTES) ** 0.5), math.ceil(text_bytes / MOST_SHARD_BYTES))
+
+
+def dealt_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(shard, digest, id, words) for every row: hashed words, sorted by digest in shards that lie in one file each."""
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    shards = shards_of(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), digest.alias("digest"), "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in batches:
+            at, texts = 0, b.column(3)
+            while at < b.num_rows:  # a few MB of text at a time
+                part: list[bytes] = []
+                held = 0
+                while at + len(part) < b.num_rows and held < 1 << 21:
+                    part.append(normal(texts[at + len(part)].as_py()))
+                    held += len(part[-1])
+                words = pa.array([w.astype("<u4").tobytes() for w in word_hashes(part)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in b.columns[:3]), words], ["shard", "digest", "id", "words"])
+                at += len(part)
+        settle()
+
+    hashed = rows.mapInArrow(run, "shard int, digest long, id long, words binary")
+    n = max(2 * shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(hashed.repartition(n, "shard").sortWithinPartitions("shard", "digest", "id"), "words")
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[int, bool, list[int], list[np.ndarray]]]:
+    """(shard, whether it ends here, digests, words) of rows that are sorted by shard, about ``most`` words at a time."""
+    shard, digests, words, held = None, [], [], 0
+    for b in batches:
+        for s, d, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
+            a = np.frombuffer(w.as_buffer(), "<u4")
+            if s != shard or held and held + len(a) > most:
+                if shard is not None:
+                    yield shard, s != shard, digests, words
+                shard, digests, words, held = s, [], [], 0
+            digests.append(d), words.append(a)
+            held += len(a)
+    if shard is not None:
+        yield shard, True, digests, words
 
 
 def word_counts(store: DataFrame) -> DataFrame:
     """(word, n) for every word hash of the whole corpus, counted in every partition and then by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for _, group in chunks(batches, 1 << 20):
             w, c = np.unique(np.concatenate(group), return_counts=True)
@@ -184,95 +258,112 @@ def word_counts(store: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int32)), pa.array(n)], ["word", "n"])
                 words, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int32)), pa.array(n)], ["word", "n"])
+        settle()
 
-    return materialize(store.mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    return materialize(store.select("id", "words").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
 
 def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, counts) of the words with an id of their own, by count, and behind the counts those of the buckets."""
-    often = counts.where(F.col("n") >= LEAST).toArrow()
+    often = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(MOST).toArrow()
     words, n = np.asarray(often["word"]).astype(np.int32).view(np.uint32), np.asarray(often["n"]).astype(np.int64)
-    order = np.lexsort((words, -n))
     total = np.zeros(BUCKETS, np.int64)
-    for r in rare_words(counts).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a fixed number of buckets
+    every = counts.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n"))
+    for r in every.collect():  # a fixed number of buckets
         total[r.bucket] = r.n
-    return words[order], np.concatenate([n[order], total])
+    np.subtract.at(total, words % BUCKETS, n)
+    return words, np.concatenate([n, total])
 
 
-def rare_words(counts: DataFrame) -> DataFrame:
-    """(word, n, bucket) of the words without an id of their own."""
-    return counts.where(F.col("n") < LEAST).withColumn("bucket", F.col("word").bitwiseAND(BUCKETS - 1))
+def shares(counts: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(word, own): the log-probability of each word in its bucket; ``totals``: of the buckets.
 
-
-def shares(counts: DataFrame) -> DataFrame:
-    """(word, own): the log-probability of each rare word in its bucket."""
-    rare = rare_words(counts)
-    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
-    return rare.join(F.broadcast(total), "bucket").select("word", (F.log(F.col("n").cast("double")) - F.log(F.col("total").cast("double"))).alias("own"))
+    A word with an id of its own has a row, too, which no text asks for.
+    """
+    each = F.element_at(F.array(*[F.lit(float(max(1, n))) for n in totals.tolist()]), F.col("word").bitwiseAND(BUCKETS - 1) + 1)
+    return counts.select("word", (F.log(F.col("n").cast("double")) - F.log(each)).alias("own"))
 
 
 BLOCK = 1 << 14
 
 
+def train_shard(net: Net, vocabulary: Vocabulary, parts: Iterator[tuple[list[int], list[np.ndarray]]], r: int, rounds: int, rate: float, epochs: int, batch: int) -> Trainer:
+    """Parameters after a round over one shard, given as (digests, words) of its documents in a fixed order."""
+    trainer, rng = Trainer(net, rate), np.random.default_rng(r)
+    kept = list(parts) if epochs > 1 else parts  # a corpus that is gone through often is small
+    for _ in range(epochs):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for digests, words in kept:
+            if not sum(map(len, words)):
+                continue
+            padded, where, lengths = _padded(words, vocabulary)
+            at = where[np.concatenate([_masked(d, int(n), r, rounds) for d, n in zip(digests, lengths)])]
+            at = rng.permutation(at)
+            held.append((_context(padded, at), padded[at]))
+            _steps(trainer, held, batch, False)
+        _steps(trainer, held, batch, True)
+    return trainer
+
+
+def _steps(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]], batch: int, last: bool) -> None:
+    if not held:
+        return
+    context, target = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
+    at = 0
+    while len(target) - at >= batch or last and at < len(target):
+        trainer.step(context[:, at : at + batch], target[at : at + batch])
+        at += batch
+    held[:] = [(context[:, at:], target[at:])] if at < len(target) else []
+
+
 def train(store: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, rounds: int = 2) -> Net:
-    """Parameters after ``rounds`` of training in every partition, over all documents, and averaging."""
-    spark, net = store.sparkSession, Net(side=vocabulary.side)
+    """Parameters after ``rounds`` of training in every shard, over all documents, and averaging."""
+    spark, net, total = store.sparkSession, Net(vocabulary.n), int(counts.sum())
     net.start(counts)
+    if not total:
+        return net
+    shards = store.select("shard").distinct().count()
+    epochs = min(EPOCHS, math.ceil(ENOUGH_WORDS / total))
+    batch = int(min(BATCH, max(LEAST_BATCH, total / shards / rounds / 64)))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((net.flat, vocabulary))
+        rate = RATE / (1 + r) ** 0.5
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r, rate=rate) -> Iterator[pa.RecordBatch]:
+            lean()
             flat, vocab = shared.value
-            part, trainer = TaskContext.get().partitionId(), Trainer(Net(flat.copy(), side=vocab.side))
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            n = 0
-            for _, words in chunks(batches):
-                padded, where, ids, _ = _padded(words, vocab)
-                some = _masked(padded, where, r, rounds)
-                at = where[some]
-                held.append((_context(padded, at), ids[some]))
-                n += len(at)
-                if n >= BATCH:
-                    n = _steps(trainer, held, False)
-            _steps(trainer, held, True)
-            if trainer.seen:
-                data = np.concatenate([trainer.net.flat.astype(np.float64) * trainer.seen, [trainer.seen]])
-                blocks = [data[k : k + BLOCK].tobytes() for k in range(0, len(data), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["part", "block", "data"])
-
-        got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f8")
-        if not got:
-            break
+            rest = by_shard(batches)
+            for shard, ends, digests, words in rest:
+
+                def parts(ends=ends, digests=digests, words=words):
+                    yield digests, words
+                    while not ends:
+                        _, ends, digests, words = next(rest)
+                        yield digests, words
+
+                trainer = train_shard(Net(vocab.n, flat), vocab, parts(), r, rounds, rate, epochs, batch)
+                if trainer.seen:
+                    data = np.concatenate([trainer.net.flat * np.float32(trainer.seen), np.array([trainer.seen], np.float32)])
+                    blocks = [data[k : k + BLOCK].tobytes() for k in range(0, len(data), BLOCK)]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["part", "block", "data"])
+                del trainer
+            settle()
+
+        got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f4")
+        shared.unpersist()
         data = np.concatenate([np.frombuffer(b, "<f8") for _, b in got])
-        net = Net(data[:-1] / data[-1], side=vocabulary.side)
+        net = Net(vocabulary.n, data[:-1] / data[-1])
     return net
 
 
-def _masked(ids: np.ndarray, where: np.ndarray, r: int, rounds: int) -> np.ndarray:
-    """The positions to predict in a round, from a digest of place and neighbourhood: each position is in one round."""
-    h = (where * 0x9E3779B1 + ids[where] * 0x85EBCA6B + ids[where - 1] * 0xC2B2AE35) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) % rounds == r
-
-
-def _steps(trainer: Trainer, held: list[tuple[np.ndarray, np.ndarray]], last: bool) -> int:
-    if not held:
-        return 0
-    context, target = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
-    at = 0
-    while len(target) - at >= BATCH or last and at < len(target):
-        trainer.step(context[:, at : at + BATCH], target[at : at + BATCH])
-        at += BATCH
-    held[:] = [(context[:, at:], target[at:])] if at < len(target) else []
-    return max(0, len(target) - at)
-
-
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """One row per input row: id, n_words, log_likelihood (sum over all words), mean (per word; null without words).
+    """One row per input row: id, n_words, mean (per word; null without words), log_likelihood (sum over all words).
 
-    Null and empty texts, and texts without letters or digits, have no words and a sum of 0. Repeated rows get equal
-    scores. Only the two columns are read; an empty table gives no rows. The whole corpus is counted and trained on.
+    Null and empty texts, and texts without letters or digits, have no words and a sum of 0. Texts of any length are scored
+    whole. Repeated rows get equal scores. Only the two columns are read; an empty table gives no rows. The whole corpus is
+    counted and trained on. Scores don't depend on partitions or on the order of rows, but for rounding.
     """
-    store = hashed_words(df, id_col, text_col)
+    store = dealt_words(df, id_col, text_col)
     counts = word_counts(store)
     frequent, n = frequent_words(counts)
     vocabulary = Vocabulary(frequent)
@@ -280,11 +371,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     shared = df.sparkSession.sparkContext.broadcast((net.flat, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         flat, vocab = shared.value
-        net = Net(flat, side=vocab.side)
+        net = Net(vocab.n, flat)
         for doc_ids, words in chunks(batches):
-            padded, where, ids, lengths = _padded(words, vocab)
-            logp = np.zeros(len(where))
+            padded, where, lengths = _padded(words, vocab)
+            ids, logp = padded[where], np.zeros(len(where))
             for at in range(0, len(where), 16384):
                 some = slice(at, at + 16384)
                 logp[some] = net.log_probability(_context(padded, where[some]), ids[some])
@@ -294,11 +386,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             ends = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(lengths)))]).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)[rare].view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(total), rest], ["id", "n_words", "total", "rare"])
+        settle()
 
-    scored = store.mapInArrow(run, "id long, n_words long, total double, rare array<int>")
+    scored = store.select("id", "words").mapInArrow(run, "id long, n_words long, total double, rare array<int>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # no rare word is a hot key: it occurs less than LEAST times
-    own = scored.select("row", F.explode("rare").alias("word")).join(shares(counts), "word").groupBy("row").agg(F.sum("own").alias("own"))
+    discard(store)
+    own = scored.select("row", F.explode("rare").alias("word")).join(shares(counts, n[len(frequent) :]), "word").groupBy("row").agg(F.sum("own").alias("own"))
     total = F.col("total") + F.coalesce("own", F.lit(0.0))
     out = scored.select("row", "id", "n_words", "total").join(own, "row", "left")
-    return out.select("id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean"))
+    return out.select("id", "n_words", F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean"), total.alias("log_likelihood"))

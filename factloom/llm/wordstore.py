@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, settle
 from .textnp import word_hashes
 
 
@@ -21,6 +21,7 @@ def hashed_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, words) for every row, written once: lower-cased words of letters and digits as little-endian 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             at = 0
@@ -33,6 +34,7 @@ def hashed_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = pa.array([w.astype("<u4").tobytes() for w in word_hashes(part)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), words], ["id", "words"])
                 at += len(part)
+        settle()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return materialize(rows.mapInArrow(run, "id long, words binary"), "words")
@@ -57,18 +59,22 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[t
 
 
 def sum_blocks(parts: DataFrame, kind: str) -> list[tuple[int, bytes]]:
-    """(part int, block int, data binary) summed by block in two steps, so that no task gets the blocks of all partitions.
+    """(part int, block int, data binary) summed by block, as doubles, in order of part.
 
-    The number of blocks and their size are fixed by the caller's parameters; so is what comes to the driver.
+    Sums are made in two steps, so that no task gets the blocks of all parts. The number of blocks and their size are fixed
+    by the caller's parameters; so is what comes to the driver.
     """
 
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("data"):
-            a = np.frombuffer(x.as_buffer(), kind)
-            total = a.copy() if total is None else total + a
-        return pa.table({"part": pa.array([0], pa.int32()), "block": table.column("block").slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+    def add(kind: str):
+        def run(table: pa.Table) -> pa.Table:
+            table, total = table.sort_by("part"), None
+            for x in table.column("data"):
+                a = np.frombuffer(x.as_buffer(), kind)
+                total = a.astype(np.float64) if total is None else total + a
+            return pa.table({"part": pa.array([table.column("part")[0].as_py() % 64], pa.int32()), "block": table.column("block").slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+        return run
 
     schema = "part int, block int, data binary"
-    some = parts.withColumn("part", (F.col("part") % 64).cast("int")).groupBy("part", "block").applyInArrow(add, schema)
-    return sorted((r.block, bytes(r.data)) for r in some.groupBy("block").applyInArrow(add, schema).collect())
+    some = parts.groupBy((F.col("part") % 64).alias("group"), "block").applyInArrow(add(kind), schema)
+    return sorted((r.block, bytes(r.data)) for r in some.groupBy("block").applyInArrow(add("<f8"), schema).collect())
