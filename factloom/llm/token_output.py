@@ -8,6 +8,7 @@ of a Parquet container, in ascending order of document: Spark commits them, and
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import lean, scratch_path, settle
 
 BLOCK, PERCENTILE, SEGMENT = 128, 0.9, 1 << 16
 SCHEMA = "shard int, seq int, start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, block_index binary, payload binary"
@@ -158,23 +159,39 @@ class _Pieces(dict):
         return out
 
 
+def standard(tokenizer) -> bool:
+    """Whether texts may be cut as :class:`Encoder` does: byte-level BPE, the standard pattern, texts taken as they are.
+
+    A file that drops pieces at random, or pads or truncates, is not standard either.
+    """
+    said = json.loads(tokenizer.to_str())
+    pre, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    pattern = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return bool(pattern and not said.get("normalizer") and not said.get("truncation") and not said.get("padding") and model.get("type") == "BPE" and not model.get("dropout"))
+
+
 class Encoder:
     """Encodes texts with a tokenizers file, by pieces whose encodings are kept.
 
     Pre-tokens of this byte-level pattern are runs of letters, of digits, of white space or of other characters, the
     space before a run belonging to it. So a text may be cut, without a change of its ids, before a single space between
     other characters, on either side of a single line end between other characters, and before a comma or full stop
-    behind a letter or digit. A text in which one of these stands elsewhere is cut at single spaces alone.
+    behind a letter or digit. A text in which one of these stands elsewhere is cut at single spaces alone. With a file that
+    is not of this kind (:func:`standard`) no text is cut.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kept = _Pieces(Tokenizer.from_file(path), kept)
+        tokenizer = Tokenizer.from_file(path)
+        self.plain = None if standard(tokenizer) else tokenizer
+        self.kept = _Pieces(tokenizer, kept) if standard(tokenizer) else {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers. Each distinct piece of all these texts is looked up once."""
+        if self.plain:
+            return [array("I", x.ids).tobytes() for x in self.plain.encode_batch(texts, add_special_tokens=False)]
         plain = [i for i, t in enumerate(texts) if not t or self.regular(t)]
         good = self.marks_follow_letters(["\n" + texts[i] for i in plain]).tolist() if plain else []
         plain = [i for i, g in zip(plain, good) if g]
@@ -248,6 +265,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         enc = _encoders.get((tokenizer, kept)) or _encoders.setdefault((tokenizer, kept), Encoder(tokenizer, kept))
         shard, seq, start = TaskContext.get().partitionId(), 0, 0
         tail = np.array([end_id], "<u4").tobytes()
@@ -272,11 +290,13 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
                     seq, start, docs, parts, held = seq + 1, start + held, [], [], 0
         if docs:
             yield segment()
-        pa.default_memory_pool().release_unused()  # the worker may be idle for long
+        settle()
 
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    # rows that repeat an id and a text are alike, so any of their orders will do: a number deals them over many tasks, too
+    rows = rows.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "tie", "deal").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     rows.select("id", "text").mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
@@ -287,6 +307,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             for row in b.to_pylist():
                 ids = unpack(np.frombuffer(row["block_index"], "<u4"), row["payload"], row["n_ids"]).astype("<u4")
@@ -309,8 +330,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def write_and_read(df: DataFrame, tokenizer: str, name: str = "tokens", **options) -> DataFrame:
     """Write into the shared folder and return what the files hold. An empty table gives no rows."""
-    import uuid
-
-    path = f"{scratch_dir(df.sparkSession)}/factloom/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     write(df, path, tokenizer, **options)
     return read(df.sparkSession, path)
