@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, and calibrated rejection.
 
 A text's byte n-grams are hashed to embeddings, whose mean goes through a linear softmax. The model is trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows. A temperature fitted on a part of the sample
-that isn't trained on makes the score a probability; the rejection threshold is read off the same part. For prediction
+stochastic gradient descent in numpy on a bounded sample of labelled rows. The sample is parted by digests of the texts
+before anything is learnt: a temperature fitted on the texts that aren't trained on makes the score a probability, and the
+rejection threshold is read off the same texts. For prediction
 embeddings and weights fold into one table of class scores for each bucket, so a text costs one gather per n-gram.
 """
 
@@ -10,18 +11,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, lean, materialize, settle
 from .textnp import ngram_ids
 
 SIZES, BITS, DIM = (2, 3, 4), 15, 12
-#: Bound of the training sample: so many labelled rows of each language, those with the smallest digests of their ids.
+#: Bounds of the training sample: so many labelled rows of each language, those with the smallest digests of their ids, ...
 PER_LANGUAGE = 500
+#: ... fewer where there are many languages, so that all have this many at most, ...
+ROWS = 8_000
+#: ... and of this many languages, those of the most rows. Rarer ones are not learnt; ``Model.n_languages`` counts all.
+LANGUAGES = 200
+#: One text in so many is for calibration.
+CALIBRATION = 5
 #: Rows asked for beyond the sample, in standard deviations, so that a bound on the digests seldom keeps fewer.
 SPARE = 2
 #: A share of the calibration rows this large may be rejected.
@@ -45,6 +53,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    n_languages: int = 0
 
     def probabilities(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.labels)), 0
@@ -67,10 +76,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, h, text) to the distinct n-gram ids and counts of the text, and of one short passage of it."""
+    """(lang, h, cal, text) to the distinct n-gram ids and counts of the text, and of one short passage of it."""
     for b in batches:
         out: list[tuple] = []
-        for lang, h, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
+        for lang, h, cal, text in zip(*[b.column(i).to_pylist() for i in range(4)]):
             at = len(text) // 3
             for part in (text, text[at : at + 160]):
                 if any(c.isalpha() for c in part):
@@ -78,21 +87,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for ids in ngram_ids(_clean(part), SIZES, BITS):
                         n += np.bincount(ids, minlength=1 << BITS)
                     k = np.flatnonzero(n)
-                    out.append((lang, h, k.astype("<u2").tobytes(), n[k].astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "ids", "counts"])
+                    out.append((lang, h, cal, k.astype("<u2").tobytes(), n[k].astype("<u4").tobytes()))
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["lang", "h", "cal", "ids", "counts"])
 
 
-def train(rows: list[tuple[str, bytes, bytes]], updates: int = 12_000, rate: float = 0.5, seed: int = 1) -> Model:
-    """Rows (language, ids, counts), in a fixed order, to a model; every fifth pair of rows is for calibration."""
+def train(rows: list[tuple[str, bool, bytes, bytes]], updates: int = 12_000, rate: float = 0.5, seed: int = 1) -> Model:
+    """Rows (language, whether it is for calibration, ids, counts), in a fixed order, to a model.
+
+    Without any row for calibration, or for training, all rows serve for both.
+    """
     labels = sorted({r[0] for r in rows})
     if not labels:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, MOST_THRESHOLD)
-    rng = np.random.default_rng(seed)
-    data = []
-    for lang, ids, counts in rows:
-        data.append((labels.index(lang), np.frombuffer(ids, "<u2"), np.frombuffer(counts, "<u4")))  # the sample is held once
-    held = [d for i, d in enumerate(data) if i // 2 % 5 == 4] or data
-    used = [d for i, d in enumerate(data) if i // 2 % 5 != 4] or data
+    rng, place = np.random.default_rng(seed), {x: i for i, x in enumerate(labels)}
+    data = [(place[lang], np.frombuffer(ids, "<u2"), np.frombuffer(counts, "<u4")) for lang, _, ids, counts in rows]  # the sample is held once
+    held = [d for d, r in zip(data, rows) if r[1]] or data
+    used = [d for d, r in zip(data, rows) if not r[1]] or data
     emb = rng.normal(0, 0.1, (1 << BITS, DIM))
     w, bias = rng.normal(0, 0.1, (DIM, len(labels))), np.zeros(len(labels))
     epochs = -(-updates // len(used))
@@ -124,44 +135,62 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` labelled rows of each language that aren't held out.
-
-    Rows without an id are not used; of rows that repeat an id and a language the one with the smallest text is.
-    """
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[tuple[str, bool, bytes, bytes]], int]:
+    """(rows as :func:`train` takes them, number of languages in the table)."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 1))
     # digests are uniform, so a bound on them keeps a little more than the sample; languages are counted before the shuffle
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n_languages = counts.count()
+    per_language = max(1, min(per_language, ROWS // max(1, min(n_languages, LANGUAGES))))
     part = F.least(F.lit(1.0), (per_language + SPARE * per_language**0.5) / F.col("n"))
-    limit = counts.select("lang", (part * float(1 << 63)).alias("upto"))
-    chosen = rows.join(F.broadcast(limit), "lang").where(F.col("h") <= F.col("upto"))  # one row per language
+    limit = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (part * float(1 << 63)).alias("upto"))
+    chosen = rows.join(F.broadcast(limit), "lang").where(F.col("h") <= F.col("upto"))  # LANGUAGES rows at most
     chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))  # rows that repeat an id are one row of the sample
-    got = chosen.select("lang", "h", "text").mapInArrow(_features, "lang string, h long, ids binary, counts binary").collect()
-    got.sort()
-    sample = []
-    for _, rows_of in groupby(got, key=lambda r: r[0]):
-        for _, (_, of_text) in zip(range(per_language), groupby(rows_of, key=lambda r: r[1])):
-            sample.extend((r.lang, r.ids, r.counts) for r in of_text)
-    del got
-    return train(sorted(sample))
+    chosen = chosen.select("lang", "h", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(CALIBRATION)) == 0).alias("cal"), "text")
+    got = chosen.mapInArrow(_features, "lang string, h long, cal boolean, ids binary, counts binary").toArrow()
+    discard(counts)
+    order = pc.sort_indices(got.select(["lang", "h"]), [("lang", "ascending"), ("h", "ascending")])
+    out, of, ids = [], None, set()
+    for r in (got.slice(i, 1).to_pylist()[0] for i in order.to_pylist()):
+        if r["lang"] != of:
+            of, ids = r["lang"], set()
+        if r["h"] in ids or len(ids) < per_language:
+            ids.add(r["h"])
+            out.append((r["lang"], r["cal"], r["ids"], r["counts"]))
+    return sorted(out), n_languages
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on at most ``per_language`` labelled rows of each language that aren't held out (see LANGUAGES and ROWS).
+
+    Rows without an id are not used; of rows that repeat an id and a language the one with the smallest text is. A text that
+    several rows repeat is trained on or calibrated on, never both.
+    """
+    rows, n = sample(df, id_col, text_col, lang_col, per_language)
+    model = train(rows)
+    model.n_languages = n
+    return model
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score, accepted.
 
-    Whole texts are read. A text that is null, or has no letter, is ``und`` with score 0 and not accepted. Neither ids nor
-    other columns take part. Repeated rows get equal results; an empty table gives no rows.
+    Whole texts are read, however long. A text that is null, or has no letter, is ``und`` with score 0 and not accepted. Of
+    languages that are equally likely the first by code point is given. Neither ids nor other columns take part. Repeated
+    rows get equal results; an empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets times languages
+    shared = df.sparkSession.sparkContext.broadcast(model)  # of bounded size: buckets times LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         m = shared.value
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(1)]
             lang, score = pa.array([g[0] for g in got], pa.string()), np.array([g[1] for g in got], np.float64)
             ok = np.array([g[0] != UNKNOWN and g[1] >= m.threshold for g in got], bool)
             yield pa.RecordBatch.from_arrays([b.column(0), lang, pa.array(score), pa.array(ok)], ["id", "lang_pred", "score", "accepted"])
+        settle()
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, lang_pred string, score double, accepted boolean")
 
@@ -171,9 +200,11 @@ def accepted_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         m = shared.value
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column(at)]
             yield b.filter(pa.array([lang != UNKNOWN and score >= m.threshold for lang, score in got], pa.bool_()))
+        settle()
 
     return df.mapInArrow(run, df.schema)

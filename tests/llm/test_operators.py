@@ -76,6 +76,20 @@ def test_language_odd_rows(spark):
     assert language_id.predict(none(spark), model).count() == 0 and {r.lang_pred for r in language_id.predict(o, model).collect()} == {"und"}
 
 
+def test_language_is_calibrated_on_texts_that_are_not_trained_on(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    copies = df.select((F.col("doc_id") + 100_000).alias("doc_id"), "text", "lang").union(df.select("doc_id", "text", "lang"))
+    rows, n = language_id.sample(copies)
+    cal, used = ({r[2:] for r in rows if r[1] == x} for x in (True, False))
+    assert n == 4 and cal and used and not cal & used and 0.1 < sum(r[1] for r in rows) / len(rows) < 0.3
+
+
+def test_language_sample_is_bounded_whatever_the_labels(spark):
+    df = spark.range(3000).selectExpr("id doc_id", "'text number ' || id text", "'junk' || (id % 600) lang").union(spark.range(3000, 3300).selectExpr("id", "'the cat and the dog ' || id", "'en'"))
+    rows, n = language_id.sample(df)
+    assert n == 601 and len({r[0] for r in rows}) <= language_id.LANGUAGES and len(rows) <= 2 * language_id.ROWS and "en" in {r[0] for r in rows}
+
+
 # -- 2 --------------------------------------------------------------------------------------------------------------------
 
 
