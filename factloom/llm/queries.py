@@ -78,21 +78,26 @@ def oracle_sql() -> dict[str, str]:
     return {"op3_mix_sources": OP3, "op4_secret_scan": OP4, "op5_chat_format": OP5, "op8_embedding_dedup": OP8}
 
 
-#: Targets by the level at which all sources that aren't capped stand; copies by the same order as the operator's.
+#: Targets by the level at which all sources that aren't capped stand; copies in proportion to size, then in the order of the
+#: random odds over the inclusion odds.
 OP3 = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS most, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(most, coalesce(max(CASE WHEN level * w <= most THEN level END) OVER () * w, most)) AS target FROM l),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM t),
-q AS (SELECT *, floor(due) AS whole, due - floor(due) AS p, target - floor(due) * source_size AS rest FROM p),
-u AS (SELECT d.doc_id, d.size, q.*, (('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size::VARCHAR, '3')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-r AS (SELECT *, (u / (1 - u)) / (CASE WHEN p > 0 THEN p / (1 - p) ELSE 1e-300::DOUBLE END) AS odds FROM u),
-a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN p > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM a
+h AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+g AS (SELECT h.source, size, (target - 2.0::DOUBLE * coalesce(sum(size * n) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(size * size * n) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS rate FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT source, arg_max(rate, size) AS rate FROM g WHERE rate * size <= 2 GROUP BY source),
+e AS (SELECT d.doc_id, d.source, d.size, d.text, t.source_size, t.target, CASE WHEN size = 0 THEN 0 ELSE coalesce(least(2.0::DOUBLE, rate * size), 2.0::DOUBLE) END AS due
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+u AS (SELECT *, floor(due) AS whole, due - floor(due) AS p, target - sum(floor(due) * size) OVER (PARTITION BY source) AS rest,
+    (('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size::VARCHAR, md5(text), '3')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM e),
+r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM u),
+a AS (SELECT *, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN p > 0 AND rest > 0 AND before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM a
 """
 
 

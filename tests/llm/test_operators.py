@@ -183,10 +183,53 @@ def test_mixing_targets(spark, sf):
     assert sorted((r.id, r.taken) for r in again) == sorted((r.id, r.taken) for r in rows)
 
 
+def due(sizes, target):
+    """Copies in proportion to size, at most 2: those that would be above are set to 2, and the others share what is left."""
+    out, open_ = dict.fromkeys(sizes, 0.0), {d for d, s in sizes.items() if s}
+    while open_:
+        rate = (target - sum(2 * sizes[d] for d in out if out[d] == 2)) / sum(sizes[d] ** 2 for d in open_)
+        over = {d for d in open_ if rate * sizes[d] > 2 + 1e-12}
+        if not over:
+            return out | {d: min(2, rate * sizes[d]) for d in open_}
+        out |= dict.fromkeys(over, 2)
+        open_ -= over
+    return out
+
+
+def test_mixing_draws_by_size_and_odds(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, "w " * int(rng.integers(1, 60)), "abcd"[i % 4 if i % 3 else 0]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    for source in "abcd":
+        mine = {r.id: r for r in got if r.source == source}
+        want = due({d: r.size for d, r in mine.items()}, next(iter(mine.values())).target)
+        assert all(math.floor(want[d] - 1e-9) <= r.copies <= math.ceil(want[d] + 1e-9) for d, r in mine.items())
+        drawn = [d for d in mine if 1e-6 < want[d] % 1 < 1 - 1e-6]
+        if len(drawn) > 100:  # as many as expected, the larger more often
+            extra = {d: mine[d].copies - math.floor(want[d]) for d in drawn}
+            p = {d: want[d] % 1 for d in drawn}
+            assert abs(sum(extra.values()) - sum(p.values())) < 5 * sum(x * (1 - x) for x in p.values()) ** 0.5
+            half = sorted(drawn, key=p.get)
+            for part in (half[: len(half) // 2], half[len(half) // 2 :]):
+                assert abs(sum(extra[d] for d in part) - sum(p[d] for d in part)) < 5 * sum(p[d] * (1 - p[d]) for d in part) ** 0.5
+
+
+def test_mixing_repeated_rows(spark):
+    # a third of all rows are one row, and the words run out among them
+    rows = [(None, "one two three four", "a", k) for k in range(400)] + [(k, f"w{k} " * (1 + k % 30), "ab"[k % 2], k) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, at int")
+    got = sorted((r.id or -1, r.source, r.copies, r.taken) for r in mixing.mix(df.repartition(5)).collect())
+    assert got == sorted((r.id or -1, r.source, r.copies, r.taken) for r in mixing.mix(df.coalesce(1)).collect())
+    by = {}
+    for r in mixing.mix(df).collect():
+        by.setdefault((r.source, r.target), []).append(r)
+    assert all(abs(sum(r.taken for r in rs) - t) <= max(r.size for r in rs) / 2 + 1 for (_, t), rs in by.items())
+
+
 def test_mixing_odd_rows(spark):
     o = odd(spark)
     rows = mixing.mix(o).collect()
-    assert len(rows) == 11 and {r.size for r in rows if r.id in (1, 2, 3)} == {0}
+    assert len(rows) == 11 and {(r.size, r.copies) for r in rows if r.id in (1, 2, 3)} == {(0, 0)}
     back = mixing.repeat(o)
     assert back.columns == o.columns and back.count() == sum(r.copies for r in rows)
     assert mixing.mix(none(spark)).count() == 0 and mixing.repeat(none(spark)).count() == 0
