@@ -420,11 +420,15 @@ def test_embeddings_match_brute_force(spark):
     rows = [(i, [float(np.float32(x)) for x in v], int(i % 3)) for i, v in enumerate(vecs)]
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, [None] * 16, 1), (404, rows[0][1], None), (405, rows[0][1][:8], 0), (406, [float("inf")] * 16, 0), (407, [], 0)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, n int, cls string")
-    old, embedding_dedup.TILE = embedding_dedup.TILE, 20
-    try:
-        got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(df).collect()}
-    finally:
-        embedding_dedup.TILE = old
+    got = {}
+    for tile in (2048, 20, 7):  # one cell; a few cells; cells of several tiles
+        old, embedding_dedup.TILE = embedding_dedup.TILE, tile
+        try:
+            got[tile] = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(df).collect()}
+        finally:
+            embedding_dedup.TILE = old
+    assert got[7] == got[20] == got[2048]
+    got = got[7]
     x = np.array([r[1] for r in rows[:350]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = np.arange(350) % 3
@@ -434,6 +438,28 @@ def test_embeddings_match_brute_force(spark):
     assert all(got[i] == (0, i) for i in range(400, 408)) and embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_scale_and_dimension(spark):
+    rng = np.random.default_rng(15)
+    wide = rng.normal(size=3000)
+    rows = [(1, [1e200, 2e200]), (2, [1e200, 2.0001e200]), (3, [1e-200, 2e-200]), (4, [2e200, -1e200]), (5, wide.tolist()), (6, (wide + 0.05 * rng.normal(size=3000)).tolist()), (7, rng.normal(size=3000).tolist()), (8, [5e-324, 0.0]), (9, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (1, 8), 9: (1, 8)}
+
+
+def test_cells_skip_what_cannot_link(spark):
+    rng = np.random.default_rng(16)
+    centre = rng.normal(size=(20, 8))
+    rows = [(i, (centre[i % 20] + 0.05 * rng.normal(size=8)).tolist(), 1) for i in range(2000)]
+    old, embedding_dedup.TILE = embedding_dedup.TILE, 100
+    try:
+        df = spark.createDataFrame(rows, "cls long, vec array<double>, n long").selectExpr("'x' label", "8 dim", "cls", "n", "vec")
+        moved = embedding_dedup.dealt(df, 0.98)
+        assert moved.where("not visitor").count() == 2000 and moved.where("visitor").count() < 2000 * 5
+    finally:
+        embedding_dedup.TILE = old
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 64))
