@@ -75,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3, "op4_secret_scan": OP4, "op5_chat_format": OP5, "op8_embedding_dedup": OP8}
+    return {"op3_mix_sources": OP3, "op4_secret_scan": OP4, "op5_chat_format": OP5, "op6_url_filter": OP6, "op8_embedding_dedup": OP8}
 
 
 #: Targets by the level at which all sources that aren't capped stand; copies in proportion to size, then in the order of the
@@ -152,6 +152,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+_Z2, _RULES = url_filter.Z**2, url_filter.RULES
+_fits = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in _RULES)
+_named = ", ".join(f"'{x}'" for x in url_filter.named_by(_RULES))
+#: Association rules by listing every set of tokens of every decided url.
+OP6 = rf"""
+WITH o AS (SELECT page_id, url, translate(CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host0,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path0 FROM pages),
+a AS (SELECT page_id, url, coalesce(host0, '') AS host, coalesce(path0, '') AS path FROM o),
+d AS (SELECT DISTINCT url, host, path FROM a),
+f AS (SELECT d.url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS listed FROM d JOIN ({_fits}) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY d.url),
+t AS (SELECT d.*, f.rule, f.listed, list_distinct(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' WHEN length(x) > 64 THEN '~' || sha256(x) ELSE x END) ||
+    list_transform(list_filter(string_split_regex(path, '[/.]'), lambda x: x <> ''), lambda x: 'p:' || CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' WHEN length(x) > 64 THEN '~' || sha256(x) ELSE x END) ||
+    list_transform(list_filter(regexp_extract_all(regexp_extract(coalesce(url, ''), '(?s)\?([^#]*)', 1), '([^&=]+)(=[^&]*)?', 1), lambda x: x <> ''), lambda x: 'q:' || CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' WHEN length(x) > 64 THEN '~' || sha256(x) ELSE x END)) AS tokens
+    FROM d LEFT JOIN f USING (url)),
+b AS (SELECT url, listed, list_sort(list_filter(tokens, lambda x: x NOT IN ({_named}))) AS tokens FROM t WHERE listed IS NOT NULL),
+c AS (SELECT * FROM b WHERE len(tokens) > 0),
+m AS (SELECT count(*) AS total FROM c),
+y AS (SELECT listed AS verdict, count(*)::DOUBLE / (SELECT total FROM m) AS share FROM c GROUP BY ALL),
+s AS (SELECT listed, list_filter(tokens, lambda x, i: (k // (2 ** (i - 1))::BIGINT) % 2 = 1) AS items FROM (SELECT *, unnest(range(1, (2 ** len(tokens))::BIGINT)) AS k FROM c)),
+n AS (SELECT items, count(*) AS n FROM s GROUP BY ALL),
+r0 AS (SELECT s.items, s.listed AS verdict, count(*) AS both_, any_value(n.n) AS n FROM s JOIN n USING (items) GROUP BY ALL),
+r1 AS (SELECT items, verdict, both_ / n::DOUBLE AS confidence, n, both_ FROM r0 WHERE both_ >= greatest({url_filter.LEAST}, {url_filter.SUPPORT} * (SELECT total FROM m)) - 0.5),
+r2 AS (SELECT r1.*, (confidence + {_Z2} / (2 * n) - {url_filter.Z} * sqrt((confidence * (1 - confidence) + {_Z2} / (4 * n)) / n)) / (1 + {_Z2} / n) AS bound FROM r1),
+r3 AS (SELECT r2.* FROM r2 JOIN y USING (verdict) WHERE bound >= {url_filter.CONFIDENCE} AND bound >= {url_filter.LIFT} * share),
+r AS (SELECT * FROM r3 x WHERE NOT EXISTS (SELECT 1 FROM r3 z WHERE z.verdict = x.verdict AND len(z.items) < len(x.items) AND list_has_all(x.items, z.items) AND z.confidence >= x.confidence)),
+w AS (SELECT url, max(struct_pack(confidence := confidence, both_ := both_, verdict := verdict)) AS best FROM t JOIN r ON t.listed IS NULL AND list_has_all(t.tokens, r.items) GROUP BY url)
+SELECT page_id, a.host, a.path, t.rule, coalesce(t.listed, w.best.verdict, 'allow') AS verdict, CASE WHEN t.listed IS NULL THEN w.best.confidence END AS confidence
+FROM a JOIN t ON t.url IS NOT DISTINCT FROM a.url LEFT JOIN w ON w.url = a.url
+"""
+
 #: Each pair once, in double precision; components by a recursive union.
 OP8 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),

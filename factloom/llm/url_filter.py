@@ -1,9 +1,12 @@
-"""URL filters: list rules, and association rules that FP-growth mines from the urls that list rules decide.
+"""URL filters: list rules, and association rules that FP-growth mines from labelled urls.
 
 A url's tokens are the labels of its host and the parts of its path and query. Transactions are the distinct tokens of
-the decided urls plus one class token. Rules "tokens -> class" are kept by support and confidence, and only if no rule on
-fewer of the same tokens is as good. They match through an inverted index: each rule is posted under its rarest token, and
-a url that has that token is compared with the whole rule.
+the labelled urls plus one class token. Rules "tokens -> class" are kept by support and by the lower bound of their confidence,
+which must also beat the class's own share, and only if no rule on fewer of the same tokens is as good. They match through an
+inverted index: each rule is posted under its rarest token, and a url that has that token is compared with the whole rule.
+
+Labels are a table of urls and verdicts. Without one the list's own decisions are the labels; then all tokens that a list rule
+names are left out, because they would only restate the list.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: (verdict, host, path) of the standing list.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -44,35 +47,67 @@ def tokens_of(host: Column, path: Column, url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(mark("h:", F.split(host, r"\.")), mark("p:", F.split(path, "[/.]")), mark("q:", query))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.7) -> DataFrame:
-    """``labelled`` (tokens, verdict) to rules: antecedent array<string>, verdict, confidence, support, first (rarest token).
+#: A rule must hold for this share of the labelled urls and for so many of them.
+SUPPORT, LEAST = 0.01, 10
+#: The lower end of the 95 % interval of a rule's confidence must be above this, and above LIFT times the class's share.
+CONFIDENCE, Z, LIFT = 0.7, 1.96, 1.1
+
+
+def lower_bound(confidence: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share that was seen in ``n`` cases."""
+    z2 = z * z
+    return (confidence + z2 / (2 * n) - z * F.sqrt((confidence * (1 - confidence) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+
+
+def named_by(rules) -> list[str]:
+    """The tokens that list rules name."""
+    hosts = [f"h:{x}" for _, h, _ in rules for x in h.split(".") if x]
+    return sorted({*hosts, *[f"p:{x}" for _, _, p in rules for x in p.replace(".", "/").split("/") if x]})
 
-    Mining is distributed; the support, a share of the labelled urls, bounds how many items and item sets are frequent
-    (1 / support times the tokens of a url), so the table of rules is small at any size of input.
+
+def mine(labelled: DataFrame, min_support: float = SUPPORT, min_confidence: float = CONFIDENCE, least: int = LEAST, lift: float = LIFT) -> DataFrame:
+    """``labelled`` (tokens, verdict) to rules: antecedent array<string>, verdict, confidence, bound, support, first (rarest token).
+
+    Rows with a null verdict or no tokens are left out. Mining is distributed; the support, a share of the labelled urls,
+    bounds how many item sets are frequent (1 / support times the item sets of a url), so the table of rules is small at any
+    size of input. Rules on any number of tokens are kept.
     """
+    spark, empty = labelled.sparkSession, "antecedent array<string>, verdict string, confidence double, bound double, support double, first string"
+    labelled = materialize(labelled.where("verdict is not null and size(tokens) > 0"), "labelled")
+    share = {r.verdict: r.n for r in labelled.groupBy("verdict").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "verdict").limit(100).collect()}  # verdicts are few
+    total = sum(share.values())
+    if total < least:
+        return spark.createDataFrame([], empty)
     baskets = labelled.select(F.concat(F.col("tokens"), F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    if not baskets.head(1):
-        return baskets.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double, first string")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("="))))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "support")
-    rare = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = materialize(rules, "rules")
-    less = rules.select(F.col("antecedent").alias("a"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    # a rule on fewer of the same tokens that is as sure makes a longer one idle
-    inside = (F.size("a") < F.size("antecedent")) & (F.size(F.array_except("a", "antecedent")) == 0)
-    rules = rules.join(less, (F.col("v") == F.col("verdict")) & F.arrays_overlap("a", "antecedent") & inside & (F.col("c") >= F.col("confidence")), "left_anti")
+    # half a url less, so that rounding never asks for one more
+    model = FPGrowth(itemsCol="items", minSupport=(max(least, min_support * total) - 0.5) / total, minConfidence=min_confidence).fit(baskets)
+    sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    class_ = F.filter("items", lambda x: F.startswith(x, F.lit("=")))
+    whole = sets.where(F.size(class_) == 1).select(F.array_except("items", class_).alias("antecedent"), F.substring(class_[0], 2, 1 << 20).alias("verdict"), F.col("freq").alias("both")).where("size(antecedent) > 0")
+    rules = whole.join(sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("n")), "antecedent")
+    rules = rules.withColumn("confidence", F.col("both") / F.col("n")).withColumn("bound", lower_bound(F.col("confidence"), F.col("n")))
+    own = F.element_at(F.create_map(*[x for v, n in share.items() for x in (F.lit(v), F.lit(n / total))]), F.col("verdict"))
+    rules = rules.where((F.col("bound") >= min_confidence) & (F.col("bound") >= lift * own))
+    rare = sets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     posted = rules.withColumn("token", F.explode("antecedent")).join(rare, "token")
-    first = posted.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("first"))
-    return materialize(first, "rules")
-
-
-def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, default: str = "allow") -> DataFrame:
+    cols = ("antecedent", "verdict", "confidence", "bound", (F.col("both") / total).alias("support"))
+    first = materialize(posted.select(*cols, F.struct("freq", "token").alias("f")).groupBy("antecedent", "verdict", "confidence", "bound", "support").agg(F.min("f").alias("f")).select("antecedent", "verdict", "confidence", "bound", "support", F.col("f.token").alias("first")), "rules")
+    # a rule on fewer of the same tokens that is as sure makes a longer one idle; the same index finds the shorter ones
+    less = first.select(F.col("antecedent").alias("a"), F.col("verdict").alias("v"), F.col("confidence").alias("c"), F.col("first").alias("token"))
+    met = first.withColumn("token", F.explode("antecedent")).join(less, "token")
+    idle = met.where((F.col("v") == F.col("verdict")) & (F.size("a") < F.size("antecedent")) & (F.size(F.array_except("a", "antecedent")) == 0) & (F.col("c") >= F.col("confidence"))).select("antecedent", "verdict").distinct()
+    kept = materialize(first.join(idle, ["antecedent", "verdict"], "left_anti"), "rules")
+    discard(labelled, sets, first)
+    return kept
+
+
+def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, default: str = "allow", labels: DataFrame | None = None, **mining) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, confidence (null where a list rule or the default decides).
 
-    Null urls, and urls without ://, have empty host and path, no tokens and the default verdict. Of several mined rules
-    that match, the surest decides, then the one of more support, then block before allow. Repeated urls are judged once.
-    Other columns aren't read; an empty table gives no rows.
+    ``labels``: (url, verdict), a table of its own to mine from; without it the list's decisions are the labels (see above).
+    Null urls, and urls without ://, have empty host and path, no tokens and the default verdict. Of several mined rules that
+    match, the surest decides, then the one of more support, then the verdict that comes last by code point (block before
+    allow). Urls of any length are judged whole, repeated ones once. Other columns aren't read; an empty table gives no rows.
     """
     url = F.col("url")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"))
@@ -80,7 +115,12 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     urls = rows.groupBy("url").agg(F.count("*").alias("n")).select("url", host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = list_rule(F.col("host"), F.col("path"), rules)
     urls = materialize(urls.select("url", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens_of(F.col("host"), F.col("path"), url).alias("tokens")), "urls")
-    mined = mine(urls.where("listed is not null").select("tokens", F.col("listed").alias("verdict")))
+    if labels is None:
+        out = F.array(*[F.lit(x) for x in named_by(rules)]).cast("array<string>")
+        mined = mine(urls.select(F.array_except("tokens", out).alias("tokens"), F.col("listed").alias("verdict")), **mining)
+    else:
+        given = labels.select(F.col("url").alias("url"), "verdict")
+        mined = mine(given.select(tokens_of(host_of(url), path_of(url), url).alias("tokens"), "verdict"), **mining)
     open_ = urls.where("listed is null and size(tokens) > 0").select("url", "tokens", F.explode("tokens").alias("first"))
     hits = open_.join(mined, "first").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = hits.groupBy("url").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best"))

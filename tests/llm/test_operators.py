@@ -310,13 +310,45 @@ def test_url_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_url_rules_are_mined(spark):
-    labelled = [(f"http://s{i}.{'bad' if i % 2 else 'good'}.com/{'pills' if i % 2 else 'news'}/{i}", "block" if i % 2 else "allow") for i in range(200)]
-    df = spark.createDataFrame(labelled, "url string, verdict string")
+def plain_rules(labelled, support=0.01, confidence=0.7, least=10, lift=1.1, z=1.96):
+    """All sets of tokens of all labelled urls, and the rules on them that nothing shorter makes idle."""
+    rows = [(frozenset(t), v) for t, v in labelled if t and v]
+    n, both, of = {}, {}, {}
+    for t, v in rows:
+        of[v] = of.get(v, 0) + 1
+        for k in range(1, 1 << len(t)):
+            s = frozenset(x for i, x in enumerate(sorted(t)) if k >> i & 1)
+            n[s] = n.get(s, 0) + 1
+            both[s, v] = both.get((s, v), 0) + 1
+    out = {}
+    for (s, v), b in both.items():
+        c, m = b / n[s], n[s]
+        low = (c + z * z / (2 * m) - z * math.sqrt((c * (1 - c) + z * z / (4 * m)) / m)) / (1 + z * z / m)
+        if b >= max(least, support * len(rows)) - 0.5 and low >= confidence and low >= lift * of[v] / len(rows):
+            out[s, v] = (c, b / len(rows))
+    return {(s, v): x for (s, v), x in out.items() if not any(w == v and r < s and y[0] >= x[0] for (r, w), y in out.items())}
+
+
+def test_url_rules_match_brute_force(spark):
+    rng = np.random.default_rng(17)
+    urls = [f"http://{rng.choice(['pills', 'shop', 'news', 'blog'])}.{rng.choice(['aa', 'bb'])}.com/{rng.choice(['x', 'y', 'z'])}/{i % 7}?{rng.choice(['ref', 'id', 'page'])}=1" for i in range(600)]
+    verdict = ["block" if "pills" in u and rng.random() < 0.97 or "/z/" in u and "ref" in u else "allow" if rng.random() < 0.9 else "block" for u in urls]
+    df = spark.createDataFrame(list(zip(range(600), urls, verdict)), "page_id long, url string, verdict string")
     tokens = url_filter.tokens_of(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), F.col("url"))
-    rules = url_filter.mine(df.select(tokens.alias("tokens"), "verdict")).collect()
-    assert {(tuple(r.antecedent), r.verdict) for r in rules} >= {(("p:pills",), "block"), (("h:good",), "allow")}
-    assert all(r.confidence >= 0.7 and r.first in r.antecedent for r in rules)
+    labelled = [(r.t, r.verdict) for r in df.select(tokens.alias("t"), "verdict").collect()]
+    want = plain_rules(labelled)
+    got = url_filter.mine(df.select(tokens.alias("tokens"), "verdict")).collect()
+    assert want and {(frozenset(r.antecedent), r.verdict): (r.confidence, r.support) for r in got} == want and all(r.first in r.antecedent for r in got)
+    judged = {r.id: (r.verdict, r.confidence) for r in url_filter.judge(df, rules=(), labels=df).collect()}
+    for k, (t, _) in enumerate(labelled):
+        met = [(*x, v) for (s, v), x in want.items() if s <= set(t)]
+        assert judged[k] == ((max(met)[2], max(met)[0]) if met else ("allow", None))
+
+
+def test_url_rules_do_not_restate_the_list(spark):
+    df = spark.createDataFrame([(i, f"http://s{i % 3}.a.{('net', 'org', 'com', 'net', 'org')[i % 5]}/fr/{i}") for i in range(400)], "page_id long, url string")
+    assert all(r.verdict == "allow" and r.confidence is None for r in url_filter.judge(df).where("rule is null").collect())
+    assert "h:net" in url_filter.named_by(url_filter.RULES) and "p:fr" in url_filter.named_by(url_filter.RULES)
 
 
 def test_url_rules_on_many_tokens(spark):
@@ -327,6 +359,14 @@ def test_url_rules_on_many_tokens(spark):
     assert [(r.verdict, r.confidence) for r in rules if r.antecedent == four] == [("block", 1.0)]
 
 
+def test_url_labels_and_urls_that_are_odd(spark):
+    long_ = "http://a.com/" + "x/" * 5000 + "?" + "k=" * 300
+    df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, long_, "x"), (2, long_, "x"), (None, "http://a.com/", "x")], "page_id long, url string, verdict string")
+    for labels in (None, df, df.limit(0), df.selectExpr("url", "cast(null as string) verdict")):
+        got = url_filter.judge(df, labels=labels).collect()
+        assert len(got) == 5 and {r.verdict for r in got} == {"allow"}
+
+
 def test_url_tokens_that_differ_late(spark):
     urls = [("http://a.org/" + "s" * 64 + x,) for x in ("", "one", "two")]
     tokens = url_filter.tokens_of(F.lit(""), url_filter.path_of(F.col("url")), F.col("url"))
