@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, lean, materialize, settle
 from .graph import connected_components
 
 MAX_DISTANCE = 4
@@ -46,12 +46,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, fp), or (id, fp, digest of the text), for every row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
+        settle()
 
     also = [F.xxhash64(F.col(f"`{text_col}`")).alias("digest")] if digest else []
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *also)
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *also)
     return rows.mapInArrow(run, "id long, fp long, digest long" if digest else "id long, fp long")
 
 
@@ -79,6 +81,7 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _bucket_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, i, j, fp) sorted by bucket and tile pair to links; holds one tile pair at a time."""
+    lean()
     held: list[np.ndarray] = []
     at, u, v, n = None, [], [], 0
 
@@ -164,8 +167,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     docs = materialize(fingerprints(df, id_col, text_col, shingle, True), "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("z"), F.coalesce("id", F.lit(0).cast("long")).alias("k"), F.col("digest").alias("d")))
     named = _rooted(docs.groupBy("fp").agg(first.alias("first")))
-    found = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.z").alias("__z"), F.col("first.k").alias("__k"), F.col("first.d").alias("__d"))
+    # inner columns that no column of the table is named like
+    names = [free_name(df, n) for n in ("no_id", "id_or_0", "text_digest")]
+    found = named.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{x}").alias(n) for x, n in zip("zkd", names)])
     key = F.col(f"`{id_col}`").cast("long")
-    keyed = df.withColumns({"__z": key.isNull(), "__k": F.coalesce(key, F.lit(0).cast("long")), "__d": F.xxhash64(F.col(f"`{text_col}`"))})
-    kept = keyed.dropDuplicates(["__z", "__k", "__d"]).join(found, ["__z", "__k", "__d"], "left_semi")
+    keyed = df.withColumns(dict(zip(names, (key.isNull(), F.coalesce(key, F.lit(0).cast("long")), F.xxhash64(F.col(f"`{text_col}`"))))))
+    kept = keyed.dropDuplicates(names).join(found, names, "left_semi")
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])

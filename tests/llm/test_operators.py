@@ -440,8 +440,12 @@ def test_simhash_odd_rows(spark):
 def test_rows_without_ids_and_repeated_ids_are_kept_by_component(spark):
     texts = [f"{w} " * 9 + f"is text number {k} of those that {w} tells apart" for k, w in enumerate(["alpha", "beta", "gamma", "delta", "epsilon"])]
     rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 2), (None, texts[2], 3), (7, texts[2], 4), (8, texts[3], 5), (8, texts[4], 6), (8, texts[4], 6), (9, texts[4], 7)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(5))
-    assert kept.columns == ["doc_id", "text", "fp"] and sorted(r.fp for r in kept.collect()) == [1, 2, 4, 5, 6]
+    clashing = [(*r, "a", 5, 7) for r in rows]
+    kept = simhash.keep_one(spark.createDataFrame(clashing, "doc_id long, text string, fp int, no_id string, Id_Or_0 int, __k int").repartition(5))
+    assert kept.columns == ["doc_id", "text", "fp", "no_id", "Id_Or_0", "__k"] and sorted(r.fp for r in kept.collect()) == [1, 2, 4, 5, 6]
+    assert {(r[3], r[4], r[5]) for r in kept.collect()} == {("a", 5, 7)}
+    own = [(3, texts[0], 1), (5, texts[0], 2), (5, texts[1], 3), (5, texts[2], 4), (-(1 << 63), texts[3], 5), (None, texts[4], 6)]
+    assert sorted(r.fp for r in simhash.keep_one(spark.createDataFrame(own, "doc_id long, text string, fp int")).collect()) == [1, 3, 4, 5, 6]
 
 
 def test_components_of_a_long_path(spark):
