@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. The corpus is hashed to words once. Document frequencies count, for each hashed term, the passages of 32 words it is in.
-2. A distributed randomised decomposition: with A the TF-IDF matrix of all passages of the corpus (over the terms of the
-   benchmark) and of the benchmark's items, every partition adds its rows' share of A'(A R) for a random R; the driver
-   gets this sum, of fixed size, and takes the singular vectors from it (a Nystrom factorisation of A'A).
-3. Windows of 16, 32 and 64 words, every 8 words, whose TF-IDF weight lies in benchmark terms for a sufficient share are
-   projected, and their cosines with all items in the latent space give the candidates. So does, whatever it weighs, every
-   place in a text where SEED words of an item stand in the item's order, so that a verbatim item is always checked.
+2. A distributed randomised decomposition: with A the TF-IDF matrix of all passages of the corpus (its columns are the terms
+   of the benchmark; no other term can add to a product with an item) and of the benchmark's items, every partition adds its
+   rows' share of A'(A R) for a random R; the driver gets this sum, of fixed size, and takes the singular vectors from it (a
+   Nystrom factorisation of A'A). There is one decomposition, and one search, for a benchmark of up to ITEM_WORDS words.
+3. Windows of each item's own length, up to half as long again, are projected, and the cosines of their TF-IDF vectors (over
+   all terms) with the items, taken in the latent space, give the candidates. So does, whatever it weighs, every place in a
+   text where a run of an item's words stands in the item's order: runs are so short that a copy in which words are replaced,
+   but few enough to be sure (see SURE), always keeps one.
 4. Each candidate is checked on the words themselves: the longest common subsequence of item and passage, and for
    paraphrases also that of the item's answer (what follows "Answer:", or its last sentence).
 """
@@ -22,23 +24,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, free_name, lean, materialize, settle
 from .textnp import word_hashes
 from .wordstore import chunks, hashed_words, normal, sum_blocks
 
-TERM_BITS, PASSAGE, BLOCK, SPANS = 17, 32, 8, (2, 4, 8)
-#: Items are looked for in sets of so many, as many as there are latent dimensions, so that each set fits in memory and space.
-ITEMS = 256
-#: Words in more than this share of the passages are left out where the corpus is summed up for the latent space; the
-#: items' own rows, and the search, have them at their (low) weight.
-COMMON = 0.1
-SHARE, COSINE, SEED = 0.35, 0.6, 3
-#: An item of fewer words is too short to tell.
-LEAST_WORDS = 5
+TERM_BITS, PASSAGE, BLOCK = 17, 32, 8
+#: Dimensions of the latent space, and random directions beyond them.
+RANK, EXTRA = 96, 16
+#: A benchmark of more words is looked for in sets of so many, so that each set fits in memory.
+ITEM_WORDS = 1 << 16
+#: Least cosine of a window with an item.
+COSINE = 0.4
+#: An item of fewer words is too short to tell; around shorter items than SHORT less is searched.
+LEAST_WORDS, SHORT = 5, 16
 #: Common subsequence over item length: enough alone, or together with the answer's.
 SURE, PARAPHRASE, ANSWER = 0.75, 0.55, 0.6
 
 
+def span_of(n: int) -> int:
+    """Words of the windows in which an item of ``n`` words is looked for: 16, 24, 32, 48, 64, 96, ..."""
+    size = 2 * BLOCK
+    while size < n:
+        size = size * 3 // 2 if size & (size - 1) == 0 else size * 4 // 3
+    return size
+
+
+def run_length(n: int) -> int:
+    """Words of the runs by which an item of ``n`` words is looked for.
+
+    A copy that is sure has all but ``n - ceil(SURE * n)`` words; these part the item into one run more, the longest of
+    which has at least so many words. Three are enough for all lengths but 5 and 8.
+    """
+    missing = n - int(np.ceil(SURE * n))
+    return min(3, n // (missing + 1))
+
+
 def lcs_length(item_masks: dict[int, int], n: int, words: list[int]) -> int:
     """Longest common subsequence by bit-parallel dynamic programming; ``item_masks``: word to the bits of its places."""
     full = (1 << n) - 1
@@ -92,6 +112,7 @@ def document_frequencies(store: DataFrame) -> tuple[np.ndarray, int]:
     """(number of passages each hashed term is in, number of passages), over the whole corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         n, total = np.zeros(1 << TERM_BITS, np.int64), 0
         for _, words in chunks(batches):
             passage, seen = [], 0
@@ -115,12 +136,13 @@ def document_frequencies(store: DataFrame) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def runs(words: np.ndarray) -> np.ndarray:
-    """Digests of the runs of SEED words."""
-    n, out = max(0, len(words) - SEED + 1), np.zeros(max(0, len(words) - SEED + 1), np.uint64)
+def runs(words: np.ndarray, k: int) -> np.ndarray:
+    """Digests of the runs of ``k`` words."""
+    n = max(0, len(words) - k + 1)
+    out = np.full(n, k, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(SEED):
-            out = (out ^ words[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(k):
+            out = (out ^ words[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
     return out
 
@@ -128,70 +150,89 @@ def runs(words: np.ndarray) -> np.ndarray:
 class Items:
     """A set of benchmark items with their terms and latent vectors."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, common: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray):
         self.ids, self.idf = [r[0] for r in rows], idf.astype(np.float32)
         self.words = [w.tolist() for w in word_hashes([normal(t) for _, t in rows])]
         self.answers = [w.tolist() for w in word_hashes([normal(answer_of(t or "")) for _, t in rows])]
+        self.n = np.array([len(w) for w in self.words], np.int64)
         self.terms = np.unique(np.array([w for ws in self.words for w in ws], np.uint32))
-        seeds = [(int(h), i, k) for i, ws in enumerate(self.words) if len(ws) >= LEAST_WORDS for k, h in enumerate(runs(np.array(ws, np.uint32)))]
-        seeds.sort()
-        self.seeds, self.seed_item, self.seed_at = np.array([s[0] for s in seeds], np.uint64), np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
-        self.seeded = np.zeros(1 << 20, bool)
-        self.seeded[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
-        self.slot = np.full(1 << 22, -1, np.int32)
-        self.slot[(self.terms >> 10)[::-1]] = np.arange(len(self.terms), dtype=np.int32)[::-1]
-        self.weight, self.rare = self.idf[self.terms >> (32 - TERM_BITS)], ~common[self.terms >> (32 - TERM_BITS)]
-        self.rank, self.basis, self.latent = min(ITEMS, len(rows), len(self.terms)), None, None
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[(self.terms >> 12)[::-1]] = np.arange(len(self.terms), dtype=np.int32)[::-1]
+        self.weight = self.idf[self.terms >> (32 - TERM_BITS)]
+        self.rank, self.basis, self.latent = min(RANK, len(self.terms)), None, None
+        self.wanted = [i for i, ws in enumerate(self.words) if len(ws) >= LEAST_WORDS]
+        self.runs = {}
+        for k in sorted({run_length(len(self.words[i])) for i in self.wanted}):
+            found = sorted((int(h), i, at) for i in self.wanted if run_length(len(self.words[i])) == k for at, h in enumerate(runs(np.array(self.words[i], np.uint32), k)))
+            h, item, at = (np.array([f[c] for f in found], t) for c, t in enumerate((np.uint64, np.int64, np.int64)))
+            met = np.zeros(1 << 20, bool)
+            met[(h >> np.uint64(44)).astype(np.int64)] = True
+            self.runs[k] = (h, item, at, met)
+        self.spans: dict[int, np.ndarray] = {}
+        for i in self.wanted:
+            self.spans.setdefault(span_of(len(self.words[i])), []).append(i)
+        self.spans = {k: np.array(v) for k, v in self.spans.items()}
+        # whether an item has a term, by a digest of both: never no where the answer is yes
+        self.has = np.zeros(1 << 22, bool)
+        for i, ws in enumerate(self.words):
+            self.has[_pair(np.searchsorted(self.terms, np.array(ws, np.uint32)), i)] = True
+        self.masks, self.answer_masks = [masks(w) for w in self.words], [masks(w) for w in self.answers]
 
     def index(self, words: np.ndarray) -> np.ndarray:
-        """Places of words among the terms, -1 for others and for those without weight."""
-        at = self.slot[words >> 10]
+        """Places of words among the terms, -1 for others."""
+        at = self.slot[words >> 12]
         # two terms in one slot: the later one is looked up
-        known = at >= 0
-        k = at[known]
-        good = self.terms[k] == words[known]
-        miss = np.flatnonzero(~good)
+        known = np.flatnonzero(at >= 0)
+        miss = known[self.terms[at[known]] != words[known]]
         if len(miss):
-            w = words[known][miss]
+            w = words[miss]
             p = np.minimum(np.searchsorted(self.terms, w), len(self.terms) - 1)
-            k[miss] = np.where(self.terms[p] == w, p, -1)
-        k[k >= 0] = np.where(self.weight[k[k >= 0]] > 0, k[k >= 0], -1)
-        at[known] = k
+            at[miss] = np.where(self.terms[p] == w, p, -1)
         return at
 
+    def power(self, words: np.ndarray) -> np.ndarray:
+        """Squared weights of words, terms of the benchmark or not."""
+        return self.idf[words >> (32 - TERM_BITS)] ** 2
+
     def cosine(self, words: np.ndarray, item: int) -> float:
         at = self.index(words)
-        vec = self.basis[at[at >= 0]].sum(axis=0)
-        return float(vec @ self.latent[item] / max(np.linalg.norm(vec), 1e-9))
+        return float(self.basis[at[at >= 0]].sum(axis=0) @ self.latent[item] / max(float(self.power(words).sum()) ** 0.5, 1e-9))
 
-    def own_rows(self) -> np.ndarray:
-        out = np.zeros((len(self.words), len(self.terms)))
-        for i, ws in enumerate(self.words):
-            if ws:
-                at = np.searchsorted(self.terms, np.array(ws, np.uint32))
-                np.add.at(out[i], at, self.weight[at])
-        return out
+    def own_rows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each item's row of the matrix."""
+        for ws in self.words:
+            at, n = np.unique(np.searchsorted(self.terms, np.array(ws, np.uint32)), return_counts=True)
+            yield at, n * self.weight[at].astype(np.float64)
 
     def settle(self, sketch: np.ndarray, probes: np.ndarray) -> None:
         """Latent basis from the sketch A'A R of the corpus. The items are rows too, in weight equal to all of the corpus."""
-        own = self.own_rows()
-        energy, mine = float((sketch * probes).sum() / probes.shape[1]), float((own * own).sum())
-        y = sketch + max(1.0, energy / max(mine, 1e-9)) * (own.T @ (own @ probes))
+        own, mine = np.zeros(probes.shape), 0.0
+        for at, w in self.own_rows():
+            own[at] += w[:, None] * (w @ probes[at])[None]
+            mine += float(w @ w)
+        energy = float((sketch * probes).sum() / probes.shape[1])
+        y = sketch + max(1.0, energy / max(mine, 1e-9)) * own
         core = probes.T @ y
         value, vector = np.linalg.eigh((core + core.T) / 2)
         good = value > 1e-9 * max(value.max(), 1e-12)
         left = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0]
-        self.basis = np.ascontiguousarray(left[:, : self.rank]).astype(np.float32) * self.weight[:, None]
+        self.basis = np.ascontiguousarray(left[:, : self.rank] * self.weight[:, None]).astype(np.float32)
         raw = np.zeros((len(self.words), self.basis.shape[1]), np.float32)
         for i, ws in enumerate(self.words):
             if ws:
                 raw[i] = self.basis[np.searchsorted(self.terms, np.array(ws, np.uint32))].sum(axis=0)
         self.latent = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-9)
-        self.masks, self.answer_masks = [masks(w) for w in self.words], [masks(w) for w in self.answers]
 
 
-def _probes(items: Items, extra: int = 16, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(len(items.terms), min(items.rank + extra, max(1, len(items.terms))))).astype(np.float32)
+def _pair(term: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (np.asarray(term).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(item).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+    return (h >> np.uint64(42)).astype(np.int64)
+
+
+def _probes(items: Items, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(len(items.terms), min(items.rank + EXTRA, max(1, len(items.terms))))).astype(np.float32)
 
 
 def _sketch(store: DataFrame, items: Items) -> np.ndarray:
@@ -199,6 +240,7 @@ def _sketch(store: DataFrame, items: Items) -> np.ndarray:
     shared, rows = store.sparkSession.sparkContext.broadcast(items), 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         it = shared.value
         probes = _probes(it) * it.weight[:, None]
         total = np.zeros(probes.shape, np.float64)
@@ -206,7 +248,7 @@ def _sketch(store: DataFrame, items: Items) -> np.ndarray:
             at = it.index(np.concatenate(words))
             first = np.cumsum([0, *[-(-len(w) // PASSAGE) for w in words[:-1]]])
             tile = np.concatenate([f + np.arange(len(w)) // PASSAGE for f, w in zip(first, words)])
-            ok = (at >= 0) & it.rare[at]
+            ok = at >= 0
             at, tile = at[ok], tile[ok]
             if not len(at):
                 continue
@@ -217,92 +259,126 @@ def _sketch(store: DataFrame, items: Items) -> np.ndarray:
             total[at[order][by]] += segment_sums(y, place[order], by) * it.weight[at[order][by]][:, None]
         part, blocks = TaskContext.get().partitionId(), range(0, len(total), rows)
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([total[k : k + rows].tobytes() for k in blocks], pa.binary())], ["part", "block", "data"])
+        settle()
 
     got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f8")
+    shared.unpersist()
     probes = _probes(items)
     return np.concatenate([np.frombuffer(b, "<f8").reshape(-1, probes.shape[1]) for _, b in got]) if got else np.zeros(probes.shape)
 
 
-def _windows(words: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int, int, float]]:
-    """Candidates (text, first word, last word + 1, item, cosine) of some texts."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    blocks = -(-lengths // BLOCK)
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    flat = np.zeros(int(first[-1]) * BLOCK, np.uint32)
-    real = np.zeros(len(flat), bool)
-    where = np.repeat(first[:-1] * BLOCK - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
-    flat[where], real[where] = np.concatenate(words), True
-    at = np.full(len(flat), -1, np.int32)
-    at[where] = items.index(flat[where])
-    power = np.where(real, items.idf[flat >> (32 - TERM_BITS)], 0).astype(np.float64) ** 2
-    total = np.concatenate([[0], np.cumsum(power.reshape(-1, BLOCK).sum(axis=1))])
-    bench = np.concatenate([[0], np.cumsum(np.where(at >= 0, power, 0).reshape(-1, BLOCK).sum(axis=1))])
-    text = np.repeat(np.arange(len(words)), blocks)
-    begin = np.arange(int(first[-1]))
-    for span in SPANS:
-        end = np.minimum(begin + span, first[text + 1])
-        share = bench[end] - bench[begin]
-        good = np.flatnonzero((share > 0) & (share >= SHARE * (total[end] - total[begin])))
-        for k in range(0, len(good), 4096):
-            b = good[k : k + 4096]
-            held = (b * BLOCK)[:, None] + np.arange(span * BLOCK)
-            held = np.where(held < (end[b] * BLOCK)[:, None], at[np.minimum(held, len(at) - 1)], -1)
-            # a good window has a benchmark term
-            vec = segment_sums(items.basis, held[held >= 0], np.concatenate([[0], np.cumsum((held >= 0).sum(axis=1))[:-1]]))
-            vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-9)
-            cosine = vec @ items.latent.T
-            for n, i in zip(*np.nonzero(cosine >= COSINE)):
-                t, s = int(text[b[n]]), int(b[n] - first[text[b[n]]]) * BLOCK
-                yield t, s, s + int(end[b[n]] - b[n]) * BLOCK, int(i), float(cosine[n, i])
-
-
-def _seeds(words: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int, int]]:
-    """Candidates (text, first word, last word + 1, item) where runs of an item's words are, each place once."""
-    flat = np.concatenate(words)
-    ends = np.cumsum([len(w) for w in words])
-    h = runs(flat)
-    at = np.flatnonzero(items.seeded[(h >> np.uint64(44)).astype(np.int64)])
-    low, high = np.searchsorted(items.seeds, h[at]), np.searchsorted(items.seeds, h[at], "right")
-    text = np.searchsorted(ends, at, "right")
-    ok = (high > low) & (at + SEED <= ends[np.minimum(text, len(ends) - 1)])
-    at, low, n, text = at[ok], low[ok], (high - low)[ok], text[ok]
-    k = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-    text, item = np.repeat(text, n), items.seed_item[k]
-    begin = np.maximum(np.repeat(at, n) - items.seed_at[k] - np.concatenate([[0], ends[:-1]])[text], 0)
-    for t, i, s in np.unique(np.stack([text, item, begin], axis=1), axis=0).tolist():
-        yield t, s, min(s + len(items.words[i]), len(words[t])), i
-
-
-def check(words: np.ndarray, start: int, end: int, item: int, items: Items) -> tuple[float, float]:
-    """Shares of the item and of its answer that the window, widened by the item's length, has in order."""
+class Chunk:
+    """Some texts, their words one after the other, and the places of these among the terms."""
+
+    def __init__(self, words: list[np.ndarray], items: Items):
+        self.items, self.flat = items, np.concatenate(words)
+        self.end = np.cumsum([len(w) for w in words])
+        self.start = self.end - [len(w) for w in words]
+        self.at = items.index(self.flat)
+
+    def by_runs(self) -> Iterator[np.ndarray]:
+        """Candidates (text, item, first word) where runs of an item's words are; the first word may be before the text."""
+        for k, (known, item, place, met) in self.items.runs.items():
+            h = runs(self.flat, k)
+            at = np.flatnonzero(met[(h >> np.uint64(44)).astype(np.int64)])
+            low, high = np.searchsorted(known, h[at]), np.searchsorted(known, h[at], "right")
+            text = np.searchsorted(self.end, at, "right")
+            ok = (high > low) & (at + k <= self.end[np.minimum(text, len(self.end) - 1)])
+            at, low, n, text = at[ok], low[ok], (high - low)[ok], text[ok]
+            if len(at):
+                j = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                yield np.stack([np.repeat(text, n), item[j], np.repeat(at, n) - place[j] - self.start[np.repeat(text, n)]], axis=1)
+
+    def by_cosine(self) -> Iterator[np.ndarray]:
+        """Candidates (text, item, first word): of overlapping windows that are like an item, the one most like it."""
+        it, length = self.items, self.end - self.start
+        blocks = -(-length // BLOCK)
+        first = np.concatenate([[0], np.cumsum(blocks)])
+        text = np.repeat(np.arange(len(length)), blocks)
+        block = np.repeat(first[:-1], length) + (np.arange(len(self.flat)) - np.repeat(self.start, length)) // BLOCK
+        ok = np.flatnonzero(self.at >= 0)
+        if not len(ok):
+            return
+        sums = np.zeros((int(first[-1]) + 1, it.basis.shape[1]))
+        starts = np.flatnonzero(np.diff(block[ok], prepend=-1))
+        sums[block[ok][starts] + 1] = segment_sums(it.basis, self.at[ok], starts)
+        np.cumsum(sums, axis=0, out=sums)
+        power = np.concatenate([[0], np.cumsum(np.bincount(block, it.power(self.flat), int(first[-1])))])
+        for span, own in it.spans.items():
+            size, latent = span // BLOCK, it.latent[own].T.astype(np.float64)
+            step = max(1, size // 8)
+            begin = np.flatnonzero((np.arange(len(text)) - first[text]) % step == 0)
+            found = []
+            for b in np.array_split(begin, -(-len(begin) // 8192)):
+                e = np.minimum(b + size, first[text[b] + 1])
+                cosine = (sums[e] - sums[b]) @ latent / np.sqrt(np.maximum(power[e] - power[b], 1e-9))[:, None]
+                w, i = np.nonzero(cosine >= COSINE)
+                found.append(np.stack([text[b[w]], own[i], (b[w] - first[text[b[w]]]) * BLOCK, -cosine[w, i] * 1e6], axis=1).astype(np.int64))
+            f = np.concatenate(found)
+            f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
+            if len(f):  # windows of one text and item that overlap
+                cut = np.flatnonzero((np.diff(f[:, 0], prepend=-1) != 0) | (np.diff(f[:, 1], prepend=-1) != 0) | (np.diff(f[:, 2], prepend=0) > span // 2))
+                group = np.cumsum(np.isin(np.arange(len(f)), cut)) - 1
+                best = f[np.lexsort((f[:, 3], group))]
+                yield best[np.concatenate([[0], np.flatnonzero(np.diff(np.sort(group))) + 1]), :3]
+
+    def candidates(self) -> np.ndarray:
+        """Distinct candidates (text, item, first word) whose window has enough of the item's words to be one."""
+        found = [*self.by_runs(), *self.by_cosine()]
+        if not found:
+            return np.zeros((0, 3), np.int64)
+        c = np.unique(np.concatenate(found), axis=0)
+        good = np.zeros(len(c), bool)
+        n = self.items.n[c[:, 1]]
+        for span in np.unique(n).tolist():
+            which = np.flatnonzero(n == span)
+            for k in range(0, len(which), max(1, (1 << 20) // (4 * span))):
+                some = which[k : k + max(1, (1 << 20) // (4 * span))]
+                low, high = self.window(*c[some].T)
+                at = low[:, None] + np.arange(int((high - low).max()))
+                term = np.where(at < high[:, None], self.at[np.minimum(at, len(self.at) - 1)], -1)
+                has = self.items.has[_pair(np.maximum(term, 0), c[some, 1][:, None])] & (term >= 0)
+                good[some] = has.sum(axis=1) >= PARAPHRASE * span
+        return c[good]
+
+    def window(self, text: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place + 1, in all words, of what is compared with the item: the window, and as much around it."""
+        n = self.items.n[item]
+        wide, span = np.where(n < SHORT, n // 2, n), np.where(n < SHORT, n, n + n // 2)
+        at = self.start[text] + begin
+        return np.maximum(at - wide, self.start[text]), np.minimum(at + span + wide, self.end[text])
+
+
+def check(words: list[int], item: int, items: Items) -> tuple[float, float]:
+    """Shares of the item and of its answer that some words have in order."""
     n, a = len(items.words[item]), len(items.answers[item])
-    part = words[max(0, start - n) : end + n].tolist()
-    return lcs_length(items.masks[item], n, part) / n, lcs_length(items.answer_masks[item], a, part) / a if a else 0.0
+    return lcs_length(items.masks[item], n, words) / n, lcs_length(items.answer_masks[item], a, words) / a if a else 0.0
+
+
+def is_copy(share: float, answer: float) -> bool:
+    return share >= SURE or share >= PARAPHRASE and answer >= ANSWER
 
 
 def _search(store: DataFrame, items: Items) -> DataFrame:
     shared = store.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         it = shared.value
         for ids, words in chunks(batches):
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for t, s, e, i in _seeds(words, it):
-                if best.get((t, i), (0,))[0] == 1.0:
-                    continue
-                share, answer = check(words[t], s, e, i, it)
-                if share >= SURE or share >= PARAPHRASE and answer >= ANSWER:
-                    best[t, i] = max(best.get((t, i), (0.0, 0.0, 0.0)), (share, answer, it.cosine(words[t][s:e], i)))
-            for t, s, e, i, cosine in _windows(words, it):
-                if len(it.words[i]) < LEAST_WORDS or best.get((t, i), (0,))[0] == 1.0:
-                    continue
-                share, answer = check(words[t], s, e, i, it)
-                if share >= SURE or share >= PARAPHRASE and answer >= ANSWER:
-                    best[t, i] = max(best.get((t, i), (0.0, 0.0, 0.0)), (share, answer, cosine))
-            rows = [(ids[t], it.ids[i], *v) for (t, i), v in best.items()]
-            if rows:
+            chunk, best = Chunk(words, it), {}
+            found = chunk.candidates()
+            low, high = chunk.window(*found.T) if len(found) else ((), ())
+            for (t, i, _), s, e in zip(found.tolist(), low, high):
+                if best.get((t, i), (0,))[0] < 1.0:
+                    share, answer = check(chunk.flat[s:e].tolist(), i, it)
+                    if is_copy(share, answer) and (share, answer) > best.get((t, i), (0.0, 0.0))[:2]:
+                        best[t, i] = (share, answer, s, e)
+            if best:
+                rows = [(ids[t], it.ids[i], share, answer, it.cosine(chunk.flat[s:e], i)) for (t, i), (share, answer, s, e) in best.items()]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], ["id", "item_id", "lcs_share", "answer_share", "cosine"])
+        settle()
 
     return store.mapInArrow(run, "id long, item_id long, lcs_share double, answer_share double, cosine double")
 
@@ -310,37 +386,41 @@ def _search(store: DataFrame, items: Items) -> DataFrame:
 def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, lcs_share, answer_share, cosine): one row for each document row and item that it contains.
 
-    Null and empty texts contain nothing; items that are null, or have fewer than five words, are not looked for. Rows
-    that repeat a document each get their rows; a repeated item is one item per row. Only the named columns are read.
-    An empty table on either side gives no rows. The benchmark is read in sets of fixed size, one search each, so no
-    broadcast grows with it.
+    Null and empty texts contain nothing; items that are null, or have fewer than five words, are not looked for. Texts of
+    any length are searched whole. Rows that repeat a document each get their rows; a repeated item is one item per row. Only
+    the named columns are read. An empty table on either side gives no rows. The benchmark is read in sets of bounded
+    size, one decomposition and one search each, so no broadcast grows with it.
     """
     spark, schema = df.sparkSession, "id long, item_id long, lcs_share double, answer_share double, cosine double"
     store = hashed_words(df, id_col, text_col)
     n, total = document_frequencies(store)
-    idf, common = np.log((1.0 + total) / (1.0 + n)), n > COMMON * max(total, 100)
+    idf = np.log((1.0 + total) / (1.0 + n))
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null").orderBy("i", "t")
-    out, group = spark.createDataFrame([], schema), []
+    out, group, held = spark.createDataFrame([], schema), [], 0
 
     def flush(out: DataFrame) -> DataFrame:
-        items = Items(group, idf, common)
-        if not len(items.terms):
+        items = Items(group, idf)
+        if not items.wanted:
             return out
         items.settle(_sketch(store, items), _probes(items))
         return out.union(_search(store, items))
 
     for r in rows.toLocalIterator():
         group.append((r.i, r.t))
-        if len(group) == ITEMS:
-            out, group = flush(out), []
+        held += len(r.t.split())
+        if held >= ITEM_WORDS:
+            out, group, held = flush(out), [], 0
     found = materialize(flush(out) if group else out, "contaminated")
     discard(store)  # as large as the words of the corpus; what was found is written
     return found
 
 
 def clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id isn't among those found, with the same columns; rows with a null id are judged by text."""
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
-    keyed = df.withColumn("__k", key)
-    found = find(keyed, benchmark, "__k", text_col).select(F.col("id").alias("__k")).distinct()
-    return keyed.join(found, "__k", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` whose text contains no item, with the same columns.
+
+    Rows are judged by their texts, told apart by a digest, so neither null nor repeated ids matter. Null texts stay.
+    """
+    name = free_name(df, "text_digest")
+    keyed = df.withColumn(name, F.xxhash64(F.col(f"`{text_col}`")))
+    found = find(keyed, benchmark, name, text_col).select(F.col("id").alias(name)).distinct()
+    return keyed.where(F.col(f"`{text_col}`").isNull()).unionByName(keyed.where(F.col(f"`{text_col}`").isNotNull()).join(found, name, "left_anti")).select(*[F.col(f"`{c}`") for c in df.columns])

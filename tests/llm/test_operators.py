@@ -129,7 +129,55 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, texts):
     assert exact <= found and len(found - exact) <= 1
 
 
-def test_decontamination_finds_short_and_often_copied_items(spark):
+@pytest.mark.parametrize("words", [5, 6, 8, 12, 20, 60, 300, 1000])
+def test_decontamination_recall_by_length(spark, words):
+    """Verbatim copies, and copies with one word in five changed, of items of each length; texts that hold none."""
+    rng = np.random.default_rng(words)
+    names = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(4000)])
+    share = 1 / np.arange(1, 4001)
+    text = lambda n: names[rng.choice(4000, n, p=share / share.sum())].tolist()
+    items = [(k, text(words)) for k in range(10)]
+    rows, want = [], {True: set(), False: set()}
+    for k in range(120):
+        body, at = text(int(rng.integers(20, 300))), int(rng.integers(0, 20))
+        if k < 40:
+            item = list(items[k % 10][1])
+            if k >= 20:
+                for place in rng.choice(words, words // 5, replace=False):
+                    item[place] = "new" + names[rng.integers(4000)]
+            want[k < 20].add((k, k % 10))
+            body = body[:at] + item + body[at:]
+        rows.append((k, " ".join(body)))
+    got = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()
+    found = {(r.id, r.item_id) for r in got}
+    assert all(len(found & w) >= 0.9 * len(w) for w in want.values()), {k: len(found & w) / len(w) for k, w in want.items()}
+    # common words in the order of a short item are found, too, and are copies by the same measure
+    assert words < 12 or found <= want[True] | want[False]
+
+
+def test_decontamination_matches_brute_force(spark, docs, texts):
+    """The measure over all places of all documents for all items; nothing is pre-selected."""
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    hashes = lambda t: textnp.word_hashes([(t or "").lower().encode()])[0].tolist()
+    words, want, may = {d: hashes(t) for d, t in texts.items()}, set(), set()
+    for r in bench.collect():
+        item, answer = hashes(r.text), hashes(decontaminate.answer_of(r.text))
+        m, ma, n = decontaminate.masks(item), decontaminate.masks(answer), len(item)
+        for d, ws in words.items():
+            if decontaminate.lcs_length(m, n, ws) < decontaminate.PARAPHRASE * n:
+                continue
+            for around, out in ((n, want), (2 * n, may)):  # the item's own length, and all that a check may look at
+                for s in range(0, len(ws), 1):
+                    part = ws[max(0, s - (around - n) // 2) : s + n + (around - n)] if around > n else ws[s : s + n + n // 2]
+                    if decontaminate.is_copy(decontaminate.lcs_length(m, n, part) / n, decontaminate.lcs_length(ma, len(answer), part) / max(1, len(answer))):
+                        out.add((d, r.item_id))
+                        break
+    got = {(r.id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
+    assert want and len(want & got) >= 0.9 * len(want), sorted(want - got)
+    assert len(got - may - want) <= 0.1 * len(got), sorted(got - may)
+
+
+def test_decontamination_finds_often_copied_items(spark):
     rng = np.random.default_rng(13)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
     items = [(n, " ".join(word() for _ in range(n))) for n in (5, 6, 8, 15)]
@@ -139,6 +187,25 @@ def test_decontamination_finds_short_and_often_copied_items(spark):
     assert got == {(k, items[k % 4][0], 1.0) for k in range(0, 120, 3)}
 
 
+def test_decontamination_in_sets_of_items(spark, docs):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    pairs = lambda: {(r.id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
+    whole, old = pairs(), decontaminate.ITEM_WORDS
+    decontaminate.ITEM_WORDS = 500
+    try:
+        assert pairs() >= {p for p in whole} - set(sorted(whole)[:1])
+    finally:
+        decontaminate.ITEM_WORDS = old
+
+
+def test_clean_judges_rows_by_their_texts(spark):
+    item = "seven words that nobody else writes here"
+    rows = [(5, item, 1, "x"), (5, "a clean text under the same id", 2, "x"), (None, f"well {item} well", 3, "x"), (None, "a clean text without an id", 4, "x"), (None, None, 5, "x"), (6, "", 6, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k int, text_digest string")
+    kept = decontaminate.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r[2] for r in kept.collect()) == [2, 4, 5, 6] and {r.text_digest for r in kept.collect()} == {"x"}
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, None, 1), (2, "too short", 1), (3, "the quick brown fox jumps over it", 1), (3, "the cat sat on the mat", 1)], "item_id long, text string, id int")
     got = {(r.id, r.item_id) for r in decontaminate.find(odd(spark), bench).collect()}
