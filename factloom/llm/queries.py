@@ -113,13 +113,14 @@ def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
 
 _TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 OP4 = f"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id::VARCHAR, chr(1)) AS repo, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, md5(coalesce(text, '')) AS repo, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(_sql_spans(k, p, g, n) for k, (p, g, n) in secret_scan.BASE.items())}),
 tok AS (SELECT x.* FROM ({_sql_spans("owned", _TOKEN, 0, 20)}) x WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.k = x.k AND b.start < x."end" AND x.start < b."end")),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM tok),
-held AS (SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repo)) AS n_repos FROM every GROUP BY value),
-judged AS (SELECT e.*, h.n_owners <= {secret_scan.MAX_OWNERS} AND h.n_repos <= {secret_scan.MAX_REPOS} AS live, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS r,
+owned AS (SELECT owner, count(DISTINCT repo) AS n FROM d GROUP BY owner),
+held AS (SELECT value, count(*) AS n_owners, sum(repos) AS n_repos, sum(n) AS n_all FROM (SELECT value, owner, count(DISTINCT repo) AS repos FROM every GROUP BY ALL) JOIN owned USING (owner) GROUP BY value),
+judged AS (SELECT e.*, h.n_owners <= {secret_scan.MAX_OWNERS} AND h.n_repos <= greatest({secret_scan.MAX_REPOS}, {secret_scan.MAX_SHARE}::DOUBLE * h.n_all) AS live, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 ELSE 3 END AS r,
     kind || ':' || start || ':' || "end" AS said FROM every e JOIN held h USING (value)),
 g AS (SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(said, ',' ORDER BY start, r) FILTER (kind <> 'owned') AS base, string_agg(said, ',' ORDER BY start, r) FILTER (kind <> 'owned' OR live) AS spans,

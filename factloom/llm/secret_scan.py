@@ -1,8 +1,10 @@
 """Secret scans in SQL functions alone, judged by corpus-wide ownership.
 
 Three kinds of base spans (assign, access, hex) are found by fixed patterns. The method adds spans of kind ``owned``:
-long mixed tokens outside the base spans whose digest few owners have in the whole corpus. A digest that many owners or
-repositories share is a copied example. Base spans are judged in the same way, but always stay.
+long mixed tokens outside the base spans whose digest few owners have in the whole corpus. A digest that many owners
+share is a copied example, and so is one that a large part of its owners' repositories hold, like a line of a site's template.
+Copies of one text are one repository, so a live value doesn't become an example by being copied. Base spans are judged in
+the same way, but always stay.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ BASE = {
 FAST = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 #: What the method looks at beside the base kinds: tokens of 20 characters and more with a digit and a letter.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-#: A value that more owners or more repositories have is a copied example.
-MAX_OWNERS, MAX_REPOS = 2, 8
+#: A value that more owners have is a copied example; so is one in more than so many repositories, if they are more than
+#: this share of all repositories of its owners.
+MAX_OWNERS, MAX_REPOS, MAX_SHARE = 2, 8, 0.01
+#: Matches whose offsets are summed up in one go; the sums of these groups are summed up again, so that work grows with the matches.
+GROUP = 256
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -34,7 +39,8 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.zip_with(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), values, lambda s, v: F.struct(s.g.alias("g"), s.m.alias("m"), v.alias("v")))
-    empty = F.array().cast("array<struct<start:bigint,kind:string,end:bigint,value:string>>")
+    kind_of = "array<struct<start:bigint,kind:string,end:bigint,value:string>>"
+    empty = F.array().cast(kind_of)
     first = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -42,7 +48,17 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         one = F.array(F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), s.v.alias("value")))
         return F.struct(end.cast("long").alias("at"), F.when(F.length(s.v) >= least, F.concat(acc.out, one)).otherwise(acc.out).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, first, step, lambda acc: acc.out)).otherwise(empty)
+    def groups(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / GROUP).cast("int")), lambda c: F.aggregate(F.slice(all_, c * GROUP + 1, F.lit(GROUP)), first, step))
+
+    def shifted(parts: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(parts, none, lambda acc, c: F.struct((acc.at + c.at).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+        move = lambda x, by: F.struct((x.start + by).alias("start"), x.kind.alias("kind"), (x.end + by).alias("end"), x.value.alias("value"))
+        return F.flatten(F.zip_with(parts, starts, lambda c, by: F.transform(c.out, lambda x: move(x, by)))).cast(kind_of)
+
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(text.rlike(pattern), once(steps, lambda all_: once(groups(all_), shifted))).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:
@@ -56,18 +72,20 @@ def _ordered(spans: Column) -> Column:
     return F.array_sort(keyed)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base (spans), added (spans with owners), n_live, n_example.
 
-    Null and empty texts have no spans. A null repository or owner counts as one of its own. Repeated rows get equal
-    results. Only the named columns are read. The texts are read once and never shuffled: what crosses the network is
-    one row per distinct (digest, owner, repository), counted before the shuffle, and one row per document.
+    ``repo_col``: what tells repositories of an owner apart; without it each distinct text is one. Null and empty texts have
+    no spans. A null repository or owner counts as one of its own. Texts of any length are scanned whole. Repeated rows get
+    equal results. Only the named columns are read. The texts are read once and never shuffled: what crosses the network
+    is one row per distinct (digest, owner, repository), counted before the shuffle, and one row per document.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    repo = F.coalesce(F.col(f"`{repo_col}`").cast("string"), F.lit("\x00")) if repo_col else F.xxhash64(text).cast("string")
     base = [_spans(text, k, FAST.get(k, p), g, n) for k, (p, g, n) in BASE.items()]
     tokens = _spans(text, "owned", TOKEN, 0, 20)
     docs = df.select(
-        F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{repo_col}`").cast("string"), F.lit("\x00")).alias("repo"), F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("\x00")).alias("owner"),
+        F.col(f"`{id_col}`").alias("id"), repo.alias("repo"), F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("\x00")).alias("owner"),
         *[b.alias(k) for b, k in zip(base, BASE)], tokens.alias("tokens"))
     digest = lambda s: F.struct(s.start, s.kind, s.end, F.sha2(s.value, 256).alias("value"))
     docs = docs.withColumn("base", F.concat(*BASE))
@@ -79,8 +97,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col
     each = docs.where(F.size(spans) > 0).select("key", "repo", "owner", F.explode(spans).alias("s"))
     each = each.select("key", "repo", "owner", F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
     held = each.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    held = held.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
-    live = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOS)
+    owned = docs.groupBy("owner", "repo").agg(F.lit(1).alias("one")).groupBy("owner").agg(F.count("*").alias("all"))
+    held = held.join(owned, "owner").groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("all").alias("n_all"))
+    live = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= F.greatest(F.lit(float(MAX_REPOS)), MAX_SHARE * F.col("n_all")))
     judged = each.select("key", "start", "kind", "end", "value").distinct().join(held, "value").withColumn("live", live)
     by_key = judged.groupBy("key").agg(
         F.collect_list(F.when((F.col("kind") == "owned") & F.col("live"), F.struct("start", "kind", "end", "value"))).alias("added"),

@@ -332,6 +332,25 @@ def test_copied_examples_are_told_from_live_values(spark):
     assert got[0] == (1, 0) and got[3] == (0, 1)
 
 
+def test_copies_of_a_text_and_large_owners_keep_live_values(spark):
+    key = "token=Zx81kQpL0aT7mNb2Rw6Y"
+    copies = [(i, f"a text with {key} in it", "one", "r", 1) for i in range(40)]
+    template = [(100 + i, f"page {i} of a site, footer token=abcdef0123456789", "site", "r", 1) for i in range(40)]
+    large = [(1000 + i, f"file {i} " + (f"secret: live{i % 2}live00000000" if i < 18 else ""), "large", "r", 1) for i in range(2000)]
+    df = spark.createDataFrame(copies + template + large, "doc_id long, text string, source string, key string, live int")
+    got = {r.id: (r.n_live, r.n_example) for r in secret_scan.scan(df).collect()}
+    assert {got[i] for i in range(40)} == {(1, 0)} and {got[100 + i] for i in range(40)} == {(0, 1)} and {got[1000 + i] for i in range(18)} == {(1, 0)}
+
+
+def test_secrets_of_odd_rows_and_of_a_text_full_of_them(spark):
+    o = odd(spark)
+    got = secret_scan.scan(o).collect()
+    assert len(got) == 11 and all(not r.base for r in got) and secret_scan.scan(none(spark)).count() == 0
+    text = " é".join(f"token: value{k:08d}" if k % 3 else "AKIA" + f"{k:016d}" for k in range(3000))
+    row = secret_scan.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()
+    assert sorted((s.start, s.kind, s.end) for s in row.base) == spans(text) and len(row.base) == 3000
+
+
 # -- 5 --------------------------------------------------------------------------------------------------------------------
 
 
