@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, language_id, mixing, queries, simhash, token_output
-from factloom.llm.common import materialize, table
+from factloom.llm.common import discard, materialize, table
 
 #: Some stages can't be expressed in SQL (a trained model, XXH64, a tokenizer); tests compare them with brute force.
 ORACLE_SQL = None
@@ -42,8 +42,11 @@ STAGES = [("language", known_language), ("near_dedup", near_dedup), ("decontamin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars"))
+    """All stages in order; each result is written as Parquet and read again, and deleted once the next one is written."""
+    docs, written = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)
+        written = docs
     return docs
