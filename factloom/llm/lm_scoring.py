@@ -1,8 +1,8 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A window network predicts a masked word from the two words on either side: one learned row per word, turned by a matrix per
-position, sums to a hidden layer; the output is a softmax over classes of words and one over the words of the class, with a
-learned row for each class and each word, which starts at the corpus' own frequencies. The corpus is dealt into shards by
+A window network predicts a masked word from the two words on either side: a hidden layer sums one learned row per position
+and word; the output is a softmax over classes of words and one over the words of the class, with a learned row for each class
+and each word, whose biases start at the corpus' own frequencies. The corpus is dealt into shards by
 digests of its documents. Each round masks its own part of the positions, and the rounds together predict every position of
 every document: each shard trains from the common parameters, and the results are averaged by number of targets. Scoring then
 predicts every word of every text from both sides and sums the log-probabilities.
@@ -10,7 +10,7 @@ predicts every word of every text from both sides and sums the log-probabilities
 The MOST frequent of the words that the corpus has LEAST times have ids of their own, so the number of ids grows with the
 corpus up to a bound that a broadcast can hold. Other words share hashed buckets, and have a probability of their own in the
 bucket: their share of its words in the whole corpus. This table has all such words, is never gathered, and is joined to
-the words of the texts, so every word is scored with its own probability.
+the distinct words of pieces of the corpus, so every word is scored with its own probability.
 
 Shards, their order and what is masked come from digests of the documents alone, so neither partitions nor the order of rows
 change the parameters.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,10 @@ from .textnp import word_hashes
 from .wordstore import chunks, normal, sum_blocks
 
 #: A word that occurs so often has an id of its own, if it is one of the MOST frequent.
-LEAST, MOST = 500, 1 << 15
+LEAST, MOST = 500, 1 << 13
 #: Buckets of the other words.
 BUCKETS = 512
-HIDDEN, SIDE = 32, 2
+HIDDEN, SIDE = 16, 2
 RATE, FLOOR = 0.1, 1e-9
 OFFSETS = (-2, -1, 1, 2)
 #: The largest and the smallest batch; a shard that is small has smaller batches, for as many steps.
@@ -43,19 +44,20 @@ BATCH, LEAST_BATCH = 8192, 256
 ENOUGH_WORDS, EPOCHS = 2_000_000, 8
 #: Bytes of text of a shard: its share of the root of the corpus, but no more than the second.
 SHARD_BYTES, MOST_SHARD_BYTES = 100_000, 50_000_000
+#: Words of a piece of the corpus, whose distinct rare words are looked up together.
+PIECE = 2_000_000
 
 
 class Net:
-    """Parameters in one flat array; ``n``: number of ids, buckets included."""
+    """Parameters in one flat array; ``n``: number of ids, buckets included. The last column of output rows is the bias."""
 
     def __init__(self, n: int, flat: np.ndarray | None = None, seed: int = 5):
         self.n, self.side = n, max(2, math.ceil(n**0.5))
         self.classes, self.edge = -(-n // self.side), n
-        sizes = {"rows": (n + 1, HIDDEN), "turn": (len(OFFSETS), HIDDEN, HIDDEN), "bias": (HIDDEN,), "of_class": (self.classes, HIDDEN), "class_bias": (self.classes,), "of_word": (self.classes, self.side, HIDDEN), "word_bias": (self.classes, self.side)}
+        sizes = {"rows": (len(OFFSETS) * (n + 1), HIDDEN), "bias": (HIDDEN,), "of_class": (self.classes, HIDDEN + 1), "of_word": (self.classes, self.side, HIDDEN + 1)}
         if flat is None:
             rng = np.random.default_rng(seed)
-            scale = {"rows": 0.3, "turn": HIDDEN**-0.5}
-            flat = np.concatenate([(rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).ravel() for k, s in sizes.items()])
+            flat = np.concatenate([rng.normal(0, 0.3, s).ravel() if k == "rows" else np.zeros(math.prod(s)) for k, s in sizes.items()])
         self.flat, at = flat.astype(np.float32), 0
         for k, s in sizes.items():
             size = math.prod(s)
@@ -67,87 +69,91 @@ class Net:
         mass = np.full(self.classes * self.side, 1e-3)
         mass[: len(counts)] += counts
         mass = mass.reshape(self.classes, self.side)
-        self.class_bias[:] = np.log(mass.sum(axis=1) / mass.sum())
-        self.word_bias[:] = np.log(mass / mass.sum(axis=1, keepdims=True))
-
-    def hidden(self, seen: np.ndarray) -> np.ndarray:
-        return np.tanh(np.matmul(seen, self.turn).sum(axis=0) + self.bias)
+        self.of_class[:, -1] = np.log(mass.sum(axis=1) / mass.sum())
+        self.of_word[:, :, -1] = np.log(mass / mass.sum(axis=1, keepdims=True))
+
+    def hidden(self, keys: np.ndarray) -> np.ndarray:
+        """The hidden layer, and a column of ones behind it; ``keys``: rows by position of the window and target."""
+        h = np.ones((keys.shape[1], HIDDEN + 1), np.float32)
+        a = self.rows[keys[0]]
+        for k in keys[1:]:
+            a += self.rows[k]
+        a += self.bias
+        np.tanh(a, out=h[:, :HIDDEN])
+        return h
+
+    def keys(self, context: np.ndarray) -> np.ndarray:
+        return context + (np.arange(len(OFFSETS), dtype=np.int32) * (self.n + 1))[:, None]
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target, from its context (positions of the window x targets, as ids)."""
-        h, cls = self.hidden(self.rows[context]), target // self.side
-        z, e, total = _softmax(h @ self.of_class.T + self.class_bias)
-        out = z[np.arange(len(target)), cls] - np.log(total)
+        h, cls, n = self.hidden(self.keys(context)), target // self.side, np.arange(len(target))
+        z = h @ self.of_class.T
+        out = z[n, cls]
+        out -= np.log(np.exp(z, out=z).sum(axis=1))
         order, cuts, which = _by_class(cls)
         h, pick, inner = h[order], (target % self.side)[order], np.empty(len(target), np.float32)
         for s, t, c in zip(cuts, cuts[1:], which):
-            z, e, total = _softmax(h[s:t] @ self.of_word[c].T + self.word_bias[c])
-            inner[s:t] = z[np.arange(t - s), pick[s:t]] - np.log(total)
+            z = h[s:t] @ self.of_word[c].T
+            inner[s:t] = z[n[: t - s], pick[s:t]] - np.log(np.exp(z, out=z).sum(axis=1))
         out[order] += inner
         return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logits less their largest, their exponentials, the sums of these)."""
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return z, e, e.sum(axis=1)
-
-
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
-    order = np.argsort(cls.astype(np.int16), kind="stable")
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
     k = cls[order]
     cuts = np.flatnonzero(np.diff(k, prepend=-1))
     return order, [*cuts.tolist(), len(k)], k[cuts].tolist()
 
 
 class Trainer:
-    """Adagrad steps on a copy of a net."""
+    """Adagrad steps on a copy of a net. Logits stay small, so their exponentials are taken as they are."""
 
     def __init__(self, net: Net, rate: float = RATE):
-        self.net, self.past, self.rate, self.seen, self.loss = Net(net.n, net.flat.copy()), Net(net.n, np.full(len(net.flat), FLOOR)), rate, 0, 0.0
+        self.net, self.past, self.rate, self.seen = Net(net.n, net.flat.copy()), Net(net.n, np.full(len(net.flat), FLOOR)), rate, 0
 
-    def _step(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
+    def _step(self, name: str, grad: np.ndarray) -> None:
         past = getattr(self.past, name)
-        some = past[at] + grad * grad
-        past[at] = some
-        getattr(self.net, name)[at] -= self.rate * grad / np.sqrt(some)
+        past += grad * grad
+        grad /= np.sqrt(past)
+        grad *= self.rate
+        here = getattr(self.net, name)
+        here -= grad
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, m = self.net, len(target)
-        seen, cls, n = net.rows[context], target // net.side, np.arange(m)
-        h = net.hidden(seen)
-        z, g, total = _softmax(h @ net.of_class.T + net.class_bias)
-        self.loss -= float((z[n, cls] - np.log(total)).sum())
-        g /= total[:, None]
+        keys, cls, n = net.keys(context), target // net.side, np.arange(m)
+        h = net.hidden(keys)
+        g = h @ net.of_class.T
+        np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[n, cls] -= 1
-        g /= m
-        back = g @ net.of_class
-        self._step("of_class", g.T @ h)
-        self._step("class_bias", g.sum(axis=0))
+        back, of_class = g @ net.of_class[:, :HIDDEN], g.T @ h
         order, cuts, which = _by_class(cls)
-        hs, pick, inner = h[order], (target % net.side)[order], np.empty_like(h)
+        hs, pick, inner, of_word = h[order], (target % net.side)[order], np.empty((m, HIDDEN), np.float32), np.zeros(net.of_word.shape, np.float32)
         for s, t, c in zip(cuts, cuts[1:], which):
-            z, g, total = _softmax(hs[s:t] @ net.of_word[c].T + net.word_bias[c])
-            k = np.arange(t - s)
-            self.loss -= float((z[k, pick[s:t]] - np.log(total)).sum())
-            g /= total[:, None]
-            g[k, pick[s:t]] -= 1
-            g /= m
-            inner[s:t] = g @ net.of_word[c]
-            self._step("of_word", g.T @ hs[s:t], c)
-            self._step("word_bias", g.sum(axis=0), c)
+            here, w = hs[s:t], net.of_word[c]
+            g = here @ w.T
+            np.exp(g, out=g)
+            g /= g.sum(axis=1, keepdims=True)
+            g[n[: t - s], pick[s:t]] -= 1
+            np.matmul(g, w[:, :HIDDEN], out=inner[s:t])
+            np.matmul(g.T, here, out=of_word[c])
         back[order] += inner
-        back *= 1 - h * h
-        turn = np.matmul(seen.transpose(0, 2, 1), back)
-        rows = np.matmul(back, net.turn.transpose(0, 2, 1)).reshape(-1, HIDDEN)
+        back *= 1 - h[:, :HIDDEN] ** 2
+        back /= m
+        self._step("of_class", of_class / m)
+        self._step("of_word", of_word / m)
         self._step("bias", back.sum(axis=0))
-        self._step("turn", turn)
-        keys = context.ravel()
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
+        flat = keys.ravel()
+        order = np.argsort(flat.astype(np.uint16) if net.rows.shape[0] <= 1 << 16 else flat, kind="stable")
+        k = flat[order]
         first = np.flatnonzero(np.diff(k, prepend=-1))
-        self._step("rows", np.add.reduceat(rows[order], first, axis=0), k[first])
+        grad, at = np.add.reduceat(back[order % m], first, axis=0), k[first]
+        past = self.past.rows[at] + grad * grad
+        self.past.rows[at] = past
+        net.rows[at] -= self.rate * grad / np.sqrt(past)
         self.seen += m
 
 
@@ -371,27 +377,54 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     shared = df.sparkSession.sparkContext.broadcast((net.flat, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of documents, with their rare words, and behind those of each piece a row with its distinct rare words."""
         lean()
         flat, vocab = shared.value
-        net = Net(vocab.n, flat)
+        net, piece, held, met = Net(vocab.n, flat), TaskContext.get().partitionId() << 32, 0, []
+        names = ["piece", "id", "n_words", "total", "rare", "distinct"]
+
+        def distinct() -> pa.RecordBatch:
+            d = np.unique(np.concatenate(met)).view(np.int32)
+            cols = [pa.array([piece]), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([0.0]), pa.array([b""], pa.binary()), pa.array([d], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for doc_ids, words in chunks(batches):
             padded, where, lengths = _padded(words, vocab)
             ids, logp = padded[where], np.zeros(len(where))
-            for at in range(0, len(where), 16384):
-                some = slice(at, at + 16384)
+            for at in range(0, len(where), BATCH):
+                some = slice(at, at + BATCH)
                 logp[some] = net.log_probability(_context(padded, where[some]), ids[some])
             text = np.repeat(np.arange(len(lengths)), lengths)
             total = np.bincount(text, weights=logp, minlength=len(lengths)).astype(np.float64)
-            rare = ids >= len(vocab.frequent)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(lengths)))]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)[rare].view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(total), rest], ["id", "n_words", "total", "rare"])
+            flag = ids >= len(vocab.frequent)
+            rare, ends = np.concatenate(words)[flag], np.cumsum(np.bincount(text[flag], minlength=len(lengths)))
+            blobs = [x.tobytes() for x in np.split(rare, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc_ids), piece)), pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(total), pa.array(blobs, pa.binary()), pa.nulls(len(doc_ids), pa.list_(pa.int32()))], names)
+            met.append(np.unique(rare))
+            held += len(where)
+            if held >= PIECE:
+                yield distinct()
+                piece, held, met = piece + 1, 0, []
+        if met:
+            yield distinct()
         settle()
 
-    scored = store.select("id", "words").mapInArrow(run, "id long, n_words long, total double, rare array<int>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = materialize(store.select("id", "words").mapInArrow(run, "piece long, id long, n_words long, total double, rare binary, distinct array<int>"), "scored")
     discard(store)
-    own = scored.select("row", F.explode("rare").alias("word")).join(shares(counts, n[len(frequent) :]), "word").groupBy("row").agg(F.sum("own").alias("own"))
-    total = F.col("total") + F.coalesce("own", F.lit(0.0))
-    out = scored.select("row", "id", "n_words", "total").join(own, "row", "left")
-    return out.select("id", "n_words", F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean"), total.alias("log_likelihood"))
+    own = scored.where("n_words < 0").select(F.col("piece").alias("of"), F.explode("distinct").alias("word")).join(shares(counts, n[len(frequent) :]), "word")
+    docs = scored.where("n_words >= 0").select("piece", "id", "n_words", "total", "rare")
+    return docs.groupBy("piece").cogroup(own.groupBy("of")).applyInArrow(_with_own, "id long, n_words long, mean double, log_likelihood double")
+
+
+def _with_own(docs: pa.Table, own: pa.Table) -> pa.Table:
+    """The documents of a piece, and the log-probabilities of its distinct rare words in their buckets, to scores."""
+    word, value = np.asarray(own.column("word")).view(np.uint32), np.asarray(own.column("own"))
+    order = np.argsort(word)
+    word, value = word[order], value[order]
+    n, blobs = np.asarray(docs.column("n_words")), docs.column("rare").to_pylist()
+    rare = np.frombuffer(b"".join(blobs), "<u4")
+    text = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs])
+    each = value[np.searchsorted(word, rare)] if len(rare) else np.zeros(0)
+    total = np.asarray(docs.column("total")) + np.bincount(text, weights=each, minlength=len(blobs))
+    mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+    return pa.table({"id": docs.column("id"), "n_words": docs.column("n_words"), "mean": mean, "log_likelihood": pa.array(total)})

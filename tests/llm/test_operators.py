@@ -647,11 +647,10 @@ def plain_score(text, net, vocabulary, own):
     for k, i in enumerate(ids):
         z = net.bias.astype(float).copy()
         for place, o in enumerate(lm_scoring.OFFSETS):
-            seen = ids[k + o] if 0 <= k + o < len(ids) else net.edge
-            z += net.rows[seen].astype(float) @ net.turn[place]
-        h = np.tanh(z)
+            z += net.rows[place * (net.n + 1) + (ids[k + o] if 0 <= k + o < len(ids) else net.edge)]
+        h = np.append(np.tanh(z), 1)
         c, w = divmod(i, net.side)
-        total += math.log(soft(net.of_class @ h + net.class_bias)[c]) + math.log(soft(net.of_word[c] @ h + net.word_bias[c])[w]) + own.get(int(words[k]), 0.0)
+        total += math.log(soft(net.of_class @ h)[c]) + math.log(soft(net.of_word[c] @ h)[w]) + own.get(int(words[k]), 0.0)
     return total
 
 
