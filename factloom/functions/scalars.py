@@ -50,6 +50,7 @@ def zero_based(provider_id: Column, base: Column | None = None) -> Column:
 def parse_span(span: Column, provider_id: Column, base: Column | None = None) -> Column:
     """``L1C2-L3C4`` (always one-based) or ``1:2-3:4`` (by base) to a range; null for anything else."""
     text = trim(span)
+    # The two forms of a span.
     labelled = r"(?i)^L(\d+)(?:C(\d+))?(?:-L?(\d+)(?:C(\d+))?)?$"
     numeric = r"^(\d+):(\d+)-(\d+):(\d+)$"
     part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
@@ -102,11 +103,13 @@ def kinds_agree(a: Column, b: Column) -> Column:
 
 
 def normalize_signature(c: Column) -> Column:
+    # White space, and the marks around which it is dropped.
     return F.regexp_replace(F.regexp_replace(trim(c), r"\s+", " "), r"\s*([(),:;<>\[\]{}|&=])\s*", "$1")
 
 
 def symbol_keys(c: Column) -> Column:
     """The unquoted symbol, then its distinct tokens of letters, digits, _ and $, in order."""
+    # Quotes, and what separates tokens.
     q = F.regexp_replace(trim(c), "[\"']", "")
     tokens = F.filter(F.split(q, "[^A-Za-z0-9_$]+"), lambda x: x != "")
     return F.when(q == "", F.array().cast("array<string>")).when(q.isNotNull(), F.array_distinct(F.concat(F.array(q), tokens)))

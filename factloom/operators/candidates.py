@@ -70,6 +70,7 @@ def score(l: Column, r: Column) -> tuple[Column, Column]:  # noqa: E741
     held = (F.lit(True), path, rng, kind, qualified, alias, name, signature)
     rules = F.filter(F.array(*[F.when(ok, rule) for ok, rule in zip(held, RULES)]), lambda x: x.isNotNull())
     nameless = (F.size(l.n_keys) == 0) & (F.size(r.n_keys) == 0)
+    # The scores, by the rules that hold.
     value = F.when(path & rng, 100).when(qualified | alias, 86 + F.when(path, 4).otherwise(0) + F.when(signature, 3).otherwise(0)).when(path & signature, 82)
     value = value.when(path & name, 68).when(signature, 58).when(path & kind & nameless, 45).when(name, 48)
     return value, rules

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
+#: After so many steps the lineage is cut, and no more are taken once no ball grows.
+CUT = 3
+
+
 def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
     """Edges (left, right) to (node, members): the sorted component of a node, or null if it has more than ``bound`` nodes."""
     both = edges.select(F.col("left").alias("u"), F.col("right").alias("v")).union(edges.select(F.col("right").alias("u"), F.col("left").alias("v"))).distinct()
@@ -19,11 +23,17 @@ def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
     # a node with more neighbours than the bound needs no list of them
     ball = degree.select("u", (F.col("n") > bound).alias("big"), F.array("u").alias("ball"))
     narrow = both.join(degree.where(F.col("n") <= bound).select("u"), "u")
-    for _ in range(bound):
+    for step in range(bound):
         seen = narrow.join(ball.withColumnsRenamed({"u": "v", "big": "b", "ball": "near"}), "v").groupBy("u").agg(F.bool_or("b").alias("b"), F.flatten(F.collect_list("near")).alias("near"))
         joined = ball.join(seen, "u", "left")
         all_ = F.array_distinct(F.concat("ball", F.coalesce("near", F.array().cast("array<string>"))))
-        ball = joined.select("u", F.col("big") | F.coalesce("b", F.lit(False)) | (F.size(all_) > bound), F.slice(F.array_sort(all_), 1, bound + 1)).toDF("u", "big", "ball")
+        ball = joined.select("u", F.col("big") | F.coalesce("b", F.lit(False)) | (F.size(all_) > bound), F.slice(F.array_sort(all_), 1, bound + 1), F.size(all_) > F.size("ball")).toDF("u", "big", "ball", "grew")
+        if step % CUT == CUT - 1 and step + 1 < bound:
+            ball = materialize(ball, "balls")
+            if not ball.where("grew and not big").head(1):
+                break
+        ball = ball.drop("grew")
+    ball = ball.select("u", "big", "ball")
     return ball.select(F.col("u").alias("node"), F.when(~F.col("big"), F.col("ball")).alias("members"))
 
 

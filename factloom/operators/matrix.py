@@ -77,7 +77,7 @@ def coverage(facts: DataFrame, unsupported: DataFrame, providers: DataFrame) ->
     name = lambda df: df.withColumn("fact_class", F.when(F.col("g") == 1, ALL).otherwise(F.col("fact_class"))).drop("g")
     out = grid.join(counts, ["provider", "fact_class"], "left").join(name(known), ["provider", "fact_class"], "left").join(name(alone), ["provider", "fact_class"], "left")
     out = out.fillna(0, ["raw", "normalized", "unsupported", "matched", "probable", "ambiguous", "unmatched", "comparable", "unique"])
-    return out.withColumns({"correlated": F.col("matched") + F.col("probable"), "normalization_coverage": ratio(F.col("normalized"), F.col("raw")), "unique_coverage": ratio(F.col("unique"), F.col("comparable")), "matched_coverage": ratio(F.col("matched"), F.col("normalized"))})
+    return out.withColumns({"correlated": F.col("matched") + F.col("probable"), "correlated_coverage": ratio(F.col("matched") + F.col("probable"), F.col("normalized")), "normalization_coverage": ratio(F.col("normalized"), F.col("raw")), "unique_coverage": ratio(F.col("unique"), F.col("comparable")), "matched_coverage": ratio(F.col("matched"), F.col("normalized"))})
 
 
 def comparable_sets(facts: DataFrame) -> DataFrame:
@@ -88,21 +88,24 @@ def comparable_sets(facts: DataFrame) -> DataFrame:
 def pairwise_overlap(facts: DataFrame, providers: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per pair of providers and fact class, in the order of the registry.
 
-    Self-joins are on keys that a provider has once, so a key gives at most one row per pair of providers.
+    Keys are grouped once and pairs are made of the providers that have a key, so nothing is joined with itself. A provider's
+    values of a key are compared by their number and the sums of two digests, whatever their number.
     """
-    base = comparable_sets(facts).join(F.broadcast(providers), "provider")
-    exact = base.select("ord", "fact_class", "exact_key").distinct()
-    logical = base.groupBy("ord", "fact_class", "logical_key").agg(F.sort_array(F.collect_set("exact_key")).alias("values"))
-    side = lambda df, name, keys: df.select(F.col("ord").alias(name), *keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in ("ord", *keys)])
-    shared = side(exact, "l", ["fact_class", "exact_key"]).join(side(exact, "r", ["fact_class", "exact_key"]), ["fact_class", "exact_key"]).where("l < r").groupBy("l", "r", "fact_class").agg(F.count("*").alias("overlap"))
-    met = side(logical, "l", ["fact_class", "logical_key"]).join(side(logical, "r", ["fact_class", "logical_key"]), ["fact_class", "logical_key"]).where("l < r")
-    met = met.groupBy("l", "r", "fact_class").agg(F.count("*").alias("compared"), F.count_if(F.col("l_values") != F.col("r_values")).alias("conflicts"))
-    n_exact = exact.groupBy("ord", "fact_class").agg(F.count("*").alias("n"))
-    n_logical = logical.groupBy("ord", "fact_class").agg(F.count("*").alias("k"))
+    base = comparable_sets(facts).join(F.broadcast(providers.select("provider", "ord")), "provider")
+    exact = base.groupBy("fact_class", "exact_key").agg(F.collect_set("ord").alias("who"))
+    sum_ = lambda h: F.sum(h.cast("decimal(38,0)"))
+    logical = base.groupBy("fact_class", "logical_key", "ord").agg(F.count("*").alias("n"), sum_(F.xxhash64("exact_key")).alias("h"), sum_(F.xxhash64(F.lit(1), "exact_key")).alias("g"))
+    logical = logical.groupBy("fact_class", "logical_key").agg(F.collect_list(F.struct("ord", "n", "h", "g")).alias("who"))
+    pairs = lambda who, ord_: F.explode(F.filter(F.flatten(F.transform(who, lambda a: F.transform(who, lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: ord_(p.a) < ord_(p.b)))
+    shared = exact.where(F.size("who") > 1).select("fact_class", pairs(F.col("who"), lambda x: x).alias("p")).groupBy(F.col("p.a").alias("l"), F.col("p.b").alias("r"), "fact_class").agg(F.count("*").alias("overlap"))
+    met = logical.where(F.size("who") > 1).select("fact_class", pairs(F.col("who"), lambda x: x.ord).alias("p"))
+    same = (F.col("p.a.n") == F.col("p.b.n")) & (F.col("p.a.h") == F.col("p.b.h")) & (F.col("p.a.g") == F.col("p.b.g"))
+    met = met.groupBy(F.col("p.a.ord").alias("l"), F.col("p.b.ord").alias("r"), "fact_class").agg(F.count("*").alias("compared"), F.count_if(~same).alias("conflicts"))
+    own = logical.select("fact_class", F.explode("who").alias("w")).groupBy("w.ord", "fact_class").agg(F.sum("w.n").alias("n"), F.count("*").alias("k"))
     p = providers.select("provider", "ord")
     grid = p.toDF("left", "l").join(p.toDF("right", "r"), F.col("l") < F.col("r")).crossJoin(F.broadcast(classes.select("fact_class")))
     for name in ("l", "r"):
-        grid = grid.join(n_exact.toDF(name, "fact_class", f"{name}_n"), [name, "fact_class"], "left").join(n_logical.toDF(name, "fact_class", f"{name}_k"), [name, "fact_class"], "left")
+        grid = grid.join(own.toDF(name, "fact_class", f"{name}_n", f"{name}_k"), [name, "fact_class"], "left")
     grid = grid.join(shared, ["l", "r", "fact_class"], "left").join(met, ["l", "r", "fact_class"], "left").fillna(0)
     return grid.select("left", "right", "fact_class", F.col("l_n").alias("left_count"), F.col("r_n").alias("right_count"), "compared", "overlap", (F.col("l_k") - F.col("compared")).alias("left_only"), (F.col("r_k") - F.col("compared")).alias("right_only"), "conflicts", ratio(F.col("overlap"), F.least("l_n", "r_n")).alias("overlap_coverage"))
 
@@ -139,9 +142,7 @@ def information_gain(facts: DataFrame, unsupported: DataFrame, order: DataFrame)
 
 def gain_by_class(facts: DataFrame, order: DataFrame) -> DataFrame:
     """(provider, fact_class, new_facts) where there is anything new."""
-    base = comparable_sets(facts).join(F.broadcast(order), "provider").select("provider", "ord", "fact_class", "exact_key").distinct()
-    first = base.groupBy("exact_key").agg(F.min("ord").alias("first"))
-    return base.join(first, "exact_key").where("ord = first").groupBy("provider", "fact_class").agg(F.count("*").alias("new_facts"))
+    return new_keys(facts, order).groupBy("provider", "fact_class").agg(F.count("*").alias("new_facts"))
 
 
 def addition_order(providers: DataFrame, ids: list[str]) -> DataFrame:
@@ -153,17 +154,50 @@ def addition_order(providers: DataFrame, ids: list[str]) -> DataFrame:
     return providers.withColumn("ord", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(rank, "ord")))
 
 
-def compare_fact_sets(facts: DataFrame, unsupported: DataFrame, expected: list[str] | None = None) -> DataFrame:
-    """(group key, state) of every comparison group: repository, subject and predicate, here the logical key.
+def compare_fact_sets(facts: DataFrame, unsupported: DataFrame, expected: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """(group key, fact class, state, variants, n_providers) of every comparison group: repository, subject and predicate.
 
-    equivalent, provider-only, conflict or unsupported; ``expected``: ids of the providers that should agree.
+    equivalent, provider-only, conflict or unsupported; ``expected``: identities (id, version, determinism) of the providers
+    that should agree. A group whose subject isn't resolved is a group all the same, so its values can conflict.
     """
     both = facts.withColumn("ok", F.lit(True)).unionByName(unsupported.withColumn("ok", F.lit(False)))
-    key = F.coalesce("logical_key", "exact_key")
-    want = F.array(*[F.lit(x) for x in expected or []]).cast("array<string>")
-    g = both.groupBy(key.alias("key"), "fact_class").agg(
-        F.count_distinct(F.when(F.col("ok"), F.col("exact_key"))).alias("variants"), F.collect_set(F.when(F.col("ok"), F.col("provider.id"))).alias("seen"),
-        F.bool_or(~F.col("ok") & F.array_contains(want, F.col("provider.id"))).alias("missed"), F.count_distinct("provider").alias("n_providers"))
+    identity = lambda x: F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "version", "determinism"), x)])
+    want = F.array(*[identity(x) for x in expected or []]).cast("array<struct<id:string,version:string,determinism:string>>")
+    g = both.groupBy(F.col("group_key").alias("key"), "fact_class").agg(
+        F.count_distinct(F.when(F.col("ok"), F.col("exact_key"))).alias("variants"), F.collect_set(F.when(F.col("ok"), F.col("provider"))).alias("seen"),
+        F.bool_or(~F.col("ok") & F.array_contains(want, F.col("provider"))).alias("missed"), F.count_distinct("provider").alias("n_providers"))
     covers = F.size(F.array_except(want, "seen")) == 0 if expected else F.size("seen") > 1
     state = F.when(F.col("variants") == 0, "unsupported").when(F.col("variants") > 1, "conflict").when(covers & ~F.col("missed"), "equivalent").otherwise("provider-only")
     return g.select("key", "fact_class", state.alias("state"), "variants", "n_providers")
+
+
+#: The same under the name that callers of normalized facts know.
+compare_normalized_facts = compare_fact_sets
+
+
+def entity_coverage(metrics: DataFrame, providers: DataFrame) -> DataFrame:
+    """One row per provider of the registry: its entities by correlation status, and their shares; zeros where it has none."""
+    out = providers.select("provider").join(metrics, "provider", "left").fillna(0).withColumn("correlated", F.col("matched") + F.col("probable"))
+    return out.select("provider", "total", "matched", "probable", "correlated", "ambiguous", "unmatched", ratio(F.col("matched"), F.col("total")).alias("matched_coverage"), ratio(F.col("correlated"), F.col("total")).alias("correlated_coverage"))
+
+
+def new_keys(facts: DataFrame, order: DataFrame) -> DataFrame:
+    """(provider, fact_class, exact_key): the exact keys that a provider adds to those before it in the order."""
+    base = comparable_sets(facts).join(F.broadcast(order.select("provider", "ord")), "provider").select("provider", "ord", "fact_class", "exact_key").distinct()
+    first = base.groupBy("exact_key").agg(F.min("ord").alias("first"))
+    return base.join(first, "exact_key").where("ord = first").select("provider", "fact_class", "exact_key")
+
+
+def existing_providers(order: DataFrame) -> DataFrame:
+    """(provider, existing): the providers before each one in the order; a registry is small."""
+    listed = order.agg(F.sort_array(F.collect_list(F.struct("ord", "provider"))).alias("listed"))
+    return order.crossJoin(F.broadcast(listed)).select("provider", "ord", F.transform(F.filter("listed", lambda x: x.ord < F.col("ord")), lambda x: x.provider).alias("existing"))
+
+
+def artifact_counts(views: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): rows of every view."""
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in sorted(views.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import scalars as S
 from ..operators import candidates as C
 from ..operators import correlate as R
 from ..operators import matrix as M
 from ..operators.components import bounded_components
-from ..operators.entities import normalize_entities
-from ..sources import corpora
+from ..operators.entities import extract_entities, normalize_entities
+from ..operators.facts import NormalizedFacts, normalize_facts, validate_facts, validate_observations
+from ..sources import corpora, readers
+from . import workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,7 +97,7 @@ def unsupported_rows(spark, sf_dir):
 def all_provider_overlap(spark, sf_dir):
     f, u = _both(spark, sf_dir)
     people = _orders(f).where("ord > 2")
-    return M.all_provider_overlap(f.where("fact_class = 'references'"), people, f.select("fact_class").distinct()).select("fact_class", "providers", "union_count", "overlap", "overlap_coverage")
+    return M.all_provider_overlap(f.join(people, "provider", "left_semi"), people, f.select("fact_class").distinct()).select("fact_class", "providers", "union_count", "overlap", "overlap_coverage")
 
 
 def information_gain(spark, sf_dir):
@@ -143,7 +146,20 @@ def entity_dedup(spark, sf_dir):
 
 def candidate_buckets(spark, sf_dir):
     keys = C.candidate_keys(normalize_entities(corpora.document_entities(spark, sf_dir)))
-    return keys.where("class = 'signature'").groupBy("key").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
+    return keys.groupBy("class", "key").agg(F.count("*").alias("n")).groupBy("class", "n").agg(F.count("*").alias("keys"))
+
+
+def candidate_caps(spark, sf_dir):
+    """What is skipped, and said to be, with one pair for a key at most."""
+    keys = C.candidate_keys(normalize_entities(corpora.document_entities(spark, sf_dir)))
+    return C.candidate_pairs(keys, pairs_per_key=1).diagnostics
+
+
+def candidate_pairs_kept(spark, sf_dir):
+    """Pairs under a limit for a key, and under one for all."""
+    keys = C.candidate_keys(normalize_entities(corpora.document_entities(spark, sf_dir)))
+    one = C.candidate_pairs(keys, pairs_per_key=1).pairs.agg(F.lit("per key").alias("limit"), F.count("*").alias("pairs"))
+    return one.union(C.candidate_pairs(keys, pairs_total=3).pairs.agg(F.lit("in total").alias("limit"), F.count("*").alias("pairs")))
 
 
 def _links(spark, sf_dir) -> R.Correlation:
@@ -171,11 +187,174 @@ def correlation_metrics(spark, sf_dir):
     return _links(spark, sf_dir).metrics.select(_id(), "total", "canonical", "candidates", "matched", "probable", "ambiguous", "unmatched")
 
 
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nations as nodes of a wiring graph, customers as edges; some edges have no node at one end, or an unknown relation."""
+    text = lambda: F.lit(None).cast("string")
+    nodes = _table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.lit("function").alias("kind"), F.concat(F.lit("nations/"), "n_nationkey").alias("path"), F.lit("L1C1-L1C2").alias("span"),
+        text().alias("signature"), F.lit(True).alias("exported"), F.lit("sample").alias("origin"))
+    relation = F.element_at(F.array(*[F.lit(x) for x in ("calls", "imports", "contains")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    edges = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("source"), (F.col("c_custkey") % 30).cast("string").alias("target"), relation.alias("relation"), F.lit("high").alias("confidence"))
+    return nodes, edges
+
+
+def _wired(spark, sf_dir) -> DataFrame:
+    return readers.wiring_observations(*_graph(spark, sf_dir), ("graph", "1.0.0", "deterministic"), ("sample", "a" * 40))
+
+
 def edge_node_join(spark, sf_dir):
-    nodes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), "n_name")
-    edges = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("source"), (F.col("c_custkey") % 30).cast("string").alias("target"))
-    s, t = nodes.toDF("source", "source_name"), nodes.toDF("target", "target_name")
-    return edges.join(s, "source").join(t, "target").groupBy("source_name", "target_name").agg(F.count("*").alias("n"))
+    native = F.try_parse_json("providerNative")
+    name = lambda end: F.try_variant_get(native, f"$.{end}.name", "string").alias(f"{end}_name")
+    return _wired(spark, sf_dir).select(name("sourceNode"), name("targetNode")).toDF("source_name", "target_name").groupBy("source_name", "target_name").agg(F.count("*").alias("n"))
+
+
+def wiring_observations(spark, sf_dir):
+    o = _wired(spark, sf_dir)
+    return o.groupBy("predicate", F.col("subject.id").alias("subject"), F.col("object.entity.id").alias("object"), "source.path", _id()).agg(F.count("*").alias("n"))
+
+
+def scip_observations(spark, sf_dir):
+    """Orders as documents of an index: a line is an occurrence, its part a symbol; the first line of a part defines it."""
+    line = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(
+        F.array(*[c.cast("long") for c in (F.col("l_linenumber"), F.lit(0), F.lit(4))]).alias("range"), F.when(F.col("l_linenumber") != 7, F.concat(F.lit("part "), "l_partkey")).otherwise("").alias("symbol"), F.when(F.col("l_linenumber") == 1, 1).otherwise(8).cast("long").alias("symbol_roles")).alias("o"),
+        F.struct(F.concat(F.lit("part "), "l_partkey").alias("symbol"), F.array(F.struct(F.concat(F.lit("supplier "), "l_suppkey").alias("symbol"), (F.col("l_suppkey") % 2 == 0).alias("is_implementation"), (F.col("l_suppkey") % 3 == 0).alias("is_type_definition"))).alias("relationships")).alias("s"))
+    docs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("o")).alias("occurrences"), F.collect_list("s").alias("symbols"))
+    index = docs.select(F.array(F.struct(F.concat(F.lit("orders/"), "l_orderkey").alias("relative_path"), "occurrences", "symbols")).alias("documents"))
+    o = readers.scip_observations(index, ("scip", "1.0.0", "deterministic"), ("sample", "a" * 40))
+    return o.groupBy("predicate", F.col("object.entity").isNotNull().alias("to_entity"), F.col("source.span").isNotNull().alias("placed")).agg(F.count("*").alias("n"), F.count_distinct("subject.id").alias("subjects"))
+
+
+def artifact_jsonl(spark, sf_dir):
+    """Observations written as JSON lines, and read and checked again."""
+    o = corpora.customer_observations(spark, sf_dir)
+    flat = o.withColumn("object", F.struct(F.col("object.entity.id").alias("id"), F.col("object.entity.kind").alias("kind"), F.col("object.value").alias("value")))
+    folder = storage.scratch_path(spark, "artifact")
+    flat.write.json(f"{folder}/said.jsonl")
+    back = readers.read_artifacts(spark, folder, ["said.jsonl"])
+    return back.groupBy(_id(), "predicate", F.col("object.value").isNull().alias("to_entity")).agg(F.count("*").alias("n"), F.count_distinct("providerNative").alias("payloads"))
+
+
+def validation_errors(spark, sf_dir):
+    """A fault in every observation, another for each remainder of the customer's number over 10."""
+    o = corpora.customer_observations(spark, sf_dir)
+    k = F.try_variant_get(F.try_parse_json("providerNative"), "$.k", "long") % 10
+    bad = lambda n, c, value: F.when(k == n, value).otherwise(F.col(c))
+    with_ = lambda n, c, field, value: F.when(k == n, F.col(c).withField(field, value)).otherwise(F.col(c))
+    none = F.lit(None).cast("string")
+    o = o.withColumns({
+        "schemaVersion": bad(1, "schemaVersion", F.lit(2)), "predicate": bad(2, "predicate", F.lit("likes")), "subject": with_(3, "subject", "kind", none), "object": F.when(k == 4, F.lit(None).cast("struct<entity:struct<id:string,kind:string>,value:string>")).otherwise(F.col("object")),
+        "provider": F.when(k == 5, F.col("provider").withField("version", none)).when(k == 6, F.col("provider").withField("determinism", F.lit("often"))).otherwise(F.col("provider")), "repository": with_(7, "repository", "commitSha", F.lit("")),
+        "source": with_(8, "source", "path", none), "determinism": bad(9, "determinism", F.lit("often")), "providerNative": bad(0, "providerNative", none)})
+    return validate_observations(o).select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, sf_dir, name: str, make: Callable):
+    """What several queries look at is worked out, and its tables written, once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _normalized(spark, sf_dir) -> NormalizedFacts:
+    return _once(spark, sf_dir, "facts", lambda: normalize_facts(corpora.customer_observations(spark, sf_dir)))
+
+
+def _views(spark, sf_dir) -> dict[str, DataFrame]:
+    n = _normalized(spark, sf_dir)
+    listed = F.explode(F.array(*[F.struct(corpora.provider(x).alias("provider"), F.lit(i + 1).alias("ord")) for i, x in enumerate(("scip", "table", "third", "unheard"))]))
+    return workflow.build_matrix(*n.descriptors(), spark.range(1).select(listed.alias("x")).select("x.*"), ["third", "table"], n.correlation.metrics)
+
+
+def normalized_facts(spark, sf_dir):
+    n = _normalized(spark, sf_dir)
+    both = n.facts.select("provider", "predicate", "status", "fact_status", "value").unionByName(n.unsupported.select("provider", "predicate", "status", "fact_status", "value"))
+    return both.groupBy(_id(), "predicate", "status", "fact_status").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
+
+
+def fact_references(spark, sf_dir):
+    """How the ends of facts are resolved: status, whether to one entity, and among how many candidates."""
+    n = _normalized(spark, sf_dir)
+    ends = n.facts.select("provider", F.explode(F.filter(F.array(F.struct(F.lit("subject").alias("end"), F.col("subject").alias("r")), F.struct(F.lit("object").alias("end"), F.col("object").alias("r"))), lambda x: x.r.isNotNull())).alias("x"))
+    return ends.groupBy(_id(), "x.end", "x.r.kind", "x.r.status", F.col("x.r.canonical_id").isNotNull().alias("resolved")).agg(F.count("*").alias("n"), F.sum((F.size("x.r.candidate_ids") > 0).cast("int")).alias("with_candidates"))
+
+
+def evidence_payloads(spark, sf_dir):
+    """Payloads are stored once, under the id by which facts and unsupported evidence name them."""
+    n = _normalized(spark, sf_dir)
+    named = n.facts.select("evidence_id", "predicate").unionByName(n.unsupported.select("evidence_id", "predicate"))
+    back = F.try_variant_get(F.try_parse_json("providerNative"), "$.p", "string")
+    return named.join(n.evidence, "evidence_id").groupBy("predicate", (back == F.col("predicate")).alias("same")).agg(F.count("*").alias("n"), F.count_distinct("evidence_id").alias("ids"))
+
+
+def fact_validation(spark, sf_dir):
+    """Faults put into facts, by kind; unsupported evidence isn't a fact."""
+    n = _normalized(spark, sf_dir)
+    k = F.pmod(F.coalesce(F.try_variant_get(F.try_parse_json("providerNative"), "$.k", "long"), F.lit(0)), F.lit(6))
+    f = n.facts.join(n.evidence, "evidence_id").withColumn("k", k)
+    none = F.lit(None).cast("string")
+    f = f.withColumns({
+        "fact_id": F.when(F.col("k") == 1, "").otherwise(F.col("fact_id")), "subject": F.when(F.col("k") == 2, F.col("subject").withField("status", F.lit("lost"))).otherwise(F.col("subject")),
+        "value": F.when((F.col("k") == 3) & F.col("object").isNull(), none).otherwise(F.col("value")), "derivation_class": F.when(F.col("k") == 4, "guessed").otherwise(F.col("derivation_class")), "source": F.when(F.col("k") == 5, F.col("source").withField("path", F.lit(""))).otherwise(F.col("source"))})
+    bad = validate_facts(f).select(F.explode("errors").alias("error")).unionByName(validate_facts(n.unsupported).select(F.explode("errors").alias("error")))
+    return bad.groupBy("error").agg(F.count("*").alias("n"))
+
+
+def entity_coverage(spark, sf_dir):
+    return _views(spark, sf_dir)["entities"].select(_id(), "total", "matched", "probable", "correlated", "ambiguous", "unmatched", "matched_coverage", "correlated_coverage")
+
+
+def matrix_rows(spark, sf_dir):
+    return _views(spark, sf_dir)["rows"].groupBy("fact_class", "state", "comparison_possible", "correlation_status", "n_variants", F.size("providers").cast("long").alias("n_providers")).agg(F.count("*").alias("n"))
+
+
+def matrix_coverage(spark, sf_dir):
+    return _views(spark, sf_dir)["coverage"].select(_id(), "fact_class", "raw", "normalized", "unsupported", "matched", "probable", "ambiguous", "unmatched", "correlated", "correlated_coverage")
+
+
+def matrix_comparisons(spark, sf_dir):
+    return _views(spark, sf_dir)["comparisons"].groupBy("fact_class", "state", "variants", "n_providers").agg(F.count("*").alias("n"))
+
+
+def comparisons_expected(spark, sf_dir):
+    """Agreement of two named providers."""
+    expected = [(x, "1.0.0", "deterministic") for x in ("table", "scip")]
+    return M.compare_fact_sets(*_normalized(spark, sf_dir).descriptors(), expected).groupBy("fact_class", "state").agg(F.count("*").alias("n"))
+
+
+def matrix_gain(spark, sf_dir):
+    views = _views(spark, sf_dir)
+    keys = views["new_keys"].groupBy("provider").agg(F.count("*").alias("new_keys"))
+    return views["gain"].join(keys, "provider", "left").select(_id(), "ord", F.array_join(F.transform("existing", lambda p: p.id), ",").alias("existing"), "new_facts", "own_facts", "ambiguous", "unmatched", "unsupported", F.coalesce("new_keys", F.lit(0)).alias("new_keys"))
+
+
+def _part_links(spark, sf_dir) -> R.Correlation:
+    return _once(spark, sf_dir, "parts", lambda: R.correlate(corpora.part_entities(spark, sf_dir)))
+
+
+def links_by_score(spark, sf_dir):
+    kind = F.when(F.col("cardinality").isin("one-to-many", "many-to-one"), "one-sided").otherwise(F.col("cardinality"))
+    return _part_links(spark, sf_dir).links.groupBy("score", "strength", kind.alias("cardinality"), F.array_join("rules", ",").alias("rules")).agg(F.count("*").alias("n"))
+
+
+def group_cardinality(spark, sf_dir):
+    kind = F.when(F.col("cardinality") == "one-to-one", "one-to-one").otherwise("wide")
+    return _part_links(spark, sf_dir).canonical.groupBy("kind", "status", kind.alias("cardinality"), "reason", "n_members", F.size("candidate_ids").alias("candidates"), F.array_join("rules", ",").alias("rules")).agg(F.count("*").alias("n"))
+
+
+def group_members(spark, sf_dir):
+    c = _part_links(spark, sf_dir)
+    return c.members.groupBy("canonical_id").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members"), F.first("status").alias("status")).select("members", "status")
+
+
+def pair_scores(spark, sf_dir):
+    """Scores of given pairs: neighbours by number, who share nothing but what their names have."""
+    e = normalize_entities(corpora.part_entities(spark, sf_dir).where("provider.id <> 'west'").withColumn("name", F.concat(F.lit("common#"), "id")).withColumn("signature", F.lit(None).cast("string")).withColumn("aliases", F.array().cast("array<string>")))
+    n, s = e.where("provider.id = 'north'").select(F.col("eid").alias("left"), F.substring_index("id", "_", -1).cast("long").alias("k")), e.where("provider.id = 'south'").select(F.col("eid").alias("right"), (F.substring_index("id", "_", -1).cast("long") + 1).alias("k"))
+    return C.scored_edges(e, n.join(s, "k").select("left", "right")).groupBy("score", "strength", F.array_join("rules", ",").alias("rules")).agg(F.count("*").alias("n"))
 
 
 def ref_resolution(spark, sf_dir):
@@ -187,13 +366,21 @@ def ref_resolution(spark, sf_dir):
 
 
 def json_native_extract(spark, sf_dir):
-    v = F.try_parse_json("props")
-    return _table(spark, sf_dir, "events").select("event_type", F.try_variant_get(v, "$.k", "long").alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
+    """Attributes that the native records of events carry, as entities take them: only for the end whose id they have."""
+    e = _table(spark, sf_dir, "events").withColumn("id", F.concat(F.lit("u"), "user_id"))
+    native = F.to_json(F.struct(F.struct(F.when(F.col("event_id") % 2 == 0, F.col("id")).otherwise("another").alias("id"), F.col("event_type").alias("signature"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("name")).alias("node")))
+    none = F.lit(None).cast("struct<id:string,kind:string>")
+    o = e.select(
+        F.lit(1).alias("schemaVersion"), F.struct("id", F.lit("function").alias("kind")).alias("subject"), F.lit("reads").alias("predicate"), F.struct(none.alias("entity"), F.lit("x").alias("value")).alias("object"),
+        corpora.provider("stream").alias("provider"), corpora.repository().alias("repository"), F.struct(F.lit("events.ts").alias("path"), F.lit(None).cast("string").alias("span")).alias("source"), F.lit("deterministic").alias("determinism"), native.alias("providerNative"))
+    return extract_entities(o).groupBy("signature", F.when(F.col("signature").isNotNull(), F.col("name")).alias("name")).agg(F.count("*").alias("n"))
 
 
 _QUERIES = (
     fact_rows_state, fact_rows, fact_variants, provider_states_dense, coverage, unique_logical, pairwise_overlap, left_only, right_only, conflicts, unresolved_rows, unsupported_rows, all_provider_overlap, information_gain, gain_by_class,
-    compare_fact_sets, path_normalize, range_parse, kind_family, symbol_tokens, signature_normalize, entity_dedup, candidate_buckets, candidate_scores, components_tier, canonical_entities, correlation_metrics, edge_node_join, ref_resolution, json_native_extract)
+    compare_fact_sets, path_normalize, range_parse, kind_family, symbol_tokens, signature_normalize, entity_dedup, candidate_buckets, candidate_caps, candidate_pairs_kept, candidate_scores, components_tier, canonical_entities, correlation_metrics,
+    edge_node_join, wiring_observations, scip_observations, artifact_jsonl, validation_errors, normalized_facts, fact_references, evidence_payloads, fact_validation, entity_coverage, matrix_rows, matrix_coverage, matrix_comparisons, comparisons_expected, matrix_gain,
+    links_by_score, group_cardinality, group_members, pair_scores, ref_resolution, json_native_extract)
 
 
 def queries() -> dict[str, Query]:
@@ -214,14 +401,52 @@ p AS (SELECT * FROM (VALUES ('ledger', 1), ('rollup', 2), ('master', 3), ('histo
 s AS (SELECT DISTINCT provider, ord, fact_class, logical_key, logical_key || '=' || value AS exact_key FROM f)
 """
 _DOCS = """
-d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS provider, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END || '_d' || doc_id AS id,
-  'docs/' || coalesce(source, '-') || '/' || doc_id AS path, sha256(coalesce(text, '')) AS signature FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS provider, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END || '_d' || coalesce(doc_id::VARCHAR, sha256(coalesce(text, ''))) AS id,
+  'docs/' || coalesce(source, '-') || '/' || coalesce(doc_id::VARCHAR, sha256(coalesce(text, ''))) AS path, sha256(coalesce(text, '')) AS signature FROM documents),
 l AS (SELECT a.id AS ia, b.id AS ib, a.signature FROM d a JOIN d b ON a.signature = b.signature AND a.provider = 'even' AND b.provider = 'odd'),
 n AS (SELECT signature, count(*) FILTER (provider = 'even') AS ne, count(*) FILTER (provider = 'odd') AS no FROM d GROUP BY signature),
 k AS (SELECT *, CASE WHEN ne = 1 AND no = 1 THEN 'probable' WHEN ne > 0 AND no > 0 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM n)
 """
 
 
+#: Parts by how their providers agree: c, the remainder, and w, whether a third one knows them.
+_PARTS = """
+p AS (SELECT p_partkey AS k, p_partkey % 11 AS c, p_partkey % 33 = 0 AS w, p_partkey % 2 = 0 AS even FROM part WHERE p_partkey IS NOT NULL),
+rule AS (SELECT * FROM (VALUES (0, 100, 'same-path,same-range,'), (1, 93, 'same-path,'), (2, 90, 'same-path,'), (3, 89, ''), (4, 86, ''), (5, 82, 'same-path,'), (6, 68, 'same-path,'), (7, 58, ''), (8, 86, ''), (9, 45, 'same-path,'), (10, 100, 'same-path,same-range,')) AS x(c, score, place)),
+-- a south or west entity of an even part is of kind symbol, which agrees with any kind without being the same
+e AS (SELECT p.*, score, 'same-repository-revision,' || place AS head, CASE WHEN p.c IN (1, 2, 3, 4) THEN 'same-qualified-name,same-name' WHEN p.c = 8 THEN 'same-alias,same-name' WHEN p.c = 6 THEN 'same-name' END AS named, p.c IN (1, 3, 5, 7) AS signed FROM p JOIN rule USING (c)),
+l AS (SELECT k, c, w, even, score, rtrim(head || array_to_string(list_filter([CASE WHEN kinds THEN 'same-kind' END, named, CASE WHEN signed THEN 'same-signature' END], lambda x: x IS NOT NULL), ','), ',') AS rules, kinds, pair FROM (
+  SELECT *, (NOT even OR c = 9) AS kinds, unnest(CASE WHEN c = 10 THEN ['ns', 'nt'] WHEN w THEN ['ns', 'nw'] ELSE ['ns'] END) AS pair FROM e
+  UNION ALL SELECT *, true, 'sw' FROM e WHERE w))
+"""
+#: Customers by what their providers say: st, the status of the customer's entity.
+_CUSTOMERS = """
+c AS (SELECT c_custkey AS k, coalesce(c_mktsegment, '') AS segment, c_custkey % 5 <> 0 AS there, c_custkey % 5 <> 0 AND c_custkey % 7 = 0 AS twice, c_custkey % 4 = 0 AS read FROM customer WHERE c_custkey IS NOT NULL),
+s AS (SELECT *, CASE WHEN twice THEN 'ambiguous' WHEN there OR read THEN 'matched' ELSE 'unmatched' END AS st FROM c),
+o AS (SELECT s.*, coalesce(n.st, 'unmatched') AS next FROM s LEFT JOIN s n ON n.k = s.k + 1),
+f AS (SELECT k, 'table' AS provider, 'defines' AS predicate, st, 'customers/' || k || '.ts' AS value, 'c' || k AS who FROM o UNION ALL SELECT k, 'table', 'reads', st, trim(segment), 'c' || k FROM o
+  UNION ALL SELECT k, 'table', 'calls', CASE WHEN 'ambiguous' IN (st, next) THEN 'ambiguous' WHEN 'unmatched' IN (st, next) THEN 'unmatched' ELSE 'matched' END, NULL, 'c' || k FROM o
+  UNION ALL SELECT k, 'scip', 'defines', st, 'customers/' || k || '.ts', 'sym_' || k FROM o WHERE there UNION ALL SELECT k, 'scip', 'defines', st, 'customers/' || k || '.ts', 'dup_' || k FROM o WHERE twice
+  UNION ALL SELECT k, 'scip', 'reads', st, CASE WHEN k % 3 = 0 THEN segment || '?' ELSE trim(segment) END, 'sym_' || k FROM o WHERE there UNION ALL SELECT k, 'third', 'reads', st, trim(segment), 't' || k FROM o WHERE read),
+u AS (SELECT k, 'table' AS provider, 'wires-into' AS predicate, st, 'x' AS value FROM o),
+pr AS (SELECT * FROM (VALUES ('scip', 1), ('table', 2), ('third', 3), ('unheard', 4)) AS x(provider, ord)),
+-- groups: a customer that is resolved is one subject, others are a subject for each provider's entity
+g AS (SELECT predicate, CASE WHEN st = 'ambiguous' OR (predicate = 'calls' AND k % 5 < 0) THEN who ELSE k::VARCHAR END AS subject, provider, coalesce(value, '') AS value FROM f),
+m AS (SELECT k, predicate, count(DISTINCT value) AS nv, count(DISTINCT provider) AS np FROM f WHERE st = 'matched' AND predicate <> 'calls' GROUP BY ALL),
+r AS (SELECT predicate, CASE WHEN nv > 1 THEN 'conflict' WHEN np > 1 THEN 'overlap' ELSE 'provider-only' END AS state, true AS comparison_possible, 'matched' AS correlation_status, nv AS n_variants, np AS n_providers, count(*) AS n FROM m GROUP BY ALL
+  UNION ALL SELECT predicate, 'provider-only', true, 'matched', 1, 1, count(*) FROM f WHERE predicate = 'calls' AND st = 'matched' GROUP BY ALL
+  UNION ALL SELECT predicate, st, false, st, 1, 1, count(*) FROM f WHERE st <> 'matched' GROUP BY ALL)
+"""
+
+
+def _p(sql: str) -> str:
+    return f"WITH {_PARTS} {sql}"
+
+
+def _c(sql: str) -> str:
+    return f"WITH {_CUSTOMERS} {sql}"
+
+
 def _f(sql: str) -> str:
     return f"WITH {_FACTS} {sql}"
 
@@ -254,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
         "unresolved_rows": _f("SELECT fact_class, 'ambiguous' AS state, count(*) AS n FROM f WHERE value LIKE '%P' GROUP BY ALL"),
         "unsupported_rows": _f("SELECT key, fact_class, n_variants, correlation_status FROM r WHERE state = 'unsupported'"),
         "all_provider_overlap": _f("""SELECT g.fact_class, 3 AS providers, coalesce(x.n, 0) AS union_count, coalesce(x.k, 0) AS overlap, x.k::DOUBLE / x.n AS overlap_coverage FROM (SELECT DISTINCT fact_class FROM f) g
-            LEFT JOIN (SELECT fact_class, count(*) AS n, count(*) FILTER (np = 3) AS k FROM (SELECT fact_class, exact_key, count(DISTINCT provider) AS np FROM s WHERE fact_class = 'references' GROUP BY ALL) GROUP BY ALL) x USING (fact_class)"""),
+            LEFT JOIN (SELECT fact_class, count(*) AS n, count(*) FILTER (np = 3) AS k FROM (SELECT fact_class, exact_key, count(DISTINCT provider) AS np FROM s WHERE ord > 2 GROUP BY ALL) GROUP BY ALL) x USING (fact_class)"""),
         "information_gain": _f("""SELECT p.provider, p.ord, coalesce(x.n, 0) AS new_facts, coalesce(y.n, 0) AS own_facts, coalesce(b.n, 0) AS unsupported, 0 AS ambiguous, 0 AS unmatched, coalesce(q.n, 0) AS unique_facts, coalesce(x.n, 0)::DOUBLE / y.n AS gain_coverage FROM p
             LEFT JOIN (SELECT ord, count(*) AS n FROM (SELECT exact_key, min(ord) AS ord FROM s GROUP BY ALL) GROUP BY ALL) x USING (ord) LEFT JOIN (SELECT ord, count(*) AS n FROM s GROUP BY ALL) y USING (ord)
             LEFT JOIN (SELECT provider, count(*) AS n FROM u GROUP BY ALL) b USING (provider) LEFT JOIN (SELECT provider, count(DISTINCT logical_key) AS n FROM f JOIN c ON c.key = f.logical_key WHERE np = 1 GROUP BY ALL) q USING (provider)"""),
@@ -270,7 +495,12 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT *, list_filter(regexp_split_to_array(replace(p_name, ' ', '#'), '[^A-Za-z0-9_$]+'), lambda x: x <> '') AS k FROM part)""",
         "signature_normalize": r"SELECT c_custkey, 'f(' || regexp_replace(c_name, '\s*([#:])\s*', '\1', 'g') || ':' || c_mktsegment || '):string' AS signature FROM customer",
         "entity_dedup": _d("SELECT id, provider, 'symbol' AS family, path, signature FROM d"),
-        "candidate_buckets": _d("SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM d GROUP BY signature) GROUP BY ALL"),
+        "candidate_buckets": _d("""SELECT 'signature' AS class, n, count(*) AS keys FROM (SELECT count(*) AS n FROM d GROUP BY signature) GROUP BY ALL
+            UNION ALL SELECT class, 1, count(DISTINCT id) FROM d, (SELECT unnest(['path-signature', 'qualified-exact', 'alias-match-exact', 'qualified-normalized', 'path-name-normalized', 'path-name-exact']) AS class) GROUP BY class"""),
+        "candidate_caps": _d("""SELECT 'signature' AS class, count(*) AS keys, count(*) FILTER (n > 2) AS skipped_keys, coalesce(max(n * (n - 1) // 2) FILTER (n > 2), 0)::BIGINT AS largest_skipped_pairs, count(*) FILTER (n > 2) = 0 AS complete FROM (SELECT count(*) AS n FROM d GROUP BY signature)
+            UNION ALL SELECT class, count(DISTINCT id), 0, 0, true FROM d, (SELECT unnest(['path-signature', 'qualified-exact', 'alias-match-exact', 'qualified-normalized', 'path-name-normalized', 'path-name-exact']) AS class) GROUP BY class"""),
+        "candidate_pairs_kept": _d("""SELECT 'per key' AS "limit", count(*) AS pairs FROM (SELECT 1 FROM d GROUP BY signature HAVING count(*) = 2)
+            UNION ALL SELECT 'in total', least(3, coalesce(sum(n * (n - 1) // 2), 0))::BIGINT FROM (SELECT count(*) AS n FROM d GROUP BY signature)"""),
         "candidate_scores": _d("""SELECT 58 AS score, 'probable' AS strength, CASE WHEN a > 1 AND b > 1 THEN 'many-to-many' WHEN a > 1 OR b > 1 THEN 'one-sided' ELSE 'one-to-one' END AS cardinality, 'same-repository-revision,same-kind,same-signature' AS rules, count(*) AS n
             FROM (SELECT no AS a, ne AS b FROM l JOIN n USING (signature)) GROUP BY ALL"""),
         "components_tier": _d("SELECT d.id, CASE WHEN ne = 1 AND no = 1 THEN (SELECT string_agg(x.id, ',' ORDER BY x.id) FROM d x WHERE x.signature = d.signature) END AS members FROM d JOIN n USING (signature) WHERE ne > 0 AND no > 0"),
@@ -278,7 +508,50 @@ def oracle_sql() -> dict[str, str]:
             sum(CASE WHEN status = 'probable' THEN 1 ELSE ne + no END)::BIGINT AS n FROM k GROUP BY ALL"""),
         "correlation_metrics": _d("""SELECT provider, count(*) AS total, count(*) AS canonical, sum(CASE WHEN provider = 'even' THEN no ELSE ne END)::BIGINT AS candidates, 0 AS matched, count(*) FILTER (status = 'probable') AS probable, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unmatched') AS unmatched
             FROM d JOIN k USING (signature) GROUP BY ALL"""),
-        "edge_node_join": "SELECT s.n_name AS source_name, t.n_name AS target_name, count(*) AS n FROM customer JOIN nation s ON s.n_nationkey = c_nationkey JOIN nation t ON t.n_nationkey = c_custkey % 30 GROUP BY ALL",
+        "edge_node_join": "SELECT s.n_name AS source_name, t.n_name AS target_name, count(*) AS n FROM customer JOIN nation s ON s.n_nationkey = c_nationkey JOIN nation t ON t.n_nationkey = c_custkey % 30 WHERE c_custkey % 3 <> 2 GROUP BY ALL",
+        "wiring_observations": """SELECT CASE c_custkey % 3 WHEN 0 THEN 'calls' ELSE 'imports' END AS predicate, s.n_nationkey::VARCHAR AS subject, t.n_nationkey::VARCHAR AS object, 'nations/' || s.n_nationkey AS path, 'graph' AS provider, count(*) AS n
+            FROM customer JOIN nation s ON s.n_nationkey = c_nationkey JOIN nation t ON t.n_nationkey = c_custkey % 30 WHERE c_custkey % 3 <> 2 GROUP BY ALL""",
+        "scip_observations": """WITH x AS (SELECT l_orderkey AS d, 'part ' || l_partkey AS s, l_suppkey AS u, l_linenumber AS n FROM lineitem),
+            r AS (SELECT d, s, CASE WHEN u % 2 = 0 THEN 'implements' WHEN u % 3 = 0 THEN 'type-of' END AS p FROM x)
+            SELECT CASE n WHEN 1 THEN 'defines' ELSE 'references' END AS predicate, false AS to_entity, true AS placed, count(*) AS n, count(DISTINCT s) AS subjects FROM x WHERE n <> 7 GROUP BY ALL
+            UNION ALL SELECT p, true, EXISTS (SELECT 1 FROM x WHERE x.d = r.d AND x.s = r.s AND x.n = 1), count(*), count(DISTINCT s) FROM r WHERE p IS NOT NULL GROUP BY ALL""",
+        "artifact_jsonl": _c("""SELECT provider, predicate, predicate = 'calls' OR predicate = 'defines' AND provider = 'table' AS to_entity, count(*) AS n, count(DISTINCT k) AS payloads FROM (SELECT provider, predicate, k FROM f UNION ALL SELECT provider, predicate, k FROM u) GROUP BY ALL"""),
+        "validation_errors": _c("""SELECT error, count(*) AS n FROM (SELECT unnest(CASE k % 10 WHEN 1 THEN ['schema version isn''t 1'] WHEN 3 THEN ['subject: id or kind missing'] WHEN 4 THEN ['object: neither entity nor value'] WHEN 5 THEN ['provider: id or version missing']
+            WHEN 6 THEN ['provider: unknown determinism'] WHEN 7 THEN ['repository: source or commit missing'] WHEN 8 THEN ['source: path missing'] WHEN 9 THEN ['unknown determinism'] WHEN 0 THEN ['native record missing'] ELSE [] END
+            || CASE WHEN k % 10 = 2 OR predicate = 'wires-into' THEN ['predicate has no common meaning'] ELSE [] END) AS error FROM (SELECT k, predicate FROM f UNION ALL SELECT k, predicate FROM u)) GROUP BY ALL"""),
+        "normalized_facts": _c("""SELECT provider, predicate, st AS status, 'present' AS fact_status, count(*) AS n, count(DISTINCT value) AS "values" FROM f GROUP BY ALL UNION ALL SELECT provider, predicate, st, 'unsupported', count(*), count(DISTINCT value) FROM u GROUP BY ALL"""),
+        "fact_references": _c("""SELECT provider, 'subject' AS "end", CASE provider WHEN 'scip' THEN 'symbol' ELSE 'function' END AS kind, s.st AS status, s.st <> 'ambiguous' AS resolved, count(*) AS n, sum(CASE WHEN s.st = 'ambiguous' THEN 1 ELSE 0 END)::BIGINT AS with_candidates FROM f JOIN s USING (k) GROUP BY ALL
+            UNION ALL SELECT 'table', 'object', 'function', next, next <> 'ambiguous', count(*), sum(CASE WHEN next = 'ambiguous' THEN 1 ELSE 0 END)::BIGINT FROM o GROUP BY ALL"""),
+        "evidence_payloads": _c("""SELECT predicate, true AS same, count(*) AS n, count(*) AS ids FROM (SELECT predicate FROM f UNION ALL SELECT predicate FROM u) GROUP BY ALL"""),
+        "fact_validation": _c("""SELECT error, count(*) AS n FROM (SELECT unnest(CASE k % 6 WHEN 1 THEN ['fact id missing'] WHEN 2 THEN ['subject: unknown status'] WHEN 3 THEN CASE WHEN predicate <> 'calls' THEN ['object: neither entity nor value'] ELSE [] END WHEN 4 THEN ['unknown derivation', 'determinism and derivation differ'] WHEN 5 THEN ['source: path missing'] ELSE [] END) AS error FROM f
+            UNION ALL SELECT unnest(['status isn''t present', 'fact id missing', 'predicate has no common meaning']) FROM u) GROUP BY ALL"""),
+        "entity_coverage": _c("""SELECT provider, coalesce(n, 0) AS total, coalesce(a, 0) AS matched, 0 AS probable, coalesce(a, 0) AS correlated, coalesce(b, 0) AS ambiguous, coalesce(d, 0) AS unmatched, a / n::DOUBLE AS matched_coverage, a / n::DOUBLE AS correlated_coverage FROM pr
+            LEFT JOIN (SELECT provider, count(*) AS n, count(*) FILTER (st = 'matched') AS a, count(*) FILTER (st = 'ambiguous') AS b, count(*) FILTER (st = 'unmatched') AS d FROM
+              (SELECT 'table' AS provider, st FROM s UNION ALL SELECT 'table', 'unmatched' FROM s WHERE k + 1 NOT IN (SELECT k FROM s) UNION ALL SELECT 'scip', st FROM s WHERE there UNION ALL SELECT 'scip', st FROM s WHERE twice UNION ALL SELECT 'third', st FROM s WHERE read) GROUP BY ALL) USING (provider)"""),
+        "matrix_rows": _c("""SELECT predicate AS fact_class, state, comparison_possible, correlation_status, n_variants, n_providers, sum(n)::BIGINT AS n FROM r GROUP BY ALL
+            UNION ALL SELECT 'wires-into', 'unsupported', false, CASE WHEN st = 'matched' THEN 'not-applicable' ELSE st END, 1, 1, count(*) FROM u GROUP BY ALL"""),
+        "matrix_coverage": _c("""SELECT pr.provider, x.predicate AS fact_class, coalesce(raw, 0) AS raw, coalesce(nf, 0) AS normalized, coalesce(raw - nf, 0) AS unsupported, coalesce(a, 0) AS matched, 0 AS probable, coalesce(b, 0) AS ambiguous, coalesce(d, 0) AS unmatched, coalesce(a, 0) AS correlated, coalesce(a, 0)::DOUBLE / nullif(coalesce(nf, 0), 0) AS correlated_coverage
+            FROM pr CROSS JOIN (SELECT unnest(['defines', 'reads', 'calls', 'wires-into', '__all__']) AS predicate) x LEFT JOIN (SELECT provider, coalesce(predicate, '__all__') AS predicate, count(*) AS raw, count(*) FILTER (ok) AS nf, count(*) FILTER (ok AND st = 'matched') AS a, count(*) FILTER (ok AND st = 'ambiguous') AS b, count(*) FILTER (ok AND st = 'unmatched') AS d
+              FROM (SELECT provider, predicate, st, true AS ok FROM f UNION ALL SELECT provider, predicate, st, false FROM u) GROUP BY GROUPING SETS ((provider, predicate), (provider))) y ON y.provider = pr.provider AND y.predicate = x.predicate"""),
+        "matrix_comparisons": _c("""SELECT predicate AS fact_class, CASE WHEN nv > 1 THEN 'conflict' WHEN np > 1 THEN 'equivalent' ELSE 'provider-only' END AS state, nv AS variants, np AS n_providers, count(*) AS n FROM (
+              SELECT predicate, count(DISTINCT value) AS nv, count(DISTINCT provider) AS np FROM (SELECT predicate, CASE WHEN s.st = 'ambiguous' THEN who ELSE k::VARCHAR END AS subject, f.value, provider FROM f JOIN s USING (k) WHERE predicate <> 'calls') GROUP BY predicate, subject
+              UNION ALL SELECT predicate, 1, 1 FROM f WHERE predicate = 'calls') GROUP BY ALL UNION ALL SELECT 'wires-into', 'unsupported', 0, 1, count(*) FROM u GROUP BY ALL"""),
+        "comparisons_expected": _c("""SELECT predicate AS fact_class, CASE WHEN nv > 1 THEN 'conflict' WHEN both_ = 2 THEN 'equivalent' ELSE 'provider-only' END AS state, count(*) AS n FROM (
+              SELECT predicate, count(DISTINCT value) AS nv, count(DISTINCT provider) FILTER (provider IN ('table', 'scip')) AS both_ FROM (SELECT predicate, CASE WHEN s.st = 'ambiguous' THEN who ELSE k::VARCHAR END AS subject, f.value, provider FROM f JOIN s USING (k) WHERE predicate <> 'calls') GROUP BY predicate, subject
+              UNION ALL SELECT predicate, 1, 1 FROM f WHERE predicate = 'calls') GROUP BY ALL UNION ALL SELECT 'wires-into', 'unsupported', count(*) FROM u GROUP BY ALL"""),
+        "matrix_gain": _c("""SELECT provider, ord, existing, coalesce(new, 0) AS new_facts, coalesce(own, 0) AS own_facts, coalesce(am, 0) AS ambiguous, coalesce(un, 0) AS unmatched, coalesce(us, 0) AS unsupported, coalesce(new, 0) AS new_keys
+            FROM (VALUES ('third', 1, ''), ('table', 2, 'third'), ('scip', 3, 'third,table'), ('unheard', 4, 'third,table,scip')) AS q(provider, ord, existing)
+            LEFT JOIN (SELECT provider, count(DISTINCT (k, predicate, coalesce(value, ''))) AS own FROM f WHERE st = 'matched' GROUP BY ALL) USING (provider)
+            LEFT JOIN (SELECT provider, count(*) AS new FROM (SELECT arg_min(provider, CASE provider WHEN 'third' THEN 1 WHEN 'table' THEN 2 ELSE 3 END) AS provider FROM f WHERE st = 'matched' GROUP BY k, predicate, coalesce(value, '')) GROUP BY ALL) USING (provider)
+            LEFT JOIN (SELECT provider, count(*) FILTER (st = 'ambiguous') AS am, count(*) FILTER (st = 'unmatched') AS un FROM f GROUP BY ALL) USING (provider) LEFT JOIN (SELECT provider, count(*) AS us FROM u GROUP BY ALL) USING (provider)"""),
+        "links_by_score": _p("SELECT score, CASE WHEN score >= 80 THEN 'matched' ELSE 'probable' END AS strength, CASE WHEN c = 10 THEN 'one-sided' ELSE 'one-to-one' END AS cardinality, rules, count(*) AS n FROM l GROUP BY ALL"),
+        "group_cardinality": _p("""SELECT kind, status, cardinality, reason, n_members, candidates, rules, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN c = 9 THEN 'widget' WHEN grp IN ('s', 't') AND even THEN 'symbol' ELSE 'callable' END AS kind, CASE WHEN c = 10 THEN 'ambiguous' WHEN max(score) >= 80 THEN 'matched' ELSE 'probable' END AS status, CASE WHEN c = 10 THEN 'wide' ELSE 'one-to-one' END AS cardinality,
+            CASE WHEN c = 10 THEN 'provider-cardinality-conflict' WHEN max(score) >= 80 THEN 'deterministic-evidence' ELSE 'probable-evidence' END AS reason, CASE WHEN c = 10 THEN 1 WHEN w THEN 3 ELSE 2 END AS n_members, CASE WHEN c <> 10 THEN 0 WHEN grp = 'n' THEN 2 ELSE 1 END AS candidates, rules, n FROM (
+              SELECT c, w, even, grp, max(score) AS score, rules, count(*) AS n FROM (SELECT k, c, w, even, unnest(CASE WHEN c = 10 THEN ['n', 's', 't'] ELSE ['all'] END) AS grp, max(score) AS score, arg_max(rules, length(rules)) AS rules FROM l GROUP BY k, c, w, even) GROUP BY ALL) GROUP BY c, w, even, grp, rules, n) GROUP BY ALL"""),
+        "group_members": _p("""SELECT CASE WHEN w AND c <> 10 THEN 'north_' || k || ',south_' || k || ',west_' || k ELSE 'north_' || k || ',south_' || k END AS members, CASE WHEN score >= 80 THEN 'matched' ELSE 'probable' END AS status FROM e WHERE c <> 10
+            UNION ALL SELECT unnest(['north_', 'south_', 'south2_']) || k, 'ambiguous' FROM e WHERE c = 10"""),
+        "pair_scores": _p("""SELECT 48 AS score, 'probable' AS strength, 'same-repository-revision,' || CASE WHEN s.c IN (0, 10) THEN 'same-range,' ELSE '' END || CASE WHEN NOT s.even THEN 'same-kind,' ELSE '' END || 'same-name' AS rules, sum(CASE WHEN s.c = 10 THEN 2 ELSE 1 END)::BIGINT AS n
+            FROM p n JOIN p s ON s.k = n.k - 1 WHERE NOT (n.c = 9 AND NOT s.even) AND s.c <> 9 GROUP BY ALL"""),
         "ref_resolution": "SELECT a.event_id, b.props AS \"providerNative\" FROM events a LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 0) b ON b.event_id = a.event_id % 20000",
-        "json_native_extract": "SELECT event_type, (props->>'$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL",
+        "json_native_extract": "SELECT CASE WHEN event_id % 2 = 0 THEN event_type END AS signature, CASE WHEN event_id % 2 = 0 THEN 'k' || (props->>'$.k') END AS name, count(*) AS n FROM events GROUP BY ALL",
     }

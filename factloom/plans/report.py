@@ -1,7 +1,8 @@
-"""Markdown report of a provider matrix, rendered on the driver from aggregates and conflict rows alone."""
+"""Markdown report of a provider matrix, rendered on the driver line by line: lists of any length are never held."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 METRICS = (
@@ -28,20 +29,53 @@ def ratio(n: int, d: int) -> str:
     return f"{n}/{d} (n/a)" if d == 0 else f"{n}/{d} ({Decimal(n / d).quantize(Decimal('0.001'), ROUND_HALF_UP)})"
 
 
-def _table(head: tuple[str, ...], rows) -> list[str]:
-    return ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(escape(c) for c in r) + " |" for r in rows), ""]
+def _table(head: tuple[str, ...], rows: Iterable) -> Iterator[str]:
+    yield "| " + " | ".join(head) + " |"
+    yield "|" + " --- |" * len(head)
+    for r in rows:
+        yield "| " + " | ".join(escape(c) for c in r) + " |"
+    yield ""
 
 
-def render(repositories, coverage, pairs, everyone, gain, conflicts, counts: dict[str, int]) -> str:
-    """All arguments are collected rows of the matrix views, whose number doesn't grow with the facts (conflicts: a page of them)."""
-    out = ["# Provider comparison", "", "## Revisions", "", *[f"- {escape(r['source'])} @ `{r['commitSha']}`" for r in repositories], "", "## Metrics", ""]
-    out += _table(("Metric", "Numerator", "Denominator", "Meaning"), METRICS)
-    out += ["## Coverage", "", *_table(("Provider", "Class", "Raw", "Normalized", "Unsupported", "Normalization", "Unique"), [
-        (label(r.provider), r.fact_class, r.raw, r.normalized, r.unsupported, ratio(r.normalized, r.raw), ratio(r.unique, r.comparable)) for r in coverage])]
-    out += ["## Pairwise overlap", "", *_table(("Left", "Right", "Class", "Compared", "Overlap", "Left only", "Right only", "Conflicts", "Coverage"), [
-        (label(r.left), label(r.right), r.fact_class, r.compared, r.overlap, r.left_only, r.right_only, r.conflicts, ratio(r.overlap, min(r.left_count, r.right_count))) for r in pairs])]
-    out += ["## Overlap of all providers", "", *_table(("Class", "Overlap"), [(r.fact_class, ratio(r.overlap, r.union_count)) for r in everyone])]
-    out += ["## Information gain", "", *_table(("Provider", "New", "Gain", "Unsupported", "Ambiguous", "Unmatched"), [
-        (label(r.provider), r.new_facts, ratio(r.new_facts, r.own_facts), r.unsupported, r.ambiguous, r.unmatched) for r in gain])]
-    out += ["## Conflicts", "", *_table(("Key", "Class", "Variants"), [(r.key, r.fact_class, r.n_variants) for r in conflicts])]
-    return "\n".join([*out, "## Rows", "", *[f"- {k}: {v}" for k, v in sorted(counts.items())], ""])
+def _list(items: Iterable[str]) -> Iterator[str]:
+    n = 0
+    for x in items:
+        n += 1
+        yield f"- {escape(x)}"
+    if not n:
+        yield "Nothing."
+    yield ""
+
+
+def _variant(v) -> str:
+    return f"{', '.join(label(p) for p in v['providers'])} => {v['exact_key']}"
+
+
+def lines(repositories: Iterable, coverage: list, pairs: list, everyone: list, gain: list, conflicts: Iterable, counts: dict[str, int]) -> Iterator[str]:
+    """``coverage``, ``pairs``, ``everyone`` and ``gain`` are rows of views whose number doesn't grow with the facts.
+
+    ``repositories`` and ``conflicts`` (key, fact_class, variants) may be iterators; all that they give is listed.
+    """
+    yield from ("# Provider comparison", "", "Counted by fixed rules from the stored facts.", "", "## Revisions", "")
+    yield from _list(f"{r['source']} @ `{r['commitSha']}`" for r in repositories)
+    yield from ("## Metrics", "", *_table(("Metric", "Numerator", "Denominator", "Meaning"), METRICS))
+    total, by_class = ([r for r in coverage if (r.fact_class == "__all__") == whole] for whole in (True, False))
+    yield from ("## Coverage", "")
+    yield from _table(("Provider", "Raw", "Normalized", "Unsupported", "Normalization", "Correlated", "Ambiguous", "Unmatched"), (
+        (label(r.provider), r.raw, r.normalized, r.unsupported, ratio(r.normalized, r.raw), ratio(r.correlated, r.normalized), r.ambiguous, r.unmatched) for r in total))
+    yield from ("### By fact class", "")
+    yield from _table(("Provider", "Class", "Raw", "Normalized", "Unsupported", "Correlated", "Unique", "Unique share"), (
+        (label(r.provider), r.fact_class, r.raw, r.normalized, r.unsupported, ratio(r.correlated, r.normalized), r.unique, ratio(r.unique, r.comparable)) for r in by_class))
+    yield from ("## Information gain", "", "Unique: a comparable logical fact that one provider alone has. It says nothing about quality.", "")
+    yield from _table(("Provider", "Before it", "New", "Gain", "Unique", "Ambiguous", "Unmatched", "Unsupported"), (
+        (label(r.provider), ", ".join(map(label, r.existing)) or "none", r.new_facts, ratio(r.new_facts, r.own_facts), r.unique, r.ambiguous, r.unmatched, r.unsupported) for r in gain))
+    yield from ("## Overlap", "", f"Rows in agreement: {counts.get('overlap', 0)}", f"Rows in conflict: {counts.get('conflict', 0)}", "")
+    yield from _table(("Left", "Right", "Class", "Compared", "Overlap", "Left only", "Right only", "Conflicts", "Coverage"), (
+        (label(r.left), label(r.right), r.fact_class, r.compared, r.overlap, r.left_only, r.right_only, r.conflicts, ratio(r.overlap, min(r.left_count, r.right_count))) for r in pairs))
+    yield from ("### All providers", "", *_table(("Class", "Overlap"), ((r.fact_class, ratio(r.overlap, r.union_count)) for r in everyone)))
+    yield from ("### What one provider alone has", "")
+    yield from _list(f"{label(r.provider)} / {r.fact_class}: {r.unique}" for r in by_class if r.unique)
+    yield from ("## Conflicts", "")
+    yield from _list(f"{c['fact_class']} {c['key']}: {'; '.join(_variant(v) for v in c['variants'])}" for c in conflicts)
+    yield from ("## What can't be compared", "")
+    yield from _list(f"{k}: {counts.get(k, 0)}" for k in ("ambiguous", "unmatched", "unsupported"))

@@ -11,12 +11,14 @@ import re
 import sys
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import matrix as M
 from ..operators.facts import NormalizedFacts, normalize_facts, validate_observations
@@ -76,6 +78,9 @@ def run(spark: SparkSession, providers: list[Provider], source: str, revision: s
                 bad = validate_observations(rows, tolerate_predicate=True).where(F.size("errors") > 0).select("errors").head(1)
                 if bad:
                     raise ValueError(f"invalid observation: {', '.join(bad[0].errors)}")
+                other = rows.where(F.lower("repository.commitSha") != revision.lower()).select("repository").head(1)
+                if other:
+                    raise ValueError(f"revision {other[0].repository.commitSha} was read, {revision} was asked for")
                 out = out.unionByName(rows.select(*out.columns))
         except Exception as e:  # a provider's failure is a result of the run
             entry |= {"status": "failed", "error": str(e).split("\n")[0]}
@@ -87,41 +92,81 @@ def run(spark: SparkSession, providers: list[Provider], source: str, revision: s
     return RunResult(manifest, out)
 
 
-def build_matrix(facts: DataFrame, unsupported: DataFrame, providers: DataFrame | None = None, addition_order: list[str] | None = None) -> dict[str, DataFrame]:
-    """All views over DESCRIPTOR rows by name; ``providers``: the registry, where more are expected than are seen."""
+def build_matrix(facts: DataFrame, unsupported: DataFrame, providers: DataFrame | None = None, addition_order: list[str] | None = None, metrics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All views over DESCRIPTOR rows by name; ``providers``: the registry, where more are expected than are seen;
+    ``metrics``: of the entities, from their correlation."""
     registry = providers if providers is not None else M.provider_registry(facts, unsupported)
     classes, rows = M.fact_classes(facts, unsupported), M.fact_rows(facts, unsupported)
     order = M.addition_order(registry, addition_order or [])
     slices = {name: rows.where(F.col("state") == state) for name, state in (("conflicts", "conflict"), ("ambiguous", "ambiguous"), ("unmatched", "unmatched"), ("unsupported", "unsupported"), ("overlaps", "overlap"))}
+    entities = {} if metrics is None else {"entities": M.entity_coverage(metrics, registry)}
     return {
         "rows": rows, "variants": M.fact_variants(facts), "states": M.provider_states(rows, registry), "coverage": M.coverage(facts, unsupported, registry), "pairwise": M.pairwise_overlap(facts, registry, classes),
-        "all_providers": M.all_provider_overlap(facts, registry, classes), "gain": M.information_gain(facts, unsupported, order), "gain_by_class": M.gain_by_class(facts, order), "unique": M.unique_logical(facts), **slices}
+        "all_providers": M.all_provider_overlap(facts, registry, classes), "gain": M.information_gain(facts, unsupported, order).join(M.existing_providers(order).drop("ord"), "provider"), "gain_by_class": M.gain_by_class(facts, order),
+        "new_keys": M.new_keys(facts, order), "unique": M.unique_logical(facts), "comparisons": M.compare_fact_sets(facts, unsupported), **entities, **slices}
 
 
-def write_facts(normalized: NormalizedFacts, root: str) -> None:
-    """Facts, unsupported evidence and payloads as Parquet; a payload is stored once, under its evidence id."""
-    c = normalized.correlation
-    for name, df in (("facts", normalized.facts), ("unsupported", normalized.unsupported), ("evidence", normalized.evidence), ("canonical", c.canonical), ("members", c.members), ("links", c.links), ("metrics", c.metrics), ("diagnostics", c.diagnostics)):
-        df.write.mode("overwrite").parquet(f"{root}/normalized/{name}")
+TABLES = ("facts", "unsupported", "evidence", "canonical", "members", "links", "metrics", "diagnostics")
+
+
+def _tables(n: NormalizedFacts) -> dict[str, DataFrame]:
+    c = n.correlation
+    return dict(zip(TABLES, (n.facts, n.unsupported, n.evidence, c.canonical, c.members, c.links, c.metrics, c.diagnostics)))
+
+
+def write_facts(normalized: NormalizedFacts, root: str, form: str = "parquet") -> None:
+    """Facts, unsupported evidence, payloads and correlation; a payload is stored once, under its evidence id.
+
+    ``form``: parquet, or json for JSON lines. Both are written and read by all executors.
+    """
+    for name, df in _tables(normalized).items():
+        df.write.mode("overwrite").format(form).option("ignoreNullFields", "false").save(f"{root}/normalized/{name}")
+    schemas = {name: df.schema.jsonValue() for name, df in _tables(normalized).items()}
+    normalized.facts.sparkSession.createDataFrame([(json.dumps({"schemaVersion": 1, "form": form, "schemas": schemas}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/normalized/envelope")
+
+
+def read_facts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables that :func:`write_facts` has written, by name; another schema version is an error."""
+    envelope = json.loads(spark.read.text(f"{root}/normalized/envelope").first()[0])
+    if envelope.get("schemaVersion") != 1:
+        raise ValueError(f"facts of schema version {envelope.get('schemaVersion')} can't be read")
+    return {name: spark.read.schema(StructType.fromJson(envelope["schemas"][name])).format(envelope["form"]).load(f"{root}/normalized/{name}") for name in TABLES}
 
 
 def read_descriptors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """What :func:`write_facts` has written, as the matrix wants it."""
-    cols = ("repository", "provider", F.col("predicate").alias("fact_class"), "logical_key", "exact_key", "status", "fact_id", "evidence_id")
-    return tuple(spark.read.parquet(f"{root}/normalized/{n}").select(*cols) for n in ("facts", "unsupported"))  # type: ignore[return-value]
+    cols = ("repository", "provider", F.col("predicate").alias("fact_class"), "group_key", "logical_key", "exact_key", "status", "fact_id", "evidence_id")
+    tables = read_facts(spark, root)
+    return tuple(tables[n].select(*cols) for n in ("facts", "unsupported"))  # type: ignore[return-value]
+
+
+def matrix_from_artifact(spark: SparkSession, root: str, providers: DataFrame | None = None, addition_order: list[str] | None = None) -> dict[str, DataFrame]:
+    """All views from stored facts."""
+    return build_matrix(*read_descriptors(spark, root), providers, addition_order, read_facts(spark, root)["metrics"])
+
+
+def retain_raw(spark: SparkSession, artifact: str, root: str, provider: str) -> str:
+    """A compressed copy of a provider's artifact beside the result; returns its folder."""
+    folder = f"{root}/raw/{provider}"
+    spark.read.text(artifact).write.mode("overwrite").option("compression", "gzip").text(folder)
+    return folder
 
 
-def write_matrix(views: dict[str, DataFrame], root: str, conflicts_shown: int = 200) -> str:
-    """Every view as Parquet, and the report; returns the report's text."""
+def write_matrix(views: dict[str, DataFrame], root: str, form: str = "parquet") -> Iterator[str]:
+    """Every view, and the counts of their rows; returns the lines of the report, which list everything."""
     spark = next(iter(views.values())).sparkSession
+    schemas = {name: df.schema for name, df in views.items()}
     for name, df in views.items():
-        df.write.mode("overwrite").parquet(f"{root}/matrix/{name}")
-    back = {name: spark.read.parquet(f"{root}/matrix/{name}") for name in views}
+        df.write.mode("overwrite").format(form).option("ignoreNullFields", "false").save(f"{root}/matrix/{name}")
+    back = {name: spark.read.schema(schemas[name]).format(form).load(f"{root}/matrix/{name}") for name in views}
+    M.artifact_counts(back).coalesce(1).write.mode("overwrite").json(f"{root}/matrix/counts")
     counts = {r.state: r.n for r in back["rows"].groupBy("state").agg(F.count("*").alias("n")).collect()}
-    repositories = [r.repository for r in back["rows"].select("repository").distinct().orderBy("repository").limit(100).collect()]
-    return report.render(
-        repositories, back["coverage"].orderBy("provider", "fact_class").collect(), back["pairwise"].orderBy("left", "right", "fact_class").collect(), back["all_providers"].orderBy("fact_class").collect(),
-        back["gain"].orderBy("ord").collect(), back["conflicts"].orderBy("key").limit(conflicts_shown).collect(), counts)
+    variants = back["variants"].groupBy("logical_key").agg(F.sort_array(F.collect_list(F.struct("exact_key", "providers"))).alias("variants"))
+    conflicts = back["conflicts"].select("key", "fact_class").join(variants, F.col("key") == F.col("logical_key")).orderBy("fact_class", "key")
+    return report.lines(
+        back["rows"].select("repository.source", "repository.commitSha").distinct().orderBy("source", "commitSha").toLocalIterator(),
+        back["coverage"].orderBy("provider", "fact_class").collect(), back["pairwise"].orderBy("left", "right", "fact_class").collect(), back["all_providers"].orderBy("fact_class").collect(),
+        back["gain"].orderBy("ord").collect(), conflicts.toLocalIterator(), counts)
 
 
 def run_matrix(spark: SparkSession, providers: list[Provider], source: str, revision: str, root: str, addition_order: list[str] | None = None) -> RunResult:
@@ -130,14 +175,17 @@ def run_matrix(spark: SparkSession, providers: list[Provider], source: str, revi
     result = run(spark, providers, source, revision)
     normalized = normalize_facts(result.observations)
     write_facts(normalized, root)
-    facts, unsupported = read_descriptors(spark, root)
+    for p, entry in zip(providers, result.manifest["providers"]):
+        if entry["status"] == "ok" and isinstance(p, ArtifactProvider):
+            entry["raw"] = retain_raw(spark, p.path, root, p.identity[0])
     identities = [p.identity for p in providers]
     expected = spark.createDataFrame([(i, n + 1) for n, i in enumerate(sorted(identities))], "provider struct<id:string,version:string,determinism:string>, ord int")
-    result.views = build_matrix(facts, unsupported, expected, addition_order or [i[0] for i in identities])
+    result.views = matrix_from_artifact(spark, root, expected, addition_order or [i[0] for i in identities])
     text = write_matrix(result.views, root)
     out = Path(root.removeprefix("file://"))
     out.mkdir(parents=True, exist_ok=True)
-    (out / "report.md").write_text(text)
+    with (out / "report.md").open("w") as f:
+        f.writelines(line + "\n" for line in text)
     (out / "manifest.json").write_text(json.dumps(result.manifest, indent=2))
     config = {"schemaVersion": 1, "command": "matrix", "source": source, "revision": revision, "providers": [i[0] for i in identities], "additionOrder": addition_order or [i[0] for i in identities]}
     (out / "config.json").write_text(json.dumps(config, indent=2))

@@ -5,7 +5,7 @@ from factloom.operators.entities import normalize_entities
 from factloom.schemas import ENTITY_INPUT
 
 REPO = ("r", "a" * 40)
-VERSIONS = {"typescript": "6.0.3", "scip-typescript": "0.4.0", "graft": "1.2.3"}
+VERSIONS = {"parser": "2.1.0", "scip": "0.3.3", "wiring": "5.0.1"}
 
 
 def entity(provider, id, kind, path="src/x.ts", span=None, name=None, qualified=None, signature=None, aliases=None, commit="a" * 40):
@@ -18,7 +18,7 @@ def outcome(spark, rows, **options):
     return c, groups
 
 
-THREE = [entity("typescript", "t1", "FunctionDeclaration", span="L10C1-L10C4"), entity("scip-typescript", "s1", "symbol", span="9:0-9:3"), entity("graft", "g1", "function", span="L10C1-L10C4")]
+THREE = [entity("parser", "t1", "FunctionDeclaration", span="L10C1-L10C4"), entity("scip", "s1", "symbol", span="9:0-9:3"), entity("wiring", "g1", "function", span="L10C1-L10C4")]
 
 
 def test_three_way_match_in_any_order(spark):
@@ -30,37 +30,37 @@ def test_three_way_match_in_any_order(spark):
 
 
 def test_revisions_never_mix(spark):
-    rows = [THREE[0], entity("graft", "g1", "function", span="L10C1-L10C4", commit="b" * 40)]
+    rows = [THREE[0], entity("wiring", "g1", "function", span="L10C1-L10C4", commit="b" * 40)]
     assert [g[0] for g in outcome(spark, rows)[1]] == ["unmatched", "unmatched"]
 
 
 def test_alias(spark):
-    rows = [entity("typescript", "t", "InterfaceDeclaration", span="L1C1-L1C2", name="Shape", qualified="Shape", aliases=["ShapeAlias"]), entity("scip-typescript", "s", "symbol", span="5:0-5:3", name="ShapeAlias", qualified="ShapeAlias")]
+    rows = [entity("parser", "t", "InterfaceDeclaration", span="L1C1-L1C2", name="Point", qualified="Point", aliases=["PointLike"]), entity("scip", "s", "symbol", span="5:0-5:3", name="PointLike", qualified="PointLike")]
     _, groups = outcome(spark, rows)
     assert groups[0][:2] == ("matched", 2) and "same-alias" in groups[0][2] and "same-range" not in groups[0][2]
 
 
 def test_weak_evidence_is_probable(spark):
-    rows = [entity("typescript", "t", "function", span="L1C1-L1C2", name="local"), entity("graft", "g", "function", span="L5C1-L5C2", name="local")]
+    rows = [entity("parser", "t", "function", span="L1C1-L1C2", name="helper"), entity("wiring", "g", "function", span="L5C1-L5C2", name="helper")]
     c, groups = outcome(spark, rows)
     assert groups[0][:2] == ("probable", 2) and c.links.first().score == 68
 
 
 def test_overloads_stay_apart(spark):
-    rows = [entity(p, f"{p}{i}", "function", span=f"L{i}C1-L{i}C9", name="f", qualified="m.f", signature=f"(x:{i})") for p in ("typescript", "graft") for i in (1, 2)]
+    rows = [entity(p, f"{p}{i}", "function", span=f"L{i}C1-L{i}C9", name="f", qualified="m.f", signature=f"(x:{i})") for p in ("parser", "wiring") for i in (1, 2)]
     assert [g[:2] for g in outcome(spark, rows)[1]] == [("matched", 2), ("matched", 2)]
 
 
 def test_one_to_many_is_ambiguous(spark):
-    rows = [entity("typescript", "t", "function", span="L1C1-L1C9"), entity("scip-typescript", "s1", "symbol", span="0:0-0:8"), entity("scip-typescript", "s2", "symbol", span="0:0-0:8"), entity("graft", "g", "class", path="src/other.ts")]
+    rows = [entity("parser", "t", "function", span="L1C1-L1C9"), entity("scip", "s1", "symbol", span="0:0-0:8"), entity("scip", "s2", "symbol", span="0:0-0:8"), entity("wiring", "g", "class", path="src/other.ts")]
     c, groups = outcome(spark, rows)
     assert [g[0] for g in groups] == ["ambiguous"] * 3 + ["unmatched"]
     metrics = {r.provider.id: r for r in c.metrics.collect()}
-    assert metrics["scip-typescript"].ambiguous == 2 and metrics["graft"].unmatched == 1 and metrics["typescript"].candidates == 2
+    assert metrics["scip"].ambiguous == 2 and metrics["wiring"].unmatched == 1 and metrics["parser"].candidates == 2
 
 
 def test_large_keys_are_skipped_and_reported(spark):
-    rows = [entity(p, f"{p}{i}", "function", name="same", qualified="same") for p in ("typescript", "graft") for i in range(225)]
+    rows = [entity(p, f"{p}{i}", "function", name="same", qualified="same") for p in ("parser", "wiring") for i in range(225)]
     e = normalize_entities(spark.createDataFrame(rows, ENTITY_INPUT))
     c = candidate_pairs(candidate_keys(e))
     assert c.pairs.count() == 0
