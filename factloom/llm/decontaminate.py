@@ -261,7 +261,7 @@ def _sketch(store: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([total[k : k + rows].tobytes() for k in blocks], pa.binary())], ["part", "block", "data"])
         settle()
 
-    got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f8")
+    got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f8", store.rdd.getNumPartitions())
     shared.unpersist()
     probes = _probes(items)
     return np.concatenate([np.frombuffer(b, "<f8").reshape(-1, probes.shape[1]) for _, b in got]) if got else np.zeros(probes.shape)

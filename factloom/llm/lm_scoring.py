@@ -32,7 +32,7 @@ from .textnp import word_hashes
 from .wordstore import chunks, normal, sum_blocks
 
 #: A word that occurs so often has an id of its own, if it is one of the MOST frequent.
-LEAST, MOST = 500, 1 << 13
+LEAST, MOST = 500, 6000
 #: Buckets of the other words.
 BUCKETS = 512
 HIDDEN, SIDE = 16, 2
@@ -164,12 +164,13 @@ class Vocabulary:
         self.frequent = frequent.astype(np.uint32)
         self.order = np.argsort(self.frequent).astype(np.int32)
         self.sorted = self.frequent[self.order]
-        self.slot = np.full(1 << 20, -1, np.int32)
-        self.slot[(self.frequent >> 12)[::-1]] = np.arange(len(frequent), dtype=np.int32)[::-1]
+        # small enough for a core's cache
+        self.slot = np.full(1 << 18, -1, np.int16)
+        self.slot[(self.frequent >> 14)[::-1]] = np.arange(len(frequent), dtype=np.int16)[::-1]
         self.n = len(frequent) + BUCKETS
 
     def ids(self, words: np.ndarray) -> np.ndarray:
-        at = self.slot[words >> 12]
+        at = self.slot[words >> 14].astype(np.int32)
         met = np.flatnonzero(at >= 0)
         miss = met[self.frequent[at[met]] != words[met]]
         if len(miss):  # two words in one slot: the later one is looked up
@@ -256,7 +257,7 @@ def word_counts(store: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         words, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for _, group in chunks(batches, 1 << 20):
+        for _, group in chunks(batches, 1 << 22):
             w, c = np.unique(np.concatenate(group), return_counts=True)
             words, inv = np.unique(np.concatenate([words, w]), return_inverse=True)
             n = np.bincount(inv, weights=np.concatenate([n, c]), minlength=len(words)).astype(np.int64)
@@ -303,8 +304,7 @@ def train_shard(net: Net, vocabulary: Vocabulary, parts: Iterator[tuple[list[int
             if not sum(map(len, words)):
                 continue
             padded, where, lengths = _padded(words, vocabulary)
-            at = where[np.concatenate([_masked(d, int(n), r, rounds) for d, n in zip(digests, lengths)])]
-            at = rng.permutation(at)
+            at = rng.permutation(where[np.concatenate([_masked(d, int(n), r, rounds) for d, n in zip(digests, lengths)])])
             held.append((_context(padded, at), padded[at]))
             _steps(trainer, held, batch, False)
         _steps(trainer, held, batch, True)
@@ -355,7 +355,7 @@ def train(store: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, rounds:
                 del trainer
             settle()
 
-        got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f4")
+        got = sum_blocks(store.mapInArrow(run, "part int, block int, data binary"), "<f4", shards)
         shared.unpersist()
         data = np.concatenate([np.frombuffer(b, "<f8") for _, b in got])
         net = Net(vocabulary.n, data[:-1] / data[-1])

@@ -58,23 +58,28 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[t
         yield ids, words
 
 
-def sum_blocks(parts: DataFrame, kind: str) -> list[tuple[int, bytes]]:
+def sum_blocks(parts: DataFrame, kind: str, n_parts: int) -> list[tuple[int, bytes]]:
     """(part int, block int, data binary) summed by block, as doubles, in order of part.
 
-    Sums are made in two steps, so that no task gets the blocks of all parts. The number of blocks and their size are fixed
-    by the caller's parameters; so is what comes to the driver.
+    Sums are made in two steps, of about the root of ``n_parts`` each, so that no task gets the blocks of all parts. The
+    number of blocks and their size are fixed by the caller's parameters; so is what comes to the driver.
     """
+    groups = max(1, round(n_parts**0.5))
 
     def add(kind: str):
         def run(table: pa.Table) -> pa.Table:
+            lean()
             table, total = table.sort_by("part"), None
             for x in table.column("data"):
                 a = np.frombuffer(x.as_buffer(), kind)
-                total = a.astype(np.float64) if total is None else total + a
-            return pa.table({"part": pa.array([table.column("part")[0].as_py() % 64], pa.int32()), "block": table.column("block").slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+                if total is None:
+                    total = a.astype(np.float64)
+                else:
+                    total += a
+            return pa.table({"part": pa.array([table.column("part")[0].as_py() % groups], pa.int32()), "block": table.column("block").slice(0, 1).cast(pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
         return run
 
     schema = "part int, block int, data binary"
-    some = parts.groupBy((F.col("part") % 64).alias("group"), "block").applyInArrow(add(kind), schema)
+    some = parts.groupBy((F.col("part") % groups).alias("group"), "block").applyInArrow(add(kind), schema)
     return sorted((r.block, bytes(r.data)) for r in some.groupBy("block").applyInArrow(add("<f8"), schema).collect())
