@@ -31,17 +31,18 @@ _settled = False
 
 
 def lean() -> None:
-    """Called at the start of a task in a Python worker: its allocator keeps arrays of up to 32 MB for the next ones.
+    """Called at the start of a task in a Python worker: its allocator keeps arrays of up to 8 MB for the next ones, and no larger.
 
-    What would otherwise be fetched from the system, and given back, for each array is given back by :func:`settle`, once.
+    Left alone it raises this limit to 32 MB by itself, and a worker holds far more than it uses; with a low limit each
+    array of a numerical loop is fetched from the system anew. :func:`settle` gives back what is kept.
     """
     global _settled
     if not _settled:
         _settled = True
         try:
             c = ctypes.CDLL(None)
-            c.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
-            c.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+            c.mallopt(-3, 1 << 23)  # M_MMAP_THRESHOLD
+            c.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
         except (AttributeError, OSError):  # another C library: it has ways of its own
             pass
 

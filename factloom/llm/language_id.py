@@ -170,6 +170,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows, n = sample(df, id_col, text_col, lang_col, per_language)
     model = train(rows)
     model.n_languages = n
+    del rows
+    settle()  # the sample was the driver's
     return model
 
 
