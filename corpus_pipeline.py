@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in binary segments, and what can be read back from them; workers that served other stages keep little."""
-    found = token_output.write_and_read(docs, queries.tokenizer_path(), kept=100_000, group=1 << 21)
+    found = token_output.write_and_read(docs, queries.tokenizer_path(), kept=50_000, group=1 << 20)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
