@@ -115,9 +115,9 @@ def unpack(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
 
 #: Encodings of pieces that a worker keeps, the first that it meets; frequent ones come early. Others, and longer pieces, are
 #: encoded each time.
-KEPT, LONG = 1_000_000, 64
+KEPT, LONG = 500_000, 64
 #: Characters of texts that are encoded together (one text at least).
-GROUP = 1 << 23
+GROUP = 1 << 22
 _encoders: dict[tuple[str, int], Encoder] = {}
 _cut = re.compile(r"(?<=\S) (?=\S)")
 #: Latin letters, as long as they have been in Unicode, and ASCII marks but ' behind them: one pre-token, or two.
