@@ -183,7 +183,7 @@ def test_wiring_and_scip(spark, tmp_path):
     node = lambda i, p: {"id": i, "name": i, "kind": "function", "path": p, "span": "L1C1-L1C2", "exported": True, "origin": "x"}
     graph = {"nodes": [node("a", "x.ts"), node("b", "y.ts")], "edges": [{"source": "a", "target": t, "relation": r, "confidence": "high"} for t, r in (("b", "calls"), ("b", "contains"), ("gone", "calls"))], "meta": {}}
     (tmp_path / "w.json").write_text(json.dumps(graph))
-    got = readers.wiring_observations(*readers.read_wiring(spark, str(tmp_path / "w.json")), ("graft", "1", "deterministic"), REPO).collect()
+    got = readers.wiring_observations(*readers.read_wiring(spark, str(tmp_path / "w.json")), ("wiring", "1", "deterministic"), REPO).collect()
     assert [(r.subject.id, r.predicate, r.object.entity.id) for r in got] == [("a", "calls", "b")]
     index = {"documents": [{"relative_path": "g.ts", "occurrences": [{"range": [1, 2, 5], "symbol": "S", "symbol_roles": 1}, {"range": [3, 0, 4, 2], "symbol": "S"}, {"range": [1, 1, 1], "symbol": ""}],
                             "symbols": [{"symbol": "S", "relationships": [{"symbol": "I", "is_implementation": True, "is_type_definition": True}, {"symbol": "J"}]}]}]}
