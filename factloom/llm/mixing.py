@@ -80,7 +80,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     counts = materialize(rows.groupBy("k", "source", "size").agg(F.count("*").alias("n")), "counts")
     sums = counts.groupBy("k", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = targets(sums.drop("k"), weights, share, cap).withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).drop("source")
-    plan = plan.join(rates(counts, plan, cap), "k", "left")
+    # one row per source each: written, so that the next step reads it in place of working it out again
+    plan = materialize(plan, "targets")
+    plan = materialize(plan.join(rates(counts, plan, cap), "k", "left"), "rates")
     due = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(F.least(F.lit(float(cap)), F.col("rate") * F.col("size")), F.lit(float(cap))))
     certain = counts.join(plan, "k").groupBy("k").agg(F.sum(F.floor(due) * F.col("size") * F.col("n")).alias("certain"))
     plan = materialize(plan.join(certain, "k").withColumn("rest", F.col("target") - F.col("certain")).drop("certain"), "plan")
@@ -93,7 +95,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     edge = materialize(_edge(bins, "bin", F.lit(0)).select("k", F.col("bin").alias("edge_bin"), "before"), "edges")
     parts = drawn.join(edge, "k").where("bin = edge_bin").groupBy("k", "fine").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("start"))
     edge = materialize(_edge(parts, "fine", F.col("start")).select("k", F.col("fine").alias("edge_fine"), "before"), "edges")
-    last = materialize(_last(drawn.join(edge, "k").where("fine = edge_fine")), "last")
+    across = materialize(drawn.join(edge, "k").where("fine = edge_fine").select("k", "q", "id", "size", "at", "rest", "before"), "across")
+    last = materialize(_last(across), "last")
     place = F.struct(*_order(), F.col("at").alias("at"))
     # without an edge all that could be drawn is
     more = F.when(F.col("q").isNull() | (F.col("rest") <= 0), 0).when(F.col("last").isNull() | (place <= F.col("last")), 1).otherwise(0)
