@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and SQL for those that SQL can express."""
+"""The queries of the operators, each over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, lm_scoring, mixing, secret_scan, simhash, token_output, url_filter
+from . import chat_format, conversation_repair, decontaminate, embedding_dedup, fill_in_middle, language_id, lm_scoring, mixing, piece_codec, secret_scan, simhash, token_output, url_filter
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
+PIECES = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +73,30 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path(PIECES)
+    found = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.restore(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damage(rows))
+    return conversation_repair.digest_rows(found, rows.select(F.col("conv_id").cast("long").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_mix_sources, op4_secret_scan, op5_chat_format, op6_url_filter, op7_simhash, op8_embedding_dedup, op9_lm_score, op10_token_output)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_mix_sources, op4_secret_scan, op5_chat_format, op6_url_filter, op7_simhash, op8_embedding_dedup, op9_lm_score, op10_token_output, op11_piece_codec, op12_fill_in_middle, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3, "op4_secret_scan": OP4, "op5_chat_format": OP5, "op6_url_filter": OP6, "op8_embedding_dedup": OP8}
+    return {"op3_mix_sources": OP3, "op4_secret_scan": OP4, "op5_chat_format": OP5, "op6_url_filter": OP6, "op8_embedding_dedup": OP8, "op12_fill_in_middle": OP12, "op13_conversation_repair": OP13}
 
 
 #: Targets by the level at which all sources that aren't capped stand; copies in proportion to size, then in the order of the
@@ -194,3 +215,60 @@ walk(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT w.vec_id, l.ib
 n AS (SELECT ia AS vec_id, count(*) AS n FROM l GROUP BY ia)
 SELECT w.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(seen) AS component_id, w.vec_id = min(seen) AS kept FROM walk w LEFT JOIN n ON n.vec_id = w.vec_id GROUP BY w.vec_id
 """
+
+#: Lines as a list; cuts are slices of it.
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+_ADD = "struct_pack(c := s[{0}].c + {1}, a := s[{0}].a || '{2}')"
+
+
+def _sql_least(*ways: tuple[int, int, str]) -> str:
+    """The least (cost, audit) over states, costs and edits."""
+    return "list_min([" + ", ".join(_ADD.format(i, cost, said) for i, cost, said in ways) + "])"
+
+
+def _sql_step() -> str:
+    """States after one more turn ``f`` from closed states ``s``: delete, rerole to user or assistant, keep."""
+    extra = "CASE f.fault WHEN 't' THEN 5 ELSE 0 END"
+    keep = lambda c, i: f"CASE WHEN f.fault IN ('', 't') AND f.initial = '{c}' THEN {_ADD.format(i, extra, 'K')} END"
+    rerole = lambda i: f"CASE WHEN f.fault IN ('', 't') THEN {_ADD.format(i, '1 + ' + extra, 'R')} END"
+    drop = lambda i: _ADD.format(i, 2, "D")
+    states = [[drop(1)], [drop(2), keep("s", 1)], [drop(3), *(w(i) for i in (1, 2, 4) for w in (rerole, lambda i: keep("u", i)))], [drop(4), rerole(3), keep("a", 3)]]
+    return "[" + ", ".join(f"list_min([{', '.join(ways)}])" for ways in states) + "]"
+
+
+_closed = ("[s[1], s[2], " + _sql_least((3, 0, ""), (1, 5, "I"), (2, 5, "I"), (4, 5, "I")) + ", " + _sql_least((4, 0, ""), (3, 5, "I"), (1, 10, "II"), (2, 10, "II")) + "]")
+_crc = ("list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(k, '')]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), "
+        "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))")
+#: One turn of every conversation at a time, with the least (cost, audit) of each of four states.
+OP13 = rf"""
+WITH RECURSIVE q AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({_crc}, 4294967295::BIGINT) % 20 AS d FROM q),
+dam AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE d <> 0),
+o AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM dam),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, [struct_pack(c := 0::BIGINT, a := ''), NULL, NULL, NULL] AS s FROM f
+    UNION ALL SELECT conv_id, i, {_sql_step()} FROM (SELECT w.conv_id, f.i, {_closed} AS s, f FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+last AS (SELECT conv_id, list_min([{_ADD.format(1, 0, "")}, {_sql_least((4, 0, ""), (3, 5, "I"), (1, 10, "II"), (2, 10, "II"))}]) AS e FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM walk) WHERE back = 1),
+p AS (SELECT conv_id, e, unnest(range(1, length(e.a) + 1)) AS p FROM last),
+x AS (SELECT conv_id, p, e.a[p] AS edit, count(*) FILTER (e.a[p] <> 'I') OVER w AS i, count(*) FILTER (e.a[p] <> 'D') OVER w AS nth FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+y AS (SELECT x.*, f.role, f.text, bool_or(edit = 'K' AND nth = 1 AND initial = 's') OVER (PARTITION BY x.conv_id) AS sys FROM x LEFT JOIN f ON x.edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i WHERE edit <> 'D'),
+z AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - 1 - sys::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said FROM y GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM every LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM every.conv_id
+"""
