@@ -26,7 +26,8 @@ def extract_entities(observations: DataFrame, prefer_definitions: bool = True) -
     o = o.select("provider", "repository", "source", "providerNative", F.explode(both).alias("e")).withColumn("v", F.try_parse_json("providerNative"))
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
     places = ("$.sourceNode", "$.targetNode", "$.node", "$")
-    has_node = get("$.node.id").isNotNull() | (F.try_variant_get("v", "$.node", "variant").isNotNull())
+    # a node that is null, or no object, is no node: the record itself counts then
+    has_node = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.node", "variant")), F.lit("OBJECT<")), F.lit(False))
 
     def found(place: str):
         ok = get(f"{place}.id") == F.col("e.id")

@@ -6,7 +6,9 @@ DataFrames of (provider, ord) and (fact_class).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -85,22 +87,85 @@ def comparable_sets(facts: DataFrame) -> DataFrame:
     return facts.where("logical_key is not null").select("provider", "fact_class", "logical_key", "exact_key").distinct()
 
 
+def _ordered_sets(facts: DataFrame, providers: DataFrame) -> DataFrame:
+    return comparable_sets(facts).join(F.broadcast(providers.select("provider", "ord")), "provider")
+
+
+def _pairs(who: Column, ord_: Callable[[Column], Column]) -> Column:
+    """Every pair (a, b) of a list of providers in the order of the registry; a list is as long as the registry at most."""
+    both = F.flatten(F.transform(who, lambda a: F.transform(who, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return F.explode(F.filter(both, lambda p: ord_(p.a) < ord_(p.b)))
+
+
+def _shared_pairs(base: DataFrame) -> DataFrame:
+    """(l, r, fact_class, exact_key) for every pair of providers that has an exact key."""
+    exact = base.groupBy("fact_class", "exact_key").agg(F.collect_set("ord").alias("who")).where(F.size("who") > 1)
+    return exact.select("fact_class", "exact_key", _pairs(F.col("who"), lambda x: x).alias("p")).select(F.col("p.a").alias("l"), F.col("p.b").alias("r"), "fact_class", "exact_key")
+
+
+def _held_keys(base: DataFrame) -> DataFrame:
+    """Logical keys with their providers; a provider's values are told by their number and two sums of digests."""
+    sum_ = lambda h: F.sum(h.cast("decimal(38,0)"))
+    own = base.groupBy("fact_class", "logical_key", "ord").agg(F.count("*").alias("n"), sum_(F.xxhash64("exact_key")).alias("h"), sum_(F.xxhash64(F.lit(1), "exact_key")).alias("g"))
+    return own.groupBy("fact_class", "logical_key").agg(F.collect_list(F.struct("ord", "n", "h", "g")).alias("who"))
+
+
+def _met_pairs(logical: DataFrame) -> DataFrame:
+    """(l, r, fact_class, logical_key, same) for every pair of providers that has a logical key."""
+    met = logical.where(F.size("who") > 1).select("fact_class", "logical_key", _pairs(F.col("who"), lambda x: x.ord).alias("p"))
+    same = (F.col("p.a.n") == F.col("p.b.n")) & (F.col("p.a.h") == F.col("p.b.h")) & (F.col("p.a.g") == F.col("p.b.g"))
+    return met.select(F.col("p.a.ord").alias("l"), F.col("p.b.ord").alias("r"), "fact_class", "logical_key", same.alias("same"))
+
+
+def _named_pairs(pairs: DataFrame, providers: DataFrame) -> DataFrame:
+    p = providers.select("provider", "ord")
+    rest = [c for c in pairs.columns if c not in ("l", "r")]
+    return pairs.join(F.broadcast(p.toDF("left", "l")), "l").join(F.broadcast(p.toDF("right", "r")), "r").select("left", "right", *rest)
+
+
+def overlap_keys(facts: DataFrame, providers: DataFrame) -> DataFrame:
+    """(left, right, fact_class, exact_key): what :func:`pairwise_overlap` counts as overlap, one row per key."""
+    return _named_pairs(_shared_pairs(_ordered_sets(facts, providers)), providers)
+
+
+def conflict_keys(facts: DataFrame, providers: DataFrame) -> DataFrame:
+    """(left, right, fact_class, logical_key): what :func:`pairwise_overlap` counts as conflicts, one row per key."""
+    met = _met_pairs(_held_keys(_ordered_sets(facts, providers)))
+    return _named_pairs(met.where(~F.col("same")).drop("same"), providers)
+
+
+def all_provider_keys(facts: DataFrame, providers: DataFrame) -> DataFrame:
+    """(fact_class, exact_key): what :func:`all_provider_overlap` counts, one row per key."""
+    total = providers.agg(F.count("*").alias("providers"))
+    held = _ordered_sets(facts, providers).groupBy("fact_class", "exact_key").agg(F.count_distinct("ord").alias("n"))
+    return held.crossJoin(F.broadcast(total)).where("n = providers").select("fact_class", "exact_key")
+
+
+def gain_ids(facts: DataFrame, unsupported: DataFrame, order: DataFrame) -> DataFrame:
+    """(provider, kind, fact_class, id): all that :func:`information_gain` counts, one row per id.
+
+    ``new``: exact keys no provider before it has; ``unique``: logical keys of it alone; ``ambiguous`` and ``unmatched``: fact ids
+    without a usable identity; ``unsupported``: evidence ids. Rows that repeat an id are listed as often as they are counted.
+    """
+    shape = lambda df, kind, id_: df.select("provider", kind.alias("kind"), "fact_class", F.col(id_).alias("id"))
+    known = lambda df: df.join(F.broadcast(order.select("provider")), "provider", "left_semi")
+    open_ = known(facts).where(F.col("status").isin("ambiguous", "unmatched"))
+    parts = [shape(open_, F.col("status"), "fact_id"), shape(known(unsupported), F.lit("unsupported"), "evidence_id"), shape(known(unique_logical(facts)), F.lit("unique"), "logical_key")]
+    out = shape(new_keys(facts, order), F.lit("new"), "exact_key")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def pairwise_overlap(facts: DataFrame, providers: DataFrame, classes: DataFrame) -> DataFrame:
     """One row per pair of providers and fact class, in the order of the registry.
 
-    Keys are grouped once and pairs are made of the providers that have a key, so nothing is joined with itself. A provider's
-    values of a key are compared by their number and the sums of two digests, whatever their number.
+    Keys are grouped once and pairs are made of the providers that have a key, so nothing is joined with itself.
     """
-    base = comparable_sets(facts).join(F.broadcast(providers.select("provider", "ord")), "provider")
-    exact = base.groupBy("fact_class", "exact_key").agg(F.collect_set("ord").alias("who"))
-    sum_ = lambda h: F.sum(h.cast("decimal(38,0)"))
-    logical = base.groupBy("fact_class", "logical_key", "ord").agg(F.count("*").alias("n"), sum_(F.xxhash64("exact_key")).alias("h"), sum_(F.xxhash64(F.lit(1), "exact_key")).alias("g"))
-    logical = logical.groupBy("fact_class", "logical_key").agg(F.collect_list(F.struct("ord", "n", "h", "g")).alias("who"))
-    pairs = lambda who, ord_: F.explode(F.filter(F.flatten(F.transform(who, lambda a: F.transform(who, lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: ord_(p.a) < ord_(p.b)))
-    shared = exact.where(F.size("who") > 1).select("fact_class", pairs(F.col("who"), lambda x: x).alias("p")).groupBy(F.col("p.a").alias("l"), F.col("p.b").alias("r"), "fact_class").agg(F.count("*").alias("overlap"))
-    met = logical.where(F.size("who") > 1).select("fact_class", pairs(F.col("who"), lambda x: x.ord).alias("p"))
-    same = (F.col("p.a.n") == F.col("p.b.n")) & (F.col("p.a.h") == F.col("p.b.h")) & (F.col("p.a.g") == F.col("p.b.g"))
-    met = met.groupBy(F.col("p.a.ord").alias("l"), F.col("p.b.ord").alias("r"), "fact_class").agg(F.count("*").alias("compared"), F.count_if(~same).alias("conflicts"))
+    base = _ordered_sets(facts, providers)
+    logical = _held_keys(base)
+    shared = _shared_pairs(base).groupBy("l", "r", "fact_class").agg(F.count("*").alias("overlap"))
+    met = _met_pairs(logical).groupBy("l", "r", "fact_class").agg(F.count("*").alias("compared"), F.count_if(~F.col("same")).alias("conflicts"))
     own = logical.select("fact_class", F.explode("who").alias("w")).groupBy("w.ord", "fact_class").agg(F.sum("w.n").alias("n"), F.count("*").alias("k"))
     p = providers.select("provider", "ord")
     grid = p.toDF("left", "l").join(p.toDF("right", "r"), F.col("l") < F.col("r")).crossJoin(F.broadcast(classes.select("fact_class")))
@@ -154,11 +219,12 @@ def addition_order(providers: DataFrame, ids: list[str]) -> DataFrame:
     return providers.withColumn("ord", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(rank, "ord")))
 
 
-def compare_fact_sets(facts: DataFrame, unsupported: DataFrame, expected: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def compare_fact_sets(facts: DataFrame, unsupported: DataFrame, expected: list[tuple[str, str, str]] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(group key, fact class, state, variants, n_providers) of every comparison group: repository, subject and predicate.
 
-    equivalent, provider-only, conflict or unsupported; ``expected``: identities (id, version, determinism) of the providers
-    that should agree. A group whose subject isn't resolved is a group all the same, so its values can conflict.
+    equivalent, provider-only, conflict, unsupported or absent; ``expected``: identities (id, version, determinism) of the
+    providers that should agree; ``groups`` (key, fact_class): groups that should be there, ``absent`` where nobody says anything.
+    A group whose subject isn't resolved is a group all the same, so its values can conflict.
     """
     both = facts.withColumn("ok", F.lit(True)).unionByName(unsupported.withColumn("ok", F.lit(False)))
     identity = lambda x: F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "version", "determinism"), x)])
@@ -168,7 +234,12 @@ def compare_fact_sets(facts: DataFrame, unsupported: DataFrame, expected: list[t
         F.bool_or(~F.col("ok") & F.array_contains(want, F.col("provider"))).alias("missed"), F.count_distinct("provider").alias("n_providers"))
     covers = F.size(F.array_except(want, "seen")) == 0 if expected else F.size("seen") > 1
     state = F.when(F.col("variants") == 0, "unsupported").when(F.col("variants") > 1, "conflict").when(covers & ~F.col("missed"), "equivalent").otherwise("provider-only")
-    return g.select("key", "fact_class", state.alias("state"), "variants", "n_providers")
+    out = g.select("key", "fact_class", state.alias("state"), "variants", "n_providers")
+    if groups is None:
+        return out
+    zero = F.lit(0).cast("long")
+    silent = groups.select("key", "fact_class").distinct().join(out.select("key", "fact_class"), ["key", "fact_class"], "left_anti")
+    return out.unionByName(silent.select("key", "fact_class", F.lit("absent").alias("state"), zero.alias("variants"), zero.alias("n_providers")))
 
 
 #: The same under the name that callers of normalized facts know.

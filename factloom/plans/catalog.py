@@ -16,7 +16,7 @@ from ..operators.components import bounded_components
 from ..operators.entities import extract_entities, normalize_entities
 from ..operators.facts import NormalizedFacts, normalize_facts, validate_facts, validate_observations
 from ..sources import corpora, readers
-from . import workflow
+from . import record_queries, workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -248,19 +248,8 @@ def validation_errors(spark, sf_dir):
     return validate_observations(o).select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
-_kept: dict[tuple[str, str, str], object] = {}
-
-
-def _once(spark, sf_dir, name: str, make: Callable):
-    """What several queries look at is worked out, and its tables written, once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
-
-
 def _normalized(spark, sf_dir) -> NormalizedFacts:
-    return _once(spark, sf_dir, "facts", lambda: normalize_facts(corpora.customer_observations(spark, sf_dir)))
+    return normalize_facts(corpora.customer_observations(spark, sf_dir))
 
 
 def _views(spark, sf_dir) -> dict[str, DataFrame]:
@@ -332,7 +321,7 @@ def matrix_gain(spark, sf_dir):
 
 
 def _part_links(spark, sf_dir) -> R.Correlation:
-    return _once(spark, sf_dir, "parts", lambda: R.correlate(corpora.part_entities(spark, sf_dir)))
+    return R.correlate(corpora.part_entities(spark, sf_dir))
 
 
 def links_by_score(spark, sf_dir):
@@ -384,7 +373,7 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | record_queries.queries()
 
 
 _FACTS = """
@@ -456,7 +445,7 @@ def _d(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return record_queries.oracle_sql(_FACTS) | {
         "fact_rows_state": _f("SELECT fact_class, state, count(*) AS n FROM r GROUP BY ALL"),
         "fact_rows": _f("SELECT * FROM r"),
         "fact_variants": _f("SELECT logical_key, exact_key, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, string_agg(DISTINCT provider || '/' || exact_key, ',' ORDER BY provider || '/' || exact_key) AS fact_ids FROM s GROUP BY ALL"),

@@ -41,6 +41,34 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(_rows(_table(spark, sf_dir, "events").select("user_id").distinct(), "stream", refs, person("user_id"), F.col("user_id").cast("string")))
 
 
+def claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and unsupported evidence with their ends, as normalized facts have them.
+
+    Beside the five providers of :func:`facts`, ``lines`` observes an order's status on each of its lines, so it has many facts
+    of one value. What ``history`` says of customers whose number 7 divides is ambiguous; of those 11 divides, unmatched.
+    """
+    line = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("order:"), "l_orderkey").alias("logical"), F.coalesce("l_linestatus", F.lit("")).alias("value"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("line")).where("logical is not null")
+    lines = line.select(
+        repository().alias("repository"), provider("lines").alias("provider"), F.lit("reads").alias("fact_class"), F.col("logical").alias("group_key"), F.col("logical").alias("logical_key"), F.concat_ws("=", "logical", "value").alias("exact_key"), F.lit("matched").alias("status"),
+        F.concat(F.lit("lines/"), "line").alias("fact_id"), F.concat(F.lit("lines#"), "line").alias("evidence_id"))
+    said = facts(spark, sf_dir).unionByName(lines)
+    n = F.split_part("logical_key", F.lit(":"), F.lit(2)).try_cast("long")
+    open_ = F.when((F.col("provider.id") == "history") & (n % 7 == 0), "ambiguous").when((F.col("provider.id") == "history") & (n % 11 == 0), "unmatched")
+    none = F.array().cast("array<string>")
+
+    def ends(df: DataFrame) -> DataFrame:
+        clear = F.col("status").isin("matched", "probable")
+        subject = F.struct(
+            F.when(clear, F.col("group_key")).alias("canonical_id"), F.when(F.col("status") == "ambiguous", F.array(F.concat("group_key", F.lit("/a")), F.concat("group_key", F.lit("/b")))).otherwise(none).alias("candidate_ids"),
+            F.concat_ws("/", "provider.id", "group_key").alias("native_id"), F.lit("record").alias("kind"), F.col("status").alias("status"))
+        return df.withColumns({"predicate": F.col("fact_class"), "subject": subject, "object": F.lit(None).cast(subject_type), "value": F.split_part("exact_key", F.lit("="), F.lit(2))})
+
+    subject_type = "struct<canonical_id:string,candidate_ids:array<string>,native_id:string,kind:string,status:string>"
+    said = said.withColumn("status", F.coalesce(open_, "status"))
+    said = said.withColumn("logical_key", F.when(F.col("status") == "matched", F.col("logical_key")))
+    return ends(said), ends(unsupported(spark, sf_dir))
+
+
 def unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evidence of predicates that have no common meaning."""
     e = _table(spark, sf_dir, "events")
