@@ -445,7 +445,12 @@ def _d(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return record_queries.oracle_sql(_FACTS) | {
+    own = _oracle_sql()
+    return own | record_queries.oracle_sql(_FACTS, own)
+
+
+def _oracle_sql() -> dict[str, str]:
+    return {
         "fact_rows_state": _f("SELECT fact_class, state, count(*) AS n FROM r GROUP BY ALL"),
         "fact_rows": _f("SELECT * FROM r"),
         "fact_variants": _f("SELECT logical_key, exact_key, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, string_agg(DISTINCT provider || '/' || exact_key, ',' ORDER BY provider || '/' || exact_key) AS fact_ids FROM s GROUP BY ALL"),

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import matrix as M
 from ..operators.entities import extract_entities
+from ..operators.facts import normalize_facts
 from ..operators.records import Records, matrix_records
-from ..sources import corpora
+from ..sources import corpora, documents, ordered
 
 #: Providers of the records' registry in order; the last says nothing.
 PROVIDERS = ("ledger", "rollup", "master", "history", "stream", "lines", "silent")
@@ -103,7 +105,43 @@ def null_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_entities(o).groupBy(said.alias("name"), "signature").agg(F.count("*").alias("n"))
 
 
-_QUERIES = (full_records, record_variants, record_ids, overlap_keys, conflict_keys, all_provider_keys, gain_ids, comparisons_all_states, null_nodes)
+def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical facts in sorted files of 1000 rows, read back with the number of their file."""
+    folder = storage.scratch_path(spark, "rows")
+    ordered.write_ordered(M.fact_rows(corpora.facts(spark, sf_dir), corpora.unsupported(spark, sf_dir)), folder, ordered.ORDERS["rows"], 1000)
+    return spark.read.schema("key string, state string, part_no int").json(f"{folder}/data")
+
+
+def ordered_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and ranges of those files."""
+    folder = storage.scratch_path(spark, "rows")
+    found = ordered.write_ordered(M.fact_rows(corpora.facts(spark, sf_dir), corpora.unsupported(spark, sf_dir)), folder, ordered.ORDERS["rows"], 1000)
+    return found.select("part_no", "n", F.get_json_object("first", "$.k2").alias("first"), F.get_json_object("last", "$.k2").alias("last"))
+
+
+def _document(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What three providers observe about customers, normalized, written as one document and read again."""
+    path = storage.scratch_path(spark, "facts") + ".json"
+    documents.export_facts(normalize_facts(corpora.customer_observations(spark, sf_dir)), path, 500)
+    return documents.import_facts(spark, path)
+
+
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _document(spark, sf_dir)
+    cols = ("provider", "predicate", "status", "fact_status", "value")
+    both = d["facts"].select(*cols).unionByName(d["unsupported"].select(*cols))
+    return both.groupBy(F.col("provider.id").alias("provider"), "predicate", "status", "fact_status").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
+
+
+def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that the document's references lead to, and the observations kept beside them."""
+    d = _document(spark, sf_dir)
+    named = d["facts"].select("evidence_id", "predicate").unionByName(d["unsupported"].select("evidence_id", "predicate"))
+    said = F.try_variant_get(F.try_parse_json("providerNative"), "$.p", "string")
+    return named.join(d["evidence"], "evidence_id", "left").groupBy(named.predicate.alias("predicate"), ((said == named.predicate) & (F.col("observation.predicate") == named.predicate)).alias("same")).agg(F.count("*").alias("n"), F.count_distinct("evidence_id").alias("ids"))
+
+
+_QUERIES = (ordered_rows, ordered_manifest, document_facts, document_references, full_records, record_variants, record_ids, overlap_keys, conflict_keys, all_provider_keys, gain_ids, comparisons_all_states, null_nodes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -137,12 +175,13 @@ cx AS (SELECT rs.key, string_agg(pr.provider || '=' || CASE WHEN ce.key IS NULL
 """
 
 
-def oracle_sql(facts: str) -> dict[str, str]:
-    """``facts``: common table expressions that give f."""
+def oracle_sql(facts: str, same_as: dict[str, str]) -> dict[str, str]:
+    """``facts``: common table expressions that give f; ``same_as``: SQL of queries that documents must not change."""
     over = lambda sql, *more: f"WITH {', '.join(x.strip() for x in (facts, _CLAIMS, *more))} {sql}"
     met = """(SELECT a.provider AS "left", b.provider AS "right", a.fact_class, logical_key FROM (SELECT provider, ord, fact_class, logical_key, list_sort(list(exact_key)) AS v FROM cs GROUP BY ALL) a
         JOIN (SELECT provider, ord, fact_class, logical_key, list_sort(list(exact_key)) AS v FROM cs GROUP BY ALL) b USING (logical_key) WHERE a.ord < b.ord AND a.fact_class = b.fact_class AND a.v <> b.v)"""
     return {
+        "document_facts": same_as["normalized_facts"], "document_references": same_as["evidence_payloads"],
         "full_records": over("SELECT rs.key, logical_key, fact_class, state, kind = 'c' AS comparison_possible, status AS correlation_status, n_variants, variants, cells, observed, missing FROM rs JOIN cx USING (key)", _VARIANTS, _RECORDS),
         "record_variants": over("SELECT key, variant, predicate, providers, native_id, candidates, value, n_facts, n_evidence FROM va", _VARIANTS),
         "record_ids": over("SELECT key, variant, provider, kind, count(DISTINCT id) AS n, min(id) AS first, max(id) AS last FROM (SELECT key, variant, provider, 'fact' AS kind, fact_id AS id FROM cl WHERE fact_id IS NOT NULL UNION ALL SELECT key, variant, provider, 'evidence', evidence_id FROM cl) GROUP BY ALL"),
@@ -156,6 +195,9 @@ def oracle_sql(facts: str) -> dict[str, str]:
             SELECT fact_class, CASE WHEN variants > 1 THEN 'conflict' WHEN n_providers > 1 THEN 'equivalent' ELSE 'provider-only' END AS state, variants, n_providers, count(*) AS n FROM x GROUP BY ALL
             UNION ALL SELECT fact_class, 'unsupported', 0, 1, count(DISTINCT key) FROM u GROUP BY fact_class
             UNION ALL SELECT 'defines', 'absent', 0, 0, count(DISTINCT n_nationkey) FROM nation""",
+        "ordered_rows": f"WITH {facts.strip()} SELECT key, state, ((row_number() OVER (ORDER BY fact_class, key) - 1) // 1000)::INT AS part_no FROM r",
+        "ordered_manifest": f"""WITH {facts.strip()}, o AS (SELECT key, row_number() OVER (ORDER BY fact_class, key) - 1 AS nth FROM r)
+            SELECT (nth // 1000)::INT AS part_no, count(*) AS n, arg_min(key, nth) AS first, arg_max(key, nth) AS last FROM o GROUP BY nth // 1000""",
         "null_nodes": """SELECT CASE WHEN event_id % 6 = 4 THEN 'id' WHEN event_id % 6 = 5 THEN 'inner' ELSE 'own' END AS name, CASE WHEN event_id % 6 < 4 THEN 'S' END AS signature, count(*) AS n
             FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL""",
     }
