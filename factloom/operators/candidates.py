@@ -52,14 +52,37 @@ def candidate_pairs(keys: DataFrame, pairs_per_key: int = PAIRS_PER_KEY, pairs_t
         pairs, cut = met.select("left", "right").distinct(), F.lit(True)
     else:
         ranked = met.groupBy("left", "right").agg(F.min(F.struct("first", "class", "key")).alias("rank"))
-        order = W.partitionBy(F.lit(0)).orderBy("rank", "left", "right")
-        pairs = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pairs_total).select("left", "right")
+        pairs = first_pairs(ranked, pairs_total)
         cut = F.lit(False)
     diagnostics = buckets.groupBy("class").agg(
         F.count("*").alias("keys"), F.count_if(over).alias("skipped_keys"), F.coalesce(F.max(F.when(over, (n * (n - 1) / 2).cast("long"))), F.lit(0)).alias("largest_skipped_pairs"))
     return Candidates(pairs, diagnostics.withColumn("complete", (F.col("skipped_keys") == 0) & cut))
 
 
+def first_pairs(ranked: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` pairs (left, right) in the order of rank, left and right.
+
+    A rank begins with a digest. The pairs for each of its first four digits are counted, 65,536 numbers at most; where the limit
+    falls among them, those for the next four; and only what shares these eight digits with the pair at the limit, pairs of one
+    entity as a rule, is numbered.
+    """
+    some = ranked.withColumn("room", F.lit(most).cast("long"))
+    kept, by = [], []
+    for level in range(2):
+        by = [*by, f"d{level}"]
+        some = some.withColumn(f"d{level}", F.substring("rank.first", 4 * level + 1, 4))
+        sizes = some.groupBy(*by).agg(F.count("*").alias("n"))
+        # the counts of one level are few, and of the second there are those of one bucket alone
+        before = W.partitionBy(F.lit(0)).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+        sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        met = some.join(F.broadcast(sizes), by).where("before < room")
+        kept.append(met.where("before + n <= room").select("left", "right"))
+        some = met.where("before + n > room").withColumn("room", F.col("room") - F.col("before")).drop("n", "before")
+    nth = F.row_number().over(W.partitionBy(*by).orderBy("rank", "left", "right"))
+    last = some.withColumn("nth", nth).where("nth <= room").select("left", "right")
+    return kept[0].unionByName(kept[1]).unionByName(last)
+
+
 def score(l: Column, r: Column) -> tuple[Column, Column]:  # noqa: E741
     """(score, rules) of two entities; the score is null where there is no link."""
     path, rng = F.coalesce(l.path == r.path, F.lit(False)), S.same_range(l.range, r.range)

@@ -215,11 +215,7 @@ def wiring_observations(spark, sf_dir):
 
 def scip_observations(spark, sf_dir):
     """Orders as documents of an index: a line is an occurrence, its part a symbol; the first line of a part defines it."""
-    line = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(
-        F.array(*[c.cast("long") for c in (F.col("l_linenumber"), F.lit(0), F.lit(4))]).alias("range"), F.when(F.col("l_linenumber") != 7, F.concat(F.lit("part "), "l_partkey")).otherwise("").alias("symbol"), F.when(F.col("l_linenumber") == 1, 1).otherwise(8).cast("long").alias("symbol_roles")).alias("o"),
-        F.struct(F.concat(F.lit("part "), "l_partkey").alias("symbol"), F.array(F.struct(F.concat(F.lit("supplier "), "l_suppkey").alias("symbol"), (F.col("l_suppkey") % 2 == 0).alias("is_implementation"), (F.col("l_suppkey") % 3 == 0).alias("is_type_definition"))).alias("relationships")).alias("s"))
-    docs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("o")).alias("occurrences"), F.collect_list("s").alias("symbols"))
-    index = docs.select(F.array(F.struct(F.concat(F.lit("orders/"), "l_orderkey").alias("relative_path"), "occurrences", "symbols")).alias("documents"))
+    index = record_queries.order_documents(spark, sf_dir).select(F.array(F.struct("relative_path", "occurrences", "symbols")).alias("documents"))
     o = readers.scip_observations(index, ("scip", "1.0.0", "deterministic"), ("sample", "a" * 40))
     return o.groupBy("predicate", F.col("object.entity").isNotNull().alias("to_entity"), F.col("source.span").isNotNull().alias("placed")).agg(F.count("*").alias("n"), F.count_distinct("subject.id").alias("subjects"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pathlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ from ..operators import matrix as M
 from ..operators.entities import extract_entities
 from ..operators.facts import normalize_facts
 from ..operators.records import Records, matrix_records
-from ..sources import corpora, documents, ordered
+from ..sources import corpora, documents, ordered, plugins, readers, scip
+from ..streaming import incremental
+from . import workflow
 
 #: Providers of the records' registry in order; the last says nothing.
 PROVIDERS = ("ledger", "rollup", "master", "history", "stream", "lines", "silent")
@@ -141,7 +146,97 @@ def document_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(d["evidence"], "evidence_id", "left").groupBy(named.predicate.alias("predicate"), ((said == named.predicate) & (F.col("observation.predicate") == named.predicate)).alias("same")).agg(F.count("*").alias("n"), F.count_distinct("evidence_id").alias("ids"))
 
 
-_QUERIES = (ordered_rows, ordered_manifest, document_facts, document_references, full_records, record_variants, record_ids, overlap_keys, conflict_keys, all_provider_keys, gain_ids, comparisons_all_states, null_nodes)
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of an index: a line is an occurrence, its part a symbol; the first line of a part defines it."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct(
+        F.array(*[c.cast("long") for c in (F.col("l_linenumber"), F.lit(0), F.lit(4))]).alias("range"), F.when(F.col("l_linenumber") != 7, F.concat(F.lit("part "), "l_partkey")).otherwise("").alias("symbol"), F.when(F.col("l_linenumber") == 1, 1).otherwise(8).cast("long").alias("symbol_roles")).alias("o"),
+        F.struct(F.concat(F.lit("part "), "l_partkey").alias("symbol"), F.array(F.struct(F.concat(F.lit("supplier "), "l_suppkey").alias("symbol"), (F.col("l_suppkey") % 2 == 0).alias("is_implementation"), (F.col("l_suppkey") % 3 == 0).alias("is_type_definition"))).alias("relationships")).alias("s"))
+    docs = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("o")).alias("occurrences"), F.collect_list("s").alias("symbols"))
+    return docs.select(F.concat(F.lit("orders/"), "l_orderkey").alias("relative_path"), "occurrences", "symbols")
+
+
+def scip_protobuf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of sixteen Protobuf indexes: the same observations as of their JSON form."""
+    docs = order_documents(spark, sf_dir)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [scip.encode_document(d) for d in b.select(["relative_path", "occurrences", "symbols"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(raw, pa.binary())], ["part", "entry"])
+
+    entries = docs.withColumn("part", F.pmod(F.xxhash64("relative_path"), F.lit(16))).mapInArrow(encode, "part long, entry binary")
+    indexes = entries.groupBy("part").agg(F.collect_list("entry").alias("all")).select(F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    index = scip.documents(indexes).select(F.array(F.struct("relative_path", "occurrences", "symbols")).alias("documents"))
+    o = readers.scip_observations(index, ("scip", "1.0.0", "deterministic"), ("sample", "a" * 40))
+    return o.groupBy("predicate", F.col("object.entity").isNotNull().alias("to_entity"), F.col("source.span").isNotNull().alias("placed")).agg(F.count("*").alias("n"), F.count_distinct("subject.id").alias("subjects"))
+
+
+class _Table(plugins.ProviderPlugin):
+    """Observes a Parquet table's customers, a row group at a time: their market segment, and whom they come before."""
+
+    identity = ("segments", "1.0.0", "deterministic")
+
+    def partitions(self, options):
+        files = _files(options["path"])
+        return [(f, g) for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+
+    def observe(self, partition, options):
+        rows = pq.ParquetFile(partition[0]).read_row_group(partition[1], columns=["c_custkey", "c_mktsegment"]).to_pylist()
+        for r in rows:
+            k = r["c_custkey"]
+            if k is not None:
+                about = {"subject": (f"c{k}", "function"), "path": f"customers/{k}.ts"}
+                yield about | {"predicate": "reads", "object": r["c_mktsegment"] or ""}
+                yield about | {"predicate": "calls", "object": (f"c{k + 1}", "function")}
+
+
+class _Broken(_Table):
+    """Fails in the midst of its work."""
+
+    identity = ("broken", "1.0.0", "deterministic")
+
+    def observe(self, partition, options):
+        for n, o in enumerate(super().observe(partition, options)):
+            if n == 5:
+                raise RuntimeError("the provider's tool has ended")
+            yield o
+
+
+class _Elsewhere(_Table):
+    """Has analysed another revision, so nothing of it may be read."""
+
+    identity = ("elsewhere", "1.0.0", "deterministic")
+
+    def revision(self, options):
+        return "b" * 40
+
+
+def _files(path: str) -> list[str]:
+    found = pathlib.Path(path.removeprefix("file://"))
+    return sorted(map(str, found.glob("*.parquet"))) if found.is_dir() else [str(found)]
+
+
+def plugin_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over three plug-ins over the customers: one is read, one fails and leaves nothing, one has another revision."""
+    kinds = (_Table, _Broken, _Elsewhere)
+    plugins.register(spark, *kinds)
+    options = {"source": "sample", "path": f"{sf_dir}/customer.parquet"}
+    result = workflow.run(spark, [plugins.PluginProvider(k.identity, "a" * 40, options) for k in kinds], "sample", "a" * 40)
+    told = spark.createDataFrame([(e["identity"]["id"], e["status"]) for e in result.manifest["providers"]], "provider string, status string")
+    rows = result.observations.groupBy(F.col("provider.id").alias("provider")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("predicate") == "reads").alias("reads"), F.count_distinct("subject.id").alias("subjects"), F.count_if(F.col("object.value").isNull()).alias("to_entity"))
+    return told.join(rows, "provider", "left").fillna(0)
+
+
+def incremental_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that arrive in five files, one batch for each: the last state of every logical key."""
+    root = storage.scratch_path(spark, "stream")
+    corpora.facts(spark, sf_dir).repartition(5, F.xxhash64("evidence_id")).write.parquet(f"{root}/in")
+    incremental.follow(spark, f"{root}/in", f"{root}/out", f"{root}/state", 1).awaitTermination()
+    return incremental.latest(spark.read.parquet(f"{root}/out")).select(F.col("logical_key").alias("key"), "fact_class", "state", "correlation_status", "n_variants", "n_providers")
+
+
+_QUERIES = (scip_protobuf, plugin_run, incremental_states, ordered_rows, ordered_manifest, document_facts, document_references, full_records, record_variants, record_ids, overlap_keys, conflict_keys, all_provider_keys, gain_ids, comparisons_all_states, null_nodes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -181,6 +276,10 @@ def oracle_sql(facts: str, same_as: dict[str, str]) -> dict[str, str]:
     met = """(SELECT a.provider AS "left", b.provider AS "right", a.fact_class, logical_key FROM (SELECT provider, ord, fact_class, logical_key, list_sort(list(exact_key)) AS v FROM cs GROUP BY ALL) a
         JOIN (SELECT provider, ord, fact_class, logical_key, list_sort(list(exact_key)) AS v FROM cs GROUP BY ALL) b USING (logical_key) WHERE a.ord < b.ord AND a.fact_class = b.fact_class AND a.v <> b.v)"""
     return {
+        "scip_protobuf": same_as["scip_observations"],
+        "plugin_run": """SELECT 'segments' AS provider, 'ok' AS status, 2 * count(*) AS n, count(*) AS reads, count(DISTINCT c_custkey) AS subjects, count(*) AS to_entity FROM customer WHERE c_custkey IS NOT NULL
+            UNION ALL SELECT 'broken', 'failed', 0, 0, 0, 0 UNION ALL SELECT 'elsewhere', 'ok', 0, 0, 0, 0""",
+        "incremental_states": f"WITH {facts.strip()} SELECT key, fact_class, state, correlation_status, n_variants, n_providers FROM r WHERE comparison_possible",
         "document_facts": same_as["normalized_facts"], "document_references": same_as["evidence_payloads"],
         "full_records": over("SELECT rs.key, logical_key, fact_class, state, kind = 'c' AS comparison_possible, status AS correlation_status, n_variants, variants, cells, observed, missing FROM rs JOIN cx USING (key)", _VARIANTS, _RECORDS),
         "record_variants": over("SELECT key, variant, predicate, providers, native_id, candidates, value, n_facts, n_evidence FROM va", _VARIANTS),

@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 from ..operators import matrix as M
 from ..operators.facts import NormalizedFacts, normalize_facts, validate_observations
 from ..schemas import OBSERVATION, VERSION
+from ..storage import materialize
 from . import report
 
 
@@ -81,7 +82,8 @@ def run(spark: SparkSession, providers: list[Provider], source: str, revision: s
                 other = rows.where(F.lower("repository.commitSha") != revision.lower()).select("repository").head(1)
                 if other:
                     raise ValueError(f"revision {other[0].repository.commitSha} was read, {revision} was asked for")
-                out = out.unionByName(rows.select(*out.columns))
+                # read once and whole, so that what fails later on is this provider alone
+                out = out.unionByName(materialize(rows.select(*out.columns), "provider"))
         except Exception as e:  # a provider's failure is a result of the run
             entry |= {"status": "failed", "error": str(e).split("\n")[0]}
         entries.append(entry)
