@@ -22,8 +22,10 @@ from pyspark.sql.types import StructType
 
 from ..operators import matrix as M
 from ..operators.facts import NormalizedFacts, normalize_facts, validate_observations
+from ..operators.records import matrix_records
 from ..schemas import OBSERVATION, VERSION
-from ..storage import materialize
+from ..sources import documents
+from ..storage import materialize, write_text
 from . import report
 
 
@@ -96,16 +98,22 @@ def run(spark: SparkSession, providers: list[Provider], source: str, revision: s
 
 def build_matrix(facts: DataFrame, unsupported: DataFrame, providers: DataFrame | None = None, addition_order: list[str] | None = None, metrics: DataFrame | None = None) -> dict[str, DataFrame]:
     """All views over DESCRIPTOR rows by name; ``providers``: the registry, where more are expected than are seen;
-    ``metrics``: of the entities, from their correlation."""
+    ``metrics``: of the entities, from their correlation. Rows of normalized facts, which have their ends, give full records, too."""
     registry = providers if providers is not None else M.provider_registry(facts, unsupported)
     classes, rows = M.fact_classes(facts, unsupported), M.fact_rows(facts, unsupported)
     order = M.addition_order(registry, addition_order or [])
     slices = {name: rows.where(F.col("state") == state) for name, state in (("conflicts", "conflict"), ("ambiguous", "ambiguous"), ("unmatched", "unmatched"), ("unsupported", "unsupported"), ("overlaps", "overlap"))}
     entities = {} if metrics is None else {"entities": M.entity_coverage(metrics, registry)}
+    keys = {
+        "overlap_keys": M.overlap_keys(facts, registry), "conflict_keys": M.conflict_keys(facts, registry), "all_provider_keys": M.all_provider_keys(facts, registry),
+        "gain_ids": M.gain_ids(facts, unsupported, order)}
+    if "subject" in facts.columns:
+        full = matrix_records(facts, unsupported, registry)
+        keys |= {"records": full.records, "record_variants": full.variants, "record_ids": full.ids}
     return {
         "rows": rows, "variants": M.fact_variants(facts), "states": M.provider_states(rows, registry), "coverage": M.coverage(facts, unsupported, registry), "pairwise": M.pairwise_overlap(facts, registry, classes),
         "all_providers": M.all_provider_overlap(facts, registry, classes), "gain": M.information_gain(facts, unsupported, order).join(M.existing_providers(order).drop("ord"), "provider"), "gain_by_class": M.gain_by_class(facts, order),
-        "new_keys": M.new_keys(facts, order), "unique": M.unique_logical(facts), "comparisons": M.compare_fact_sets(facts, unsupported), **entities, **slices}
+        "new_keys": M.new_keys(facts, order), "unique": M.unique_logical(facts), "comparisons": M.compare_fact_sets(facts, unsupported), **keys, **entities, **slices}
 
 
 TABLES = ("facts", "unsupported", "evidence", "canonical", "members", "links", "metrics", "diagnostics")
@@ -144,7 +152,18 @@ def read_descriptors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
 
 def matrix_from_artifact(spark: SparkSession, root: str, providers: DataFrame | None = None, addition_order: list[str] | None = None) -> dict[str, DataFrame]:
     """All views from stored facts."""
-    return build_matrix(*read_descriptors(spark, root), providers, addition_order, read_facts(spark, root)["metrics"])
+    return matrix_from_tables(read_facts(spark, root), providers, addition_order)
+
+
+def matrix_from_document(spark: SparkSession, path: str, providers: DataFrame | None = None, addition_order: list[str] | None = None) -> dict[str, DataFrame]:
+    """All views from facts in one JSON document."""
+    tables = {name: materialize(df, f"document-{name}") for name, df in documents.import_facts(spark, path).items()}
+    return matrix_from_tables(tables, providers, addition_order)
+
+
+def matrix_from_tables(tables: dict[str, DataFrame], providers: DataFrame | None = None, addition_order: list[str] | None = None) -> dict[str, DataFrame]:
+    facts, unsupported = (tables[n].withColumn("fact_class", F.col("predicate")) for n in ("facts", "unsupported"))
+    return build_matrix(facts, unsupported, providers, addition_order, tables["metrics"])
 
 
 def retain_raw(spark: SparkSession, artifact: str, root: str, provider: str) -> str:
@@ -172,7 +191,7 @@ def write_matrix(views: dict[str, DataFrame], root: str, form: str = "parquet")
 
 
 def run_matrix(spark: SparkSession, providers: list[Provider], source: str, revision: str, root: str, addition_order: list[str] | None = None) -> RunResult:
-    """The whole job. ``root`` is a folder the driver can write small files to; tables go through Spark."""
+    """The whole job. ``root`` is a folder in any file system that Spark knows: tables and small files both go through it."""
     revision = check_revision(revision)
     result = run(spark, providers, source, revision)
     normalized = normalize_facts(result.observations)
@@ -184,13 +203,10 @@ def run_matrix(spark: SparkSession, providers: list[Provider], source: str, revi
     expected = spark.createDataFrame([(i, n + 1) for n, i in enumerate(sorted(identities))], "provider struct<id:string,version:string,determinism:string>, ord int")
     result.views = matrix_from_artifact(spark, root, expected, addition_order or [i[0] for i in identities])
     text = write_matrix(result.views, root)
-    out = Path(root.removeprefix("file://"))
-    out.mkdir(parents=True, exist_ok=True)
-    with (out / "report.md").open("w") as f:
-        f.writelines(line + "\n" for line in text)
-    (out / "manifest.json").write_text(json.dumps(result.manifest, indent=2))
+    write_text(spark, f"{root}/report.md", text)
+    write_text(spark, f"{root}/manifest.json", [json.dumps(result.manifest, indent=2)])
     config = {"schemaVersion": 1, "command": "matrix", "source": source, "revision": revision, "providers": [i[0] for i in identities], "additionOrder": addition_order or [i[0] for i in identities]}
-    (out / "config.json").write_text(json.dumps(config, indent=2))
+    write_text(spark, f"{root}/config.json", [json.dumps(config, indent=2)])
     return result
 
 
@@ -222,8 +238,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{a.out}/report.md")
         else:
             result = run(spark, providers, a.source, check_revision(a.revision))
-            Path(a.out).mkdir(parents=True, exist_ok=True)
-            Path(a.out, "manifest.json").write_text(json.dumps(result.manifest, indent=2))
+            write_text(spark, f"{a.out}/manifest.json", [json.dumps(result.manifest, indent=2)])
             result.observations.write.mode("overwrite").parquet(f"{a.out}/observations")
         return 0
     except (ValueError, KeyError, OSError) as e:

@@ -134,7 +134,8 @@ def import_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         raise ValueError(f"facts of schema version {version} can't be read")
     if head == _HEAD:
         lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
-        of = lambda start: lines.where(F.startswith("line", F.lit(start)))
+        # other lines become null before anything is parsed, whatever filter the optimizer moves below
+        of = lambda start: lines.select(F.when(F.startswith("line", F.lit(start)), F.col("line")).alias("line")).where("line is not null")
         said, canonical, links, skipped = of('{"schemaVersion":1,"status":'), of('{"canonicalId":'), of('{"left":'), of('{"keyClass":')
         metrics = of('"').select(F.regexp_replace("line", r'^"(?:[^"\\]|\\.)*":', "").alias("line"))
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_text(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """A small text file in any file system that Spark knows; lines are written as they come."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    held: list[str] = []
+    try:
+        for line in lines:
+            held.append(line + "\n")
+            if len(held) == 1000:
+                out.write(bytearray("".join(held).encode()))
+                held = []
+        out.write(bytearray("".join(held).encode()))
+    finally:
+        out.close()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that :func:`materialize` wrote, once nothing that is still to run reads them."""
     for df in tables:
