@@ -61,6 +61,27 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     return F.when(text.rlike(pattern), once(steps, lambda all_: once(groups(all_), shifted))).otherwise(empty)
 
 
+def _outside(tokens: Column, base: Column) -> Column:
+    """Tokens that no base span overlaps.
+
+    Tokens are in order, so those of one group lie between its first and its last one's ends, and only base spans there are
+    compared with them. Groups have the square root of all, which keeps work well below the product of the two numbers.
+    """
+    overlaps = lambda a, b: (a.start < b.end) & (b.start < a.end)
+    most = F.ceil(F.sqrt(F.size(tokens))).cast("int")
+
+    # what a lambda variable holds is worked out once, an expression wherever it stands
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def group(c: Column) -> Column:
+        ends = lambda part: F.struct(F.get(part, F.lit(0)).start.alias("start"), F.element_at(part, -1).end.alias("end"))
+        near = lambda part: once(ends(part), lambda e: F.filter(base, lambda b: overlaps(b, e)))
+        return once(F.slice(tokens, c * most + 1, most), lambda part: once(near(part), lambda n: F.filter(part, lambda t: ~F.exists(n, lambda b: overlaps(b, t)))))
+
+    groups = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / most).cast("int"))
+    return F.when(F.size(tokens) > 0, F.flatten(F.transform(groups, group))).otherwise(tokens)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
@@ -89,7 +110,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         *[b.alias(k) for b, k in zip(base, BASE)], tokens.alias("tokens"))
     digest = lambda s: F.struct(s.start, s.kind, s.end, F.sha2(s.value, 256).alias("value"))
     docs = docs.withColumn("base", F.concat(*BASE))
-    docs = docs.withColumn("tokens", F.filter("tokens", lambda t: t.value.rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b.start < t.end) & (t.start < b.end))))
+    docs = docs.withColumn("tokens", F.filter("tokens", lambda t: t.value.rlike("[A-Za-z]")))
+    docs = docs.withColumn("tokens", _outside(F.col("tokens"), F.col("base")))
     docs = docs.select("id", "repo", "owner", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.transform("base", digest).alias("base"), F.transform("tokens", digest).alias("tokens"))
     # a row's key: documents with equal id, owner, repository and spans have equal results
     spans = F.concat("base", "tokens")

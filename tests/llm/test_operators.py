@@ -76,6 +76,52 @@ def test_language_odd_rows(spark):
     assert language_id.predict(none(spark), model).count() == 0 and {r.lang_pred for r in language_id.predict(o, model).collect()} == {"und"}
 
 
+def random_words(rng, letters, n):
+    return " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def language_model(spark):
+    return language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_language_rejects_what_is_in_none(language_model):
+    rng = np.random.default_rng(9)
+    kinds = {
+        "latin": lambda: random_words(rng, "abcdefghijklmnopqrstuvwxyz", 25), "greek": lambda: random_words(rng, "αβγδεζηθικλμνξοπρστυφχψω", 25), "cyrillic": lambda: random_words(rng, "абвгдежзийклмнопрстуфхцчшщыэюя", 25),
+        "han": lambda: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 80))), "real greek": lambda: "Η ελληνική γλώσσα είναι μία από τις ινδοευρωπαϊκές γλώσσες " * 2, "real russian": lambda: "Русский язык является одним из восточнославянских языков " * 2}
+    for name, make in kinds.items():
+        got = [language_model.predict(make()) for _ in range(100)]
+        assert sum(score < language_model.threshold for _, score in got) >= 95, name
+        assert all(lang in language_model.labels for lang, _ in got)
+
+
+def test_language_scores_are_probabilities(spark, language_model):
+    """Over passages of held-out texts, by tenths of the score; long ones are all but never rejected."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null and text is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    told, long = [], []
+    for r in rows:
+        for n in (8, 16, 32, 64, 160):
+            part = r.text[len(r.text) // 2 :][:n]
+            if any(c.isalpha() for c in part):
+                lang, score = language_model.predict(part)
+                told.append((score, lang == r.lang))
+        lang, score = language_model.predict(r.text)
+        long.append(score < language_model.threshold and len(r.text) > 40)
+    p = np.array(told, float)
+    tenth = np.minimum((p[:, 0] * 10).astype(int), 9)
+    error = sum(abs((p[tenth == k, 0] - p[tenth == k, 1]).mean()) * (tenth == k).mean() for k in set(tenth.tolist()))
+    assert error < 0.06 and sum(long) <= 0.01 * len(rows) and 0.01 < language_model.temperature < 100
+
+
+def test_made_texts(language_model):
+    text = "Η γλώσσα " * 30
+    made = [language_id.made_text(text, k) for k in range(300)]
+    assert made == [language_id.made_text(text, k) for k in range(300)] and all(any(c.isalpha() for c in m) for m in made)
+    assert not any(0x391 <= ord(c) <= 0x3C9 for m in made[2::3] for c in m) and sorted(made[0].replace(" ", ""))[0] in text.lower()
+    assert language_id.made_text("", 2) and language_id.made_text("", 1)
+
+
 def test_language_is_calibrated_on_texts_that_are_not_trained_on(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     copies = df.select((F.col("doc_id") + 100_000).alias("doc_id"), "text", "lang").union(df.select("doc_id", "text", "lang"))
@@ -342,6 +388,19 @@ def test_copies_of_a_text_and_large_owners_keep_live_values(spark):
     assert {got[i] for i in range(40)} == {(1, 0)} and {got[100 + i] for i in range(40)} == {(0, 1)} and {got[1000 + i] for i in range(18)} == {(1, 0)}
 
 
+def test_tokens_outside_of_base_spans(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (0, 1, 2, 17, 300):
+        at = np.sort(rng.choice(6000, 2 * n, replace=False)).tolist()
+        tokens = [(a, "owned", b, "v") for a, b in zip(at[::2], at[1::2])]
+        base = [(int(a), "hex", int(a + w), "v") for a, w in zip(rng.integers(0, 6000, 2 * n // 3), rng.integers(1, 40, 2 * n // 3))]
+        rows.append((tokens, base))
+    kind = "array<struct<start:bigint,kind:string,end:bigint,value:string>>"
+    got = spark.createDataFrame(rows, f"tokens {kind}, base {kind}").select("tokens", "base", secret_scan._outside(F.col("tokens"), F.col("base")).alias("kept")).collect()
+    assert all(r.kept == [t for t in r.tokens if not any(b.start < t.end and t.start < b.end for b in r.base)] for r in got) and sum(len(r.kept) for r in got) > 20
+
+
 def test_secrets_of_odd_rows_and_of_a_text_full_of_them(spark):
     o = odd(spark)
     got = secret_scan.scan(o).collect()
