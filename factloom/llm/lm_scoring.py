@@ -7,8 +7,8 @@ digests of its documents. Each round masks its own part of the positions, and th
 every document: each shard trains from the common parameters, and the results are averaged by number of targets. Scoring then
 predicts every word of every text from both sides and sums the log-probabilities.
 
-The MOST frequent of the words that the corpus has LEAST times have ids of their own, so the number of ids grows with the
-corpus up to a bound that a broadcast can hold. Other words share hashed buckets, and have a probability of their own in the
+The MOST frequent words have ids of their own, down to those that the corpus has LEAST times: the number of ids is bounded by
+what each shard's parameters may weigh. Other words share hashed buckets, and have a probability of their own in the
 bucket: their share of its words in the whole corpus. This table has all such words, is never gathered, and is joined to
 the distinct words of pieces of the corpus, so every word is scored with its own probability.
 
@@ -31,8 +31,10 @@ from .common import discard, lean, materialize, settle
 from .textnp import word_hashes
 from .wordstore import chunks, normal, sum_blocks
 
-#: A word that occurs so often has an id of its own, if it is one of the MOST frequent.
-LEAST, MOST = 500, 6000
+#: A word that occurs so often (in a corpus of any size; fewer can't fit its rows) has an id of its own, if it is one of the MOST frequent.
+LEAST, MOST = 32, 8192
+#: Logits below this in size need no shift before they are raised.
+SAFE = 60.0
 #: Buckets of the other words.
 BUCKETS = 512
 HIDDEN, SIDE = 16, 2
@@ -82,24 +84,36 @@ class Net:
         np.tanh(a, out=h[:, :HIDDEN])
         return h
 
+    def bounded(self) -> bool:
+        """Whether no logit can be larger than SAFE: hidden values are between -1 and 1, so a row's absolute sum bounds its logit."""
+        return all(float(np.abs(w).sum(axis=-1).max()) <= SAFE for w in (self.of_class, self.of_word))
+
     def keys(self, context: np.ndarray) -> np.ndarray:
         return context + (np.arange(len(OFFSETS), dtype=np.int32) * (self.n + 1))[:, None]
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target, from its context (positions of the window x targets, as ids)."""
         h, cls, n = self.hidden(self.keys(context)), target // self.side, np.arange(len(target))
-        z = h @ self.of_class.T
+        safe = self.bounded()
+        z = _shifted(h @ self.of_class.T, safe)
         out = z[n, cls]
         out -= np.log(np.exp(z, out=z).sum(axis=1))
         order, cuts, which = _by_class(cls)
         h, pick, inner = h[order], (target % self.side)[order], np.empty(len(target), np.float32)
         for s, t, c in zip(cuts, cuts[1:], which):
-            z = h[s:t] @ self.of_word[c].T
+            z = _shifted(h[s:t] @ self.of_word[c].T, safe)
             inner[s:t] = z[n[: t - s], pick[s:t]] - np.log(np.exp(z, out=z).sum(axis=1))
         out[order] += inner
         return out
 
 
+def _shifted(z: np.ndarray, safe: bool) -> np.ndarray:
+    """Logits less the largest of each row, unless they are small anyway; softmax is the same, and never overflows."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
     order = np.argsort(cls.astype(np.uint16), kind="stable")
     k = cls[order]
@@ -108,7 +122,7 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
 
 
 class Trainer:
-    """Adagrad steps on a copy of a net. Logits stay small, so their exponentials are taken as they are."""
+    """Adagrad steps on a copy of a net."""
 
     def __init__(self, net: Net, rate: float = RATE):
         self.net, self.past, self.rate, self.seen = Net(net.n, net.flat.copy()), Net(net.n, np.full(len(net.flat), FLOOR)), rate, 0
@@ -124,8 +138,8 @@ class Trainer:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         net, m = self.net, len(target)
         keys, cls, n = net.keys(context), target // net.side, np.arange(m)
-        h = net.hidden(keys)
-        g = h @ net.of_class.T
+        h, safe = net.hidden(keys), net.bounded()
+        g = _shifted(h @ net.of_class.T, safe)
         np.exp(g, out=g)
         g /= g.sum(axis=1, keepdims=True)
         g[n, cls] -= 1
@@ -134,7 +148,7 @@ class Trainer:
         hs, pick, inner, of_word = h[order], (target % net.side)[order], np.empty((m, HIDDEN), np.float32), np.zeros(net.of_word.shape, np.float32)
         for s, t, c in zip(cuts, cuts[1:], which):
             here, w = hs[s:t], net.of_word[c]
-            g = here @ w.T
+            g = _shifted(here @ w.T, safe)
             np.exp(g, out=g)
             g /= g.sum(axis=1, keepdims=True)
             g[n[: t - s], pick[s:t]] -= 1
@@ -209,11 +223,21 @@ def shards_of(text_bytes: int) -> int:
 
 
 def dealt_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(shard, digest, id, words) for every row: hashed words, sorted by digest in shards that lie in one file each."""
+    """(shard, digest, id, words) for every row: hashed words, sorted by digest in shards that lie in one file each.
+
+    Rows that repeat id and text more often than an eighth of a shard's even share of the rows are counted first and dealt
+    evenly over the shards, so no shard is filled by one row's copies; such rows are fewer than eight to a shard.
+    """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    shards = shards_of(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    digest = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), digest.alias("digest"), "id", "text")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    shards = shards_of(size.bytes or 0)
+    rows = rows.select(F.xxhash64("id", "text").alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("digest"), "id", "text", F.lit(1).cast("long").alias("n"))
+    if shards > 1:
+        hot = materialize(rows.groupBy("key").count().where(F.col("count") > max(1.0, size.rows / (8 * shards))).select("key"), "hot")
+        if hot.head(1):
+            of = F.broadcast(hot)  # fewer than eight keys to a shard, that is 64 bytes to 50 MB of text of a large corpus
+            copies = rows.join(of, "key", "left_semi").groupBy("key", "digest", "id", "text").agg(F.count("*").alias("n"))
+            rows = rows.join(of, "key", "left_anti").unionByName(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -226,13 +250,21 @@ def dealt_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     part.append(normal(texts[at + len(part)].as_py()))
                     held += len(part[-1])
                 words = pa.array([w.astype("<u4").tobytes() for w in word_hashes(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in b.columns[:3]), words], ["shard", "digest", "id", "words"])
+                kept = [b.column(k).slice(at, len(part)) for k in (0, 1, 2, 4)]
+                yield pa.RecordBatch.from_arrays([*kept, words], ["key", "digest", "id", "n", "words"])
                 at += len(part)
         settle()
 
-    hashed = rows.mapInArrow(run, "shard int, digest long, id long, words binary")
+    hashed = rows.mapInArrow(run, "key long, digest long, id long, n long, words binary")
+    # copy j of a row is in shard key + j; those of one shard are made after the shuffle
+    dealt = hashed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(shards)) - 1)))
+    dealt = dealt.select(F.pmod(F.col("key") + F.col("j"), F.lit(shards)).cast("int").alias("shard"), "digest", "id", "words", F.ceil((F.col("n") - F.col("j")) / shards).alias("m"))
     n = max(2 * shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialize(hashed.repartition(n, "shard").sortWithinPartitions("shard", "digest", "id"), "words")
+    every = dealt.repartition(n, "shard").withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), "m"))).drop("m")
+    store = materialize(every.sortWithinPartitions("shard", "digest", "id"), "words")
+    if shards > 1:
+        discard(hot)
+    return store
 
 
 def by_shard(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[int, bool, list[int], list[np.ndarray]]]:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -504,6 +505,32 @@ def test_url_rules_on_many_tokens(spark):
     assert [(r.verdict, r.confidence) for r in rules if r.antecedent == four] == [("block", 1.0)]
 
 
+def test_url_tokens_that_are_always_together_are_one_item(spark):
+    began = time.time()
+    shared = "http://shop.com/?" + "&".join(f"key{k}=1" for k in range(30))
+    rows = [(i, f"{shared}&n{i}=1", "block") for i in range(300)] + [(1000 + i, f"http://news.com/{i}?page=1", "allow") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    asked = spark.createDataFrame([(1, "http://other.org/?key7=2"), (2, "http://shop.org/"), (3, "http://news.org/"), (4, "http://x.org/?key99=1")], "page_id long, url string")
+    got = {r.id: r.verdict for r in url_filter.judge(asked, rules=(), labels=df).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"} and time.time() - began < 60
+
+
+def test_url_groups_match_brute_force(spark):
+    # a and b are always together, c only at times
+    rows = [(["p:a", "p:b", "p:c"], "block")] * 30 + [(["p:a", "p:b"], "allow")] * 30 + [(["p:c", "p:d", "p:e"], "allow")] * 40
+    got = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).collect()
+    assert {(frozenset(r.antecedent), r.verdict): (r.confidence, r.support) for r in got} == plain_rules(rows)
+    assert {r.first for r in got if r.antecedent in (["p:a", "p:c"], ["p:b", "p:c"])} == {"p:a", "p:b"}
+
+
+def test_url_classes_of_any_number(spark):
+    rows = [(i, f"http://c{i % 130}.com/", f"v{i % 130:03}") for i in range(130 * 12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    asked = spark.createDataFrame([(k, f"http://c{k}.com/x") for k in range(130)], "page_id long, url string")
+    got = url_filter.judge(asked, rules=(), labels=df, min_support=0.001, least=5).collect()
+    assert {r.id: r.verdict for r in got} == {k: f"v{k:03}" for k in range(130)}
+
+
 def test_url_labels_and_urls_that_are_odd(spark):
     long_ = "http://a.com/" + "x/" * 5000 + "?" + "k=" * 300
     df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, long_, "x"), (2, long_, "x"), (None, "http://a.com/", "x")], "page_id long, url string, verdict string")
@@ -763,6 +790,28 @@ def test_lm_vocabulary_grows_with_the_corpus(spark):
     assert sorted(vocabulary.ids(words).tolist()) == list(range(700)) and n.sum() == 700 * lm_scoring.LEAST
 
 
+def test_lm_copies_of_a_row_are_dealt_over_the_shards(spark):
+    rows = chains(400, 300, 2000) + [(None, "one row's copies " * 60)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards = lm_scoring.shards_of(sum(len(t.encode()) for _, t in rows))
+    store = lm_scoring.dealt_words(df, "doc_id", "text")
+    per = {r.shard: r["count"] for r in store.where("id is null").groupBy("shard").count().collect()}
+    assert shards > 2 and store.count() == len(rows) and sum(per.values()) == 300 and max(per.values()) - min(per.values()) <= 1 and len(per) == shards
+    got = lm_scoring.score(df).collect()
+    assert len(got) == len(rows) and len({r.log_likelihood for r in got if r.id is None}) == 1
+
+
+def test_lm_large_logits_stay_finite():
+    net = lm_scoring.Net(90)
+    net.of_class[:] = 500 * np.random.default_rng(3).normal(size=net.of_class.shape)
+    context, every = np.repeat([[90], [3], [4], [90]], net.classes * net.side, axis=1), np.arange(net.classes * net.side)
+    got = net.log_probability(context, every).astype(float)
+    assert not net.bounded() and np.isfinite(got).all() and math.isclose(np.exp(got).sum(), 1, rel_tol=1e-3)
+    trainer = lm_scoring.Trainer(net)
+    trainer.step(context, every)
+    assert np.isfinite(trainer.net.flat).all()
+
+
 def test_lm_rounds_train_on_every_position_once():
     for rounds in (1, 2, 3):
         for digest in (0, -5, 1 << 40, 2**63 - 1):
