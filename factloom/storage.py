@@ -10,6 +10,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of scratch tables. A writer holds one in the JVM's heap for each task, and a reader the columns of one.
+ROW_GROUP = 16 << 20
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
@@ -35,7 +39,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
