@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ RANK, EXTRA = 96, 16
 ITEM_WORDS = 1 << 16
 #: Least cosine of a window with an item.
 COSINE = 0.4
-#: An item of fewer words is too short to tell; around shorter items than SHORT less is searched.
+#: An item of fewer words is looked for as it stands, word by word; around shorter items than SHORT less is searched.
 LEAST_WORDS, SHORT = 5, 16
+#: Candidates that are held at once.
+HELD = 1 << 18
 #: Common subsequence over item length: enough alone, or together with the answer's.
 SURE, PARAPHRASE, ANSWER = 0.75, 0.55, 0.6
 
@@ -53,8 +56,10 @@ def run_length(n: int) -> int:
     """Words of the runs by which an item of ``n`` words is looked for.
 
     A copy that is sure has all but ``n - ceil(SURE * n)`` words; these part the item into one run more, the longest of
-    which has at least so many words. Three are enough for all lengths but 5 and 8.
+    which has at least so many words. Three are enough for all lengths but 5 and 8. Items of fewer than five are one run.
     """
+    if n < LEAST_WORDS:
+        return n
     missing = n - int(np.ceil(SURE * n))
     return min(3, n // (missing + 1))
 
@@ -150,7 +155,7 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
 class Items:
     """A set of benchmark items with their terms and latent vectors."""
 
-    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], idf: np.ndarray, least_words: int = 1):
         self.ids, self.idf = [r[0] for r in rows], idf.astype(np.float32)
         self.words = [w.tolist() for w in word_hashes([normal(t) for _, t in rows])]
         self.answers = [w.tolist() for w in word_hashes([normal(answer_of(t or "")) for _, t in rows])]
@@ -160,7 +165,8 @@ class Items:
         self.slot[(self.terms >> 12)[::-1]] = np.arange(len(self.terms), dtype=np.int32)[::-1]
         self.weight = self.idf[self.terms >> (32 - TERM_BITS)]
         self.rank, self.basis, self.latent = min(RANK, len(self.terms)), None, None
-        self.wanted = [i for i, ws in enumerate(self.words) if len(ws) >= LEAST_WORDS]
+        self.wanted = [i for i, ws in enumerate(self.words) if len(ws) >= max(1, least_words)]
+        self.places = [np.searchsorted(self.terms, np.array(ws, np.uint32)) for ws in self.words]
         self.runs = {}
         for k in sorted({run_length(len(self.words[i])) for i in self.wanted}):
             found = sorted((int(h), i, at) for i in self.wanted if run_length(len(self.words[i])) == k for at, h in enumerate(runs(np.array(self.words[i], np.uint32), k)))
@@ -169,7 +175,7 @@ class Items:
             met[(h >> np.uint64(44)).astype(np.int64)] = True
             self.runs[k] = (h, item, at, met)
         self.spans: dict[int, np.ndarray] = {}
-        for i in self.wanted:
+        for i in (i for i in self.wanted if len(self.words[i]) >= LEAST_WORDS):
             self.spans.setdefault(span_of(len(self.words[i])), []).append(i)
         self.spans = {k: np.array(v) for k, v in self.spans.items()}
         # whether an item has a term, by a digest of both: never no where the answer is yes
@@ -275,9 +281,14 @@ class Chunk:
         self.end = np.cumsum([len(w) for w in words])
         self.start = self.end - [len(w) for w in words]
         self.at = items.index(self.flat)
+        self.present: np.ndarray | None = None
 
     def by_runs(self) -> Iterator[np.ndarray]:
-        """Candidates (text, item, first word) where runs of an item's words are; the first word may be before the text."""
+        """Candidates (text, item, first word) where runs of an item's words are; the first word may be before the text.
+
+        Where a run that many items have is at many places, they come a bounded number at a time, and only of items that the
+        text has enough words of.
+        """
         for k, (known, item, place, met) in self.items.runs.items():
             h = runs(self.flat, k)
             at = np.flatnonzero(met[(h >> np.uint64(44)).astype(np.int64)])
@@ -285,9 +296,28 @@ class Chunk:
             text = np.searchsorted(self.end, at, "right")
             ok = (high > low) & (at + k <= self.end[np.minimum(text, len(self.end) - 1)])
             at, low, n, text = at[ok], low[ok], (high - low)[ok], text[ok]
-            if len(at):
-                j = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                yield np.stack([np.repeat(text, n), item[j], np.repeat(at, n) - place[j] - self.start[np.repeat(text, n)]], axis=1)
+            if not len(at):
+                continue
+            total = np.cumsum(n)
+            cuts = np.flatnonzero(np.diff((total - 1) // HELD, prepend=-1)).tolist()
+            for s, e in zip(cuts, [*cuts[1:], len(at)]):
+                m, t = n[s:e], np.repeat(text[s:e], n[s:e])
+                j = np.repeat(low[s:e] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                c = np.stack([t, item[j], np.repeat(at[s:e], m) - place[j] - self.start[t]], axis=1)
+                yield c if total[-1] <= HELD else c[self.enough(c)]
+
+    def enough(self, c: np.ndarray) -> np.ndarray:
+        """Whether the whole text of a candidate has as many of its item's words as a copy must have."""
+        it, kinds = self.items, len(self.items.terms)
+        if self.present is None:
+            ok = np.flatnonzero(self.at >= 0)
+            self.present = np.unique(np.searchsorted(self.end, ok, "right") * kinds + self.at[ok])
+        pairs, which = np.unique(c[:, 0] * len(it.n) + c[:, 1], return_inverse=True)
+        text, item = np.divmod(pairs, len(it.n))
+        n = it.n[item]
+        key = np.repeat(text, n) * kinds + np.concatenate([it.places[i] for i in item.tolist()])
+        has = self.present[np.minimum(np.searchsorted(self.present, key), len(self.present) - 1)] == key
+        return (np.add.reduceat(has.astype(np.int64), np.cumsum(n) - n) >= PARAPHRASE * n)[which]
 
     def by_cosine(self) -> Iterator[np.ndarray]:
         """Candidates (text, item, first word): of overlapping windows that are like an item, the one most like it."""
@@ -310,29 +340,40 @@ class Chunk:
             size, latent = span // BLOCK, np.ascontiguousarray(it.latent[own].T)
             step = max(1, size // 4)
             begin = np.flatnonzero((np.arange(len(text)) - first[text]) % step == 0) if step > 1 else np.arange(len(text))
-            found = []
-            for b in np.array_split(begin, -(-len(begin) // 4096)):
+            # a bounded number of cosines at a time; windows that overlap over the end of such a block give two candidates in place of one
+            for b in np.array_split(begin, -(-len(begin) // min(4096, max(64, (1 << 20) // len(own))))):
                 e = np.minimum(b + size, last[b])
                 vec = sums[e]
                 vec -= sums[b[0] : b[-1] + 1 : step] if step == 1 else sums[b]
                 cosine = vec @ latent
                 cosine *= (1 / np.sqrt(np.maximum(power[e] - power[b], 1e-9))).astype(np.float32)[:, None]
                 w, i = np.divmod(np.flatnonzero(cosine.ravel() >= COSINE), len(own))
-                found.append(np.stack([text[b[w]], own[i], (b[w] - first[text[b[w]]]) * BLOCK, -cosine[w, i] * 1e6], axis=1).astype(np.int64))
-            f = np.concatenate(found)
-            f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
-            if len(f):  # windows of one text and item that overlap
-                cut = np.flatnonzero((np.diff(f[:, 0], prepend=-1) != 0) | (np.diff(f[:, 1], prepend=-1) != 0) | (np.diff(f[:, 2], prepend=0) > span // 2))
-                group = np.cumsum(np.isin(np.arange(len(f)), cut)) - 1
+                if not len(w):
+                    continue
+                f = np.stack([text[b[w]], own[i], (b[w] - first[text[b[w]]]) * BLOCK, -cosine[w, i] * 1e6], axis=1).astype(np.int64)
+                f = f[np.lexsort((f[:, 2], f[:, 1], f[:, 0]))]
+                # windows of one text and item that overlap
+                cut = (np.diff(f[:, 0], prepend=-1) != 0) | (np.diff(f[:, 1], prepend=-1) != 0) | (np.diff(f[:, 2], prepend=0) > span // 2)
+                group = np.cumsum(cut) - 1
                 best = f[np.lexsort((f[:, 3], group))]
                 yield best[np.concatenate([[0], np.flatnonzero(np.diff(np.sort(group))) + 1]), :3]
 
     def candidates(self) -> np.ndarray:
         """Distinct candidates (text, item, first word) whose window has enough of the item's words to be one."""
-        found = [*self.by_runs(), *self.by_cosine()]
-        if not found:
-            return np.zeros((0, 3), np.int64)
+        good, held, size = [np.zeros((0, 3), np.int64)], [], 0
+        for c in chain(self.by_runs(), self.by_cosine()):
+            held.append(c)
+            size += len(c)
+            if size >= HELD:
+                good.append(self._likely(held))
+                held, size = [], 0
+        if held:
+            good.append(self._likely(held))
+        return np.unique(np.concatenate(good), axis=0)
+
+    def _likely(self, found: list[np.ndarray]) -> np.ndarray:
         c = np.unique(np.concatenate(found), axis=0)
+        c = c[self.enough(c)] if len(c) > 4096 else c
         good = np.zeros(len(c), bool)
         n = self.items.n[c[:, 1]]
         for span in np.unique(n).tolist():
@@ -388,11 +429,11 @@ def _search(store: DataFrame, items: Items) -> DataFrame:
     return store.mapInArrow(run, "id long, item_id long, lcs_share double, answer_share double, cosine double")
 
 
-def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_words: int = 1) -> DataFrame:
     """(id, item_id, lcs_share, answer_share, cosine): one row for each document row and item that it contains.
 
-    Null and empty texts contain nothing; items that are null, or have fewer than five words, are not looked for. Texts of
-    any length are searched whole. Rows that repeat a document each get their rows; a repeated item is one item per row. Only
+    Null and empty texts contain nothing; items that are null, or have fewer than ``least_words`` words, are not looked for;
+    those of one to four words are found where all of them stand one after the other. Texts of any length are searched whole. Rows that repeat a document each get their rows; a repeated item is one item per row. Only
     the named columns are read. An empty table on either side gives no rows. The benchmark is read in sets of bounded
     size, one decomposition and one search each, so no broadcast grows with it.
     """
@@ -404,7 +445,7 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     out, group, held = spark.createDataFrame([], schema), [], 0
 
     def flush(out: DataFrame) -> DataFrame:
-        items = Items(group, idf)
+        items = Items(group, idf, least_words)
         if not items.wanted:
             return out
         items.settle(_sketch(store, items), _probes(items))

@@ -80,10 +80,12 @@ def together(labelled: DataFrame, at_least: float) -> tuple[DataFrame, DataFrame
     # a group is no larger than the tokens of one url
     members = often.groupBy("freq", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("all")).select(F.explode("all").alias("token"), F.col("all")[0].alias("rep"), "freq")
     members = materialize(members, "members")
-    merged = labelled.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(members, "token").groupBy("tokens").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-    class_ = F.array(F.concat(F.lit("="), F.col("verdict")))
-    baskets = labelled.join(merged, "tokens", "left").select(F.concat(F.coalesce("reps", F.array().cast("array<string>")), class_).alias("items"))
-    return members, materialize(baskets, "baskets")
+    merged = kinds.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(members, "token").groupBy("tokens").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
+    # urls of one kind, which may be most of them, are counted before and counted out behind the join, by thousands
+    some = kinds.join(merged, "tokens", "left").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1000).cast("long"))))
+    some = some.select("tokens", "verdict", "at", F.coalesce("reps", F.array().cast("array<string>")).alias("reps"), F.least(F.lit(1000).cast("long"), F.col("n") - F.col("at")).alias("n"))
+    each = some.repartition("tokens", "at").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return members, materialize(each.select(F.concat("reps", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items")), "baskets")
 
 
 def mine_groups(labelled: DataFrame, min_support: float = SUPPORT, min_confidence: float = CONFIDENCE, least: int = LEAST, lift: float = LIFT) -> tuple[DataFrame, DataFrame] | None:

@@ -3,6 +3,7 @@
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -234,6 +235,52 @@ def test_decontamination_finds_often_copied_items(spark):
     assert got == {(k, items[k % 4][0], 1.0) for k in range(0, 120, 3)}
 
 
+def test_decontamination_of_items_of_few_words(spark):
+    bench = spark.createDataFrame([(1, "Zyx"), (2, "blue heron"), (3, "no such thing"), (4, "salt of the earth"), (5, "...")], "item_id long, text string")
+    rows = [(1, "a zyx, b"), (2, "the Blue Heron flies"), (3, "blue is a heron"), (4, "salt of the wide earth"), (5, "it is salt of the earth!"), (6, "no such"), (7, "zyxs"), (8, "thing no such thing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.id, r.item_id, r.lcs_share) for r in decontaminate.find(df, bench).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (5, 4, 1.0), (8, 3, 1.0)}
+    assert {(r.id, r.item_id) for r in decontaminate.find(df, bench, least_words=3).collect()} == {(5, 4), (8, 3)}
+
+
+def test_decontamination_of_a_phrase_that_many_items_share(spark):
+    rng = np.random.default_rng(23)
+    items = [(k, "which of the following " + " ".join(f"i{k}w{j}" for j in range(14))) for k in range(800)]
+    text = " ".join(["which of the following"] * 8000)
+    texts = [text, text + " " + items[7][1] + " " + text, "which of the following", items[9][1]]
+    words = textnp.word_hashes([t.encode() for t in texts])
+    it = decontaminate.Items(items, rng.random(1 << decontaminate.TERM_BITS) + 1)
+    it.settle(np.zeros(decontaminate._probes(it).shape), decontaminate._probes(it))
+    began = time.time()
+    tracemalloc.start()
+    got = decontaminate.Chunk(words, it).candidates()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(1, 7), (3, 9)} <= {(t, i) for t, i, _ in got.tolist()} and peak < 300e6 and time.time() - began < 60
+    rows, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.id, r.item_id, r.lcs_share) for r in decontaminate.find(rows, bench).collect()} == {(1, 7, 1.0), (3, 9, 1.0)}
+
+
+@pytest.mark.parametrize("kind", ["30 %", "40 %", "inserted"])
+def test_decontamination_finds_changed_items_with_their_answer(spark, texts, kind):
+    items = [(r.item_id, r.text.split()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rng, rows, want = np.random.default_rng(29), [], set()
+    clean = [t.split() for t in texts.values() if len(t.split()) > 60]
+    for k, (i, item) in enumerate(items):
+        tail = len(decontaminate.answer_of(" ".join(item)).split())
+        words = list(item)
+        if kind == "inserted":
+            words = [x for j, w in enumerate(item) for x in ([w, f"put{j}"] if j % 2 and j < len(item) - tail else [w])]
+        else:
+            for j in rng.choice(len(item) - tail, int(len(item) * int(kind[:2]) / 100), replace=False) if len(item) - tail >= len(item) * int(kind[:2]) / 100 else ():
+                words[j] = f"new{j}x{k}"
+        body, at = clean[k % len(clean)], int(rng.integers(0, 40))
+        rows.append((k, " ".join([*body[:at], *words, *body[at:]])))
+        want.add((k, i))
+    got = {(r.id, r.item_id) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
+    assert len(want & got) >= 0.9 * len(want), len(want & got) / len(want)
+
+
 def test_decontamination_in_sets_of_items(spark, docs):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     pairs = lambda: {(r.id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
