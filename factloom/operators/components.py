@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import discard, materialize
 
 
 #: After so many steps the lineage is cut, and no more are taken once no ball grows.
@@ -37,30 +37,48 @@ def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
     return ball.select(F.col("u").alias("node"), F.when(~F.col("big"), F.col("ball")).alias("members"))
 
 
+def best_edges(edges: DataFrame) -> DataFrame:
+    """Edges (left, right, score) that count when scores are taken from the highest and every node takes part at one score only.
+
+    A node takes part at the highest score at which it has an edge to a node that no higher score has taken. So an edge is dead
+    once one of its ends is taken above its score, and an end is taken as soon as one of its edges is the best of both its ends.
+    Each round settles the best score that is left anywhere at least, so there are no more rounds than distinct scores; as
+    most nodes settle in the first, there are two or three.
+    """
+    alive = materialize(edges.select("left", "right", "score"), "alive")
+    while True:
+        best = alive.select(F.explode(F.array("left", "right")).alias("node"), "score").groupBy("node").agg(F.max("score").alias("best"))
+        seen = alive
+        for side in ("left", "right"):
+            seen = seen.join(best.withColumnsRenamed({"node": side, "best": f"{side}_best"}), side)
+        seen = materialize(seen, "seen")
+        top = F.greatest("left_best", "right_best")
+        if not seen.where(F.col("score") < top).head(1):
+            discard(seen)
+            return alive
+        taken = seen.where(F.col("score") == F.least("left_best", "right_best")).where(F.col("score") == top).select(F.explode(F.array("left", "right")).alias("node")).distinct()
+        rest = seen
+        for side in ("left", "right"):
+            rest = rest.join(taken.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_taken")), side, "left")
+        dead = [F.coalesce(f"{side}_taken", F.lit(False)) & (F.col("score") < F.col(f"{side}_best")) for side in ("left", "right")]
+        before, alive = alive, materialize(rest.where(~(dead[0] | dead[1])).select("left", "right", "score"), "alive")
+        discard(before, seen)
+
+
 def build_groups(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """(eid, members, strength): the group of every entity; a group of one has its own id and strength ``probable``.
 
     At each score, from the highest, only entities neither grouped nor blocked take part; a component with two members of
-    one provider is blocked as a whole. One distributed step per distinct score, of which the rules know ten.
+    one provider is blocked as a whole. Which edges count is found first, for all scores at once, and as no entity takes part at two
+    scores their components are those of one graph.
     """
     bound = entities.select("provider").distinct().count()
-    scores = [r.score for r in edges.select("score").distinct().orderBy(F.desc("score")).collect()]
-    provider = entities.select("eid", "provider")
-    edges = materialize(edges.select("left", "right", "score"), "edges")
-    done = None
-    for s in scores:
-        tier = edges.where(F.col("score") == s)
-        if done is not None:
-            for side in ("left", "right"):
-                tier = tier.join(done.select(F.col("eid").alias(side)), side, "left_anti")
-        found = bounded_components(tier, bound)
-        whole = found.where("members is not null").select("node", F.explode("members").alias("eid"), "members").join(provider, "eid")
-        clash = whole.groupBy("node").agg((F.count_distinct("provider") < F.count("*")).alias("clash"))
-        judged = found.join(clash, "node", "left").select(F.col("node").alias("eid"), F.when(~F.coalesce("clash", F.lit(True)), F.col("members")).alias("members"), F.lit("matched" if s >= 80 else "probable").alias("strength"))
-        done = materialize(judged if done is None else done.unionByName(judged), "groups")
-    alone = entities.select("eid")
-    if done is None:
-        return alone.select("eid", F.array("eid").alias("members"), F.lit("probable").alias("strength"))
-    got = alone.join(done, "eid", "left")
+    live = best_edges(edges)
+    strength = live.select(F.explode(F.array("left", "right")).alias("node"), "score").groupBy("node").agg(F.when(F.max("score") >= 80, "matched").otherwise("probable").alias("strength"))
+    found = materialize(bounded_components(live, bound).join(strength, "node"), "components")
+    whole = found.where("members is not null").select("node", F.explode("members").alias("eid")).join(entities.select("eid", "provider"), "eid")
+    clash = whole.groupBy("node").agg((F.count_distinct("provider") < F.count("*")).alias("clash"))
+    judged = found.join(clash, "node", "left").select(F.col("node").alias("eid"), F.when(~F.coalesce("clash", F.lit(True)), F.col("members")).alias("members"), "strength")
+    got = entities.select("eid").join(judged, "eid", "left")
     own = F.col("members").isNull()
     return got.select("eid", F.when(own, F.array("eid")).otherwise(F.col("members")).alias("members"), F.when(own, F.lit("probable")).otherwise(F.col("strength")).alias("strength"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import RULES
-from ..storage import materialize
+from ..storage import discard, materialize
 from .candidates import PAIRS_PER_KEY, candidate_keys, candidate_pairs, scored_edges
 from .components import build_groups
 from .entities import extract_entities, normalize_entities
@@ -39,7 +39,9 @@ def correlate(entities: DataFrame, pairs_per_key: int = PAIRS_PER_KEY, pairs_tot
     """Correlate ENTITY_INPUT rows by deterministic rules; the order of the input doesn't matter."""
     e = materialize(normalize_entities(entities), "entities")
     found = candidate_pairs(candidate_keys(e), pairs_per_key, pairs_total)
-    edges = materialize(edge_cardinality(scored_edges(e, found.pairs)), "links")
+    scored = materialize(scored_edges(e, found.pairs), "scored")
+    edges = materialize(edge_cardinality(scored), "links")
+    discard(scored)
     groups = build_groups(e, edges).withColumn("canonical_id", F.concat(F.lit("ce_"), S.digest(F.col("members"))))
     groups = materialize(groups, "assigned")
     # every edge, seen from the group of each end

@@ -1,5 +1,7 @@
+import random
+
 from factloom.operators.candidates import candidate_keys, candidate_pairs
-from factloom.operators.components import bounded_components
+from factloom.operators.components import best_edges, bounded_components
 from factloom.operators.correlate import correlate
 from factloom.operators.entities import normalize_entities
 from factloom.schemas import ENTITY_INPUT
@@ -79,6 +81,31 @@ def test_components_beyond_the_bound(spark):
     assert all(got[f"n{i}"] is None for i in range(7)) and got["hub"] is None and got["x3"] is None
 
 
+def taken_in_turn(edges):
+    """Edges that count, score after score."""
+    done, kept = set(), set()
+    for s in sorted({e[2] for e in edges}, reverse=True):
+        tier = [e for e in edges if e[2] == s and not {e[0], e[1]} & done]
+        kept.update(tier)
+        done |= {n for e in tier for n in e[:2]}
+    return kept
+
+
+def test_edges_that_count_are_those_taken_score_after_score(spark):
+    draw = random.Random(5)
+    for nodes, n, scores in ((12, 20, (45, 48, 58, 68)), (40, 60, range(90, 100)), (300, 500, (100, 82, 45))):
+        pairs = {tuple(sorted(draw.sample(range(nodes), 2))) for _ in range(n)}
+        edges = [(f"n{a}", f"n{b}", draw.choice(list(scores))) for a, b in pairs]
+        got = best_edges(spark.createDataFrame(edges, "left string, right string, score int"))
+        assert {tuple(r) for r in got.collect()} == taken_in_turn(edges)
+    # scores that fall along a path need a round for every second edge
+    path = [(f"p{i}", f"p{i + 1}", 100 - i) for i in range(9)]
+    assert {tuple(r) for r in best_edges(spark.createDataFrame(path, "left string, right string, score int")).collect()} == set(path[::2])
+    # a node taken at a score still counts for another that comes to this score later
+    late = [("a", "b", 50), ("b", "c", 50), ("c", "d", 60), ("d", "e", 70)]
+    assert {tuple(r) for r in best_edges(spark.createDataFrame(late, "left string, right string, score int")).collect()} == {late[0], late[1], late[3]}
+
+
 def test_empty(spark):
     c, groups = outcome(spark, [THREE[0]])
     assert groups == [("unmatched", 1, (), "unmatched")]
