@@ -29,8 +29,11 @@ TILE = 2048
 DIMENSIONS = 1024
 #: Rounding of the double sums and norms that make the bound.
 SLACK = 1e-9
-#: So many labels, the largest, have pivots, at most PIVOTS each, and PIVOT_FLOATS numbers in all; other labels are one cell.
-PIVOTED, PIVOTS, PIVOT_FLOATS = 32, 128, 4_000_000
+#: So many labels, the largest, have pivots; other labels are one cell. A label has one pivot for half a tile, up to PIVOTS or to the
+#: square root of its size, whichever is more, and all pivots together PIVOT_FLOATS numbers, shared out by the labels' sizes.
+PIVOTED, PIVOTS, PIVOT_FLOATS = 256, 128, 4_000_000
+#: Angles, of rows to pivots, that are held at once.
+ANGLES = 1 << 21
 #: Rounding of angles.
 ANGLE_SLACK = 1e-6
 
@@ -116,12 +119,18 @@ def _tile_task(threshold: float):
     return run
 
 
+def pivot_count(n: int, dim: int, total: int) -> int:
+    """Pivots of a label with ``n`` classes of ``dim`` numbers, where the labels that have pivots hold ``total`` classes."""
+    return min(max(PIVOTS, math.isqrt(n)), -(-2 * n // TILE), max(1, PIVOT_FLOATS * n // total // dim))
+
+
 def pivots(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """(label, dimension) to unit pivots: random classes of the largest labels. How many there are is bounded by parameters."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > TILE).orderBy(F.desc("n"), "label", "dim").limit(PIVOTED).collect()
     if not sizes:
         return {}
-    k = {(r.label, r.dim): min(PIVOTS, -(-2 * r.n // TILE), max(1, PIVOT_FLOATS // len(sizes) // r.dim)) for r in sizes}
+    total = sum(r.n for r in sizes)
+    k = {(r.label, r.dim): pivot_count(r.n, r.dim, total) for r in sizes}
     # digests are uniform: a bound on them leaves a few more classes than are wanted
     upto = [(r.label, r.dim, float((k[r.label, r.dim] + 4 * k[r.label, r.dim] ** 0.5 + 4) / r.n * 2.0**63)) for r in sizes]
     limit = classes.sparkSession.createDataFrame(upto, "label string, dim int, upto double")
@@ -138,12 +147,14 @@ def _angles(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit(x) @ p.T, -1, 1))
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], np.ndarray, np.ndarray]]:
-    """((label, dimension), rows, vectors) of a batch with columns label, dim and vec."""
+def _groups(batch: pa.RecordBatch, centres: dict[tuple[str, int], np.ndarray]) -> Iterator[tuple[tuple[str, int], np.ndarray, np.ndarray]]:
+    """((label, dimension), rows, vectors) of a batch with columns label, dim and vec, so many rows at once as ANGLES allows."""
     keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist()))
     for key in dict.fromkeys(keys):
-        rows = np.array([n for n, k in enumerate(keys) if k == key])
-        yield key, rows, np.asarray(batch.column("vec").take(pa.array(rows)).flatten()).reshape(len(rows), -1)
+        all_, most = np.array([n for n, k in enumerate(keys) if k == key]), max(1, ANGLES // len(centres[key]))
+        for at in range(0, len(all_), most):
+            rows = all_[at : at + most]
+            yield key, rows, np.asarray(batch.column("vec").take(pa.array(rows)).flatten()).reshape(len(rows), -1)
 
 
 def dealt(classes: DataFrame, threshold: float) -> DataFrame:
@@ -157,7 +168,7 @@ def dealt(classes: DataFrame, threshold: float) -> DataFrame:
         lean()
         most: dict[tuple, float] = {}
         for b in batches:
-            for key, _, x in _groups(b):
+            for key, _, x in _groups(b, shared.value):
                 angle = _angles(x, shared.value[key])
                 home = angle.argmin(axis=1)
                 for c in np.unique(home).tolist():
@@ -174,7 +185,7 @@ def dealt(classes: DataFrame, threshold: float) -> DataFrame:
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for b in batches:
-            for key, rows, x in _groups(b):
+            for key, rows, x in _groups(b, shared.value):
                 angle = _angles(x, shared.value[key])
                 home = angle.argmin(axis=1)
                 own = np.arange(len(rows))

@@ -723,6 +723,31 @@ def test_cells_skip_what_cannot_link(spark):
         embedding_dedup.TILE = old
 
 
+def test_pivots_grow_with_a_label(spark):
+    count = embedding_dedup.pivot_count
+    assert count(5000, 64, 50_000) == 5 and count(10**6, 64, 10**7) == 977 and count(10**8, 64, 3 * 10**8) == 10_000
+    # a third of all rows under one label; all pivots together stay within their bound
+    sizes = [10**9] + [10**7] * 200
+    assert sum(count(n, 256, sum(sizes)) for n in sizes) * 256 <= embedding_dedup.PIVOT_FLOATS
+    rng = np.random.default_rng(17)
+    centre = rng.normal(size=(40, 8))
+    rows = [(i, (centre[i % 40] + 0.05 * rng.normal(size=8)).tolist(), 1 if i % 3 else 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    old = embedding_dedup.TILE, embedding_dedup.PIVOTS, embedding_dedup.ANGLES
+    try:
+        # pivots by the square root of a label's size, and a few rows at once
+        embedding_dedup.TILE, embedding_dedup.PIVOTS, embedding_dedup.ANGLES = 20, 1, 500
+        assert count(600, 8, 900) == 24
+        got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(df).collect()}
+    finally:
+        embedding_dedup.TILE, embedding_dedup.PIVOTS, embedding_dedup.ANGLES = old
+    x, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(900, dtype=bool)
+    want = components(range(900), zip(*map(list, np.nonzero(np.triu(near)))))
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(900)}
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 64))
