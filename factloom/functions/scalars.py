@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from ..schemas import PREDICATES, RANGE
 _BLANK = r"[\s ﻿  -     　]"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with x worked out once for a row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Trim all Unicode white space, as well as the byte-order mark."""
     return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
@@ -49,13 +55,16 @@ def zero_based(provider_id: Column, base: Column | None = None) -> Column:
 
 def parse_span(span: Column, provider_id: Column, base: Column | None = None) -> Column:
     """``L1C2-L3C4`` (always one-based) or ``1:2-3:4`` (by base) to a range; null for anything else."""
-    text = trim(span)
+    return let(trim(span), lambda text: _span(text, zero_based(provider_id, base)))
+
+
+def _span(text: Column, from_zero: Column) -> Column:
     # The two forms of a span.
     labelled = r"(?i)^L(\d+)(?:C(\d+))?(?:-L?(\d+)(?:C(\d+))?)?$"
     numeric = r"^(\d+):(\d+)-(\d+):(\d+)$"
     part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
     first = make_range(part(labelled, 1), part(labelled, 2), F.coalesce(part(labelled, 3), part(labelled, 1)), part(labelled, 4), F.lit(False))
-    second = make_range(*[part(numeric, i) for i in (1, 2, 3, 4)], zero_based(provider_id, base))
+    second = make_range(*[part(numeric, i) for i in (1, 2, 3, 4)], from_zero)
     return F.when(text.rlike(labelled), first).when(text.rlike(numeric), second)
 
 
@@ -110,9 +119,8 @@ def normalize_signature(c: Column) -> Column:
 def symbol_keys(c: Column) -> Column:
     """The unquoted symbol, then its distinct tokens of letters, digits, _ and $, in order."""
     # Quotes, and what separates tokens.
-    q = F.regexp_replace(trim(c), "[\"']", "")
-    tokens = F.filter(F.split(q, "[^A-Za-z0-9_$]+"), lambda x: x != "")
-    return F.when(q == "", F.array().cast("array<string>")).when(q.isNotNull(), F.array_distinct(F.concat(F.array(q), tokens)))
+    tokens = lambda q: F.filter(F.split(q, "[^A-Za-z0-9_$]+"), lambda x: x != "")
+    return let(F.regexp_replace(trim(c), "[\"']", ""), lambda q: F.when(q == "", F.array().cast("array<string>")).when(q.isNotNull(), F.array_distinct(F.concat(F.array(q), tokens(q)))))
 
 
 def last_symbol_part(c: Column) -> Column:

@@ -35,19 +35,22 @@ class Candidates:
     diagnostics: DataFrame  # class, keys, skipped keys, pairs in the largest skipped key, complete
 
 
-def candidate_pairs(keys: DataFrame, pairs_per_key: int = PAIRS_PER_KEY, pairs_total: int | None = None) -> Candidates:
+def candidate_pairs(keys: DataFrame, pairs_per_key: int | None = PAIRS_PER_KEY, pairs_total: int | None = None) -> Candidates:
     """Distinct pairs (left < right) of entities that share a key in one repository, and what was skipped.
 
-    Sizes are counted before the join, so no skipped key is ever expanded. ``pairs_total`` reproduces a global limit: pairs
+    Sizes are counted before the join, so no skipped key is ever expanded; without ``pairs_per_key`` none is skipped. Keys meet
+    by a digest of 16 bytes. ``pairs_total`` reproduces a global limit: pairs
     rank by their first key (smallest entity, then key), then by themselves; it is off by default and then nothing is lost.
     """
     n = F.col("n")
-    buckets = keys.groupBy("repository", "class", "key").agg(F.count("*").alias("n"), F.min("eid").alias("first"))
-    over = n * (n - 1) / 2 > pairs_per_key
-    good = buckets.where((n > 1) & ~over).select("repository", "class", "key", "first")
-    used = keys.join(good, ["repository", "class", "key"])
-    left, right = used.withColumnRenamed("eid", "left"), used.drop("first").withColumnRenamed("eid", "right")
-    met = left.join(right, ["repository", "class", "key"]).where("left < right")
+    own = ["class", "key"] if pairs_total is not None else []
+    keys = keys.select(F.unhex(F.md5(F.to_json(F.struct("repository", "class", "key")))).alias("k"), "class", "key", "eid")
+    buckets = keys.groupBy("k", "class").agg(F.count("*").alias("n"), F.min("eid").alias("first"))
+    over = n * (n - 1) / 2 > pairs_per_key if pairs_per_key is not None else F.lit(False)
+    good = buckets.where((n > 1) & ~over).select("k", *(["first"] if own else []))
+    used = keys.select("k", "eid", *own).join(good, "k")
+    left, right = used.withColumnRenamed("eid", "left"), used.select("k", F.col("eid").alias("right"))
+    met = left.join(right, "k").where("left < right")
     if pairs_total is None:
         pairs, cut = met.select("left", "right").distinct(), F.lit(True)
     else:
@@ -100,9 +103,16 @@ def score(l: Column, r: Column) -> tuple[Column, Column]:  # noqa: E741
 
 
 def scored_edges(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(left, right, left_provider, right_provider, score, strength, rules) of the pairs that may link."""
-    body = F.struct("provider", "repository", "family", "path", "range", "q_keys", "a_keys", "n_keys", "s_key")
+    """(left, right, left_provider, right_provider, score, strength, rules) of the pairs that may link.
+
+    Where entities have a ``digest`` beside a number as ``eid``, the left end is the one of the smaller digest.
+    """
+    by = ["digest"] if "digest" in entities.columns else []
+    body = F.struct("provider", "repository", "family", "path", "range", "q_keys", "a_keys", "n_keys", "s_key", *by)
     l, r = entities.select(F.col("eid").alias("left"), body.alias("l")), entities.select(F.col("eid").alias("right"), body.alias("r"))  # noqa: E741
     met = pairs.join(l, "left").join(r, "right").where((F.col("l.provider") != F.col("r.provider")) & (F.col("l.repository") == F.col("r.repository")) & S.kinds_agree(F.col("l.family"), F.col("r.family")))
     value, rules = score(F.col("l"), F.col("r"))
-    return met.select("left", "right", F.col("l.provider").alias("left_provider"), F.col("r.provider").alias("right_provider"), value.alias("score"), rules.alias("rules")).where("score is not null").withColumn("strength", F.when(F.col("score") >= 80, "matched").otherwise("probable"))
+    turned = F.col("l.digest") > F.col("r.digest") if by else F.lit(False)
+    end = lambda a, b, name: F.when(turned, b).otherwise(a).alias(name)
+    ends = [end(F.col("left"), F.col("right"), "left"), end(F.col("right"), F.col("left"), "right"), end(F.col("l.provider"), F.col("r.provider"), "left_provider"), end(F.col("r.provider"), F.col("l.provider"), "right_provider")]
+    return met.select(*ends, value.alias("score"), rules.alias("rules")).where("score is not null").withColumn("strength", F.when(F.col("score") >= 80, "matched").otherwise("probable"))

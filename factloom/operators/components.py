@@ -26,7 +26,7 @@ def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
     for step in range(bound):
         seen = narrow.join(ball.withColumnsRenamed({"u": "v", "big": "b", "ball": "near"}), "v").groupBy("u").agg(F.bool_or("b").alias("b"), F.flatten(F.collect_list("near")).alias("near"))
         joined = ball.join(seen, "u", "left")
-        all_ = F.array_distinct(F.concat("ball", F.coalesce("near", F.array().cast("array<string>"))))
+        all_ = F.array_distinct(F.concat("ball", F.coalesce("near", F.array().cast(ball.schema["ball"].dataType))))
         ball = joined.select("u", F.col("big") | F.coalesce("b", F.lit(False)) | (F.size(all_) > bound), F.slice(F.array_sort(all_), 1, bound + 1), F.size(all_) > F.size("ball")).toDF("u", "big", "ball", "grew")
         if step % CUT == CUT - 1 and step + 1 < bound:
             ball = materialize(ball, "balls")

@@ -35,44 +35,60 @@ def edge_cardinality(edges: DataFrame) -> DataFrame:
     return edges.join(left, ["left", "right_provider"]).join(right, ["right", "left_provider"]).withColumn("cardinality", kind).select(*edges.columns, "cardinality")
 
 
-def correlate(entities: DataFrame, pairs_per_key: int = PAIRS_PER_KEY, pairs_total: int | None = None) -> Correlation:
+def correlate(entities: DataFrame, pairs_per_key: int | None = PAIRS_PER_KEY, pairs_total: int | None = None) -> Correlation:
     """Correlate ENTITY_INPUT rows by deterministic rules; the order of the input doesn't matter."""
-    e = materialize(normalize_entities(entities), "entities")
-    found = candidate_pairs(candidate_keys(e), pairs_per_key, pairs_total)
-    scored = materialize(scored_edges(e, found.pairs), "scored")
+    e = materialize(normalize_entities(entities).withColumn("no", F.monotonically_increasing_id()), "entities")
+    # entities go by number from here on, an eighth of a digest; digests come back in what is returned
+    by_no = e.withColumn("digest", F.unhex("eid")).withColumn("eid", F.col("no")).drop("no")
+    if pairs_total is None:
+        found = candidate_pairs(candidate_keys(by_no), pairs_per_key)
+        pairs = found.pairs
+    else:  # this limit goes by digests
+        found = candidate_pairs(candidate_keys(e), pairs_per_key, pairs_total)
+        number = lambda end: e.select(F.col("eid").alias(end), F.col("no").alias(f"{end}_no"))
+        pairs = found.pairs.join(number("left"), "left").join(number("right"), "right").select(F.col("left_no").alias("left"), F.col("right_no").alias("right"))
+    scored = materialize(scored_edges(by_no, pairs), "scored")
     edges = materialize(edge_cardinality(scored), "links")
     discard(scored)
-    groups = build_groups(e, edges).withColumn("canonical_id", F.concat(F.lit("ce_"), S.digest(F.col("members"))))
-    groups = materialize(groups, "assigned")
+    # a group goes by its first member
+    groups = materialize(build_groups(by_no, edges).select("eid", F.get("members", F.lit(0)).alias("g"), "strength"), "assigned")
     # every edge, seen from the group of each end
-    own = groups.select(F.col("eid").alias("node"), F.col("canonical_id"))
-    other = groups.select(F.col("eid").alias("to"), F.col("canonical_id").alias("other_id"))
-    side = lambda a, b, as_: edges.select(F.col(a).alias("node"), F.col(b).alias("to"), F.lit(as_).alias("side"), "cardinality", "rules", F.struct("left", "right").alias("edge"))
+    own = groups.select(F.col("eid").alias("node"), "g")
+    other = groups.select(F.col("eid").alias("to"), F.col("g").alias("other"))
+    side = lambda a, b, as_: edges.select(F.col(a).alias("node"), F.col(b).alias("to"), F.lit(as_).alias("side"), "cardinality", "rules")
     seen = side("left", "right", "left").union(side("right", "left", "right")).join(own, "node").join(other, "to")
-    inner = F.col("canonical_id") == F.col("other_id")
+    inner = F.col("g") == F.col("other")
     wide = F.col("cardinality")
-    facts = seen.groupBy("canonical_id").agg(
-        F.count_distinct("edge").alias("n_edges"), F.sort_array(F.collect_set(F.when(~inner, F.col("other_id")))).alias("candidate_ids"), F.bool_or(wide == "many-to-many").alias("mm"),
+    facts = materialize(seen.groupBy("g").agg(
+        F.collect_set(F.when(~inner, F.col("other"))).alias("others"), F.bool_or(wide == "many-to-many").alias("mm"),
         F.bool_or(wide.isin("one-to-many", "many-to-one") & (F.col("side") == "left")).alias("l"), F.bool_or(wide.isin("one-to-many", "many-to-one") & (F.col("side") == "right")).alias("r"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(inner, F.col("rules"))))).alias("inner_rules"), F.array_distinct(F.flatten(F.collect_set("rules"))).alias("all_rules"))
-    shape = groups.join(e.select("eid", "repository", "family"), "eid").groupBy("canonical_id").agg(F.first("repository").alias("repository"), F.collect_set("family").alias("kinds"), F.count("*").alias("n_members"), F.first("strength").alias("strength"))
+        F.array_distinct(F.flatten(F.collect_set(F.when(inner, F.col("rules"))))).alias("inner_rules"), F.array_distinct(F.flatten(F.collect_set("rules"))).alias("all_rules"), F.lit(True).alias("linked")), "seen")
+    # an id is made of the digests of its members, of which there is one for each provider at most
+    id_ = F.concat(F.lit("ce_"), S.digest(F.array_sort(F.collect_list("e.eid")))).alias("canonical_id")
+    shape = materialize(groups.join(e.select("no", F.struct("eid", "repository", "family").alias("e")), F.col("eid") == F.col("no")).groupBy("g").agg(
+        id_, F.first("e.repository").alias("repository"), F.collect_set("e.family").alias("kinds"), F.count("*").alias("n_members"), F.first("strength").alias("strength")), "shapes")
     none = F.array().cast("array<string>")
-    some = F.coalesce("n_edges", F.lit(0)) > 0
+    candidates = facts.select("g", F.explode("others").alias("other")).join(shape.select(F.col("g").alias("other"), "canonical_id"), "other").groupBy("g").agg(F.sort_array(F.collect_list("canonical_id")).alias("candidate_ids"))
+    some = F.coalesce("linked", F.lit(False))
     status = F.when(F.col("n_members") > 1, F.col("strength")).when(some, "ambiguous").otherwise("unmatched")
     cardinality = F.when(~some, "unmatched").when(F.col("mm") | (F.col("l") & F.col("r")), "many-to-many").when(F.col("l"), "one-to-many").when(F.col("r"), "many-to-one").otherwise("one-to-one")
     order = F.array(*[F.lit(x) for x in RULES])
     rules = F.when(F.size("inner_rules") > 0, F.col("inner_rules")).otherwise(F.coalesce("all_rules", none))
-    c = shape.join(facts, "canonical_id", "left").select(
-        "canonical_id", "repository", S.canonical_kind(F.col("kinds")).alias("kind"), status.alias("status"), cardinality.alias("cardinality"), F.filter(order, lambda x: F.array_contains(rules, x)).alias("rules"), "n_members", F.coalesce("candidate_ids", none).alias("candidate_ids"))
+    c = shape.join(facts.drop("others"), "g", "left").join(candidates, "g", "left").select(
+        "g", "canonical_id", "repository", S.canonical_kind(F.col("kinds")).alias("kind"), status.alias("status"), cardinality.alias("cardinality"), F.filter(order, lambda x: F.array_contains(rules, x)).alias("rules"), "n_members", F.coalesce("candidate_ids", none).alias("candidate_ids"))
     conflict = F.col("cardinality").isin("one-to-many", "many-to-one", "many-to-many")
     reason = F.when(F.col("status") == "unmatched", "no-cross-provider-evidence").when(F.col("status") == "ambiguous", F.when(conflict, "provider-cardinality-conflict").otherwise("competing-evidence"))
     c = materialize(c.withColumn("reason", reason.when(F.col("status") == "probable", "probable-evidence").otherwise("deterministic-evidence")), "canonical")
-    members = groups.select("eid", "canonical_id").join(c.select("canonical_id", "status", "candidate_ids"), "canonical_id").join(e, "eid")
+    discard(facts, shape)
+    numbered = groups.select(F.col("eid").alias("no"), "g")
+    members = numbered.join(c.select("g", "canonical_id", "status", "candidate_ids"), "g").join(e, "no").drop("no", "g")
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    incident = edges.select(F.explode(F.array("left", "right")).alias("eid")).groupBy("eid").agg(F.count("*").alias("n"))
-    metrics = members.join(incident, "eid", "left").groupBy("provider").agg(
-        F.count("*").alias("total"), F.count_distinct("canonical_id").alias("canonical"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), *[count(s) for s in ("matched", "probable", "ambiguous", "unmatched")])
-    return Correlation(c, members, edges.drop("left_provider", "right_provider"), metrics, found.diagnostics)
+    incident = edges.select(F.explode(F.array("left", "right")).alias("no")).groupBy("no").agg(F.count("*").alias("n"))
+    metrics = numbered.join(c.select("g", "status"), "g").join(e.select("no", "provider"), "no").join(incident, "no", "left").groupBy("provider").agg(
+        F.count("*").alias("total"), F.count_distinct("g").alias("canonical"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), *[count(s) for s in ("matched", "probable", "ambiguous", "unmatched")])
+    named = lambda end: e.select(F.col("no").alias(end), F.col("eid").alias(f"{end}_id"))
+    links = edges.join(named("left"), "left").join(named("right"), "right").select(F.col("left_id").alias("left"), F.col("right_id").alias("right"), "score", "strength", "rules", "cardinality")
+    return Correlation(c.drop("g"), members, links, metrics, found.diagnostics)
 
 
 def correlate_observations(observations: DataFrame, **options) -> Correlation:

@@ -33,11 +33,12 @@ def extract_entities(observations: DataFrame, prefer_definitions: bool = True) -
         ok = get(f"{place}.id") == F.col("e.id")
         return ok & ~has_node if place == "$" else ok
 
-    def attribute(name: str, kind: str = "string"):
-        out = F.lit(None).cast(kind)
-        for p in reversed(places):
-            out = F.when(found(p), get(f"{p}.{name}", kind)).otherwise(out)
-        return out
+    # the node that counts is looked for once, and its attributes are read from it
+    node = F.lit(None).cast("variant")
+    for p in reversed(places):
+        node = F.when(found(p), get(p, "variant")).otherwise(node)
+    o = o.withColumn("own", node)
+    attribute = lambda name, kind="string": F.try_variant_get("own", f"$.{name}", kind)
 
     qualified = attribute("qualifiedName")
     return o.select(
