@@ -20,6 +20,7 @@ ORDERS: dict[str, tuple[str, ...]] = {
     "records": ("to_json(repository)", "fact_class", "key"), "pairwise": ("to_json(left)", "to_json(right)", "fact_class"), "coverage": ("to_json(provider)", "fact_class"), "comparisons": ("key", "fact_class"),
     "entities": ("to_json(provider)",), "gain": ("ord",)}
 _LOW = (1 << 33) - 1
+_DIGEST, _AT = "ordered by this digest", "ordered at"
 
 
 def _columns(keys: tuple[str, ...] | list[str]) -> list[Column]:
@@ -33,11 +34,14 @@ def numbered(df: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
     numbers come from the sizes of the sorted parts, one row per part.
     """
     names = [f"k{i}" for i in range(len(keys))]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.struct(*[k.alias(n) for k, n in zip(_columns(keys), names)]).alias("first"))
-    rows = rows.withColumn("tie", F.to_json("row", {"ignoreNullFields": "false"}))
-    order = [F.col(f"first.{n}").asc_nulls_first() for n in names] + [F.col("tie")]
-    # a digest deals out rows that are alike up to a long text
-    placed = materialize(rows.repartitionByRange(*order[:-1], F.md5(F.col("tie").cast("binary"))).sortWithinPartitions(*order[:-1], F.md5(F.col("tie").cast("binary"))).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    first = F.struct(*[k.alias(n) for k, n in zip(_columns(keys), names)])
+    tie = F.to_json(row, {"ignoreNullFields": "false"})
+    # a digest deals out rows that are alike up to a long text; keys and ties aren't written, as they follow from the row
+    order = [*[k.asc_nulls_first() for k in _columns(keys)], F.col(_DIGEST)]
+    dealt = df.withColumn(_DIGEST, F.unhex(F.md5(tie.cast("binary")))).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(dealt.drop(_DIGEST).withColumn(_AT, F.monotonically_increasing_id()), "ordered")
+    placed = placed.select(row.alias("row"), first.alias("first"), tie.alias("tie"), F.col(_AT).alias("at"))
     part = F.shiftright("at", 33)
     before = W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
     sizes = placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

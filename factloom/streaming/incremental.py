@@ -1,80 +1,49 @@
-"""The matrix kept up to date: states of logical facts as facts arrive, by state for each logical key.
+"""The matrix kept up to date: states of logical facts as facts arrive.
 
-The state of a key is its variants and its providers, each in a map of the state store, and their numbers; so a hot key needs
-no more memory than any other, and a fact costs two look-ups. A row is given out when the state of a key changes. Facts that
-repeat change nothing, and the last state of a key is the same in whatever order and batches its facts come.
+A fact says up to three things of its logical key: a variant, a provider, and that something about it is only probable. The state
+store holds each of these once, so a hot key needs no more memory of a task than any other, and only what is new leaves a
+batch. What is new is counted for every key and appended to a table of changes; states are sums over it. Facts that repeat change
+nothing, and the last state of a key is the same in whatever order and batches its facts come.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import DESCRIPTOR
 
-CHANGES = "logical_key string, fact_class string, state string, correlation_status string, n_variants long, n_providers long, version long"
+CHANGES = "logical_key string, fact_class string, new_variants long, new_providers long, probable boolean, version long"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _States(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.variants = handle.getMapState("variants", "exact_key string", "seen boolean")
-        self.providers = handle.getMapState("providers", "provider string", "seen boolean")
-        self.about = handle.getValueState("about", "fact_class string, n_variants long, n_providers long, probable boolean, version long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - the interface's names
-        kept = self.about.get() if self.about.exists() else None
-        fact_class, n_variants, n_providers, probable, version = kept or (None, 0, 0, False, 0)
-        before = (n_variants, n_providers, probable)
-        for batch in rows:
-            fact_class = fact_class or batch["fact_class"].iloc[0]
-            probable = bool(probable or (batch["status"] == "probable").any())
-            for seen, values in ((self.variants, batch["exact_key"].unique()), (self.providers, batch["who"].unique())):
-                fresh = 0
-                for v in values:
-                    if not seen.containsKey((v,)):
-                        seen.updateValue((v,), (True,))
-                        fresh += 1
-                if seen is self.variants:
-                    n_variants += fresh
-                else:
-                    n_providers += fresh
-        if (n_variants, n_providers, probable) == before:
-            return
-        version += 1
-        self.about.update((fact_class, n_variants, n_providers, probable, version))
-        state = "conflict" if n_variants > 1 else "overlap" if n_providers > 1 else "provider-only"
-        yield pd.DataFrame({
-            "logical_key": [key[0]], "fact_class": [fact_class], "state": [state], "correlation_status": ["probable" if probable else "matched"],
-            "n_variants": [n_variants], "n_providers": [n_providers], "version": [version]})
-
-    def close(self) -> None:
-        pass
-
-
-def changes(facts: DataFrame) -> DataFrame:
-    """A stream of DESCRIPTOR rows to changes of state, ``version`` counting those of a key. Facts that can't be compared have no state."""
-    told = facts.where("logical_key is not null").select("logical_key", "fact_class", "exact_key", F.to_json("provider").alias("who"), "status")
-    return told.groupBy("logical_key").transformWithStateInPandas(_States(), CHANGES, "Update", "None")
+def news(facts: DataFrame) -> DataFrame:
+    """(logical_key, fact_class, what, said): what a stream of DESCRIPTOR rows says for the first time. Facts that can't be compared say nothing."""
+    mark = lambda what, c: F.struct(F.lit(what).alias("what"), c.alias("said"))
+    marks = F.array(mark("variant", F.col("exact_key")), mark("provider", F.to_json("provider")), mark("probable", F.when(F.col("status") == "probable", "")))
+    told = facts.where("logical_key is not null").select("logical_key", "fact_class", F.explode(marks).alias("m")).select("logical_key", "fact_class", "m.*").where("said is not null")
+    return told.dropDuplicates(["logical_key", "what", "said"])
 
 
 def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Changes of state from the Parquet files (DESCRIPTOR) of a folder, as they are there, to the table ``out``; also after a restart."""
+    """Changes (CHANGES) from the Parquet files (DESCRIPTOR) of a folder, as they are there, to the table ``out``; also after a restart."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     stream = spark.readStream.schema(DESCRIPTOR).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def write(batch: DataFrame, epoch: int) -> None:
+        count = lambda what: F.count_if(F.col("what") == what)
+        changes = batch.groupBy("logical_key").agg(
+            F.min("fact_class").alias("fact_class"), count("variant").alias("new_variants"), count("provider").alias("new_providers"), F.bool_or(F.col("what") == "probable").alias("probable"), F.lit(epoch).cast("long").alias("version"))
         # a batch that is repeated replaces its own folder
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        changes.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return changes(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return news(stream).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(table: DataFrame) -> DataFrame:
     """The last state of every key of a table that :func:`follow` writes."""
-    rest = [c for c in table.columns if c not in ("logical_key", "version", "epoch")]
-    return table.groupBy("logical_key").agg(F.max_by(F.struct(*rest), "version").alias("x")).select("logical_key", "x.*")
+    held = table.groupBy("logical_key").agg(
+        F.min_by("fact_class", "version").alias("fact_class"), F.sum("new_variants").alias("n_variants"), F.sum("new_providers").alias("n_providers"), F.bool_or("probable").alias("probable"))
+    state = F.when(F.col("n_variants") > 1, "conflict").when(F.col("n_providers") > 1, "overlap").otherwise("provider-only")
+    return held.select("logical_key", "fact_class", state.alias("state"), F.when(F.col("probable"), "probable").otherwise("matched").alias("correlation_status"), "n_variants", "n_providers")
