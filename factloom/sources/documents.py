@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.facts import NormalizedFacts, keyed
 from ..schemas import PROVIDER, RANGE, REPOSITORY, SOURCE
-from ..storage import discard, scratch_path
+from ..storage import scratch_path
 from . import ordered
 
 _ENTITY = f"struct<canonicalId:string,candidateCanonicalIds:array<string>,id:string,nativeId:string,kind:string,provider:{PROVIDER},correlationStatus:string>"
@@ -83,7 +83,10 @@ def _correlation(n: NormalizedFacts) -> list[tuple[str, DataFrame, str]]:
 
 
 def export_facts(n: NormalizedFacts, path: str, rows_per_fragment: int = ordered.ROWS_PER_FILE) -> None:
-    """Write one document. Only fragments' bytes pass by the driver, as a stream from file to file; a payload that isn't JSON becomes a JSON string."""
+    """Write one document. Only fragments' bytes pass by the driver, as a stream from file to file; a payload that isn't JSON becomes a JSON string.
+
+    Fragments are compressed and each is deleted once it is in the document, so beside the document little room is needed.
+    """
     spark = n.facts.sparkSession
     hadoop, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     sections = [(_HEAD, _elements(n.facts, n.evidence), ""), ('],"unsupported":[', _elements(n.unsupported, n.evidence), ""), *_correlation(n)]
@@ -92,20 +95,25 @@ def export_facts(n: NormalizedFacts, path: str, rows_per_fragment: int = ordered
         root = scratch_path(spark, "fragments")
         _fragments(rows, root, rows_per_fragment)
         written.append((opening, root, closing))
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop)
     target = fs_path(path)
     fs = target.getFileSystem(hadoop)
     out = fs.create(target, True)
     try:
         for opening, root, closing in written:
             out.write(bytearray((opening + "\n").encode()))
-            for i, part in enumerate(ordered.parts(spark, root)):
+            begun = False
+            for part in _parts(spark, root):
                 source = fs_path(part)
-                given = source.getFileSystem(hadoop).open(source)
+                fs = source.getFileSystem(hadoop)
+                given = codecs.getCodec(source).createInputStream(fs.open(source))
                 try:
-                    given.skip(0 if i else 1)
+                    # the first line's comma is left out
+                    begun = begun or given.read() >= 0
                     spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
                 finally:
                     given.close()
+                fs.delete(source, False)
             out.write(bytearray(closing.encode()))
     finally:
         out.close()
@@ -115,10 +123,16 @@ def export_facts(n: NormalizedFacts, path: str, rows_per_fragment: int = ordered
 
 
 def _fragments(rows: DataFrame, root: str, rows_per_fragment: int) -> None:
-    """Lines in the order of k, l and themselves, in text files of so many lines; every line but a section's first follows a comma."""
-    placed = ordered.numbered(rows, ("k", "l")).select("nth", F.concat(F.lit(","), "row.line").alias("line"), F.floor(F.col("nth") / rows_per_fragment).cast("int").alias("part_no"))
-    placed.repartition("part_no").sortWithinPartitions("part_no", "nth").select("part_no", "line").write.partitionBy("part_no").text(f"{root}/data")
-    discard(placed)
+    """Lines in the order of k, l and themselves, in text files of up to so many lines; every line follows a comma. One shuffle by ranges, nothing else is written."""
+    order = ("k", "l", "digest")
+    placed = rows.withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary")))).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select(F.concat(F.lit(","), "line").alias("line")).write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_fragment).text(f"{root}/data")
+
+
+def _parts(spark: SparkSession, root: str) -> list[str]:
+    """Files of sorted ranges in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/part-*")
+    return sorted(str(s.getPath()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
 
 
 def import_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
