@@ -88,7 +88,9 @@ def comparable_sets(facts: DataFrame) -> DataFrame:
 
 
 def _ordered_sets(facts: DataFrame, providers: DataFrame) -> DataFrame:
-    return comparable_sets(facts).join(F.broadcast(providers.select("provider", "ord")), "provider")
+    """Distinct (ord, fact_class, logical_key, exact_key); a provider is a number before rows are held and shuffled."""
+    told = facts.where("logical_key is not null").join(F.broadcast(providers.select("provider", "ord")), "provider")
+    return told.select("ord", "fact_class", "logical_key", "exact_key").distinct()
 
 
 def _pairs(who: Column, ord_: Callable[[Column], Column]) -> Column:
@@ -104,9 +106,8 @@ def _shared_pairs(base: DataFrame) -> DataFrame:
 
 
 def _held_keys(base: DataFrame) -> DataFrame:
-    """Logical keys with their providers; a provider's values are told by their number and two sums of digests."""
-    sum_ = lambda h: F.sum(h.cast("decimal(38,0)"))
-    own = base.groupBy("fact_class", "logical_key", "ord").agg(F.count("*").alias("n"), sum_(F.xxhash64("exact_key")).alias("h"), sum_(F.xxhash64(F.lit(1), "exact_key")).alias("g"))
+    """Logical keys with their providers; a provider's values, which are distinct, are told by their number and two xors of digests."""
+    own = base.groupBy("fact_class", "logical_key", "ord").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("exact_key")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "exact_key")).alias("g"))
     return own.groupBy("fact_class", "logical_key").agg(F.collect_list(F.struct("ord", "n", "h", "g")).alias("who"))
 
 
