@@ -145,6 +145,11 @@ def digest(*cols: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}), 256)
 
 
+def short_digest(*cols: Column) -> Column:
+    """MD5 of the same serialisation as 16 bytes: what rows of one run meet by."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"})))
+
+
 def is_common(predicate: Column) -> Column:
     return predicate.isin(*PREDICATES)
 
