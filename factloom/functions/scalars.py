@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +14,10 @@ from ..schemas import PREDICATES, RANGE
 _BLANK = r"[\s ﻿  -     　]"
 
 
+#: The same characters, listed.
+_BLANKS = "".join(x for x in map(chr, range(0x10000)) if re.match(_BLANK, x, re.ASCII))
+
+
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f(x)`` with x worked out once for a row, however often f uses it."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
@@ -20,7 +25,7 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def trim(c: Column) -> Column:
     """Trim all Unicode white space, as well as the byte-order mark."""
-    return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def clean(c: Column) -> Column:
@@ -30,14 +35,17 @@ def clean(c: Column) -> Column:
 
 def normalize_path(c: Column) -> Column:
     """Separators to /, ``.`` and empty parts dropped, ``..`` takes the part before; nothing left: ``.``."""
-    parts = F.split(F.replace(trim(c), F.lit("\\"), F.lit("/")), "/")
+    text = trim(c)
+    # most paths have nothing to normalize
+    plain = ~text.rlike(r"\\|(^|/)\.{0,2}(/|$)")
+    parts = F.split(F.replace(text, F.lit("\\"), F.lit("/")), "/")
     none = F.array().cast("array<string>")
 
     def step(acc: Column, part: Column) -> Column:
         up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         return F.when(part.isin("", "."), acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
 
-    return F.when(c.isNotNull(), F.coalesce(F.nullif(F.array_join(F.aggregate(parts, none, step), "/"), F.lit("")), F.lit(".")))
+    return F.when(plain, text).when(c.isNotNull(), F.coalesce(F.nullif(F.array_join(F.aggregate(parts, none, step), "/"), F.lit("")), F.lit(".")))
 
 
 def make_range(start_line: Column, start_column: Column, end_line: Column, end_column: Column, zero_based: Column) -> Column:
@@ -62,9 +70,10 @@ def _span(text: Column, from_zero: Column) -> Column:
     # The two forms of a span.
     labelled = r"(?i)^L(\d+)(?:C(\d+))?(?:-L?(\d+)(?:C(\d+))?)?$"
     numeric = r"^(\d+):(\d+)-(\d+):(\d+)$"
-    part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
-    first = make_range(part(labelled, 1), part(labelled, 2), F.coalesce(part(labelled, 3), part(labelled, 1)), part(labelled, 4), F.lit(False))
-    second = make_range(*[part(numeric, i) for i in (1, 2, 3, 4)], from_zero)
+    # a pattern is matched once for all its parts; what may stand behind $, a line's end, goes with the rest
+    parts = lambda pattern, f: let(F.split(F.regexp_replace(text, pattern + r"[\s\S]*", "$1,$2,$3,$4"), ","), lambda a: f(*[F.nullif(F.get(a, F.lit(i)), F.lit("")) for i in range(4)]))
+    first = parts(labelled, lambda a, b, c, d: make_range(a, b, F.coalesce(c, a), d, F.lit(False)))
+    second = parts(numeric, lambda a, b, c, d: make_range(a, b, c, d, from_zero))
     return F.when(text.rlike(labelled), first).when(text.rlike(numeric), second)
 
 
@@ -119,8 +128,8 @@ def normalize_signature(c: Column) -> Column:
 def symbol_keys(c: Column) -> Column:
     """The unquoted symbol, then its distinct tokens of letters, digits, _ and $, in order."""
     # Quotes, and what separates tokens.
-    tokens = lambda q: F.filter(F.split(q, "[^A-Za-z0-9_$]+"), lambda x: x != "")
-    return let(F.regexp_replace(trim(c), "[\"']", ""), lambda q: F.when(q == "", F.array().cast("array<string>")).when(q.isNotNull(), F.array_distinct(F.concat(F.array(q), tokens(q)))))
+    tokens = lambda q: F.regexp_extract_all(q, F.lit("[A-Za-z0-9_$]+"), F.lit(0))
+    return let(F.translate(trim(c), "\"'", ""), lambda q: F.when(q == "", F.array().cast("array<string>")).when(q.isNotNull(), F.array_distinct(F.concat(F.array(q), tokens(q)))))
 
 
 def last_symbol_part(c: Column) -> Column:

@@ -15,8 +15,11 @@ from ..schemas import RULES
 PAIRS_PER_KEY = 100_000
 
 
-def candidate_keys(entities: DataFrame) -> DataFrame:
-    """(repository, class, key, eid), one row per blocking key of an entity; keys are distinct for an entity."""
+def candidate_keys(entities: DataFrame, numbered: bool = False) -> DataFrame:
+    """(repository, class, key, eid), one row per blocking key of an entity; keys are distinct for an entity.
+
+    Where entities are ``numbered`` their provider goes with them.
+    """
     c, none = F.col, F.array().cast("array<struct<class:string,key:string>>")
     one = lambda name, ok, *key: F.when(ok, F.array(F.struct(F.lit(name).alias("class"), F.to_json(F.array(*key)).alias("key")))).otherwise(none)
     each = lambda name, keys, *pre: F.transform(keys, lambda k: F.struct(F.lit(name).alias("class"), F.to_json(F.array(*pre, k)).alias("key")))
@@ -26,7 +29,8 @@ def candidate_keys(entities: DataFrame) -> DataFrame:
         one("signature", c("s_key").isNotNull(), c("s_key")), one("qualified-exact", c("qualifiedName").isNotNull(), c("qualifiedName")),
         one("alias-match-exact", c("qualifiedName").isNotNull(), c("qualifiedName")), each("qualified-normalized", c("q_keys")), each("alias-match-exact", c("aliases")), each("alias-normalized", c("a_keys")),
         F.when(path, each("path-name-normalized", c("n_keys"), c("path"))).otherwise(none), one("path-name-exact", path & c("name").isNotNull(), c("path"), c("name")), one("path-kind", path & bare, c("path"), c("family")))
-    return entities.select("repository", "eid", F.explode(F.array_distinct(keys)).alias("k")).select("repository", "k.class", "k.key", "eid")
+    who = ["provider"] if numbered else []
+    return entities.select("repository", "eid", *who, F.explode(F.array_distinct(keys)).alias("k")).select("repository", "k.class", "k.key", "eid", *who)
 
 
 @dataclass
@@ -39,21 +43,23 @@ def candidate_pairs(keys: DataFrame, pairs_per_key: int | None = PAIRS_PER_KEY,
     """Distinct pairs (left < right) of entities that share a key in one repository, and what was skipped.
 
     Sizes are counted before the join, so no skipped key is ever expanded; without ``pairs_per_key`` none is skipped. Keys meet
-    by a digest of 16 bytes. ``pairs_total`` reproduces a global limit: pairs
+    by a digest of 16 bytes, shuffled once for counting and joining. Keys with a provider give pairs of different providers alone,
+    from the smaller provider to the larger. ``pairs_total`` reproduces a global limit: pairs
     rank by their first key (smallest entity, then key), then by themselves; it is off by default and then nothing is lost.
     """
     n = F.col("n")
-    own = ["class", "key"] if pairs_total is not None else []
-    keys = keys.select(F.unhex(F.md5(F.to_json(F.struct("repository", "class", "key")))).alias("k"), "class", "key", "eid")
+    who = ["provider"] if "provider" in keys.columns else []
+    keys = keys.select(F.unhex(F.md5(F.to_json(F.struct("repository", "class", "key")))).alias("k"), "class", "key", "eid", *who)
     buckets = keys.groupBy("k", "class").agg(F.count("*").alias("n"), F.min("eid").alias("first"))
     over = n * (n - 1) / 2 > pairs_per_key if pairs_per_key is not None else F.lit(False)
-    good = buckets.where((n > 1) & ~over).select("k", *(["first"] if own else []))
-    used = keys.select("k", "eid", *own).join(good, "k")
-    left, right = used.withColumnRenamed("eid", "left"), used.select("k", F.col("eid").alias("right"))
-    met = left.join(right, "k").where("left < right")
     if pairs_total is None:
-        pairs, cut = met.select("left", "right").distinct(), F.lit(True)
+        used = keys.select("k", "eid", *who).withColumn("n", F.count("*").over(W.partitionBy("k"))).where((n > 1) & ~over)
+        ends = lambda end: used.select("k", F.col("eid").alias(end), *[F.col(p).alias(f"{end}_{p}") for p in who])
+        apart = "left_provider < right_provider" if who else "left < right"
+        pairs, cut = ends("left").join(ends("right"), "k").where(apart).select("left", "right").distinct(), F.lit(True)
     else:
+        used = keys.select("k", "eid", "class", "key").join(buckets.where((n > 1) & ~over).select("k", "first"), "k")
+        met = used.withColumnRenamed("eid", "left").join(used.select("k", F.col("eid").alias("right")), "k").where("left < right")
         ranked = met.groupBy("left", "right").agg(F.min(F.struct("first", "class", "key")).alias("rank"))
         pairs = first_pairs(ranked, pairs_total)
         cut = F.lit(False)
@@ -105,14 +111,13 @@ def score(l: Column, r: Column) -> tuple[Column, Column]:  # noqa: E741
 def scored_edges(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left, right, left_provider, right_provider, score, strength, rules) of the pairs that may link.
 
-    Where entities have a ``digest`` beside a number as ``eid``, the left end is the one of the smaller digest.
+    Where entities have a ``digest`` beside a number as ``eid``, ``turned`` says whether the right end has the smaller one.
     """
     by = ["digest"] if "digest" in entities.columns else []
     body = F.struct("provider", "repository", "family", "path", "range", "q_keys", "a_keys", "n_keys", "s_key", *by)
     l, r = entities.select(F.col("eid").alias("left"), body.alias("l")), entities.select(F.col("eid").alias("right"), body.alias("r"))  # noqa: E741
     met = pairs.join(l, "left").join(r, "right").where((F.col("l.provider") != F.col("r.provider")) & (F.col("l.repository") == F.col("r.repository")) & S.kinds_agree(F.col("l.family"), F.col("r.family")))
     value, rules = score(F.col("l"), F.col("r"))
-    turned = F.col("l.digest") > F.col("r.digest") if by else F.lit(False)
-    end = lambda a, b, name: F.when(turned, b).otherwise(a).alias(name)
-    ends = [end(F.col("left"), F.col("right"), "left"), end(F.col("right"), F.col("left"), "right"), end(F.col("l.provider"), F.col("r.provider"), "left_provider"), end(F.col("r.provider"), F.col("l.provider"), "right_provider")]
+    turned = [(F.col("l.digest") > F.col("r.digest")).alias("turned")] if by else []
+    ends = ["left", "right", F.col("l.provider").alias("left_provider"), F.col("r.provider").alias("right_provider"), *turned]
     return met.select(*ends, value.alias("score"), rules.alias("rules")).where("score is not null").withColumn("strength", F.when(F.col("score") >= 80, "matched").otherwise("probable"))

@@ -7,6 +7,7 @@ node gathers what lies within P steps, at most P + 1 ids: up to P ids are its wh
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
@@ -66,19 +67,24 @@ def best_edges(edges: DataFrame) -> DataFrame:
 
 
 def build_groups(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(eid, members, strength): the group of every entity; a group of one has its own id and strength ``probable``.
+    """Entities with (members, strength): the group of each; a group of one has its own id and strength ``probable``.
 
     At each score, from the highest, only entities neither grouped nor blocked take part; a component with two members of
     one provider is blocked as a whole. Which edges count is found first, for all scores at once, and as no entity takes part at two
-    scores their components are those of one graph.
+    scores their components are those of one graph. An edge whose ends have no other is a group as it stands: its ends are of two
+    providers. The entity's other columns stay with it.
     """
     bound = entities.select("provider").distinct().count()
-    live = best_edges(edges)
-    strength = live.select(F.explode(F.array("left", "right")).alias("node"), "score").groupBy("node").agg(F.when(F.max("score") >= 80, "matched").otherwise("probable").alias("strength"))
+    ends = edges.select("left", "right", "score", F.explode(F.array("left", "right")).alias("node")).withColumn("n", F.count("*").over(W.partitionBy("node")))
+    told = materialize(ends.groupBy("left", "right").agg(F.first("score").alias("score"), F.max("n").alias("n")), "told")
+    label = F.when(F.max("score") >= 80, "matched").otherwise("probable").alias("strength")
+    alone = told.where("n = 1").select(F.explode(F.array("left", "right")).alias("eid"), F.array_sort(F.array("left", "right")).alias("members"), F.when(F.col("score") >= 80, "matched").otherwise("probable").alias("strength"))
+    live = best_edges(told.where("n > 1"))
+    strength = live.select(F.explode(F.array("left", "right")).alias("node"), "score").groupBy("node").agg(label)
     found = materialize(bounded_components(live, bound).join(strength, "node"), "components")
     whole = found.where("members is not null").select("node", F.explode("members").alias("eid")).join(entities.select("eid", "provider"), "eid")
     clash = whole.groupBy("node").agg((F.count_distinct("provider") < F.count("*")).alias("clash"))
     judged = found.join(clash, "node", "left").select(F.col("node").alias("eid"), F.when(~F.coalesce("clash", F.lit(True)), F.col("members")).alias("members"), "strength")
-    got = entities.select("eid").join(judged, "eid", "left")
+    got = entities.join(judged.unionByName(alone), "eid", "left")
     own = F.col("members").isNull()
-    return got.select("eid", F.when(own, F.array("eid")).otherwise(F.col("members")).alias("members"), F.when(own, F.lit("probable")).otherwise(F.col("strength")).alias("strength"))
+    return got.select(*entities.columns, F.when(own, F.array("eid")).otherwise(F.col("members")).alias("members"), F.when(own, F.lit("probable")).otherwise(F.col("strength")).alias("strength"))

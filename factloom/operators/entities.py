@@ -65,8 +65,9 @@ def normalize_entities(entities: DataFrame) -> DataFrame:
     keys = lambda c: F.coalesce(S.symbol_keys(c), none)
     ordered = lambda c: F.array_sort(F.array_distinct(c))
     e = e.withColumns({"family": S.kind_family(F.col("kind")), "q_keys": ordered(keys(F.col("qualifiedName"))), "a_keys": ordered(F.flatten(F.transform("aliases", S.symbol_keys))), "s_key": S.normalize_signature(F.col("signature"))})
-    e = e.withColumn("n_keys", ordered(F.concat(keys(F.col("name")), keys(F.col("qualifiedName")), "a_keys")))
+    e = e.withColumn("n_keys", ordered(F.concat(keys(F.col("name")), "q_keys", "a_keys")))
     e = e.withColumn("eid", S.digest(*[F.col(c) for c in ("provider", "repository", "id", "family", "path", "range", "n_keys", "q_keys", "a_keys", "s_key")]))
     rest = [c for c in e.columns if c != "eid"]
-    first = e.groupBy("eid").agg(F.min_by(F.struct(*rest), F.struct(F.coalesce("providerNative", F.lit("undefined")), "kind", F.to_json("aliases"))).alias("x"))
+    # rows of one key are few, so they are sorted once, where they have met
+    first = e.repartition("eid").groupBy("eid").agg(F.min_by(F.struct(*rest), F.struct(F.coalesce("providerNative", F.lit("undefined")), "kind", F.to_json("aliases"))).alias("x"))
     return first.select("eid", "x.*")
