@@ -114,49 +114,82 @@ def unpack(index: np.ndarray, payload: bytes, n: int) -> np.ndarray:
 
 
 #: Encodings of pieces that a worker keeps, the first that it meets; frequent ones come early. Others, and longer pieces, are
-#: encoded each time.
+#: encoded once in each group of texts.
 KEPT, LONG = 500_000, 64
+#: The first of those kept are looked up before the others: few, so near at hand, and most of what texts hold.
+HOT = 1 << 15
 #: Characters of texts that are encoded together (one text at least).
-GROUP = 1 << 22
+GROUP = 1 << 23
 _encoders: dict[tuple[str, int], Encoder] = {}
-_cut = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters, as long as they have been in Unicode, and ASCII marks but ' behind them: one pre-token, or two.
-_plain = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters, as long as they have been in Unicode: one pre-token.
+_latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _own = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _alphabet = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _own)}
 _space = chr(_alphabet[32])
 
 
-class _Pieces(dict):
-    """Piece of a text to its ids, encoded on demand and kept while there is room."""
+def _runs(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs that start at ``at``, one run behind the other."""
+    end = np.cumsum(size, dtype=at.dtype)
+    return np.repeat(at - (end - size), size) + np.arange(end[-1] if len(end) else 0, dtype=at.dtype)
+
+
+class _Pieces:
+    """Ids of pieces, in columns: those of the first pieces that are met are kept while there is room."""
 
     def __init__(self, tokenizer, room: int):
-        super().__init__()
-        self.room = room
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.room, self.tokenizer, self.model = room, tokenizer, tokenizer.model
         self.model._resize_cache(0)  # this one takes its place
-        self.line, self.marks = self.whole("\n"), {"": b""}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        m = _plain.fullmatch(piece)
-        if not m:
-            out = self.line + self.whole(piece[1:]) if piece[0] == "\n" else self.whole(piece)
-        elif m[3]:
-            marks = self.marks.get(m[3]) or self.whole(m[3])
-            if len(self.marks) < 1000:
-                self.marks[m[3]] = marks
-            return self[m[1] + m[2]] + marks
-        else:  # one pre-token: no need to look for more
-            said = m[2] if piece.isascii() else m[2].encode().decode("latin-1").translate(_alphabet)
-            out = array("I", [t.id for t in self.model.tokenize(_space + said if m[1] == " " else said)]).tobytes()
-            out = self.line + out if m[1] == "\n" else out
-        if len(self) < self.room and len(piece) <= LONG:
-            self[piece] = out
-        return out
+        self.line = self.whole("\n")
+        self.words, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def fresh(self, piece: str) -> list[int]:
+        """Ids of a piece that is not kept."""
+        lead = piece[0] if piece[0] in " \n" else ""
+        said = piece[len(lead) :]
+        if said.isascii():
+            letters = said.isalpha()
+        else:
+            letters = _latin.fullmatch(said)
+            said = said.encode().decode("latin-1").translate(_alphabet) if letters else said
+        if not letters:
+            return self.whole(piece)
+        # one pre-token: no need to look for more
+        ids = [t.id for t in self.model.tokenize(_space + said if lead == " " else said)]
+        return self.line + ids if lead == "\n" else ids
+
+    def ids(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has. Each distinct piece that is not kept is encoded once."""
+        which = np.array(pc.index_in(pieces, value_set=self.words[:HOT]).fill_null(-1))
+        if len(self.words) > HOT:
+            rest = np.flatnonzero(which < 0)
+            which[rest] = np.asarray(pc.index_in(pieces.take(pa.array(rest)), value_set=self.words).fill_null(-1))
+        lacks = np.flatnonzero(which < 0)
+        new = pieces.take(pa.array(lacks)).dictionary_encode()
+        flat, sizes = array("I"), array("i")
+        for piece in new.dictionary.to_numpy(zero_copy_only=False).tolist():
+            ids = self.fresh(piece)
+            flat.extend(ids)
+            sizes.append(len(ids))
+        which[lacks] = np.asarray(new.indices) + len(self.words)
+        flat, sizes = np.concatenate([self.flat, np.array(flat, "<u4")]), np.concatenate([self.sizes, np.array(sizes, np.int32)])
+        size = sizes[which]
+        narrow = max(len(flat), size.sum(dtype=np.int64)) < 1 << 31
+        at = (np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int32 if narrow else np.int64)
+        self._keep(new.dictionary, flat, at, sizes)
+        return flat[_runs(at[which], size)], size
+
+    def _keep(self, new: pa.LargeStringArray, flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.words)
+        short = np.flatnonzero(np.asarray(pc.binary_length(new)) <= LONG)[: self.room - n]
+        if len(short):
+            self.words = pa.concat_arrays([self.words, new.take(pa.array(short))])
+            self.flat = np.concatenate([self.flat, flat[_runs(at[n + short], sizes[n + short])]])
+            self.sizes = np.concatenate([self.sizes, sizes[n + short]])
 
 
 def standard(tokenizer) -> bool:
@@ -174,10 +207,9 @@ class Encoder:
     """Encodes texts with a tokenizers file, by pieces whose encodings are kept.
 
     Pre-tokens of this byte-level pattern are runs of letters, of digits, of white space or of other characters, the
-    space before a run belonging to it. So a text may be cut, without a change of its ids, before a single space between
-    other characters, on either side of a single line end between other characters, and before a comma or full stop
-    behind a letter or digit. A text in which one of these stands elsewhere is cut at single spaces alone. With a file that
-    is not of this kind (:func:`standard`) no text is cut.
+    space before a run belonging to it. So a text may be cut, without a change of its ids, before a single space or line
+    end between other characters, and before an ASCII mark behind a letter or digit. A mark that is part of an added token
+    cuts nothing, so such a token stays whole. With a file that is not of this kind (:func:`standard`) no text is cut.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
@@ -186,60 +218,61 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.plain = None if standard(tokenizer) else tokenizer
-        self.kept = _Pieces(tokenizer, kept) if standard(tokenizer) else {}
+        if self.plain:
+            return
+        self.kept = _Pieces(tokenizer, kept)
+        self.white, self.mark = np.zeros(256, bool), np.zeros(256, bool)
+        self.white[[10, 32]] = True
+        self.mark[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+        for added in tokenizer.get_added_tokens_decoder().values():
+            for b in added.content.encode():
+                self.white[b] = self.mark[b] = False
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers. Each distinct piece of all these texts is looked up once."""
+        """Ids of each text as unsigned 32-bit integers. Each distinct piece of all these texts is looked up in one go."""
         if self.plain:
             return [array("I", x.ids).tobytes() for x in self.plain.encode_batch(texts, add_special_tokens=False)]
-        plain = [i for i, t in enumerate(texts) if not t or self.regular(t)]
-        good = self.marks_follow_letters(["\n" + texts[i] for i in plain]).tolist() if plain else []
-        plain = [i for i, g in zip(plain, good) if g]
-        out = dict(zip(plain, self.by_pieces([texts[i] for i in plain]))) if plain else {}
-        return [out[i] if i in out else self.one(t) for i, t in enumerate(texts)]
-
-    def by_pieces(self, texts: list[str]) -> list[bytes]:
-        """Of texts that may be cut everywhere; a line end is put before each and left out of the result."""
-        cut = []
-        for t in texts:
-            for c in " \n,.":
-                t = t.replace(c, "\x00" + c)
-            cut.append("\n" + t)
-        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\x00")
-        pieces = lists.values.dictionary_encode()
-        ids = list(map(self.kept.__getitem__, pieces.dictionary.to_pylist()))
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at, flat = np.cumsum(n) - n, np.frombuffer(b"".join(ids), "<u4")
-        which = np.asarray(pieces.indices)
-        size = n[which]
-        end = np.cumsum(size)
-        raw = memoryview(flat[np.repeat(at[which] - (end - size), size) + np.arange(end[-1])].tobytes())
-        cuts = np.append(0, end[np.asarray(lists.offsets)[1:] - 1]).tolist()
-        return [bytes(raw[4 * s + len(self.kept.line) : 4 * e]) for s, e in zip(cuts, cuts[1:])]
-
-    def one(self, t: str) -> bytes:
-        first, *rest = _cut.split(t)
-        return self.kept.whole(first) + b"".join([self.kept[" " + p] for p in rest])
+        pieces, of_text = self.cut(texts)
+        ids, size = self.kept.ids(pieces)
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))[of_text].tolist()
+        raw = memoryview(ids.tobytes())
+        return [bytes(raw[4 * s : 4 * e]) for s, e in zip(ends, ends[1:])]
+
+    def cut(self, texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """Pieces of all texts in a row, and how many of them are before each text, and in all."""
+        column = pa.array(texts, pa.large_string())
+        data = column.buffers()[2]
+        starts = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
+        # three line ends before, one behind: neighbours of any byte can be looked at
+        near = np.full(starts[-1] + 4, 10, np.uint8)
+        near[3:-1] = np.frombuffer(data, np.uint8)[: starts[-1]] if data else 0
+        first = np.zeros(starts[-1] + 1, bool)
+        at = np.flatnonzero(self.white[near[3:-1]])
+        first[at[~self._may_be_white(near, at) & (near[at + 4] > 32) & ~np.isin(near[at + 4], (0x7F, 0xC2, 0xE1, 0xE2, 0xE3))]] = True
+        # a line end or space that ends a text is not between other characters
+        ends = starts[1:][starts[1:] > starts[:-1]] - 1
+        first[ends[self.white[near[ends + 3]]]] = False
+        at = np.flatnonzero(self.mark[near[3:-1]])
+        first[at[self._is_letter_or_digit(near, at)]] = True
+        first[starts] = True
+        offsets = np.flatnonzero(first)
+        pieces = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), data or pa.py_buffer(b""))
+        return pieces, np.searchsorted(offsets, starts)
 
     @staticmethod
-    def regular(t: str) -> bool:
-        """Whether all white space is single spaces and line ends between other characters."""
-        ends = t[0] in " \n" or t[-1] in " \n"
-        return not ends and not any(x in t for x in ("  ", " \n", "\n ", "\n\n")) and t.replace("\n", "").isprintable()
+    def _may_be_white(near: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the character before may be white space: ASCII up to the space, or its bytes begin as those of white space do."""
+        last = near[at + 2]
+        return (last <= 32) | (last == 0x7F) | (last > 0x7F) & ((near[at + 1] == 0xC2) | np.isin(near[at], (0xE1, 0xE2, 0xE3)))
 
     @staticmethod
-    def marks_follow_letters(texts: list[str]) -> np.ndarray:
-        """For each text whether all its commas and full stops stand behind an ASCII digit or a Latin letter."""
-        column = pa.array(texts, pa.large_string())
-        offsets, data = np.frombuffer(column.buffers()[1], np.int64), np.frombuffer(column.buffers()[2], np.uint8)
-        at = np.flatnonzero((data == ord(",")) | (data == ord(".")))
-        last, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    def _is_letter_or_digit(near: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the character before is an ASCII digit or a Latin letter."""
+        last, lead = near[at + 2], near[at + 1]
         ascii_ = (last >= 48) & (last <= 57) | (last | 32 >= 97) & (last | 32 <= 122) & (last < 128)
         code = (lead.astype(np.int32) & 31) << 6 | last & 63
         wide = (last >> 6 == 2) & (lead >> 5 == 6) & (code >= 0xC0) & (code < 0x250) & (code != 0xD7) & (code != 0xF7)
-        good = np.ones(len(texts), bool)
-        good[np.searchsorted(offsets, at[~(ascii_ | wide)], side="right") - 1] = False
-        return good
+        return ascii_ | wide
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, str]]]:
