@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize
+from ..storage import discard, large, materialize
 
 
 #: After so many steps the lineage is cut, and no more are taken once no ball grows.
@@ -19,7 +19,7 @@ CUT = 3
 
 def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
     """Edges (left, right) to (node, members): the sorted component of a node, or null if it has more than ``bound`` nodes."""
-    both = edges.select(F.col("left").alias("u"), F.col("right").alias("v")).union(edges.select(F.col("right").alias("u"), F.col("left").alias("v"))).distinct()
+    both = large(edges.select(F.col("left").alias("u"), F.col("right").alias("v")).union(edges.select(F.col("right").alias("u"), F.col("left").alias("v"))).distinct())
     degree = both.groupBy("u").agg(F.count("*").alias("n"))
     # a node with more neighbours than the bound needs no list of them
     ball = degree.select("u", (F.col("n") > bound).alias("big"), F.array("u").alias("ball"))
@@ -30,7 +30,7 @@ def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
         all_ = F.array_distinct(F.concat("ball", F.coalesce("near", F.array().cast(ball.schema["ball"].dataType))))
         ball = joined.select("u", F.col("big") | F.coalesce("b", F.lit(False)) | (F.size(all_) > bound), F.slice(F.array_sort(all_), 1, bound + 1), F.size(all_) > F.size("ball")).toDF("u", "big", "ball", "grew")
         if step % CUT == CUT - 1 and step + 1 < bound:
-            ball = materialize(ball, "balls")
+            ball = large(materialize(ball, "balls"))
             if not ball.where("grew and not big").head(1):
                 break
         ball = ball.drop("grew")
@@ -46,13 +46,13 @@ def best_edges(edges: DataFrame) -> DataFrame:
     Each round settles the best score that is left anywhere at least, so there are no more rounds than distinct scores; as
     most nodes settle in the first, there are two or three.
     """
-    alive = materialize(edges.select("left", "right", "score"), "alive")
+    alive = large(materialize(edges.select("left", "right", "score"), "alive"))
     while True:
         best = alive.select(F.explode(F.array("left", "right")).alias("node"), "score").groupBy("node").agg(F.max("score").alias("best"))
         seen = alive
         for side in ("left", "right"):
             seen = seen.join(best.withColumnsRenamed({"node": side, "best": f"{side}_best"}), side)
-        seen = materialize(seen, "seen")
+        seen = large(materialize(seen, "seen"))
         top = F.greatest("left_best", "right_best")
         if not seen.where(F.col("score") < top).head(1):
             discard(seen)
@@ -62,7 +62,7 @@ def best_edges(edges: DataFrame) -> DataFrame:
         for side in ("left", "right"):
             rest = rest.join(taken.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_taken")), side, "left")
         dead = [F.coalesce(f"{side}_taken", F.lit(False)) & (F.col("score") < F.col(f"{side}_best")) for side in ("left", "right")]
-        before, alive = alive, materialize(rest.where(~(dead[0] | dead[1])).select("left", "right", "score"), "alive")
+        before, alive = alive, large(materialize(rest.where(~(dead[0] | dead[1])).select("left", "right", "score"), "alive"))
         discard(before, seen)
 
 
@@ -76,12 +76,12 @@ def build_groups(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """
     bound = entities.select("provider").distinct().count()
     ends = edges.select("left", "right", "score", F.explode(F.array("left", "right")).alias("node")).withColumn("n", F.count("*").over(W.partitionBy("node")))
-    told = materialize(ends.groupBy("left", "right").agg(F.first("score").alias("score"), F.max("n").alias("n")), "told")
+    told = large(materialize(ends.groupBy("left", "right").agg(F.first("score").alias("score"), F.max("n").alias("n")), "told"))
     label = F.when(F.max("score") >= 80, "matched").otherwise("probable").alias("strength")
     alone = told.where("n = 1").select(F.explode(F.array("left", "right")).alias("eid"), F.array_sort(F.array("left", "right")).alias("members"), F.when(F.col("score") >= 80, "matched").otherwise("probable").alias("strength"))
     live = best_edges(told.where("n > 1"))
     strength = live.select(F.explode(F.array("left", "right")).alias("node"), "score").groupBy("node").agg(label)
-    found = materialize(bounded_components(live, bound).join(strength, "node"), "components")
+    found = large(materialize(bounded_components(live, bound).join(strength, "node"), "components"))
     whole = found.where("members is not null").select("node", F.explode("members").alias("eid")).join(entities.select("eid", "provider"), "eid")
     clash = whole.groupBy("node").agg((F.count_distinct("provider") < F.count("*")).alias("clash"))
     judged = found.join(clash, "node", "left").select(F.col("node").alias("eid"), F.when(~F.coalesce("clash", F.lit(True)), F.col("members")).alias("members"), "strength")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import RULES
-from ..storage import discard, materialize
+from ..storage import discard, large, materialize
 from .candidates import PAIRS_PER_KEY, candidate_keys, candidate_pairs, scored_edges
 from .components import build_groups
 from .entities import extract_entities, normalize_entities
@@ -38,7 +38,7 @@ class Correlation:
     def groups(self) -> DataFrame:
         """eid (number), provider, repository, family, digest, g (the group: its first member), strength"""
         e = self.entities.select(F.col("no").alias("eid"), "provider", "repository", "family", F.unhex("eid").alias("digest"))
-        return materialize(build_groups(e, self.edges).withColumn("g", F.get("members", F.lit(0))).drop("members"), "assigned")
+        return large(materialize(build_groups(e, self.edges).withColumn("g", F.get("members", F.lit(0))).drop("members"), "assigned"))
 
     @cached_property
     def _canonical(self) -> DataFrame:
@@ -49,14 +49,14 @@ class Correlation:
         seen = met.select(F.explode(F.array(side("left_g", "right_g", ~F.col("turned")), side("right_g", "left_g", F.col("turned")))).alias("x"), "cardinality", "rules").select("x.*", "cardinality", "rules")
         inner = F.col("g") == F.col("other")
         wide = F.col("cardinality")
-        facts = materialize(seen.groupBy("g").agg(
+        facts = large(materialize(seen.groupBy("g").agg(
             F.collect_set(F.when(~inner, F.col("other"))).alias("others"), F.bool_or(wide == "many-to-many").alias("mm"),
             F.bool_or(wide.isin("one-to-many", "many-to-one") & (F.col("side") == "left")).alias("l"), F.bool_or(wide.isin("one-to-many", "many-to-one") & (F.col("side") == "right")).alias("r"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(inner, F.col("rules"))))).alias("inner_rules"), F.array_distinct(F.flatten(F.collect_set("rules"))).alias("all_rules"), F.lit(True).alias("linked")), "seen")
+            F.array_distinct(F.flatten(F.collect_set(F.when(inner, F.col("rules"))))).alias("inner_rules"), F.array_distinct(F.flatten(F.collect_set("rules"))).alias("all_rules"), F.lit(True).alias("linked")), "seen"))
         # an id is made of the digests of its members, of which there is one for each provider at most
         spelt = F.transform(F.array_sort(F.collect_list("digest")), lambda d: F.lower(F.hex(d)))
-        shape = materialize(self.groups.groupBy("g").agg(
-            F.concat(F.lit("ce_"), S.digest(spelt)).alias("canonical_id"), F.first("repository").alias("repository"), F.collect_set("family").alias("kinds"), F.count("*").alias("n_members"), F.first("strength").alias("strength")), "shapes")
+        shape = large(materialize(self.groups.groupBy("g").agg(
+            F.concat(F.lit("ce_"), S.digest(spelt)).alias("canonical_id"), F.first("repository").alias("repository"), F.collect_set("family").alias("kinds"), F.count("*").alias("n_members"), F.first("strength").alias("strength")), "shapes"))
         none = F.array().cast("array<string>")
         candidates = facts.select("g", F.explode("others").alias("other")).join(shape.select(F.col("g").alias("other"), "canonical_id"), "other").groupBy("g").agg(F.sort_array(F.collect_list("canonical_id")).alias("candidate_ids"))
         some = F.coalesce("linked", F.lit(False))
@@ -68,7 +68,7 @@ class Correlation:
             "g", "canonical_id", "repository", S.canonical_kind(F.col("kinds")).alias("kind"), status.alias("status"), cardinality.alias("cardinality"), F.filter(order, lambda x: F.array_contains(rules, x)).alias("rules"), "n_members", F.coalesce("candidate_ids", none).alias("candidate_ids"))
         conflict = F.col("cardinality").isin("one-to-many", "many-to-one", "many-to-many")
         reason = F.when(F.col("status") == "unmatched", "no-cross-provider-evidence").when(F.col("status") == "ambiguous", F.when(conflict, "provider-cardinality-conflict").otherwise("competing-evidence"))
-        c = materialize(c.withColumn("reason", reason.when(F.col("status") == "probable", "probable-evidence").otherwise("deterministic-evidence")), "canonical")
+        c = large(materialize(c.withColumn("reason", reason.when(F.col("status") == "probable", "probable-evidence").otherwise("deterministic-evidence")), "canonical"))
         discard(facts, shape)
         return c
 
@@ -108,7 +108,7 @@ def edge_cardinality(edges: DataFrame) -> DataFrame:
 def correlate(entities: DataFrame, pairs_per_key: int | None = PAIRS_PER_KEY, pairs_total: int | None = None) -> Correlation:
     """Correlate ENTITY_INPUT rows by deterministic rules; the order of the input doesn't matter."""
     e = normalize_entities(entities).withColumns({"no": F.monotonically_increasing_id(), "p": S.short_digest(F.col("provider")), "r": S.short_digest(F.col("repository"))})
-    e = materialize(e, "entities")
+    e = large(materialize(e, "entities"))
     # entities go by number from here on, an eighth of a digest, and providers and repositories by a short one. Which end of an edge is
     # left follows the order of digests, which the first 8 bytes tell
     by_no = e.withColumns({"digest": F.substring(F.unhex("eid"), 1, 8), "eid": F.col("no"), "provider": F.col("p"), "repository": F.col("r")}).drop("no", "p", "r")
@@ -121,7 +121,7 @@ def correlate(entities: DataFrame, pairs_per_key: int | None = PAIRS_PER_KEY, pa
         met = found.pairs.join(number("left"), "left").join(number("right"), "right")
         pairs = met.select(F.least("left_no", "right_no").alias("left"), F.greatest("left_no", "right_no").alias("right")).select("left.no", "right.no").toDF("left", "right")
     edges = edge_cardinality(scored_edges(by_no, pairs)).select("left", "right", "turned", "score", "strength", "rules", "cardinality")
-    return Correlation(e, materialize(edges, "links"), found.diagnostics)
+    return Correlation(e, large(materialize(edges, "links")), found.diagnostics)
 
 
 def correlate_observations(observations: DataFrame, **options) -> Correlation:
