@@ -20,7 +20,7 @@ def extract_entities(observations: DataFrame, prefer_definitions: bool = True) -
         # one row per provider meets the observations, which stay where they are
         is_definition = F.col("predicate").eqNullSafe("defines")
         defining = o.where(is_definition).select("provider").distinct()
-        o = o.where(is_definition).unionByName(o.where(~is_definition).join(defining, "provider", "left_anti").select(*o.columns))
+        o = o.where(is_definition).unionByName(o.where(~is_definition).join(F.broadcast(defining), "provider", "left_anti").select(*o.columns))
     entity, defines = F.col("object.entity"), F.col("predicate") == "defines"
     both = F.when(defines, F.array(F.coalesce(entity, F.col("subject")))).when(entity.isNotNull(), F.array("subject", entity)).otherwise(F.array("subject"))
     o = o.select("provider", "repository", "source", "providerNative", F.explode(both).alias("e")).withColumn("v", F.try_parse_json("providerNative"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.facts import NormalizedFacts, keyed
 from ..schemas import PROVIDER, RANGE, REPOSITORY, SOURCE
-from ..storage import scratch_path
+from ..storage import large, scratch_path
 from . import ordered
 
 _ENTITY = f"struct<canonicalId:string,candidateCanonicalIds:array<string>,id:string,nativeId:string,kind:string,provider:{PROVIDER},correlationStatus:string>"
@@ -181,7 +181,7 @@ def _facts_of(said: DataFrame) -> dict[str, DataFrame]:
     kept = F.struct(o.schemaVersion.alias("schemaVersion"), o.subject.alias("subject"), o.predicate.alias("predicate"), F.struct(entity.alias("entity"), F.when(entity.isNull(), o.object.value).alias("value")).alias("object"), o.provider.alias("provider"), o.repository.alias("repository"), o.source.alias("source"), o.determinism.alias("determinism"))
     evidence = e.select(F.col("e.nativeEvidence.id").alias("evidence_id"), native.alias("providerNative"), kept.alias("observation")).where("evidence_id is not null").drop_duplicates(["evidence_id"])
     common = S.is_common(F.col("predicate"))
-    return {"facts": rows.where(common), "unsupported": rows.where(~common), "evidence": evidence}
+    return {"facts": rows.where(common), "unsupported": rows.where(~common), "evidence": large(evidence)}
 
 
 def _correlation_of(canonical: DataFrame, links: DataFrame, metrics: DataFrame, skipped: DataFrame) -> dict[str, DataFrame]:
