@@ -1,10 +1,10 @@
 """Normalized facts as one JSON document, written and read by all executors.
 
 The document has the fixed key order schemaVersion, facts, unsupported, correlation. Executors write the elements of every
-array in order, one on each line, as fragments; these are then joined through the file system, as a stream. A document of
-this layout is read by lines, which any number of tasks share, since each element tells by its first keys what it is; any other
-layout of the same document is read as a whole. A native payload stands once in an element, under its evidence; other
-places refer to it, and a join resolves them.
+array in order, one on each line, as fragments; these are then joined through the file system, as a stream, or stay as the
+volumes of a document that is too large for that. A document of this layout is read by lines, which any number of tasks share,
+since each element tells by its first keys what it is; any other layout of the same document is read as a whole. A native payload
+stands once in an element, under its evidence; other places refer to it, and a join resolves them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.facts import NormalizedFacts, keyed
 from ..schemas import PROVIDER, RANGE, REPOSITORY, SOURCE
-from ..storage import large, scratch_path
+from ..storage import large, release_shuffles, scratch_path
 from . import ordered
 
 _ENTITY = f"struct<canonicalId:string,candidateCanonicalIds:array<string>,id:string,nativeId:string,kind:string,provider:{PROVIDER},correlationStatus:string>"
@@ -82,34 +82,54 @@ def _correlation(n: NormalizedFacts) -> list[tuple[str, DataFrame, str]]:
     return [('],"correlation":{"canonicalEntities":[', canonical, ""), ('],"links":[', links, ""), ('],"metrics":{', metrics, ""), ('},"diagnostics":{"skippedKeys":[', skipped, "]}}}\n")]
 
 
-def export_facts(n: NormalizedFacts, path: str, rows_per_fragment: int = ordered.ROWS_PER_FILE) -> None:
-    """Write one document. Only fragments' bytes pass by the driver, as a stream from file to file; a payload that isn't JSON becomes a JSON string.
+def export_facts(n: NormalizedFacts, path: str, rows_per_fragment: int = ordered.ROWS_PER_FILE, volumes: bool = False) -> None:
+    """Write one document; a payload that isn't JSON becomes a JSON string.
 
-    Fragments are compressed and each is deleted once it is in the document, so beside the document little room is needed.
+    Fragments are compressed. Their bytes pass by the driver, as a stream from file to file, and each is deleted once it is in the document.
+    With ``volumes`` the document is a folder, where fragments stay as executors have written them: what its files
+    hold, one after the other in the order of :func:`volumes_of`, is the same document, in a fraction of the room. Of each array the
+    first fragment alone passes by the driver then.
     """
     spark = n.facts.sparkSession
-    hadoop, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     sections = [(_HEAD, _elements(n.facts, n.evidence), ""), ('],"unsupported":[', _elements(n.unsupported, n.evidence), ""), *_correlation(n)]
     written = []
-    for opening, rows, closing in sections:
-        root = scratch_path(spark, "fragments")
+    for i, (opening, rows, closing) in enumerate(sections):
+        root = f"{path}/{i:02d}" if volumes else scratch_path(spark, "fragments")
+        release_shuffles(spark)
         _fragments(rows, root, rows_per_fragment)
         written.append((opening, root, closing))
+    release_shuffles(spark)
+    if volumes:
+        for i, (opening, root, closing) in enumerate(written):
+            _join(spark, [(opening, root, "")], f"{path}/{i:02d}.json.gz", 1)
+        return _join(spark, [(closing, None, "")], f"{path}/{len(written):02d}.json.gz")
+    _join(spark, written, path)
+    for _, root, _ in written:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(root)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def _join(spark: SparkSession, written: list[tuple[str, str | None, str]], path: str, most: int | None = None) -> None:
+    """Texts and the fragments between them, of each folder up to so many that have lines, as one file, compressed if its name says so; fragments are deleted."""
+    hadoop, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop)
     target = fs_path(path)
-    fs = target.getFileSystem(hadoop)
-    out = fs.create(target, True)
+    out = target.getFileSystem(hadoop).create(target, True)
+    codec = codecs.getCodec(target)
+    out = codec.createOutputStream(out) if codec is not None else out
     try:
         for opening, root, closing in written:
-            out.write(bytearray((opening + "\n").encode()))
-            begun = False
-            for part in _parts(spark, root):
+            out.write(bytearray((opening + "\n" if root else opening).encode()))
+            begun = 0
+            for part in _parts(spark, root) if root else ():
+                if begun == most:
+                    break
                 source = fs_path(part)
                 fs = source.getFileSystem(hadoop)
                 given = codecs.getCodec(source).createInputStream(fs.open(source))
                 try:
                     # the first line's comma is left out
-                    begun = begun or given.read() >= 0
+                    begun += begun > 0 or given.read() >= 0
                     spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, 1 << 20, False)
                 finally:
                     given.close()
@@ -117,22 +137,31 @@ def export_facts(n: NormalizedFacts, path: str, rows_per_fragment: int = ordered
             out.write(bytearray(closing.encode()))
     finally:
         out.close()
-    for _, root, _ in written:
-        gone = fs_path(root)
-        gone.getFileSystem(hadoop).delete(gone, True)
 
 
 def _fragments(rows: DataFrame, root: str, rows_per_fragment: int) -> None:
     """Lines in the order of k, l and themselves, in text files of up to so many lines; every line follows a comma. One shuffle by ranges, nothing else is written."""
     order = ("k", "l", "digest")
     placed = rows.withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary")))).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.select(F.concat(F.lit(","), "line").alias("line")).write.option("compression", "gzip").option("maxRecordsPerFile", rows_per_fragment).text(f"{root}/data")
+    placed.select(F.concat(F.lit(","), "line").alias("line")).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", rows_per_fragment).text(f"{root}/data")
 
 
 def _parts(spark: SparkSession, root: str) -> list[str]:
-    """Files of sorted ranges in order."""
+    """Files of sorted ranges in order: by task, then by the number of the task's file, which may have more digits than others."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/part-*")
-    return sorted(str(s.getPath()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+    found = [str(s.getPath()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []]
+    return sorted(found, key=_place)
+
+
+def _place(part: str) -> tuple[int, ...]:
+    return tuple(map(int, re.search(r"/part-(\d+)-.*-c(\d+)\.[^/]*$", part).groups()))  # type: ignore[union-attr]
+
+
+def volumes_of(spark: SparkSession, path: str) -> list[str]:
+    """Files of a document in volumes in order; each is compressed, and together they are the document."""
+    texts = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.json.gz")
+    said = sorted(str(s.getPath()) for s in texts.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(texts) or [])
+    return [x for text in said for x in (text, *_parts(spark, text.removesuffix(".json.gz")))]
 
 
 def import_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -141,13 +170,15 @@ def import_facts(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     Keys of facts are worked out anew from what the elements say. References to payloads are resolved through the table
     ``evidence``; one whose evidence isn't in the document keeps its id and has no payload.
     """
-    first = spark.read.text(path).first()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    volumes = folder.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(folder)
+    first = spark.read.text(f"{path}/00.json.gz" if volumes else path).first()
     head = (first[0] if first else "").strip()
     version = _version(head)
     if version != 1:
         raise ValueError(f"facts of schema version {version} can't be read")
     if head == _HEAD:
-        lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
+        lines = spark.read.option("recursiveFileLookup", volumes).text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
         # other lines become null before anything is parsed, whatever filter the optimizer moves below
         of = lambda start: lines.select(F.when(F.startswith("line", F.lit(start)), F.col("line")).alias("line")).where("line is not null")
         said, canonical, links, skipped = of('{"schemaVersion":1,"status":'), of('{"canonicalId":'), of('{"left":'), of('{"keyClass":')
