@@ -23,7 +23,7 @@ def bounded_components(edges: DataFrame, bound: int) -> DataFrame:
     degree = both.groupBy("u").agg(F.count("*").alias("n"))
     # a node with more neighbours than the bound needs no list of them
     ball = degree.select("u", (F.col("n") > bound).alias("big"), F.array("u").alias("ball"))
-    narrow = both.join(degree.where(F.col("n") <= bound).select("u"), "u")
+    narrow = large(both.join(degree.where(F.col("n") <= bound).select("u"), "u"))
     for step in range(bound):
         seen = narrow.join(ball.withColumnsRenamed({"u": "v", "big": "b", "ball": "near"}), "v").groupBy("u").agg(F.bool_or("b").alias("b"), F.flatten(F.collect_list("near")).alias("near"))
         joined = ball.join(seen, "u", "left")
